@@ -57,7 +57,11 @@ def query(name: str):
 
 
 def _ev_docs(spark, sf):
-    return fx.event_documents(spark, sf)
+    return fx.stored_documents(spark, sf, "events")
+
+
+def _speech_docs(spark, sf):
+    return fx.stored_documents(spark, sf, "speech")
 
 
 def _probes(spark, sf):
@@ -205,7 +209,7 @@ def q_logo_tracks(spark, sf):
 
 @query("speech_words")
 def q_speech_words(spark, sf):
-    return flatten.speech_words(fx.speech_documents(spark, sf))
+    return flatten.speech_words(_speech_docs(spark, sf))
 
 
 @query("text_tracks")
@@ -262,7 +266,7 @@ def q_shot_at_time(spark, sf):
 
 @query("words_at_time")
 def q_words_at_time(spark, sf):
-    return timeline.words_at_time(fx.speech_documents(spark, sf),
+    return timeline.words_at_time(_speech_docs(spark, sf),
                                   fx.speech_probes(spark, sf, WORD_PROBE_STEP, WORD_PROBE_COUNT))
 
 
@@ -325,7 +329,7 @@ def q_frames_by_likelihood(spark, sf):
 
 @query("speech_spans")
 def q_speech_spans(spark, sf):
-    return flatten.speech_spans(fx.speech_documents(spark, sf))
+    return flatten.speech_spans(_speech_docs(spark, sf))
 
 
 @query("text_digest")

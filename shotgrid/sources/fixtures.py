@@ -237,7 +237,29 @@ def speech_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_documents(spark, sf_dir).unionByName(speech_documents(spark, sf_dir))
+    return stored_documents(spark, sf_dir, "events").unionByName(
+        stored_documents(spark, sf_dir, "speech"))
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events") -> DataFrame:
+    """The folded documents as a stored annotation table (nested Parquet).
+
+    Folded once per session and input directory, written under the shared
+    checkpoint folder, then read back: operators then scan a stored table with
+    nested-column pruning, as they would over annotations kept in a lake.
+    """
+    from shotgrid.session import shared_dir
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    path = _STORED.get(key)
+    if path is None:
+        build = event_documents if kind == "events" else speech_documents
+        path = shared_dir(spark, "annotations", kind)
+        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
 
 
 def video_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
