@@ -73,14 +73,12 @@ def min_duration_chunks(docs: DataFrame, min_seconds: float = DEFAULT_MIN_SECOND
     file_chunk (1-based, continuing across the results of one file), t1, t2.
     """
     empty = F.array().cast("array<double>")
-    res = F.col("annotation_results")
+    shots = F.col("annotation_results.shot_annotations")  # prunes the read to shots only
     prepared = docs.select(
         "file",
-        F.transform(res, lambda r: r["input_uri"]).alias("uris"),
-        F.transform(res, lambda r: F.coalesce(
-            F.transform(r["shot_annotations"], segment_start), empty)).alias("starts"),
-        F.transform(res, lambda r: F.coalesce(
-            F.transform(r["shot_annotations"], segment_end), empty)).alias("ends"))
+        F.col("annotation_results.input_uri").alias("uris"),
+        F.transform(shots, lambda s: F.coalesce(F.transform(s, segment_start), empty)).alias("starts"),
+        F.transform(shots, lambda s: F.coalesce(F.transform(s, segment_end), empty)).alias("ends"))
     return prepared.mapInArrow(_chunk_batches(float(min_seconds)), CHUNK_SCHEMA)
 
 
@@ -104,11 +102,12 @@ def chunk_manifest(chunks: DataFrame, numbering: str = "result") -> DataFrame:
 
 def shots_enumerated(docs: DataFrame, first_result_only: bool = False) -> DataFrame:
     """NST-7 / WIN-4: one row per shot, 1-based number, start, end, duration."""
-    res = docs.select("file", F.posexplode("annotation_results").alias("result_pos", "r"))
+    from shotgrid.operators.flatten import feature_rows
+    rows = feature_rows(docs, "shot_annotations", "first" if first_result_only else "all")
     if first_result_only:
-        res = res.where(F.col("r.shot_annotations").isNotNull())
-    shots = res.select("file", "result_pos", F.col("r.input_uri").alias("input_uri"),
-                       F.posexplode("r.shot_annotations").alias("pos", "s"))
+        rows = rows.withColumn("result_pos", F.lit(None).cast("int"))
+    shots = rows.select("file", "result_pos", "input_uri",
+                        F.posexplode("items").alias("pos", "s"))
     start, end = segment_start(F.col("s")), segment_end(F.col("s"))
     return shots.select("input_uri", "result_pos", (F.col("pos") + 1).alias("shot"),
                         start.alias("start"), end.alias("end"), (end - start).alias("duration"))

@@ -18,35 +18,48 @@ VIDEO_WIDTH, VIDEO_HEIGHT = 800, 500
 
 
 def results(docs: DataFrame) -> DataFrame:
-    """One row per annotation result: file, result_pos, input_uri, r."""
+    """One row per annotation result: file, result_pos, input_uri, r (whole result)."""
     return docs.select("file", F.posexplode("annotation_results").alias("result_pos", "r")) \
         .select("file", "result_pos", F.col("r.input_uri").alias("input_uri"), "r")
 
 
+def result_field(name: str) -> Column:
+    """``annotation_results.<name>``: one value per result.
+
+    Field extraction over the result array (not a lambda) is what lets
+    Catalyst prune the Parquet read down to that feature's subtree.
+    """
+    return F.col(f"annotation_results.{name}")
+
+
 def feature_rows(docs: DataFrame, feature: str, mode: str = "first") -> DataFrame:
     """PRJ-2: the results a feature is read from.
 
     ``mode="first"``: only the first result holding the feature (viewer rule);
-    ``"all"``: every result holding it (pipeline rule). Output adds ``items``
-    = the feature's value (array or struct).
+    ``"all"``: every result holding it (pipeline rule). Output: file,
+    (result_pos,) input_uri, items = the feature's value (array or struct).
+    Only ``input_uri`` and the feature are read from storage.
     """
+    uris, feats = result_field("input_uri"), result_field(feature)
     if mode == "first":
-        res = F.col("annotation_results")
-        holding = F.filter(res, lambda r: r[feature].isNotNull())
-        return docs.select("file", F.try_element_at(holding, F.lit(1)).alias("r")) \
-            .where(F.col("r").isNotNull()) \
-            .select("file", F.col("r.input_uri").alias("input_uri"),
-                    F.col("r")[feature].alias("items"))
-    return results(docs).where(F.col("r")[feature].isNotNull()) \
-        .select("file", "result_pos", "input_uri", F.col("r")[feature].alias("items"))
+        d = docs.select("file", uris.alias("_u"), feats.alias("_f"))
+        d = d.withColumn("_i", F.array_position(
+            F.transform("_f", lambda x: x.isNotNull()), F.lit(True)).cast("int"))
+        return d.where(F.col("_i") > 0).select(
+            "file", F.element_at("_u", F.col("_i")).alias("input_uri"),
+            F.element_at("_f", F.col("_i")).alias("items"))
+    d = docs.select("file", uris.alias("_u"), feats.alias("_f")) \
+        .select("file", "_u", F.posexplode("_f").alias("result_pos", "items"))
+    return d.where(F.col("items").isNotNull()).select(
+        "file", "result_pos", F.element_at("_u", F.col("result_pos") + 1).alias("input_uri"),
+        "items")
 
 
 def first_feature_result(docs: DataFrame, features: list[str]) -> DataFrame:
     """PRJ-2 as a table: (file, feature, result_pos) of the first result holding it."""
-    res = F.col("annotation_results")
     entries = F.array(*[F.struct(
         F.lit(f).alias("feature"),
-        (F.array_position(F.transform(res, _has(f)), True) - 1).alias("result_pos"))
+        (F.array_position(F.transform(result_field(f), _present), True) - 1).alias("result_pos"))
         for f in features])
     return docs.select("file", F.explode(entries).alias("e")) \
         .where(F.col("e.result_pos") >= 0) \
@@ -54,15 +67,15 @@ def first_feature_result(docs: DataFrame, features: list[str]) -> DataFrame:
                 F.col("e.result_pos").cast("bigint").alias("result_pos"))
 
 
-def _has(name: str):
-    return lambda r: r[name].isNotNull()
+def _present(x: Column) -> Column:
+    return x.isNotNull()
 
 
 def detected_features(docs: DataFrame, features: list[str]) -> DataFrame:
     """NST-15: features present in a file, with how many results carry each."""
-    res = F.col("annotation_results")
     entries = F.array(*[F.struct(F.lit(f).alias("feature"),
-                                 F.size(F.filter(res, _has(f))).alias("n")) for f in features])
+                                 F.size(F.filter(result_field(f), _present)).alias("n"))
+                        for f in features])
     return docs.select("file", F.explode(entries).alias("e")).where(F.col("e.n") > 0) \
         .select("file", F.col("e.feature").alias("feature"),
                 F.col("e.n").cast("bigint").alias("n_results"))

@@ -64,16 +64,15 @@ def person_segments(docs: DataFrame, threshold: float = 0.5, key: str = "person"
     Row-local: the person annotations of a video are one array of its document.
     """
     feature = "person_detection_annotations" if key == "person" else "face_detection_annotations"
-    first = F.try_element_at(F.col("annotation_results"), F.lit(1))
-    holding = F.try_element_at(F.filter("annotation_results", lambda r: r[feature].isNotNull()),
-                               F.lit(1))
-    items = holding[feature]
+    uri = F.try_element_at(F.col("annotation_results.input_uri"), F.lit(1))
+    items = F.try_element_at(F.filter(F.col(f"annotation_results.{feature}"),
+                                      lambda x: x.isNotNull()), F.lit(1))
     tracks = F.transform(items, lambda p: F.try_element_at(p["tracks"], F.lit(1)))
     kept = F.filter(tracks, lambda t: t.isNotNull() & (t["confidence"] > F.lit(threshold)))
     spans = F.array_join(F.transform(kept, lambda t: _span_text(
         segment_start(t["segment"]), segment_end(t["segment"]))), ";")
     n = F.when(kept.isNull(), F.lit(0)).otherwise(F.size(kept)).cast("bigint")
-    return docs.select(first["input_uri"].alias("input_uri"), F.lit(key).alias("key"),
+    return docs.select(uri.alias("input_uri"), F.lit(key).alias("key"),
                        n.alias("n_tracks"), F.coalesce(spans, F.lit("")).alias("segments"))
 
 

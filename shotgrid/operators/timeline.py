@@ -233,9 +233,10 @@ def timeline_pct(docs: DataFrame, lengths: DataFrame, threshold: float = 0.0) ->
 
 def misaligned(docs: DataFrame, lengths: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """FLT-11: video length vs whole end seconds of the first result; missing -> False."""
-    first = F.try_element_at(F.col("annotation_results"), F.lit(1))
-    d = docs.select("file", first["input_uri"].alias("input_uri"),
-                    first["segment"]["end_time_offset"]["seconds"].alias("end_seconds"))
+    d = docs.select("file",
+                    F.try_element_at(F.col("annotation_results.input_uri"), F.lit(1)).alias("input_uri"),
+                    F.try_element_at(F.col("annotation_results.segment"), F.lit(1))
+                    ["end_time_offset"]["seconds"].alias("end_seconds"))
     j = d.join(lengths, "input_uri", "left")
     flag = F.coalesce(F.abs(F.col("length") - F.col("end_seconds")) > F.lit(tolerance),
                       F.lit(False))
