@@ -114,3 +114,42 @@ def test_stream_equals_batch(spark, tmp_path):  # STR-2, two availableNow rounds
                       for r in chunks.chunk_manifest(chunks.min_duration_chunks(batch, 5.0)).collect())
     assert streamed == expected and len(expected) == 3
     assert spark.read.parquet(f"{out}/quarantine").count() == 1  # quarantined once
+
+
+def test_request_job_stream(spark, tmp_path):  # STR-1
+    arr = tmp_path / "arrivals"
+    arr.mkdir()
+    events = [{"id": "1", "bucket": "in", "name": "fr-FR/clip.mp4", "contentType": "video/mp4"},
+              {"id": "2", "bucket": "in", "name": "x.json", "contentType": "application/json"},
+              {"id": "3", "bucket": "in", "name": "clip2.mov", "contentType": "video/mp4"}]
+    (arr / "e.json").write_text("\n".join(json.dumps(e) for e in events))
+    out, ckpt = str(tmp_path / "req"), str(tmp_path / "req-ckpt")
+    jobs.start_request_job(spark, str(arr), out, ckpt, "work", "1.0",
+                           ["SHOT_CHANGE_DETECTION", "LABEL_DETECTION"]).awaitTermination()
+    rows = sorted((r.input_uri, r.feature, r.output_uri) for r in spark.read.parquet(out).collect())
+    assert rows == [
+        ("gs://in/fr-FR/clip.mp4", "LABEL_DETECTION", "gs://work/fr-FR/LABEL_DETECTION/clip - 1.0.json"),
+        ("gs://in/fr-FR/clip.mp4", "SHOT_CHANGE_DETECTION",
+         "gs://work/fr-FR/SHOT_CHANGE_DETECTION/clip - 1.0.json")]
+
+
+def test_classify_job_stream(spark, tmp_path):  # STR-3
+    manifest_dir = tmp_path / "manifest"
+    rows = [("gs://o/CSA/v/chunks - 1.mp4",), ("gs://o/CSA/v/chunks - 2.mp4",),
+            ("gs://o/CSA/v/chunks - 1.json",)]
+    spark.createDataFrame(rows, "object_name string").write.parquet(str(manifest_dir))
+    tags = spark.createDataFrame([("gs://o/CSA/v/chunks - 1.mp4", "v", "1")],
+                                 "uri string, video_blobname string, index string")
+
+    def model(name, endpoint):
+        if name.endswith("2.mp4"):
+            raise ValueError("cannot read")
+        return "a description"
+
+    out, ckpt = str(tmp_path / "cls"), str(tmp_path / "cls-ckpt")
+    jobs.start_classify_job(spark, str(manifest_dir), tags, out, ckpt, model, ["r1"],
+                            "object_name string").awaitTermination()
+    res = spark.read.parquet(f"{out}/results").collect()
+    assert [(r.uri, r.description) for r in res] == [("gs://o/CSA/v/chunks - 1.mp4", "a description")]
+    fails = spark.read.parquet(f"{out}/failures").collect()
+    assert [r.uri for r in fails] == ["gs://o/CSA/v/chunks - 2.mp4"]  # kept, not dropped; json ignored
