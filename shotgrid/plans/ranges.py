@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 BUCKET = "_bucket"
 
 
-def bucket_width(intervals: DataFrame, start: str, end: str, quantile: float = 0.9,
-                 minimum: float = 1e-3) -> float:
+def bucket_width(intervals: DataFrame, start: str | None = None, end: str | None = None,
+                 quantile: float = 0.9, minimum: float = 1e-3,
+                 length: Column | None = None) -> float:
     """Width so that most intervals touch one or two buckets.
 
     One partial-aggregated pass (``percentile_approx``) over the interval
-    lengths; the result is a single number.
+    lengths (or over a ``length`` expression, e.g. the mean frame gap of each
+    unexploded track); the result is a single number.
     """
-    row = intervals.select(F.percentile_approx(F.col(end) - F.col(start), quantile, 1000)
-                           .alias("w")).first()
+    ln = length if length is not None else F.col(end) - F.col(start)
+    row = intervals.select(F.percentile_approx(ln, quantile, 1000).alias("w")).first()
     w = row["w"] if row is not None else None
     if w is None or not math.isfinite(w):
         return 1.0
