@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shotgrid.functions.scalars import likelihood_name, offset_seconds, segment_end, segment_start
 from shotgrid.operators.flatten import feature_rows, object_tracks, shot_label_segments
+from shotgrid.plans.ranges import bucket_width
 
 # Buckets of the explicit-content summary, as the viewer lists them.
 LIKELIHOOD_BUCKETS = ["VERY_LIKELY", "LIKELY", "POSSIBLE", "UNLIKELY", "VERY_UNLIKELY"]
@@ -38,18 +39,39 @@ def track_segments(docs: DataFrame, threshold: float | None = 0.5) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",
-                    order: list[str] | None = None) -> DataFrame:
-    """AGG-3: merge overlapping intervals per key (merge when start < running max end)."""
+                    order: list[str] | None = None, width: float | None = None) -> DataFrame:
+    """AGG-3: merge overlapping intervals per key (merge when start < running max end).
+
+    Skew-safe prefix scan: rows are windowed per (key, time bucket of start),
+    not per key, so one hot key spreads over many tasks. What a bucket needs
+    from the buckets before it (the running max end, the number of islands
+    opened) comes from a summary with one row per (key, bucket), scanned per
+    key. Islands are then aggregated with partial (map-side) min/max/count.
+    """
+    if width is None:
+        width = bucket_width(df, start, end)
     order_cols = [F.col(start), F.col(end)] + [F.col(c) for c in (order or [])]
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    prev_max = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("_new", F.when(prev_max.isNull() | (F.col(start) >= prev_max), 1)
-                            .otherwise(0))
-    island = flagged.withColumn("_island", F.sum("_new").over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_island").agg(
-        F.min(start).alias("seg_start"), F.max(end).alias("seg_end"),
-        F.count(F.lit(1)).alias("n_merged")).drop("_island")
+    x = df.withColumn("_b", F.floor(F.col(start) / F.lit(width)).cast("bigint"))
+    by_key = Window.partitionBy(*keys).orderBy("_b")
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+
+    carry = x.groupBy(*keys, "_b").agg(F.max(end).alias("_bmax")) \
+        .select(*keys, "_b", F.max("_bmax").over(before).alias("_carry"))
+    x = x.join(carry, [*keys, "_b"])
+    local = Window.partitionBy(*keys, "_b").orderBy(*order_cols)
+    prev = F.greatest(F.max(end).over(local.rowsBetween(Window.unboundedPreceding, -1)),
+                      F.col("_carry"))
+    x = x.withColumn("_new", F.when(prev.isNull() | (F.col(start) >= prev), 1).otherwise(0))
+    x = x.withColumn("_n", F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    # _n = 0: rows continuing the island opened in an earlier bucket
+    parts = x.groupBy(*keys, "_b", "_n").agg(
+        F.min(start).alias("_s"), F.max(end).alias("_e"), F.count(F.lit(1)).alias("_c"))
+    offsets = parts.groupBy(*keys, "_b").agg(F.max("_n").alias("_bn")) \
+        .select(*keys, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
+    island = (F.col("_off") + F.col("_n")).alias("_island")
+    return parts.join(offsets, [*keys, "_b"]).groupBy(*keys, island).agg(
+        F.min("_s").alias("seg_start"), F.max("_e").alias("seg_end"),
+        F.sum("_c").alias("n_merged")).drop("_island")
 
 
 def track_segments_merged(docs: DataFrame, threshold: float = 0.0) -> DataFrame:

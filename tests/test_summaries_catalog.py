@@ -98,3 +98,31 @@ def test_request_manifest_no_join(spark):
     v = spark.createDataFrame([("gs://b/de-DE/clip.one.mp4",)], "input_uri string")
     rows = catalog.request_manifest(v, "work", "123.0", ["SHOT_CHANGE_DETECTION"]).collect()
     assert rows[0].output_uri == "gs://work/de-DE/SHOT_CHANGE_DETECTION/clip - 123.0.json"
+
+
+def test_merge_intervals_random_vs_brute(spark):
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        k = rnd.choice(["a", "b", "c"])
+        s = round(rnd.uniform(0, 200), 1)
+        rows.append(("v", k, i, s, round(s + rnd.choice([0.0, 0.5, 2.0, 7.0, 30.0]), 1)))
+    df = spark.createDataFrame(rows, "input_uri string, name string, pos int, start double, end double")
+    exp = []
+    for k in "abc":
+        iv = sorted((s, e, p) for _, kk, p, s, e in rows if kk == k)
+        cur = None
+        for s, e, _ in iv:
+            if cur is None or s >= cur[1]:
+                if cur:
+                    exp.append((k,) + tuple(cur))
+                cur = [s, e, 1]
+            else:
+                cur[1], cur[2] = max(cur[1], e), cur[2] + 1
+        exp.append((k,) + tuple(cur))
+    for width in (None, 1.0, 13.0, 500.0):
+        got = sorted((r.name, r.seg_start, r.seg_end, r.n_merged) for r in
+                     summaries.merge_intervals(df, ["input_uri", "name"], order=["pos"],
+                                               width=width).collect())
+        assert got == sorted(exp)
