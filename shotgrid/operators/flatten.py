@@ -45,9 +45,10 @@ def feature_rows(docs: DataFrame, feature: str, mode: str = "first") -> DataFram
         d = docs.select("file", uris.alias("_u"), feats.alias("_f"))
         d = d.withColumn("_i", F.array_position(
             F.transform("_f", lambda x: x.isNotNull()), F.lit(True)).cast("int"))
-        return d.where(F.col("_i") > 0).select(
-            "file", F.element_at("_u", F.col("_i")).alias("input_uri"),
-            F.element_at("_f", F.col("_i")).alias("items"))
+        found = F.col("_i") > 0  # guard inside each value: filters may be reordered
+        return d.where(found).select(
+            "file", F.when(found, F.element_at("_u", F.col("_i"))).alias("input_uri"),
+            F.when(found, F.element_at("_f", F.col("_i"))).alias("items"))
     d = docs.select("file", uris.alias("_u"), feats.alias("_f")) \
         .select("file", "_u", F.posexplode("_f").alias("result_pos", "items"))
     return d.where(F.col("items").isNotNull()).select(

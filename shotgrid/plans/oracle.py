@@ -24,28 +24,33 @@ def lit(s: str) -> str:
     return "(" + " || chr(10) || ".join(parts) + ")"
 
 
+SPEECH_NAME = f"CAST(conv_id AS VARCHAR) || '-' || CAST(turn // {fx.TURN_BLOCK} AS VARCHAR)"
+SPEECH_URI = f"'/bucket/speech/' || {SPEECH_NAME} || '.mp4'"
+SPEECH_FILE = f"'speech/' || {SPEECH_NAME} || '.json'"
+
 LANGS = "[" + ", ".join(f"'{x}'" for x in fx.LANG_BY_USER_MOD4) + "]"
 LIK = "CASE event_type " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in fx.LIKELIHOOD_BY_EVENT.items()) + " END"
 
 EV = f"""ev AS (
-  SELECT event_id, user_id, event_type, value,
+  SELECT event_id, user_id, event_id // {fx.EVENT_BLOCK} AS blk, event_type, value,
          date_diff('microsecond', TIMESTAMP '{fx.EPOCH}', ts) AS off,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
          CAST(least(floor(value / 10) / 10, 1.0) AS FLOAT) AS conf,
-         '/bucket/' || {LANGS}[user_id % 4 + 1] || '/' || CAST(user_id AS VARCHAR) || '.mp4' AS input_uri
+         '/bucket/' || {LANGS}[user_id % 4 + 1] || '/' || CAST(user_id AS VARCHAR) || '-'
+           || CAST(event_id // {fx.EVENT_BLOCK} AS VARCHAR) || '.mp4' AS input_uri
   FROM events),
 e2 AS (
   SELECT *, off + k * 1800000000 AS off2,
-         dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS et_pos,
-         row_number() OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) - 1 AS j,
-         count(*) OVER (PARTITION BY user_id, event_type) AS n,
-         first_value(conf) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) AS conf0,
-         first_value(k) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) AS k0,
-         first_value(off) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) AS first_off,
-         last_value(off) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id
+         dense_rank() OVER (PARTITION BY user_id, blk ORDER BY event_type) - 1 AS et_pos,
+         row_number() OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) - 1 AS j,
+         count(*) OVER (PARTITION BY user_id, blk, event_type) AS n,
+         first_value(conf) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) AS conf0,
+         first_value(k) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) AS k0,
+         first_value(off) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) AS first_off,
+         last_value(off) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id
                                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_off,
-         lead(off) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) AS next_off
+         lead(off) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) AS next_off
   FROM ev)"""
 
 # tracks (one per user x event_type) with span, frames j at off
@@ -55,17 +60,17 @@ TRACKS = f"""tracks AS (
   FROM e2)"""
 
 SHOTS = f"""o AS (
-  SELECT user_id, input_uri, off, event_id,
-         lead(off) OVER (PARTITION BY user_id ORDER BY off, event_id) AS nxt
+  SELECT user_id, blk, input_uri, off, event_id,
+         lead(off) OVER (PARTITION BY user_id, blk ORDER BY off, event_id) AS nxt
   FROM ev),
 shots AS (
   SELECT user_id, input_uri, CASE WHEN off < {HALF} THEN 0 ELSE 1 END AS result_pos,
          {sec('off')} AS a, {sec('nxt')} AS b,
-         row_number() OVER (PARTITION BY user_id, off < {HALF} ORDER BY off, event_id) AS i
+         row_number() OVER (PARTITION BY user_id, blk, off < {HALF} ORDER BY off, event_id) AS i
   FROM o WHERE nxt IS NOT NULL)"""
 
 PROBES = f"""probes AS (
-  SELECT DISTINCT input_uri, i * {Q.PROBE_STEP} AS t
+  SELECT DISTINCT input_uri, i * CAST({Q.PROBE_STEP} AS DOUBLE) AS t
   FROM ev, range(0, {Q.PROBE_COUNT}) r(i))"""
 
 LENGTHS = """lengths AS (
@@ -73,6 +78,10 @@ LENGTHS = """lengths AS (
   FROM ev GROUP BY user_id, input_uri)"""
 
 
+def file_of(uri: str, prefix: str = "annotations/") -> str:
+    return f"'{prefix}' || regexp_extract({uri}, '([^/]+)\\.mp4$', 1) || '.json'"
+
+
 def box_cols(alias: str = "") -> dict:
     p = alias
     left = f"({p}value / 1000)"
@@ -132,7 +141,8 @@ FROM e2 WHERE CAST(conf AS DOUBLE) > 0.0
 GROUP BY input_uri, et_pos, event_type"""
 
 SQL["shots_enumerated"] = with_(EV, SHOTS) + """
-SELECT input_uri, result_pos, i AS shot, a AS start, b AS "end", b - a AS duration FROM shots"""
+SELECT input_uri, CAST(result_pos AS BIGINT) AS result_pos, i AS shot, a AS start, b AS "end",
+       b - a AS duration FROM shots"""
 
 SQL["tracks_over_threshold"] = with_(EV, TRACKS) + """
 SELECT input_uri, et_pos AS track, event_type AS name, conf0 AS confidence,
@@ -200,11 +210,11 @@ FROM tracks WHERE CAST(conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE)"""
 
 WORDS = f"""cw AS (
   SELECT conv_id, turn, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS transcription,
+         row_number() OVER (PARTITION BY conv_id, turn // {fx.TURN_BLOCK} ORDER BY turn) - 1 AS transcription,
          list_filter(string_split_regex(coalesce(text, ''), '{fx.WORD_SPLIT}'), lambda x: x <> '') AS words
   FROM conversations),
 words AS (
-  SELECT '/bucket/speech/' || CAST(conv_id AS VARCHAR) || '.mp4' AS input_uri, transcription,
+  SELECT {SPEECH_URI} AS input_uri, transcription,
          turn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS word_pos, len(words) AS n_words
   FROM cw WHERE text <> ''),
 wt AS (
@@ -269,21 +279,20 @@ SELECT id, name FROM arr
 WHERE timeCreated >= TIMESTAMP '{Q.RETENTION_NOW}' - INTERVAL 86400 SECOND"""
 
 DOCS = f"""users AS (
-  SELECT user_id, count(*) AS n_ev,
+  SELECT input_uri, count(*) AS n_ev,
          count(*) FILTER (WHERE off < {HALF}) AS n0, count(*) FILTER (WHERE off >= {HALF}) AS n1,
          max(off) AS last_off
-  FROM ev GROUP BY user_id),
+  FROM ev GROUP BY input_uri),
 sh AS (
-  SELECT user_id, count(*) FILTER (WHERE result_pos = 0) AS s0,
+  SELECT input_uri, count(*) FILTER (WHERE result_pos = 0) AS s0,
          count(*) FILTER (WHERE result_pos = 1) AS s1
-  FROM shots GROUP BY user_id)"""
+  FROM shots GROUP BY input_uri)"""
 
-SQL["annotations_scan"] = with_(EV, SHOTS, DOCS) + """
-SELECT 'annotations/' || CAST(user_id AS VARCHAR) || '.json' AS file, CAST(2 AS BIGINT) AS n_results,
-       n_ev - 1 AS n_shots
+SQL["annotations_scan"] = with_(EV, SHOTS, DOCS) + f"""
+SELECT {file_of('input_uri')} AS file, CAST(2 AS BIGINT) AS n_results, n_ev - 1 AS n_shots
 FROM users
 UNION ALL
-SELECT DISTINCT 'speech/' || CAST(conv_id AS VARCHAR) || '.json', CAST(1 AS BIGINT), CAST(0 AS BIGINT)
+SELECT DISTINCT {SPEECH_FILE}, CAST(1 AS BIGINT), CAST(0 AS BIGINT)
 FROM conversations"""
 
 _ff = [("explicit_annotation", 0), ("segment_label_annotations", 0), ("text_annotations", 0),
@@ -293,32 +302,32 @@ _ff = [("explicit_annotation", 0), ("segment_label_annotations", 0), ("text_anno
 _ff_rows = " UNION ALL ".join(
     f"SELECT file, '{f}' AS feature, CAST({p} AS BIGINT) AS result_pos FROM d" for f, p in _ff)
 SQL["first_feature_result"] = with_(EV, SHOTS, DOCS) + f"""
-, d AS (SELECT u.user_id, 'annotations/' || CAST(u.user_id AS VARCHAR) || '.json' AS file,
+, d AS (SELECT {file_of('u.input_uri')} AS file,
                coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1
-        FROM users u LEFT JOIN sh USING (user_id))
+        FROM users u LEFT JOIN sh USING (input_uri))
 {_ff_rows}
 UNION ALL
 SELECT file, 'shot_annotations', CAST(CASE WHEN s0 > 0 THEN 0 ELSE 1 END AS BIGINT) FROM d WHERE s0 + s1 > 0
 UNION ALL
-SELECT DISTINCT 'speech/' || CAST(conv_id AS VARCHAR) || '.json', 'speech_transcriptions', CAST(0 AS BIGINT)
+SELECT DISTINCT {SPEECH_FILE}, 'speech_transcriptions', CAST(0 AS BIGINT)
 FROM conversations"""
 
 _df_rows = " UNION ALL ".join(
     f"SELECT file, '{f}' AS feature, CAST(1 AS BIGINT) AS n_results FROM d" for f, _ in _ff)
 SQL["detected_features"] = with_(EV, SHOTS, DOCS) + f"""
-, d AS (SELECT u.user_id, 'annotations/' || CAST(u.user_id AS VARCHAR) || '.json' AS file,
+, d AS (SELECT {file_of('u.input_uri')} AS file,
                coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1
-        FROM users u LEFT JOIN sh USING (user_id))
+        FROM users u LEFT JOIN sh USING (input_uri))
 {_df_rows}
 UNION ALL
 SELECT file, 'shot_annotations', CAST((s0 > 0)::INT + (s1 > 0)::INT AS BIGINT) FROM d WHERE s0 + s1 > 0
 UNION ALL
-SELECT DISTINCT 'speech/' || CAST(conv_id AS VARCHAR) || '.json', 'speech_transcriptions', CAST(1 AS BIGINT)
+SELECT DISTINCT {SPEECH_FILE}, 'speech_transcriptions', CAST(1 AS BIGINT)
 FROM conversations"""
 
-SQL["misaligned"] = with_(EV, LENGTHS) + """
-, u AS (SELECT user_id, input_uri, max(off) // 1000000 AS end_seconds FROM ev GROUP BY user_id, input_uri)
-SELECT 'annotations/' || CAST(u.user_id AS VARCHAR) || '.json' AS file, u.input_uri, l.length,
+SQL["misaligned"] = with_(EV, LENGTHS) + f"""
+, u AS (SELECT input_uri, max(off) // 1000000 AS end_seconds FROM ev GROUP BY input_uri)
+SELECT {file_of('u.input_uri')} AS file, u.input_uri, l.length,
        u.end_seconds, coalesce(abs(l.length - u.end_seconds) > 2.0, false) AS misaligned
 FROM u LEFT JOIN lengths l USING (input_uri)"""
 
@@ -330,11 +339,11 @@ CHUNKS = f"""walk(user_id, input_uri, result_pos, i, cs, b, closed) AS (
   SELECT s.user_id, s.input_uri, s.result_pos, s.i,
          CASE WHEN w.closed THEN s.a ELSE w.cs END, s.b,
          (s.b - CASE WHEN w.closed THEN s.a ELSE w.cs END) > {Q.CHUNK_MIN_SECONDS}
-  FROM walk w JOIN shots s ON s.user_id = w.user_id AND s.result_pos = w.result_pos AND s.i = w.i + 1),
+  FROM walk w JOIN shots s ON s.input_uri = w.input_uri AND s.result_pos = w.result_pos AND s.i = w.i + 1),
 ch AS (
-  SELECT 'annotations/' || CAST(user_id AS VARCHAR) || '.json' AS file, result_pos, input_uri,
-         row_number() OVER (PARTITION BY user_id, result_pos ORDER BY i) AS chunk,
-         row_number() OVER (PARTITION BY user_id ORDER BY result_pos, i) AS file_chunk,
+  SELECT {file_of('input_uri')} AS file, result_pos, input_uri,
+         row_number() OVER (PARTITION BY input_uri, result_pos ORDER BY i) AS chunk,
+         row_number() OVER (PARTITION BY input_uri ORDER BY result_pos, i) AS file_chunk,
          cs AS t1, b AS t2
   FROM walk WHERE closed)"""
 
@@ -362,14 +371,14 @@ FROM probes p JOIN e2 e ON p.input_uri = e.input_uri
 WHERE CAST(e.conf AS DOUBLE) > 0.0 AND p.t >= {sec('e.off')} AND p.t <= {sec('e.off2')}"""
 
 SQL["shot_at_time"] = with_(EV, SHOTS, PROBES) + """
-, vs AS (SELECT *, min(result_pos) OVER (PARTITION BY user_id) AS first_pos FROM shots)
+, vs AS (SELECT *, min(result_pos) OVER (PARTITION BY input_uri) AS first_pos FROM shots)
 SELECT p.input_uri, p.t, s.i AS shot, s.a AS shot_start, s.b AS shot_end
 FROM probes p JOIN vs s ON p.input_uri = s.input_uri
 WHERE s.result_pos = s.first_pos AND p.t >= s.a AND p.t <= s.b"""
 
 SQL["words_at_time"] = with_(WORDS) + f"""
-, wp AS (SELECT DISTINCT '/bucket/speech/' || CAST(conv_id AS VARCHAR) || '.mp4' AS input_uri,
-                i * {Q.WORD_PROBE_STEP} AS t
+, wp AS (SELECT DISTINCT {SPEECH_URI} AS input_uri,
+                i * CAST({Q.WORD_PROBE_STEP} AS DOUBLE) AS t
          FROM conversations, range(0, {Q.WORD_PROBE_COUNT}) r(i))
 SELECT p.input_uri, p.t, w.transcription, w.word_pos, w.word
 FROM wp p JOIN wt w ON p.input_uri = w.input_uri AND p.t >= w.start AND p.t <= w."end" """
@@ -377,7 +386,7 @@ FROM wp p JOIN wt w ON p.input_uri = w.input_uri AND p.t >= w.start AND p.t <= w
 FRAMEIV = f"""fiv AS (
   SELECT input_uri, et_pos AS track, n, j, {sec('off')} AS ta, {sec('next_off')} AS tb,
          value, k, lead(value) OVER w AS value_b, lead(k) OVER w AS k_b
-  FROM e2 WINDOW w AS (PARTITION BY user_id, event_type ORDER BY off, event_id)),
+  FROM e2 WINDOW w AS (PARTITION BY user_id, blk, event_type ORDER BY off, event_id)),
 pairs AS (
   SELECT p.input_uri, p.t, tr.et_pos AS track
   FROM probes p JOIN tracks tr ON p.input_uri = tr.input_uri
@@ -417,7 +426,8 @@ firstseg AS (
   FROM probes p JOIN segs s ON p.input_uri = s.input_uri AND p.t >= s.seg_start AND p.t <= s.seg_end
   GROUP BY p.input_uri, p.t, s.text_pos, s.text),
 fv AS (
-  SELECT *, count(*) OVER w AS n, frame AS j, lead(t) OVER w AS tb,
+  SELECT *, count(*) OVER (PARTITION BY input_uri, text_pos, segment_pos) AS n, frame AS j,
+         lead(t) OVER w AS tb,
          lead(x0) OVER w AS bx0, lead(y0) OVER w AS by0, lead(x1) OVER w AS bx1, lead(y1) OVER w AS by1,
          lead(x2) OVER w AS bx2, lead(y2) OVER w AS by2, lead(x3) OVER w AS bx3, lead(y3) OVER w AS by3
   FROM tfr WINDOW w AS (PARTITION BY input_uri, text_pos, segment_pos ORDER BY frame))
@@ -454,8 +464,8 @@ FROM hit WHERE k % 2 = 0 AND (edge OR k_b % 2 = 0)"""
 SQL["likelihood_at_time"] = with_(EV, PROBES) + f"""
 , fr AS (
   SELECT input_uri, {sec('off')} AS ta, {LIK} AS v,
-         lead({sec('off')}) OVER (PARTITION BY user_id ORDER BY off, event_id) AS tb,
-         row_number() OVER (PARTITION BY user_id ORDER BY off, event_id) AS rn
+         lead({sec('off')}) OVER (PARTITION BY input_uri ORDER BY off, event_id) AS tb,
+         row_number() OVER (PARTITION BY input_uri ORDER BY off, event_id) AS rn
   FROM ev),
 firsts AS (SELECT input_uri, ta AS t0, v AS v0 FROM fr WHERE rn = 1)
 SELECT p.input_uri, p.t,
@@ -551,7 +561,7 @@ SELECT uri, {lit(X.PROMPT_HEAD)} || description || {lit(X.PROMPT_TAIL)} AS promp
 _feats = "[" + ", ".join(f"'{f}'" for f in X.FEATURES) + "]"
 SQL["request_manifest"] = with_(EV) + f"""
 , v AS (SELECT DISTINCT 'gs:/' || input_uri AS input_uri, {LANGS}[user_id % 4 + 1] AS language_code,
-               CAST(user_id AS VARCHAR) AS file_system FROM ev)
+               CAST(user_id AS VARCHAR) || '-' || CAST(blk AS VARCHAR) AS file_system FROM ev)
 SELECT input_uri, unnest({_feats}) AS feature, language_code, file_system FROM v"""
 SQL["request_manifest"] = f"""
 SELECT input_uri, feature, language_code, file_system,

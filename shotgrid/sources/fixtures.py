@@ -7,6 +7,9 @@ and the oracle recomputes the same answers from the flat rows.
 
 Mapping (events -> one document per user = video):
 
+* a document holds one user's events within a block of ``EVENT_BLOCK``
+  consecutive event ids (video = (user, block)), so its size is bounded
+  however skewed the users are;
 * ``off`` = microseconds since 2024-01-01 00:00:00, ``seconds = off div 1e6``,
   ``nanos = (off % 1e6) * 1000``; events ordered by ``(off, event_id)``.
 * ``conf = CAST(least(floor(value / 10) / 10, 1.0) AS FLOAT)``;
@@ -16,12 +19,13 @@ Mapping (events -> one document per user = video):
   object, logo, person and face tracks. Shots are ``[off_i, off_{i+1})``.
 * one parent per (user, event_type) for labels/text/tracks.
 
-Conversations -> one document per conversation holding speech transcriptions
+Conversations -> one document per (conversation, block of TURN_BLOCK turns)
+holding speech transcriptions
 (one per turn; word i starts at ``turn * 1000 + i * 0.5`` s and lasts 0.5 s).
 Documents -> chunk tags and model outputs for the catalogue.
 
-A real deployment reads annotation JSON instead (``sources.annotations``); the
-document granularity (one file per video result) is fixed upstream.
+A real deployment reads annotation JSON instead (``sources.annotations``),
+one file per video as the annotation service writes it.
 """
 
 from __future__ import annotations
@@ -38,6 +42,10 @@ LANG_BY_USER_MOD4 = ["fr-FR", "es-ES", "de-DE", "en-US"]
 LIKELIHOOD_BY_EVENT = {"view": "VERY_UNLIKELY", "signup": "UNLIKELY", "click": "POSSIBLE",
                        "purchase": "LIKELY", "error": "VERY_LIKELY"}
 RUN_STAMP = "2024-02-01 00:00:00"
+# A folded document never holds more than EVENT_BLOCK events (one user's events
+# within a block of consecutive event ids) or TURN_BLOCK turns, whatever the skew.
+EVENT_BLOCK = 10_000
+TURN_BLOCK = 1_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,21 +63,28 @@ def segment(a: Column, b: Column) -> Column:
     return F.struct(offset(a).alias("start_time_offset"), offset(b).alias("end_time_offset"))
 
 
-def user_uri(user_id: Column) -> Column:
+def user_uri(user_id: Column, block: Column | None = None) -> Column:
     lang = F.element_at(F.array(*[F.lit(x) for x in LANG_BY_USER_MOD4]),
                         (user_id % 4 + 1).cast("int"))
-    return F.concat(F.lit("/bucket/"), lang, F.lit("/"), user_id.cast("string"), F.lit(".mp4"))
+    name = user_id.cast("string") if block is None else F.concat(
+        user_id.cast("string"), F.lit("-"), block.cast("string"))
+    return F.concat(F.lit("/bucket/"), lang, F.lit("/"), name, F.lit(".mp4"))
+
+
+def _block(c: Column, size: int) -> Column:
+    return ((c - c % F.lit(size)) / F.lit(size)).cast("bigint")
 
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     off = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{EPOCH}', ts)")
     k = F.get_json_object("props", "$.k").cast("bigint")
+    block = _block(F.col("event_id"), EVENT_BLOCK)
     return (ev.select(
-        "event_id", "user_id", "event_type", "value",
+        "event_id", "user_id", block.alias("block"), "event_type", "value",
         off.alias("off"), k.alias("k"),
         F.least(F.floor(F.col("value") / 10) / 10, F.lit(1.0)).cast("float").alias("conf"),
-        user_uri(F.col("user_id")).alias("input_uri"))
+        user_uri(F.col("user_id"), block).alias("input_uri"))
         .withColumn("off2", F.col("off") + F.col("k") * F.lit(1_800_000_000)))
 
 
@@ -111,7 +126,7 @@ def _landmarks(e: Column) -> Column:
 
 def _parents(ev: DataFrame) -> DataFrame:
     """One parent record per (user, event_type) for every feature."""
-    g = ev.groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(
+    g = ev.groupBy("user_id", "block", "event_type").agg(F.sort_array(F.collect_list(
         F.struct("off", "event_id", "off2", "conf", "k", "value"))).alias("evs"))
     evs = F.col("evs")
     first, last = F.element_at(evs, 1), F.element_at(evs, -1)
@@ -135,7 +150,7 @@ def _parents(ev: DataFrame) -> DataFrame:
         F.struct(F.lit("smiling").alias("name"), first["conf"].alias("confidence")),
         F.struct(F.lit("glasses").alias("name"), (first["k"] / 100).cast("float").alias("confidence")))
     return g.select(
-        "user_id",
+        "user_id", "block",
         F.struct(
             et.alias("event_type"),
             F.struct(et.alias("text"), text_segments.alias("segments")).alias("text"),
@@ -172,7 +187,7 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events -> one annotation document per user with two results."""
     ev = flat_events(spark, sf_dir)
     lik = F.create_map(*[x for k, v in LIKELIHOOD_BY_EVENT.items() for x in (F.lit(k), F.lit(v))])
-    per_user = ev.groupBy("user_id", "input_uri").agg(
+    per_user = ev.groupBy("user_id", "block", "input_uri").agg(
         F.sort_array(F.collect_list(F.struct("off", "event_id", "event_type"))).alias("evs"),
         F.max("off").alias("last_off"))
     evs = F.col("evs")
@@ -181,14 +196,14 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               F.element_at(evs, i + 2)["off"].alias("b")))
     to_shot = lambda s: segment(s["a"], s["b"])
     per_user = per_user.select(
-        "user_id", "input_uri",
+        "user_id", "block", "input_uri",
         segment(F.lit(0), F.col("last_off")).alias("video_segment"),
         _nonempty(F.transform(F.filter(pairs, lambda s: s["a"] < HALF_MICROS), to_shot)).alias("shots0"),
         _nonempty(F.transform(F.filter(pairs, lambda s: s["a"] >= HALF_MICROS), to_shot)).alias("shots1"),
         F.transform(evs, lambda e: F.struct(
             offset(e["off"]).alias("time_offset"),
             lik[e["event_type"]].alias("pornography_likelihood"))).alias("explicit_frames"))
-    parents = _parents(ev).groupBy("user_id").agg(
+    parents = _parents(ev).groupBy("user_id", "block").agg(
         F.sort_array(F.collect_list("p")).alias("ps"))
     ps = F.col("ps")
     def field(name):
@@ -204,9 +219,9 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                  logo_recognition_annotations=feats["logo"],
                  person_detection_annotations=feats["person"],
                  face_detection_annotations=feats["face"])
-    return (per_user.join(parents, "user_id")
-            .select(F.concat(F.lit("annotations/"), F.col("user_id").cast("string"),
-                             F.lit(".json")).alias("file"),
+    return (per_user.join(parents, ["user_id", "block"])
+            .select(F.concat(F.lit("annotations/"), F.col("user_id").cast("string"), F.lit("-"),
+                             F.col("block").cast("string"), F.lit(".json")).alias("file"),
                     F.array(r0, r1).alias("annotation_results")))
 
 
@@ -227,9 +242,9 @@ def speech_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         offset(base + i * 500_000 + 500_000).alias("end_time")))
     transcription = F.struct(F.array(F.struct(
         F.col("text").alias("transcript"), words.alias("words"))).alias("alternatives"))
-    per_conv = cv.groupBy("conv_id").agg(F.sort_array(F.collect_list(
-        F.struct("turn", transcription.alias("t")))).alias("turns"))
-    cid = F.col("conv_id").cast("string")
+    per_conv = cv.groupBy("conv_id", _block(F.col("turn"), TURN_BLOCK).alias("tb")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", transcription.alias("t")))).alias("turns"))
+    cid = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("tb").cast("string"))
     r = _result(input_uri=F.concat(F.lit("/bucket/speech/"), cid, F.lit(".mp4")),
                 speech_transcriptions=F.transform("turns", lambda x: x["t"]))
     return per_conv.select(F.concat(F.lit("speech/"), cid, F.lit(".json")).alias("file"),
@@ -265,7 +280,7 @@ def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events") ->
 def video_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Player-side video length per uri: whole seconds of the last event + user_id % 5."""
     ev = flat_events(spark, sf_dir)
-    return ev.groupBy("user_id", "input_uri").agg(F.max("off").alias("last_off")).select(
+    return ev.groupBy("user_id", "block", "input_uri").agg(F.max("off").alias("last_off")).select(
         "input_uri",
         (F.floor(F.col("last_off") / 1_000_000) + F.col("user_id") % 5).cast("double").alias("length"))
 
@@ -278,8 +293,10 @@ def probes(spark: SparkSession, sf_dir: str, step: float = 43200.0, n: int = 60)
 
 
 def speech_probes(spark: SparkSession, sf_dir: str, step: float = 250.0, n: int = 32) -> DataFrame:
-    cv = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    uri = F.concat(F.lit("/bucket/speech/"), F.col("conv_id").cast("string"), F.lit(".mp4"))
+    cv = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", _block(F.col("turn"), TURN_BLOCK).alias("tb")).distinct()
+    uri = F.concat(F.lit("/bucket/speech/"), F.col("conv_id").cast("string"), F.lit("-"),
+                   F.col("tb").cast("string"), F.lit(".mp4"))
     return cv.select(uri.alias("input_uri"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")) \
         .select("input_uri", (F.col("i") * F.lit(step)).alias("t"))
 
