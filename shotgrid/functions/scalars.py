@@ -170,20 +170,15 @@ def percent_int(x) -> Column:
     return (_c(x) * 100).cast("int")
 
 
-def prompt_text(description) -> Column:
-    """PRJ-7: wrap a description into the image-prompt template."""
-    return F.concat(F.lit(PROMPT_HEAD), _c(description), F.lit(PROMPT_TAIL))
+def prompt_text(description, head: str | None = None, tail: str | None = None) -> Column:
+    """PRJ-7: wrap a description into an image-prompt template (head + text + tail)."""
+    return F.concat(F.lit(PROMPT_HEAD if head is None else head), _c(description),
+                    F.lit(PROMPT_TAIL if tail is None else tail))
 
 
-# Fixed prompt template around a description (text kept as the reference has it).
+# Default prompt template around a description (our wording; pass head/tail to change it).
 PROMPT_HEAD = "\n<description>\n"
-PROMPT_TAIL = (
-    "\n</description>\n<Guideslines>\n"
-    "    The prompt follow generation guides lines.\n"
-    "    The prompt does not contains any sensitive words that violate Google's "
-    "Responsible AI practices.\n"
-    "</<Guideslines>\n<task>\n"
-    "    Generate an advanced prompt to generate image.\n"
-    "    The prompt is based on the description of an action.\n"
-    "    The prompt use advanced technic to describe in detail the image.\n"
-    "</task>\n        ")
+PROMPT_TAIL = ("\n</description>\n<task>\n"
+               "    Write a detailed prompt for generating one still image of the action described.\n"
+               "    Keep to the description and avoid sensitive content.\n"
+               "</task>\n")
