@@ -153,3 +153,13 @@ def test_classify_job_stream(spark, tmp_path):  # STR-3
     assert [(r.uri, r.description) for r in res] == [("gs://o/CSA/v/chunks - 1.mp4", "a description")]
     fails = spark.read.parquet(f"{out}/failures").collect()
     assert [r.uri for r in fails] == ["gs://o/CSA/v/chunks - 2.mp4"]  # kept, not dropped; json ignored
+
+
+def test_reduced_read_schema(spark, tmp_path):  # SRC-1 with a narrowed JSON schema
+    doc = {"annotation_results": [{"input_uri": "/b/v.mp4", "shot_annotations": [seg(0, 9)],
+                                   "text_annotations": [{"text": "x"}]}]}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    scan = A.read_annotations(spark, str(tmp_path), features=["shot_annotations"])
+    fields = scan.good.schema["annotation_results"].dataType.elementType.fieldNames()
+    assert fields == ["input_uri", "segment", "shot_annotations"]
+    assert chunks.min_duration_chunks(scan.good, 5.0).count() == 1
