@@ -98,6 +98,27 @@ def embedding_requests(chunks: DataFrame, description_col: str = "description")
     return chunks.withColumn("context", context_text(F.col(description_col)))
 
 
+def embedding_inputs(df: DataFrame, text_col: str | None = "text",
+                     image_col: str | None = "image_uri", strict: bool = True) -> DataFrame:
+    """UDF-6 precondition: an embedding request needs a text, an image, or both.
+
+    ``strict`` raises on a row with neither (as the reference does); otherwise
+    such rows are filtered out.
+    """
+    have = []
+    for c in (text_col, image_col):
+        if c and c in df.columns:
+            have.append(F.col(c).isNotNull())
+    if not have:
+        raise ValueError("at least one of text_col / image_col must be a column")
+    ok = have[0] if len(have) == 1 else have[0] | have[1]
+    if strict:
+        return df.withColumn("_ok", F.when(ok, F.lit(True)).otherwise(
+            F.raise_error(F.lit("embedding request needs a text or an image")))) \
+            .where(F.col("_ok")).drop("_ok")
+    return df.where(ok)
+
+
 def embedding_rows(responses: DataFrame) -> DataFrame:
     """NST-16: one row per video segment of an embedding response.
 

@@ -163,3 +163,20 @@ def test_reduced_read_schema(spark, tmp_path):  # SRC-1 with a narrowed JSON sch
     fields = scan.good.schema["annotation_results"].dataType.elementType.fieldNames()
     assert fields == ["input_uri", "segment", "shot_annotations"]
     assert chunks.min_duration_chunks(scan.good, 5.0).count() == 1
+
+
+def test_embedding_inputs_precondition(spark):  # UDF-6
+    import pytest as _pytest
+    df = spark.createDataFrame([("a", None), (None, "gs://b/i.png"), (None, None)],
+                               "text string, image_uri string")
+    assert enrich.embedding_inputs(df, strict=False).count() == 2
+    with _pytest.raises(Exception, match="needs a text or an image"):
+        enrich.embedding_inputs(df).collect()
+
+
+def test_text_beside_source(spark, tmp_path):  # SNK-4
+    df = spark.createDataFrame([("CSA/v.mp4/chunks - 1.mp4", "desc")], "name string, text string")
+    out = sinks.text_beside_source(df, "name")
+    assert out.first().target_name == "CSA/v.mp4/chunks - 1.json"
+    sinks.write_texts(out, str(tmp_path / "texts"))
+    assert spark.read.parquet(str(tmp_path / "texts")).first().name == "CSA/v.mp4/chunks - 1.json"
