@@ -176,16 +176,9 @@ def landmarks_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH
     it = rows.select("input_uri", F.posexplode("items").alias("person", "p"))
     first = F.try_element_at(F.col("p.tracks"), F.lit(1))
     known = F.array(*[F.lit(n) for n in LANDMARKS])
-
-    def points(lms: Column) -> Column:
-        # name -> last point of that name, scaled; only the 17 known names
-        return F.transform(known, lambda n: F.struct(
-            n.alias("name"),
-            F.try_element_at(F.filter(lms, lambda l: l["name"] == n), F.lit(-1))["point"]
-            .alias("pt")))
-
     fr = F.transform(first["timestamped_objects"], lambda f: F.struct(
-        offset_seconds(f["time_offset"]).alias("t"), points(f["landmarks"]).alias("lm")))
+        offset_seconds(f["time_offset"]).alias("t"),
+        F.filter(f["landmarks"], lambda l: F.array_contains(known, l["name"])).alias("lm")))
     tracks = it.select("input_uri", "person", segment_start(first["segment"]).alias("span_start"),
                        segment_end(first["segment"]).alias("span_end"), fr.alias("fr"))
     pairs = range_join(probes, tracks.select("input_uri", "person", "span_start", "span_end"),
@@ -199,15 +192,18 @@ def landmarks_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH
                      width=gap_width(tracks, "fr"))
     r = (F.col("t") - F.col("ta")) / (F.col("tb") - F.col("ta"))
     edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
-    both = F.zip_with("la", "lb", lambda a, b: F.struct(
-        a["name"].alias("name"), a["pt"].alias("pa"), b["pt"].alias("pb")))
-    lm = hit.select("input_uri", "t", "person", edge.alias("edge"), r.alias("r"),
-                    F.explode(both).alias("l"))
-    pa, pb = F.col("l.pa"), F.col("l.pb")
-    keep = F.when(F.col("edge"), pa.isNotNull()).otherwise(pa.isNotNull() & pb.isNotNull())
+    names = F.array_distinct(F.transform("la", lambda l: l["name"]))
+    lm = hit.select("input_uri", "t", "person", "la", "lb", edge.alias("edge"), r.alias("r"),
+                    F.explode(names).alias("name"))
+
+    def point(arr: str) -> Column:  # last point of that name in the frame
+        return F.try_element_at(F.filter(arr, lambda l: l["name"] == F.col("name")), F.lit(-1))["point"]
+
+    pa, pb = point("la"), point("lb")
+    keep = F.col("edge") | pb.isNotNull()
     x = F.when(F.col("edge"), pa["x"] * w).otherwise(_lerp(pa["x"] * w, pb["x"] * w, F.col("r")))
     y = F.when(F.col("edge"), pa["y"] * h).otherwise(_lerp(pa["y"] * h, pb["y"] * h, F.col("r")))
-    return lm.where(keep).select("input_uri", "t", "person", F.col("l.name").alias("landmark"),
+    return lm.where(keep).select("input_uri", "t", "person", F.col("name").alias("landmark"),
                                  x.alias("x"), y.alias("y"))
 
 

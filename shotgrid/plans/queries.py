@@ -88,7 +88,7 @@ def arrivals_table(spark: SparkSession, sf: str) -> DataFrame:
 def q_annotations_scan(spark, sf):
     docs = fx.as_annotations(spark, sf)
     texts = docs.select("file", F.to_json(F.struct("annotation_results")).alias("value"))
-    scan = A.parse_annotations(texts)
+    scan = A.parse_annotations(texts, features=["shot_annotations"])
     res = F.col("annotation_results")
     n_shots = F.aggregate(res, F.lit(0), lambda acc, r: acc + F.coalesce(
         F.size(r["shot_annotations"]), F.lit(0)))

@@ -54,10 +54,14 @@ def read_annotations(spark: SparkSession, path: str | list[str], features: list[
     return split_corrupt(raw)
 
 
-def parse_annotations(texts: DataFrame, text_col: str = "value", file_col: str = "file") -> Scan:
-    """SRC-1 on JSON text already in a column (same parser, same rules)."""
-    parsed = F.from_json(F.col(text_col), S.annotation_schema(None).simpleString(),
-                         {"mode": "PERMISSIVE"})
+def parse_annotations(texts: DataFrame, text_col: str = "value", file_col: str = "file",
+                      features: list[str] | None = None) -> Scan:
+    """SRC-1 on JSON text already in a column (same parser, same rules).
+
+    ``features`` narrows the parse schema like ``read_annotations`` does.
+    """
+    schema = S.reduced_schema(features, None) if features else S.annotation_schema(None)
+    parsed = F.from_json(F.col(text_col), schema.simpleString(), {"mode": "PERMISSIVE"})
     raw = texts.select(F.col(file_col).alias("file"), parsed.alias("j"), F.col(text_col).alias("t"))
     raw = raw.select("file", F.col("j.annotation_results").alias("annotation_results"),
                      F.when(F.col("j").isNull() | F.col("j.annotation_results").isNull(),
