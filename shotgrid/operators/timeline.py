@@ -141,25 +141,25 @@ def polygon_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH,
     cover = range_join(probes, segs.drop("fr"), ["input_uri"], "t", "seg_start", "seg_end")
     first = cover.groupBy("input_uri", "t", "text_pos", "text").agg(
         F.min("segment_pos").alias("segment_pos"))
-    iv = segs.select("input_uri", "text_pos", "segment_pos", F.size("fr").alias("n"),
-                     F.explode(frame_pairs(F.col("fr"))).alias("p")) \
-        .select(F.col("input_uri"), F.col("text_pos").alias("tp"),
-                F.col("segment_pos").alias("sp"), "n", F.col("p.j").alias("j"),
-                F.col("p.a.t").alias("ta"), F.col("p.b.t").alias("tb"),
-                F.col("p.a.vertices").alias("va"), F.col("p.b.vertices").alias("vb"))
-    first = first.withColumnRenamed("text_pos", "tp").withColumnRenamed("segment_pos", "sp")
-    hit = range_join(first, iv, ["input_uri", "tp", "sp"], "t", "ta", "tb", how="left",
-                     end_inclusive=False, width=gap_width(segs, "fr"))
-    r = (F.col("t") - F.col("ta")) / (F.col("tb") - F.col("ta"))
-    edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
-    lerped = F.zip_with("va", "vb", lambda a, b: F.struct(
+    # A text segment carries few frames: join the chosen segment by key and find
+    # the frame pair covering t inside its array (no explode of every frame).
+    per_seg = segs.select("input_uri", "text_pos", "segment_pos", "fr")
+    hit = first.join(per_seg, ["input_uri", "text_pos", "segment_pos"])
+    t = F.col("t")
+    n = F.size("fr")
+    pair = F.try_element_at(F.filter(frame_pairs(F.col("fr")),
+                                     lambda p: (p["a"]["t"] <= t) & (t < p["b"]["t"])), F.lit(1))
+    hit = hit.select("input_uri", "t", "text_pos", "text", pair.alias("p"), n.alias("n"))
+    r = (t - F.col("p.a.t")) / (F.col("p.b.t") - F.col("p.a.t"))
+    edge = (F.col("p.j") == 0) | (F.col("p.j") + 1 == F.col("n") - 1)
+    lerped = F.zip_with("p.a.vertices", "p.b.vertices", lambda a, b: F.struct(
         _lerp(a["x"], b["x"], r).alias("x"), _lerp(a["y"], b["y"], r).alias("y")))
-    poly = F.when(edge, F.col("va")).otherwise(lerped)
+    poly = F.when(edge, F.col("p.a.vertices")).otherwise(lerped)
     cols = []
     for i in range(4):
         v = F.try_element_at(poly, F.lit(i + 1))
         cols += [v["x"].alias(f"x{i}"), v["y"].alias(f"y{i}")]
-    return hit.select("input_uri", "t", F.col("tp").alias("text_pos"), "text", *cols)
+    return hit.select("input_uri", "t", "text_pos", "text", *cols)
 
 
 # --- landmarks (JN-7) -----------------------------------------------------
