@@ -17,7 +17,7 @@ from shotgrid.functions.scalars import (LANDMARKS, likelihood_name, offset_secon
 from shotgrid.operators.chunks import shots_enumerated
 from shotgrid.operators.flatten import (VIDEO_HEIGHT, VIDEO_WIDTH, _scaled_box, feature_rows,
                                         shot_label_segments, speech_words)
-from shotgrid.plans.ranges import bucket_width, range_join
+from shotgrid.plans.ranges import interval_scale, range_join
 
 
 def frame_pairs(arr: Column) -> Column:
@@ -32,16 +32,17 @@ def _lerp(a: Column, b: Column, r: Column) -> Column:
     return a + (b - a) * r
 
 
-def gap_width(rows: DataFrame, arr: str) -> float:
-    """Bucket width for frame pairs, from the unexploded frame arrays.
+def gap_scale(rows: DataFrame, arr: str) -> tuple[float, int]:
+    """Range-join scale for frame pairs, from the unexploded frame arrays.
 
     Uses each array's mean gap ``(t_last - t_first) / (n - 1)``: one pass over
-    track rows instead of over every frame.
+    track rows instead of over every frame (a heuristic only: any width gives
+    exact results).
     """
     a = F.col(arr)
     n = F.size(a)
     gap = (F.element_at(a, -1)["t"] - F.element_at(a, 1)["t"]) / (n - 1)
-    return bucket_width(rows.where(n > 1), length=gap)
+    return interval_scale(rows.where(n > 1), length=gap)
 
 
 # --- interval containment (JN-3, WIN-5) ------------------------------------
@@ -112,7 +113,7 @@ def box_at_time(docs: DataFrame, probes: DataFrame, interpolate: bool = True,
                 F.col("p.a.t").alias("ta"), F.col("p.b.t").alias("tb"),
                 F.col("p.a.box").alias("a"), F.col("p.b.box").alias("b"))
     hit = range_join(pairs, iv, ["input_uri", "track"], "t", "ta", "tb", how="left",
-                     end_inclusive=False, width=gap_width(tracks, "fr"))
+                     end_inclusive=False, scale=gap_scale(tracks, "fr"))
     r = (F.col("t") - F.col("ta")) / (F.col("tb") - F.col("ta"))
     edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
     out = []
@@ -189,7 +190,7 @@ def landmarks_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH
                 F.col("p.a.t").alias("ta"), F.col("p.b.t").alias("tb"),
                 F.col("p.a.lm").alias("la"), F.col("p.b.lm").alias("lb"))
     hit = range_join(pairs, iv, ["input_uri", "person"], "t", "ta", "tb", end_inclusive=False,
-                     width=gap_width(tracks, "fr"))
+                     scale=gap_scale(tracks, "fr"))
     r = (F.col("t") - F.col("ta")) / (F.col("tb") - F.col("ta"))
     edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
     names = F.array_distinct(F.transform("la", lambda l: l["name"]))
@@ -225,7 +226,7 @@ def likelihood_at_time(docs: DataFrame, probes: DataFrame) -> DataFrame:
                 F.col("p.a.v").alias("v"))
     scoped = probes.join(firsts, "input_uri")
     hit = range_join(scoped, iv, ["input_uri"], "t", "ta", "tb", how="left", end_inclusive=False,
-                     width=gap_width(per_video, "fr"))
+                     scale=gap_scale(per_video, "fr"))
     value = F.coalesce(F.col("v"), F.when(F.col("t") < F.col("t0"), F.col("v0")), F.lit(""))
     return hit.select("input_uri", "t", value.alias("likelihood"))
 

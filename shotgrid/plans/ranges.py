@@ -36,35 +36,81 @@ def bucket_width(intervals: DataFrame, start: str | None = None, end: str | None
     return max(float(w), minimum)
 
 
+def interval_scale(intervals: DataFrame, start: str | None = None, end: str | None = None,
+                   quantile: float = 0.9, minimum: float = 1e-3,
+                   length: Column | None = None) -> tuple[float, int]:
+    """(width, top level) for ``range_join`` from one partial-aggregated pass.
+
+    ``width`` is the ``quantile`` of interval lengths; the top level is the
+    smallest L with ``max length <= width * 2**L``.
+    """
+    ln = length if length is not None else F.col(end) - F.col(start)
+    row = intervals.select(F.percentile_approx(ln, quantile, 1000).alias("w"),
+                           F.max(ln).alias("m")).first()
+    w = row["w"] if row is not None else None
+    width = 1.0 if w is None or not math.isfinite(w) else max(float(w), minimum)
+    m = row["m"] if row is not None else None
+    top = 0
+    if m is not None and math.isfinite(m) and m > width:
+        top = int(math.ceil(math.log2(m / width)))
+    return width, min(top, 62)
+
+
 def _bucket(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(width)).cast("bigint")
 
 
-def explode_buckets(intervals: DataFrame, start: str, end: str, width: float) -> DataFrame:
-    lo, hi = _bucket(F.col(start), width), _bucket(F.col(end), width)
-    return intervals.where(F.col(start) <= F.col(end)) \
-        .withColumn(BUCKET, F.explode(F.sequence(lo, hi)))
+def _level_width(level: Column, width: float) -> Column:
+    return F.lit(width) * F.pow(F.lit(2.0), level)
 
 
 def range_join(probes: DataFrame, intervals: DataFrame, keys: list[str], t: str,
                start: str, end: str, width: float | None = None, how: str = "inner",
-               end_inclusive: bool = True) -> DataFrame:
+               end_inclusive: bool = True, top_level: int | None = None,
+               scale: tuple[float, int] | None = None) -> DataFrame:
     """Join ``probes`` (keys..., t, ...) to ``intervals`` (keys..., start, end, ...).
 
-    Interval columns other than the keys must not clash with probe columns.
-    Empty intervals (``end < start``, or ``end == start`` when the end is
-    exclusive) never match.
+    Multi-level buckets keep the join exact and bounded: an interval lives at
+    the smallest level L whose bucket width ``width * 2**L`` holds its length,
+    so it touches about two buckets of that level however long it is; each
+    probe is bucketed once per level (``top_level + 1`` copies). The equi-key is
+    ``(keys..., level, bucket)`` and the range test sits in the join condition.
+    Left joins use a single level, so unmatched probes appear exactly once. Interval columns other
+    than the keys must not clash with probe columns. Empty intervals
+    (``end < start``, or ``end == start`` with an exclusive end) never match.
     """
-    if width is None:
-        width = bucket_width(intervals, start, end)
-    ib = explode_buckets(intervals, start, end, width)
+    if scale is not None:
+        width, top_level = scale
+    elif width is None or top_level is None:
+        w, top = interval_scale(intervals, start, end)
+        width = w if width is None else width
+        top_level = top if top_level is None else top_level
+        if width != w:  # explicit width: recompute the top level for it
+            m_top = top + int(math.ceil(math.log2(max(w / width, 1.0))))
+            top_level = max(top_level, m_top)
+    if how != "inner":
+        # Left joins bucket each probe once (one level), so unmatched probes stay
+        # single without a second pass. Their intervals explode by
+        # length / width; the library's left joins run over consecutive frame
+        # pairs, whose total explosion is bounded by track duration / width.
+        top_level = 0
+    length = F.col(end) - F.col(start)
+    level = F.least(F.lit(top_level), F.greatest(
+        F.lit(0), F.ceil(F.log2(length / F.lit(width))))).cast("int")
+    lw = _level_width(F.col("_il"), width)
+    ib = intervals.where(F.col(start) <= F.col(end)).withColumn("_il", level) \
+        .withColumn("_ib", F.explode(F.sequence(F.floor(F.col(start) / lw).cast("bigint"),
+                                                F.floor(F.col(end) / lw).cast("bigint"))))
     renamed = {k: f"_k_{k}" for k in keys}
     for k, v in renamed.items():
         ib = ib.withColumnRenamed(k, v)
-    ib = ib.withColumnRenamed(BUCKET, "_ib")
-    pb = probes.withColumn(BUCKET, _bucket(F.col(t), width))
-    cond = [pb[k] == ib[renamed[k]] for k in keys] + [pb[BUCKET] == ib["_ib"],
+    levels = F.array(*[F.lit(i) for i in range(top_level + 1)])
+    pb = probes.withColumn("_pl", F.explode(levels)) if top_level > 0 else \
+        probes.withColumn("_pl", F.lit(0))
+    pb = pb.withColumn(BUCKET, F.floor(F.col(t) / _level_width(F.col("_pl"), width)).cast("bigint"))
+    cond = [pb[k] == ib[renamed[k]] for k in keys] + [pb["_pl"] == ib["_il"],
+                                                       pb[BUCKET] == ib["_ib"],
                                                        pb[t] >= ib[start]]
     cond.append(pb[t] <= ib[end] if end_inclusive else pb[t] < ib[end])
     out = pb.join(ib, on=cond, how=how)
-    return out.drop(BUCKET, "_ib", *renamed.values())
+    return out.drop(BUCKET, "_pl", "_ib", "_il", *renamed.values())

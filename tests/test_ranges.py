@@ -9,7 +9,7 @@ import pytest
 from shotgrid.plans.ranges import range_join
 
 
-@pytest.mark.parametrize("width", [None, 0.7, 5.0, 1000.0])
+@pytest.mark.parametrize("width", [None, 0.7, 5.0, 1000.0])  # explicit widths keep levels too
 @pytest.mark.parametrize("inclusive,how", [(True, "inner"), (False, "inner"), (False, "left")])
 def test_range_join_matches_brute_force(spark, width, inclusive, how):
     rnd = random.Random(11)
@@ -17,9 +17,9 @@ def test_range_join_matches_brute_force(spark, width, inclusive, how):
     for i in range(120):
         v = f"v{rnd.randint(0, 3)}"
         a = round(rnd.uniform(-20, 40), 1)
-        length = rnd.choice([0.0, 0.0, 0.3, 1.0, 2.5, 9.0, 35.0, -1.0])
+        length = rnd.choice([0.0, 0.0, 0.3, 1.0, 2.5, 9.0, 35.0, -1.0, 400.0, 3000.0])
         intervals.append((v, i, a, round(a + length, 1)))
-    probes = [(f"v{rnd.randint(0, 4)}", float(round(rnd.uniform(-25, 45), 1))) for _ in range(200)]
+    probes = [(f"v{rnd.randint(0, 4)}", float(round(rnd.uniform(-25, 3100), 1))) for _ in range(300)]
     probes += [(v, a) for v, _, a, _ in intervals[:30]] + [(v, b) for v, _, _, b in intervals[30:60]]
     probes = sorted(set(probes))
     p = spark.createDataFrame(probes, "input_uri string, t double")
