@@ -56,10 +56,6 @@ def interval_scale(intervals: DataFrame, start: str | None = None, end: str | No
     return width, min(top, 62)
 
 
-def _bucket(c: Column, width: float) -> Column:
-    return F.floor(c / F.lit(width)).cast("bigint")
-
-
 def _level_width(level: Column, width: float) -> Column:
     return F.lit(width) * F.pow(F.lit(2.0), level)
 

@@ -52,10 +52,6 @@ ANNOTATION_DDL = f"annotation_results ARRAY<{RESULT}>"
 FEATURE_FIELDS = [n for n, _ in RESULT_FIELDS[2:]]
 
 
-def ddl_type(ddl: str) -> T.DataType:
-    return T.DataType.fromDDL(ddl)
-
-
 def annotation_schema(corrupt_column: str | None = "_corrupt") -> T.StructType:
     schema = T.StructType.fromDDL(ANNOTATION_DDL)
     if corrupt_column:

@@ -48,13 +48,3 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     path = "/".join([base.rstrip("/"), "shotgrid", *parts, uuid.uuid4().hex])
     return path
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable; keeps a configured dir."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="shotgrid-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)

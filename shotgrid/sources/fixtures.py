@@ -41,7 +41,6 @@ HALF_MICROS = 15 * 86400 * 1_000_000
 LANG_BY_USER_MOD4 = ["fr-FR", "es-ES", "de-DE", "en-US"]
 LIKELIHOOD_BY_EVENT = {"view": "VERY_UNLIKELY", "signup": "UNLIKELY", "click": "POSSIBLE",
                        "purchase": "LIKELY", "error": "VERY_LIKELY"}
-RUN_STAMP = "2024-02-01 00:00:00"
 # A folded document never holds more than EVENT_BLOCK events (one user's events
 # within a block of consecutive event ids) or TURN_BLOCK turns, whatever the skew.
 EVENT_BLOCK = 10_000

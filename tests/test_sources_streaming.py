@@ -180,3 +180,25 @@ def test_text_beside_source(spark, tmp_path):  # SNK-4
     assert out.first().target_name == "CSA/v.mp4/chunks - 1.json"
     sinks.write_texts(out, str(tmp_path / "texts"))
     assert spark.read.parquet(str(tmp_path / "texts")).first().name == "CSA/v.mp4/chunks - 1.json"
+
+
+def test_typed_sinks_and_helpers(spark, tmp_path):  # SNK-2, SNK-3, SNK-5, SNK-6, UDF-3, SCL-9
+    emb = spark.createDataFrame([("gs://in/a.mp4", "d", [1.0, 2.0], "3", "0.5", "1.5")],
+                                "video_source string, description string, embeddings array<float>, "
+                                "index string, start string, stop string")
+    sinks.save_embeddings(emb, str(tmp_path / "emb"))
+    sinks.save_embeddings(emb, str(tmp_path / "emb"), truncate=True)
+    back = spark.read.parquet(str(tmp_path / "emb"))
+    assert back.count() == 1 and dict(back.dtypes)["embeddings"] == "array<double>"
+    assert dict(back.dtypes)["index"] == "int" and back.first().start == 0.5
+    res = spark.createDataFrame([("7", "1.0", "2.0", "v", "s", "d", "t", "u")],
+                                "index string, time_start string, time_stop string, video_blobname string, "
+                                "video_source string, description string, update_time string, uri string")
+    sinks.save_results_typed(res, str(tmp_path / "res"))
+    assert spark.read.parquet(str(tmp_path / "res")).first()["index"] == 7
+    sinks.write_manifest(res, str(tmp_path / "man"))
+    assert len(sinks.to_client(spark.read.parquet(str(tmp_path / "man")), 5)) == 1
+    ans = spark.createDataFrame([("```json {'ok': 'yes'} ```", "x" * 1100)], "result string, description string")
+    parsed = enrich.clean_answer(ans, ddl="ok STRING").first().parsed
+    assert parsed.ok == "yes"
+    assert len(enrich.embedding_requests(ans).first().context) == 1000
