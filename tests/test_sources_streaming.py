@@ -202,3 +202,19 @@ def test_typed_sinks_and_helpers(spark, tmp_path):  # SNK-2, SNK-3, SNK-5, SNK-6
     parsed = enrich.clean_answer(ans, ddl="ok STRING").first().parsed
     assert parsed.ok == "yes"
     assert len(enrich.embedding_requests(ans).first().context) == 1000
+
+
+def test_replayed_batch_is_idempotent(spark, tmp_path):  # STR-5
+    inp = tmp_path / "in"
+    inp.mkdir()
+    write_doc(inp, "v1", [(0, 2), (2, 9), (9, 16)])
+    batch = spark.read.schema(A.S.annotation_schema(A.CORRUPT)).option("multiLine", True) \
+        .option("columnNameOfCorruptRecord", A.CORRUPT).json(str(inp)) \
+        .select(F.col("_metadata.file_path").alias("file"), "annotation_results", A.CORRUPT)
+    out = str(tmp_path / "out")
+    run = jobs.annotation_batch(out, 5.0)
+    run(batch, 7)
+    first = sorted(tuple(r) for r in spark.read.parquet(f"{out}/chunks").collect())
+    run(batch, 7)  # the same micro-batch delivered again
+    again = sorted(tuple(r) for r in spark.read.parquet(f"{out}/chunks").collect())
+    assert first == again and len(first) == 2
