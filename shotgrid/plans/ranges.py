@@ -2,11 +2,13 @@
 
 An equi-join on the video alone followed by a range filter would pair every
 probe of a video with every interval of that video; one long video then becomes
-a per-key cross product inside one task. Instead both sides get a time bucket
-``floor(t / width)``: intervals are exploded over the buckets they touch and the
-join key is ``(keys..., bucket)``, so a hot video spreads over many join keys
-and each probe meets only the intervals of its own bucket. The range test sits
-in the join condition, so left joins keep unmatched probes exactly once.
+a per-key cross product inside one task. Instead both sides get a time bucket:
+intervals are exploded over the buckets they touch and the join key is
+``(keys..., level, bucket)``, so a hot video spreads over many join keys and
+each probe meets only the intervals of its own bucket. Buckets come in levels
+(``width * 2**level``); an interval uses the smallest level that holds its
+length, so even a very long interval is exploded into about two buckets, and a
+probe is bucketed once per level. The range test sits in the join condition.
 """
 
 from __future__ import annotations
