@@ -265,8 +265,8 @@ def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events") ->
     checkpoint folder, then read back: operators then scan a stored table with
     nested-column pruning, as they would over annotations kept in a lake.
     """
-    from shotgrid.session import shared_dir
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    from shotgrid.session import session_id, shared_dir
+    key = (session_id(spark), sf_dir, kind)
     path = _STORED.get(key)
     if path is None:
         build = event_documents if kind == "events" else speech_documents
