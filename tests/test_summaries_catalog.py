@@ -126,3 +126,10 @@ def test_merge_intervals_random_vs_brute(spark):
                      summaries.merge_intervals(df, ["input_uri", "name"], order=["pos"],
                                                width=width).collect())
         assert got == sorted(exp)
+
+
+def test_split_gs_uri_strict(spark):
+    import pytest
+    df = spark.createDataFrame([("http://x/y",)], "u string")
+    with pytest.raises(Exception, match="invalid gs uri"):
+        df.select(X.split_gs_uri("u", strict=True).alias("p")).collect()
