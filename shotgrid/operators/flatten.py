@@ -291,13 +291,16 @@ def landmarks_wide(docs: DataFrame, w: float = VIDEO_WIDTH, h: float = VIDEO_HEI
                     offset_seconds(F.col("f.time_offset")).alias("t"), *cols)
 
 
-def face_attributes(docs: DataFrame) -> DataFrame:
-    """NST-11 + SCL-14: first track per face; attributes as whole percents."""
+def face_attributes(docs: DataFrame, threshold: float | None = 0.5) -> DataFrame:
+    """NST-11 + SCL-14 + FLT-3: first track per face (kept when its confidence is
+    over ``threshold``); attributes as whole percents."""
     rows = feature_rows(docs, "face_detection_annotations", "first")
     fc = rows.select("input_uri", F.posexplode("items").alias("face", "fa"))
     t = fc.select("input_uri", "face", F.col("fa.thumbnail").alias("thumbnail"),
                   F.try_element_at(F.col("fa.tracks"), F.lit(1)).alias("t")) \
         .where(F.col("t").isNotNull())
+    if threshold is not None:
+        t = t.where(F.col("t.confidence") > F.lit(threshold))
     attrs = []
     for name in FACE_ATTRIBUTES:
         hit = F.try_element_at(F.filter("t.attributes", _named(name)), F.lit(-1))
@@ -365,13 +368,19 @@ def text_frames(docs: DataFrame, w: float = VIDEO_WIDTH, h: float = VIDEO_HEIGHT
                     verts.alias("vertices"))
 
 
-def text_tracks(docs: DataFrame) -> DataFrame:
-    """NST-14 + AGG-7 + SRT-4 + SCL-13: one item per text, span in list order, id."""
+def text_tracks(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """NST-14 + AGG-7 + SRT-4 + SCL-13 + FLT-3: one item per text detection.
+
+    Segments over ``threshold`` are kept (a text with none drops); the span runs
+    from the first kept segment's start to the last kept segment's end, in list
+    order.
+    """
     rows = feature_rows(docs, "text_annotations", "first")
+    kept = F.filter("x.segments", lambda s: s["confidence"] > F.lit(threshold))
     t = rows.select("input_uri", F.posexplode("items").alias("text_pos", "x")) \
-        .where(F.size("x.segments") > 0)
-    first = F.try_element_at(F.col("x.segments"), F.lit(1))
-    last = F.try_element_at(F.col("x.segments"), F.lit(-1))
+        .withColumn("kept", kept).where(F.size("kept") > 0)
+    first = F.try_element_at(F.col("kept"), F.lit(1))
+    last = F.try_element_at(F.col("kept"), F.lit(-1))
     start, end = segment_start(first["segment"]), segment_end(last["segment"])
     item_id = F.concat_ws("_", start.cast("string"), end.cast("string"), F.col("x.text"))
     return t.select("input_uri", "text_pos", F.col("x.text").alias("text"),

@@ -126,12 +126,14 @@ def box_at_time(docs: DataFrame, probes: DataFrame, interpolate: bool = True,
 # --- polygons (JN-6) ------------------------------------------------------
 
 def polygon_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH,
-                    h: float = VIDEO_HEIGHT) -> DataFrame:
-    """Interpolated 4-point polygon per text; a text uses its first segment covering t."""
+                    h: float = VIDEO_HEIGHT, threshold: float = 0.5) -> DataFrame:
+    """Interpolated 4-point polygon per text; a text uses its first segment
+    (among those over ``threshold``) covering t."""
     rows = feature_rows(docs, "text_annotations", "first")
     tx = rows.select("input_uri", F.posexplode("items").alias("text_pos", "x"))
     sg = tx.select("input_uri", "text_pos", F.col("x.text").alias("text"),
-                   F.posexplode("x.segments").alias("segment_pos", "s"))
+                   F.posexplode("x.segments").alias("segment_pos", "s")) \
+        .where(F.col("s.confidence") > F.lit(threshold))
     fr = F.transform("s.frames", lambda f: F.struct(
         offset_seconds(f["time_offset"]).alias("t"),
         F.transform(f["rotated_bounding_box"]["vertices"], lambda v: F.struct(

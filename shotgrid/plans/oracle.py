@@ -201,7 +201,7 @@ for _name in X.FACE_ATTRIBUTES:
 SQL["face_attributes"] = with_(EV, TRACKS) + f"""
 SELECT input_uri, et_pos AS face, event_type || '-' || CAST(user_id AS VARCHAR) AS thumbnail,
        conf0 AS confidence, span_start AS start, span_end AS "end", {', '.join(_attr_cols)}
-FROM tracks"""
+FROM tracks WHERE CAST(conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE)"""
 
 SQL["logo_tracks"] = with_(EV, TRACKS) + """
 SELECT input_uri, et_pos AS logo, event_type AS entity_id, event_type AS name, CAST(0 AS BIGINT) AS track,
@@ -234,9 +234,9 @@ FROM wt GROUP BY input_uri, transcription"""
 SQL["text_tracks"] = with_(EV) + f"""
 , tt AS (
   SELECT input_uri, et_pos AS text_pos, event_type AS text,
-         max(CASE WHEN j = 0 THEN {sec('off')} END) AS start,
-         max(CASE WHEN j = n - 1 THEN {sec('off2')} END) AS "end"
-  FROM e2 GROUP BY input_uri, et_pos, event_type)
+         arg_min({sec('off')}, j) AS start, arg_max({sec('off2')}, j) AS "end"
+  FROM e2 WHERE CAST(conf AS DOUBLE) > CAST(0.5 AS DOUBLE)
+  GROUP BY input_uri, et_pos, event_type)
 SELECT input_uri, text_pos, text, start, "end",
        CAST(start AS VARCHAR) || '_' || CAST("end" AS VARCHAR) || '_' || text AS item_id
 FROM tt"""
@@ -420,7 +420,7 @@ SQL["polygon_at_time"] = with_(EV, PROBES, TEXT_FRAMES) + """
 , segs AS (SELECT DISTINCT input_uri, et_pos AS text_pos, event_type AS text, j AS segment_pos,
                   off // 1000000 + (off % 1000000) * 1000 / 1e9 AS seg_start,
                   off2 // 1000000 + (off2 % 1000000) * 1000 / 1e9 AS seg_end
-           FROM e2),
+           FROM e2 WHERE CAST(conf AS DOUBLE) > CAST(0.5 AS DOUBLE)),
 firstseg AS (
   SELECT p.input_uri, p.t, s.text_pos, s.text, min(s.segment_pos) AS segment_pos
   FROM probes p JOIN segs s ON p.input_uri = s.input_uri AND p.t >= s.seg_start AND p.t <= s.seg_end
