@@ -82,21 +82,22 @@ def _box_tracks(docs: DataFrame, feature: str, w: float, h: float) -> DataFrame:
     rows = feature_rows(docs, feature, "first")
     it = rows.select("input_uri", F.posexplode("items").alias("track", "o"))
     if feature == "object_annotations":
-        seg, frames = F.col("o.segment"), F.col("o.frames")
+        seg, frames, conf = F.col("o.segment"), F.col("o.frames"), F.col("o.confidence")
     else:  # logo / person / face: first track of each annotation
         first = F.try_element_at(F.col("o.tracks"), F.lit(1))
-        seg, frames = first["segment"], first["timestamped_objects"]
+        seg, frames, conf = first["segment"], first["timestamped_objects"], first["confidence"]
     fr = F.transform(frames, lambda f: F.struct(
         offset_seconds(f["time_offset"]).alias("t"),
         _scaled_box(f["normalized_bounding_box"], w, h).alias("box")))
-    return it.select("input_uri", "track", segment_start(seg).alias("span_start"),
+    return it.select("input_uri", "track", conf.alias("confidence"),
+                     segment_start(seg).alias("span_start"),
                      segment_end(seg).alias("span_end"), fr.alias("fr"))
 
 
 def box_at_time(docs: DataFrame, probes: DataFrame, interpolate: bool = True,
                 feature: str = "object_annotations", w: float = VIDEO_WIDTH,
-                h: float = VIDEO_HEIGHT) -> DataFrame:
-    """Box of every track whose span covers t.
+                h: float = VIDEO_HEIGHT, threshold: float | None = 0.5) -> DataFrame:
+    """Box of every track (confidence over ``threshold``) whose span covers t.
 
     Real box (JN-4): the frame before the first later frame; null before the
     first frame and from the last one on. Interpolated (JN-5): linear between
@@ -104,6 +105,8 @@ def box_at_time(docs: DataFrame, probes: DataFrame, interpolate: bool = True,
     returned.
     """
     tracks = _box_tracks(docs, feature, w, h)
+    if threshold is not None:
+        tracks = tracks.where(F.col("confidence") > F.lit(threshold))
     spans = tracks.select("input_uri", "track", "span_start", "span_end")
     pairs = range_join(probes, spans, ["input_uri"], "t", "span_start", "span_end") \
         .select("input_uri", "t", "track")
@@ -168,8 +171,9 @@ def polygon_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH,
 # --- landmarks (JN-7) -----------------------------------------------------
 
 def landmarks_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH,
-                      h: float = VIDEO_HEIGHT) -> DataFrame:
-    """Interpolated landmarks per person track whose span covers t.
+                      h: float = VIDEO_HEIGHT, threshold: float | None = 0.5) -> DataFrame:
+    """Interpolated landmarks per person track (first track's confidence over
+    ``threshold``) whose span covers t.
 
     Only names present in both neighbouring frames are interpolated; in the
     first and last gap the earlier frame's landmarks are returned.
@@ -183,7 +187,10 @@ def landmarks_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH
         offset_seconds(f["time_offset"]).alias("t"),
         F.filter(f["landmarks"], lambda l: F.array_contains(known, l["name"])).alias("lm")))
     tracks = it.select("input_uri", "person", segment_start(first["segment"]).alias("span_start"),
-                       segment_end(first["segment"]).alias("span_end"), fr.alias("fr"))
+                       segment_end(first["segment"]).alias("span_end"), fr.alias("fr"),
+                       first["confidence"].alias("confidence"))
+    if threshold is not None:
+        tracks = tracks.where(F.col("confidence") > F.lit(threshold))
     pairs = range_join(probes, tracks.select("input_uri", "person", "span_start", "span_end"),
                        ["input_uri"], "t", "span_start", "span_end").select("input_uri", "t", "person")
     iv = tracks.select("input_uri", "person", F.size("fr").alias("n"),

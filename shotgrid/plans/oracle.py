@@ -390,7 +390,8 @@ FRAMEIV = f"""fiv AS (
 pairs AS (
   SELECT p.input_uri, p.t, tr.et_pos AS track
   FROM probes p JOIN tracks tr ON p.input_uri = tr.input_uri
-  WHERE p.t >= tr.span_start AND p.t <= tr.span_end)"""
+  WHERE p.t >= tr.span_start AND p.t <= tr.span_end
+    AND CAST(tr.conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE))"""
 
 
 def _box_sql(interp: bool) -> str:
