@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotgrid.functions.scalars import likelihood_name, offset_seconds, segment_end, segment_start
-from shotgrid.operators.flatten import feature_rows, object_tracks, shot_label_segments
+from shotgrid.operators.flatten import feature_rows, shot_label_segments
 from shotgrid.plans.ranges import bucket_width
 
 # Buckets of the explicit-content summary, as the viewer lists them.
@@ -27,14 +27,24 @@ def _span_text(start, end):
 def track_segments(docs: DataFrame, threshold: float | None = 0.5) -> DataFrame:
     """AGG-1: per (video, name): track count and ``start-end`` list in track order.
 
-    Tracks are never merged (the reference's merge branch cannot run).
+    Row-local: a video's object tracks are one array of its document, so the
+    tracks are grouped by name inside that array (no shuffle, no collected
+    group). Tracks are never merged (the reference's merge branch cannot run).
     """
-    t = object_tracks(docs, threshold)
-    g = t.groupBy("input_uri", "name").agg(
-        F.count(F.lit(1)).alias("n_tracks"),
-        F.sort_array(F.collect_list(F.struct("track", "start", "end"))).alias("s"))
-    return g.select("input_uri", "name", "n_tracks",
-                    F.array_join(F.transform("s", lambda x: _span_text(x["start"], x["end"])), ";")
+    rows = feature_rows(docs, "object_annotations", "first")
+    tracks = F.transform("items", lambda o, i: F.struct(
+        i.alias("track"), o["entity"]["description"].alias("name"),
+        o["confidence"].alias("c"), segment_start(o["segment"]).alias("start"),
+        segment_end(o["segment"]).alias("end")))
+    if threshold is not None:
+        tracks = F.filter(tracks, lambda x: x["c"] > F.lit(threshold))
+    names = F.array_distinct(F.transform(tracks, lambda x: x["name"]))
+    groups = F.transform(names, lambda n: F.struct(
+        n.alias("name"), F.filter(tracks, lambda x: x["name"].eqNullSafe(n)).alias("ts")))
+    g = rows.select("input_uri", F.explode(groups).alias("g"))
+    return g.select("input_uri", F.col("g.name").alias("name"),
+                    F.size("g.ts").cast("bigint").alias("n_tracks"),
+                    F.array_join(F.transform("g.ts", lambda x: _span_text(x["start"], x["end"])), ";")
                     .alias("segments"))
 
 
