@@ -5,20 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shotgrid.llm import near_dedup
+import corpus_pipeline
+from shotgrid.llm import (
+    decontaminate, host_rules, html_extract, near_dedup, packing, secret_scan, sharding, tokens, toxicity, url_filter,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    return toxicity.toxicity(docs, model).withColumn("held_out", toxicity.held_out())
+
+
+def op2_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark, sf_dir):
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op7_host_rules(spark, sf_dir):
+    return (host_rules.judge(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    "base_failed", F.col("failed").alias("rules_failed"), "host_rate", "kept"))
+
+
+def op8_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
+def op9_rendezvous_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_dedup,)}
+    return {f.__name__: f for f in (
+        op1_toxicity, op2_packing, op3_minhash_dedup, op4_decontamination, op5_token_counts, op6_html_extraction,
+        op7_host_rules, op8_secret_scan, op9_rendezvous_sharding, op10_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
