@@ -37,8 +37,9 @@ from shotgrid.llm.near_dedup import shingles
 
 MAX_TRAIN = 16_000   # labelled documents the model is fitted on
 MAX_TERMS = 5_000    # lexicon entries
-PREFIX = (3, 8)      # lengths of lexicon entries
-MIN_SHARE = 0.008    # of toxic training documents that must hold an entry
+PREFIX = (3, 12)     # lengths of lexicon entries
+MIN_SHARE = 0.01     # of toxic training documents that must hold an entry, and MIN_DOCS of them
+MIN_DOCS = 5
 MIN_WEIGHT = 3.0     # log odds an entry must reach
 THRESHOLD = 0.3
 
@@ -195,6 +196,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), float(max(w[1], 0.0)), float(max(w[2], 0.0))
 
 
+def lexicon(terms: dict[str, tuple[float, int]], limit: int = MAX_TERMS) -> dict[str, float]:
+    """Entries out of candidate word beginnings (weight, toxic documents).
+
+    A beginning is lengthened while one longer candidate holds nearly all of its
+    documents (idi -> idiot), and left out if a chosen shorter one explains it.
+    """
+    longer: dict[str, list[str]] = {}
+    for t in terms:
+        longer.setdefault(t[:-1], []).append(t)
+    out: dict[str, float] = {}
+    for t in sorted(terms, key=lambda t: (len(t), t)):
+        if len(out) >= limit or any(t[:k] in out for k in range(PREFIX[0], len(t))):
+            continue
+        if any(terms.get(x, (0, 0))[1] >= 0.9 * terms[t][1] for x in longer.get(t, ())):
+            continue  # its one continuation stands for it
+        out[t] = float(terms[t][0])
+    return out
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
     """(text, toxic) of at most about ``limit`` labelled documents, copies reduced to one."""
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(
@@ -218,15 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     odds = F.log((F.col("pos") + 0.5) / (p + 1.0)) - F.log((F.col("neg") + 0.5) / (n + 1.0))
     terms = (map_arrow(rows, _count_beginnings, "term string, pos long, neg long")
              .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-             .where(F.col("pos") >= max(3.0, MIN_SHARE * p)).withColumn("w", odds).where(F.col("w") >= MIN_WEIGHT)
+             .where(F.col("pos") >= max(MIN_DOCS, MIN_SHARE * p)).withColumn("w", odds).where(F.col("w") >= MIN_WEIGHT)
              .orderBy(F.desc("w"), "term").limit(4 * MAX_TERMS).collect())
-    model = Model()
-    support = {r.term: r.pos for r in terms}
-    for r in sorted(terms, key=lambda r: (len(r.term), r.term)):
-        shorter = [r.term[:k] for k in range(PREFIX[0], len(r.term)) if r.term[:k] in model.weights]
-        if len(model.weights) < MAX_TERMS and not any(model.weights[s] >= r.w - 1.5 or support[s] <= 1.2 * r.pos
-                                                      for s in shorter):
-            model.weights[r.term] = float(r.w)
+    model = Model(weights=lexicon({r.term: (r.w, r.pos) for r in terms}))
     if not model.weights:
         return Model()
     phrases = (map_arrow(rows, _phrases(model), "phrase string, docs long, toxic long")
