@@ -94,7 +94,8 @@ class WordIds(dict):
         if len(self) >= MEMO:
             self.clear()
         text = word.decode()
-        if max(text) < "\u0300" and not any(s in text for s in self.special):  # normal form already, letter by letter lower case
+        # below U+0300 text is in normal form and its lower case goes letter by letter, but for one of two letters
+        if max(text) < "\u0300" and "\u0130" not in text and not any(s in text for s in self.special):
             out = b"".join(map(self.piece, [text.lower()] if text.isalpha() else self.split.findall(text.lower())))
         else:
             out = self.codec.ids(text).astype("<u4").tobytes()
