@@ -10,9 +10,9 @@ padding. With ``f`` the least cost up to a boundary at position p,
 
 and as the window only moves on, its minimum is the head of a monotone queue:
 one pass, whatever LENGTH is. The stream is solved in blocks of ``BLOCK``
-tokens, the last ``CARRY`` sequences of a block are left to the next one, so
-memory does not grow with a partition. What is left at the partition's end is
-padded or cut into powers of two, which need no padding, whichever costs less.
+tokens; less than a window at a block's end is left to the next block, so memory
+does not grow with a partition. What is left at the partition's end is padded or
+cut into powers of two, which need no padding, whichever costs less.
 
 There is no shuffle: a partition of the input is packed by the task that reads
 it, so a sequence number depends on how the input is split, and a repeated task
@@ -40,20 +40,20 @@ from shotgrid.llm.common import doc_texts, map_arrow, utf8
 LENGTH = 4096
 END = 2                 # id after each document
 SENTENCE_CUT = 2.0      # penalties in tokens of padding
-HARD_CUT = 12.0
+HARD_CUT = 8.0
 SEQUENCE = 1.0
-HARD_STEP = 1024
+HARD_STEP = 32
 BLOCK = 64 * LENGTH
-CARRY = 2
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
-def plan(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
+def plan(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH, rest=None) -> list[int]:
     """The boundaries (indexes) that end the windows of a cheapest cover of the stream.
 
     ``positions`` are the boundaries in order, from 0 to the stream's end; no two
-    neighbours are further apart than ``length``.
+    neighbours are further apart than ``length``. With ``rest``, fewer than
+    ``length`` tokens at the end may stay uncovered at the cost ``rest(tokens)``.
     """
     p, pen = positions.tolist(), penalties.tolist()
     f, back = [0.0] * len(p), [0] * len(p)
@@ -68,7 +68,11 @@ def plan(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) ->
         while queue and queue[-1][1] >= key:
             queue.pop()
         queue.append((p[j], key, j))
-    out, j = [], len(p) - 1
+    j = len(p) - 1
+    if rest is not None:
+        near = range(int(np.searchsorted(positions, p[j] - length, "right")), j + 1)
+        j = min(near, key=lambda i: f[i] + rest(p[-1] - p[i]))
+    out = []
     while j:
         out.append(j)
         j = back[j]
@@ -91,10 +95,14 @@ def boundaries(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray,
 
 
 def tail(n: int, length: int = LENGTH) -> list[int]:
-    """Lengths of the last sequences for ``n`` tokens: padded, or powers of two."""
+    """Lengths of the last sequences for ``n`` tokens: padded, or powers of two, whichever costs less."""
     powers = [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
-    split = len(powers) * SEQUENCE + (len(powers) - 1) * HARD_CUT
-    return powers if split < SEQUENCE + length - n else [n]
+    return powers if _cost(powers, length) < _cost([n], length) else [n] * (n > 0)
+
+
+def _cost(sizes: list[int], length: int) -> float:
+    pads = sum(0 if n & (n - 1) == 0 else length - n for n in sizes)
+    return len(sizes) * SEQUENCE + max(len(sizes) - 1, 0) * HARD_CUT + pads
 
 
 def sentence_ends(vocabulary: str) -> np.ndarray:
@@ -134,14 +142,13 @@ class Packer:
                 break
         stream = np.concatenate(parts)
         if not ends or ends[-1] != n:
-            ends.append(n)  # the open end of a document: the windows that reach it are not kept
+            ends.append(n)  # the open end of a document
         at, pen = boundaries(stream, np.array(ends, np.int64), self.sentence, min(HARD_STEP, self.length))
-        cuts = at[plan(at, pen, self.length)].tolist()
-        if not final:
-            cuts = cuts[:-CARRY]
-        else:
-            last = cuts[-2] if len(cuts) > 1 else 0
-            cuts = cuts[:-1] + (last + np.cumsum(tail(cuts[-1] - last, self.length))).tolist()
+        later = (lambda r: _cost(tail(r, self.length), self.length)) if final else (lambda r: r / self.length)
+        cuts = at[plan(at, pen, self.length, later)].tolist()
+        if final:
+            done = cuts[-1] if cuts else 0
+            cuts += (done + np.cumsum(tail(n - done, self.length), dtype=np.int64)).tolist()
         for size in np.diff([0, *cuts]).tolist():
             self.place(size)
 
