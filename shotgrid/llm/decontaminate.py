@@ -1,13 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of letters and digits in lower case. A seed is a fixed mask over
-``SPAN`` word positions; positions with 0 are ignored, so a replaced word there
-leaves the seed's hash as it is. The hashes of all seeds of all benchmark items
-are joined with the hashes of the same masks at every position of every
-document. Items with fewer than ``SPAN`` words use one seed over all their
-words. A hit fixes an alignment; along it the words of document and item are
-compared, and an overlap counts when ``MIN_OVERLAP`` neighbouring words (or the
-whole item, if shorter) hold at least ``MIN_EQUAL`` equal ones at equal places.
+Words are runs of letters and digits in lower case. An overlap counts when
+``MIN_OVERLAP`` neighbouring words of an item (or the whole item, if shorter)
+stand in the document with at least ``MIN_EQUAL`` equal words at equal places.
+
+A seed is a fixed mask over such a window; the positions it leaves out may hold
+any word. If k words may differ, the window is cut into k + 2 blocks and the
+masks are all pairs of blocks: k replaced words spoil at most k blocks, so one
+mask always keeps its hash and no overlap is missed. The hashes of all masks at
+all positions of all items are joined with those of every position of every
+document; a hit fixes an alignment, along which the words are compared.
 
 The benchmark is joined in blocks of at most ``BLOCK_WORDS`` words, the proven
 bound of what is broadcast; a larger benchmark takes more passes over the
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,6 @@ from pyspark.sql import functions as F
 
 from shotgrid.llm.common import map_arrow
 
-SPAN = 12
-# The masks (1: the position counts). Seven of twelve positions each.
-MASKS = ("110100110101", "101011001011", "111001010011")
 MIN_OVERLAP = 13
 MIN_EQUAL = 0.8
 MIN_ITEM = 4
@@ -49,17 +49,26 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the mask at each position of ``h`` where it fits."""
-    n = len(h) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(int(mask, 2) * 64 + len(mask)))
-    for i, used in enumerate(mask):
-        if used == "1":
-            out = (out ^ h[i:n + i]) * _MUL
+def needed(n: int) -> int:
+    """Equal words that a window of ``n`` words must hold."""
+    return -int(-MIN_EQUAL * n // 1)
+
+
+def seed_hashes(h: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each mask over ``n`` words: its hash at every position of ``h`` where it fits."""
+    size, k = len(h) - n + 1, n - needed(n) + 2
+    if size <= 0:
+        return []
+    edges = [i * n // k for i in range(k + 1)]
+    blocks = []
+    for a, b in zip(edges, edges[1:]):
+        out = np.full(size, np.uint64(1 + len(blocks) + 64 * n))
+        for i in range(a, b):
+            out = (out ^ h[i:size + i]) * _MUL
             out ^= out >> np.uint64(32)
-    return out
+        blocks.append(out)
+    pairs = [(x * _MUL ^ y) * _MUL for x, y in combinations(blocks, 2)]
+    return [p ^ p >> np.uint64(29) for p in pairs]
 
 
 @dataclass
@@ -69,7 +78,7 @@ class Block:
     ids: np.ndarray        # item id of each item
     words: np.ndarray      # word hashes of all items, one after another
     starts: np.ndarray     # where each item starts, and the end
-    masks: list[str]
+    windows: list[int]     # lengths of the windows: MIN_OVERLAP and those of shorter items
     seeds: np.ndarray      # sorted
     item: np.ndarray       # item of each seed
     at: np.ndarray         # position of each seed in its item
@@ -79,34 +88,30 @@ class Block:
 
 def build_block(items: list[tuple[int, np.ndarray]]) -> Block:
     items = [(i, h) for i, h in items if len(h) >= MIN_ITEM]
-    masks = list(MASKS) + ["1" * n for n in sorted({len(h) for _, h in items if len(h) < SPAN})]
     seeds, item, at = [], [], []
     for k, (_, h) in enumerate(items):
-        for mask in masks if len(h) >= SPAN else ["1" * len(h)]:
-            if len(h) >= SPAN and mask not in MASKS:
-                continue
-            s = seed_hashes(h, mask)
+        for s in seed_hashes(h, min(MIN_OVERLAP, len(h))):
             seeds.append(s)
             item.append(np.full(len(s), k))
             at.append(np.arange(len(s)))
+    windows = sorted({min(MIN_OVERLAP, len(h)) for _, h in items})
     cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
     seeds, item, at = cat(seeds, np.uint64), cat(item, np.int64), cat(at, np.int64)
     order = np.argsort(seeds, kind="stable")
-    width = max(16, min(27, int(len(seeds)).bit_length() + 8))
+    width = max(16, min(24, int(len(seeds)).bit_length() + 8))
     shift = np.uint64(64 - width)
     bits = np.zeros(1 << width, bool)
     bits[(seeds >> shift).astype(np.int64)] = True
     words = [h for _, h in items]
     return Block(np.array([i for i, _ in items], np.int64), cat(words, np.uint64),
-                 np.cumsum([0, *map(len, words)]), masks, seeds[order], item[order], at[order], bits, shift)
+                 np.cumsum([0, *map(len, words)]), windows, seeds[order], item[order], at[order], bits, shift)
 
 
 def overlaps(block: Block, h: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(item id, first word, words, equal words) of the best window of each verified alignment."""
     found = set()
-    for mask in block.masks:
-        s = seed_hashes(h, mask)
-        pos = np.flatnonzero(block.bits[(s >> block.shift).astype(np.int64)]) if len(s) else s
+    for s in (s for n in block.windows for s in seed_hashes(h, n)):
+        pos = np.flatnonzero(block.bits[(s >> block.shift).astype(np.int64)])
         if not len(pos):
             continue
         lo = np.searchsorted(block.seeds, s[pos], "left")
@@ -123,7 +128,7 @@ def overlaps(block: Block, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         equal = np.cumsum(np.concatenate([[0], h[first:last] == words[first - shift:last - shift]]))
         window = equal[need:] - equal[:-need]
         best = int(window.argmax())
-        if window[best] >= MIN_EQUAL * need:
+        if window[best] >= needed(need):
             out.append((int(block.ids[k]), first + best, need, int(window[best])))
     return out
 
