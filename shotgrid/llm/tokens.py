@@ -71,9 +71,11 @@ class PieceCodec:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def encode(self, text: str):
-        p = self.library.encode(text, out_type="immutable_proto").pieces
-        return (np.array([x.id for x in p], np.uint32), np.array([x.begin for x in p], np.int64),
-                np.array([x.end for x in p], np.int64))
+        pieces = self.library.encode(text, return_type="proto").pieces  # offsets in bytes
+        at = np.flatnonzero((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)  # first byte of each character
+        return (np.array([x.id for x in pieces], np.uint32),
+                np.searchsorted(at, np.array([x.begin for x in pieces], np.int64), "right") - 1,
+                np.searchsorted(at, np.array([x.end for x in pieces], np.int64), "left"))
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text), np.uint32)
