@@ -206,16 +206,17 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the secret values in ``text`` replaced (and ``n_chars`` counted anew, if there)."""
+    """``docs`` with the secret values in ``text`` replaced (and their ``n_chars``, if there, counted anew)."""
     def run(batches):
         for batch in batches:
             names = batch.schema.names
             texts = batch.column(names.index("text")).to_pylist()
-            texts = [t if t is None else redact(t, spans(t, model)) for t in texts]
+            clean = [t if t is None else redact(t, spans(t, model)) for t in texts]
             columns = list(batch.columns)
-            columns[names.index("text")] = pa.array(texts, pa.string())
+            columns[names.index("text")] = pa.array(clean, pa.string())
             if "n_chars" in names:
-                kind = batch.column(names.index("n_chars")).type
-                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], kind)
+                k = names.index("n_chars")
+                columns[k] = pa.array([n if t == c else len(c) for n, t, c in zip(batch.column(k).to_pylist(), texts, clean)],
+                                      batch.column(k).type)
             yield pa.RecordBatch.from_arrays(columns, names)
     return map_arrow(docs, run, docs.schema)
