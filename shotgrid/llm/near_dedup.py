@@ -78,13 +78,13 @@ def minima(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def bands(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """2 x BANDS band hashes: first the left collection, then the right one."""
+    """2 x BANDS band hashes: first the left collection (even), then the right one (odd)."""
     m = minima(s, mul, add).astype(np.uint64).reshape(2 * BANDS, ROWS)
     out = np.arange(1, 2 * BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         out = (out ^ m[:, i]) * _MUL
         out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+    return (out & ~np.uint64(1) | (np.arange(2 * BANDS) >= BANDS).astype(np.uint64)).view(np.int64)
 
 
 def _sketch(batches):
@@ -150,17 +150,15 @@ def similar_sizes(x: str, y: str):
 
 def table_rows(classes: DataFrame) -> DataFrame:
     """(key, node, n, degree): the table keys of classes that share both of their bands."""
-    each = classes.select("node", F.posexplode("bands").alias("slot", "band"))
-    shared = (each.groupBy("slot", "band").agg(F.count("*").alias("c")).where("c > 1"))
-    kept = (each.join(shared, ["slot", "band"]).groupBy("node")
-            .agg(F.collect_list(F.struct("slot", "band")).alias("s"), F.sum("c").alias("degree")))  # at most 2 x BANDS
-    sides = kept.select("node", "degree", F.expr(f"filter(s, x -> x.slot < {BANDS})").alias("l"),
-                        F.expr(f"filter(s, x -> x.slot >= {BANDS})").alias("r"))
-    return (sides.select("node", "degree", F.explode("l").alias("l"), "r")
-            .select("node", "degree", "l", F.explode("r").alias("r"))
-            .select(F.xxhash64("l.slot", "l.band", "r.slot", "r.band").alias("key"), "node", "degree")
+    each = classes.select("node", F.explode("bands").alias("band"))
+    shared = each.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    kept = (each.join(shared, "band").groupBy("node")
+            .agg(F.collect_list("band").alias("s"), F.sum("c").alias("degree")))  # at most 2 x BANDS
+    return (kept.select("node", "degree", F.expr("filter(s, x -> x & 1 = 0)").alias("l"), F.expr("filter(s, x -> x & 1 = 1)").alias("r"))
             .join(classes.select("node", F.col("n_shingles").alias("n")), "node")
-            .select("key", "node", "n", "degree"))
+            .select("node", "n", "degree", F.explode("l").alias("l"), "r")
+            .select("node", "n", "degree", "l", F.explode("r").alias("r"))
+            .select(F.xxhash64("l", "r").alias("key"), "node", "n", "degree"))
 
 
 def _shingle_rows(batches):
@@ -206,6 +204,8 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
                                     F.max(F.struct("degree", (-F.col("node")).alias("hub"), "n")).alias("top"))
             .where("c > 1").select("key", "c", (-F.col("top.hub")).alias("hub"), F.col("top.n").alias("hub_n")))
     near = stash(rows.join(keys, "key").select("key", "node", "n", "c", "hub", "hub_n"), "tables")
+    # the texts move once; all comparisons read this smaller table
+    texts = stash(texts.join(near.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "texts")
     first = stash(near.where(F.col("node") != F.col("hub")).where(similar_sizes("n", "hub_n"))
                   .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     found = stash(confirm(first, texts), "links")
