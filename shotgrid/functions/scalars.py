@@ -170,6 +170,14 @@ def percent_int(x) -> Column:
     return (_c(x) * 100).cast("int")
 
 
+def js_number(x) -> Column:
+    """A double as the viewer writes it: whole numbers without a fraction.
+
+    Holds from 1e-3 to 1e7, where Java and the viewer both write plain decimals.
+    """
+    return F.regexp_replace(_c(x).cast("string"), r"\.0$", "")
+
+
 def prompt_text(description, head: str | None = None, tail: str | None = None) -> Column:
     """PRJ-7: wrap a description into an image-prompt template (head + text + tail)."""
     return F.concat(F.lit(PROMPT_HEAD if head is None else head), _c(description),

@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotgrid.functions.scalars import (FEATURES, base_name, format_ts, language_code,
-                                        prompt_text, request_output_uri)
+from shotgrid.functions.scalars import (base_name, format_ts, language_code, prompt_text,
+                                        request_output_uri)
 
 
 def results_with_tags(outputs: DataFrame, tags: DataFrame, run_ts: str) -> DataFrame:
@@ -50,7 +50,7 @@ def top_rows(df: DataFrame, n: int = 20) -> DataFrame:
 
 def pending_only(work: DataFrame, done: DataFrame, key: str = "uri") -> DataFrame:
     """JN-9: rows whose output does not exist yet (left anti join)."""
-    return work.join(done.select(key).distinct(), key, "left_anti")
+    return work.join(done.select(key), key, "left_anti")
 
 
 def prompts(results: DataFrame) -> DataFrame:
@@ -58,17 +58,27 @@ def prompts(results: DataFrame) -> DataFrame:
     return results.select("uri", prompt_text(F.col("description")).alias("prompt"))
 
 
+# The features requested unless a caller names others: the pipeline's active list.
+ACTIVE_FEATURES = ["SHOT_CHANGE_DETECTION"]
+
+
 def request_manifest(videos: DataFrame, bucket: str, stamp: str,
-                     features: list[str] | None = None) -> DataFrame:
-    """JN-2 + SCL-5/7/12: one annotation request per video x feature.
+                     features: list[str] | None = None, split: bool = True) -> DataFrame:
+    """JN-2 + SCL-5/7/12: annotation requests for videos (``input_uri``: ``gs://...``).
 
-    ``videos`` has ``input_uri`` (``gs://...``). The feature list is a literal
-    array exploded per row (a generator, not a join).
+    ``split``: one request per video x feature, the feature in the output path (a
+    literal array exploded per row, not a join). Otherwise one request per video
+    for all features, without a feature in its path.
     """
-    feats = F.array(*[F.lit(f) for f in (features or FEATURES)])
+    wanted = features or ACTIVE_FEATURES
     v = videos.select("input_uri", base_name(F.col("input_uri")).alias("file_system"),
                       language_code(F.col("input_uri")).alias("language_code"))
-    return v.select("*", F.explode(feats).alias("feature")).select(
+    if not split:
+        return v.select(
+            "input_uri", F.array(*[F.lit(f) for f in wanted]).alias("features"), "language_code", "file_system",
+            F.concat(F.lit(f"gs://{bucket}/"), F.col("language_code"), F.lit("/"), F.col("file_system"),
+                     F.lit(f" - {stamp}.json")).alias("output_uri"))
+    return v.select("*", F.explode(F.array(*[F.lit(f) for f in wanted])).alias("feature")).select(
         "input_uri", "feature", "language_code", "file_system",
         request_output_uri(F.lit(bucket), F.col("language_code"), F.col("feature"),
                            F.col("file_system"), F.lit(stamp)).alias("output_uri"))

@@ -9,8 +9,9 @@ and records the outcome per row instead of dropping failures.
 
 from __future__ import annotations
 
+import random
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,29 +27,47 @@ class Retryable(Exception):
     """Raised by a scoring function for errors worth another pass (quota, ...)."""
 
 
-def _call_with_failover(fn, value, endpoints, max_passes, is_retryable, pause, options):
-    attempts = 0
-    last_error = None
-    for _ in range(max_passes):
-        give_up = False
+def clean_text(text: str) -> str:
+    """SCL-8 on a Python string: fences and the word json out, single quotes double."""
+    for token in ("json", "JSON", "```"):
+        text = text.replace(token, "")
+    return text.replace("'", '"')
+
+
+def _answer(out):
+    """A model's answer: streamed parts are joined, text is cleaned (UDF-3, UDF-4)."""
+    if isinstance(out, Iterator):
+        out = list(out)
+        if all(isinstance(x, str) for x in out):
+            out = "".join(out)
+    return clean_text(out) if isinstance(out, str) else out
+
+
+def _call_with_failover(fn, value, endpoints, max_passes, is_retryable, pause, options, longest=60.0):
+    """(result, error, attempts, endpoint) of one value.
+
+    Endpoints are tried in order; the outcome of the last one tried decides
+    whether another pass follows (an ``ERROR`` answer or a retryable error: yes).
+    Passes wait a random time that may grow exponentially up to ``longest``.
+    """
+    attempts, message = 0, ""
+    for turn in range(max_passes):
+        again = False
         for ep in endpoints:
             attempts += 1
             try:
-                out = fn(value, ep, **options)
+                out = _answer(fn(value, ep, **options))
             except Exception as e:  # noqa: BLE001 - recorded per row
-                last_error = e
-                give_up = not is_retryable(e)
-                continue
-            if out == "ERROR":  # an answer that is itself the failure marker is retried
-                last_error = RuntimeError("model answered ERROR")
+                message, again = str(e), is_retryable(e)
                 continue
-            return out, None, attempts, ep
-        if give_up:  # judged by the last endpoint that failed, after the full pass
+            if not (isinstance(out, str) and out == "ERROR"):
+                return out, None, attempts, ep
+            again = True
+        if not again:
             break
-        if pause:
-            time.sleep(pause)
-    msg = f"{type(last_error).__name__}: {last_error}" if last_error else "no endpoint"
-    return ERROR_PREFIX + msg, msg, attempts, None
+        if pause and turn + 1 < max_passes:
+            time.sleep(random.uniform(min(pause, longest), min(pause * 2 ** turn, longest)))
+    return ERROR_PREFIX + message, message, attempts, None
 
 
 def score(df: DataFrame, fn: Callable, input_col: str, endpoints: Sequence[str] = ("default",),
@@ -57,7 +76,9 @@ def score(df: DataFrame, fn: Callable, input_col: str, endpoints: Sequence[str]
           **options) -> DataFrame:
     """Apply ``fn(value, endpoint, **options)`` to every row of ``input_col``.
 
-    Adds ``result`` (``result_type``), ``error``, ``attempts``, ``endpoint``.
+    Adds ``result`` (``result_type``; text is cleaned), ``error``, ``attempts``,
+    ``endpoint``. A failure's text result is ``ERROR: <message>``. ``pause_seconds``
+    is the least wait between passes.
     ``partitions`` sets the scoring parallelism (a repartition before the map).
     """
     retry = is_retryable or (lambda e: isinstance(e, Retryable))
@@ -140,6 +161,22 @@ def json_props(df: DataFrame, col: str, ddl: str, keep: Sequence[str] = ()) -> D
     return df.select(*keep, F.from_json(F.col(col), ddl).alias("j")).select(*keep, "j.*")
 
 
+MODELS = {}
+
+
+def register_model(name: str, fn: Callable, **options) -> None:
+    """UDF-2: a model by name, with the options its calls take."""
+    MODELS[name] = (fn, options)
+
+
+def score_by_name(df: DataFrame, model: str, input_col: str, **kwargs) -> DataFrame:
+    """UDF-2: ``score`` with the model and options registered under ``model``."""
+    if model not in MODELS:
+        raise ValueError(f"no model named {model!r}; registered: {sorted(MODELS)}")
+    fn, options = MODELS[model]
+    return score(df, fn, input_col, **(options | kwargs))
+
+
 def json_overlay(df: DataFrame, json_col: str, tags_col: str, keep: Sequence[str] = (),
                  inner_key: str | None = None) -> DataFrame:
     """NST-17: fields of a JSON record (or of its ``inner_key`` record) overlaid by tags.

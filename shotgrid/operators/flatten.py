@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotgrid.functions.scalars import (FACE_ATTRIBUTES, LANDMARKS, category_suffix,
+from shotgrid.functions.scalars import (FACE_ATTRIBUTES, LANDMARKS, category_suffix, js_number,
                                         likelihood_name, offset_seconds, percent_int,
                                         segment_end, segment_start)
 
 VIDEO_WIDTH, VIDEO_HEIGHT = 800, 500
 
 
+def narrow(confidence: Column) -> Column:
+    """A stored confidence as the 32-bit value the warehouse tables compare (the viewer's is 64-bit)."""
+    return confidence.cast("float").cast("double")
+
+
 def results(docs: DataFrame) -> DataFrame:
     """One row per annotation result: file, result_pos, input_uri, r (whole result)."""
     return docs.select("file", F.posexplode("annotation_results").alias("result_pos", "r")) \
@@ -109,7 +114,7 @@ def ocr_flat(docs: DataFrame, threshold: float = 0.3) -> DataFrame:
     t = rows.select("input_uri", F.explode("items").alias("t"))
     seg = F.try_element_at(F.col("t.segments"), F.lit(1))
     return t.select("input_uri", F.col("t.text").alias("text_segment"), seg.alias("s")) \
-        .where(F.col("s.confidence") > F.lit(threshold)) \
+        .where(narrow(F.col("s.confidence")) > F.lit(threshold)) \
         .select(F.col("input_uri").alias("uri"),
                 segment_start(F.col("s.segment")).alias("start"),
                 segment_end(F.col("s.segment")).alias("stop"), "text_segment")
@@ -129,9 +134,20 @@ def ocr_segments(docs: DataFrame, mode: str = "all") -> DataFrame:
 
 
 def ocr_min_frames(docs: DataFrame, min_frames: int = 15) -> DataFrame:
-    """FLT-5 (+ SRT-2 ordering key): segments with at least ``min_frames`` frames."""
-    return ocr_segments(docs).where(F.col("n_frames") >= min_frames) \
-        .orderBy("end", "input_uri", "text_pos", "segment_pos")
+    """FLT-5 + SRT-2: segments with at least ``min_frames`` frames.
+
+    ``rank`` is the place in its file by end time (list order breaks ties); the
+    order is made inside the document's row.
+    """
+    rows = feature_rows(docs, "text_annotations", "all")
+    every = F.flatten(F.transform("items", lambda t, i: F.transform(t["segments"], lambda x, j: F.struct(
+        segment_end(x["segment"]).alias("end"), i.alias("text_pos"), j.alias("segment_pos"), t["text"].alias("text"),
+        x["confidence"].alias("confidence"), segment_start(x["segment"]).alias("start"),
+        F.coalesce(F.size(x["frames"]), F.lit(0)).cast("bigint").alias("n_frames")))))
+    kept = F.array_sort(F.filter(every, lambda x: x["n_frames"] >= min_frames))
+    s = rows.select("input_uri", F.posexplode(kept).alias("rank", "s")).select("input_uri", "rank", "s.*")
+    return s.select("input_uri", (F.col("rank") + 1).alias("rank"), "text_pos", "segment_pos", "text", "confidence",
+                    "start", "end", (F.col("end") - F.col("start")).alias("duration"), "n_frames")
 
 
 # --- labels -----------------------------------------------------------------
@@ -143,28 +159,35 @@ def labels_flat(docs: DataFrame, threshold: float = 0.3) -> DataFrame:
     cs = lab.select("input_uri", F.explode("l.category_entities").alias("c"), "l")
     s = cs.select("input_uri", F.col("c.description").alias("text_segment"),
                   F.explode("l.segments").alias("s")) \
-        .where(F.col("s.confidence") > F.lit(threshold))
+        .where(narrow(F.col("s.confidence")) > F.lit(threshold))
     return s.select(F.col("input_uri").alias("uri"),
                     segment_start(F.col("s.segment")).alias("start"),
                     segment_end(F.col("s.segment")).alias("stop"), "text_segment")
 
 
 def labels_ranked(docs: DataFrame) -> DataFrame:
-    """NST-19 + SCL-6 + SRT-3: ``entity (cat, ...)`` per segment, ranked by the
-    label's first segment confidence (descending, list position breaks ties)."""
+    """NST-19 + SCL-6 + SRT-3: ``entity (cat, ...)`` per segment.
+
+    ``rank`` is the label's place in its file by first segment confidence
+    (descending, list order breaks ties), made inside the document's row.
+    """
     rows = feature_rows(docs, "segment_label_annotations", "all")
-    lab = rows.select("input_uri", F.posexplode("items").alias("label_pos", "l"))
-    lab = lab.select("input_uri", "label_pos",
-                     F.concat(F.col("l.entity.description"),
-                              category_suffix(F.col("l.category_entities"))).alias("label"),
-                     F.try_element_at(F.col("l.segments"), F.lit(1))["confidence"]
+    ranked = F.array_sort(F.transform("items", lambda l, i: F.struct(
+        (-F.try_element_at(l["segments"], F.lit(1))["confidence"]).alias("order"), i.alias("label_pos"), l.alias("l"))),
+        lambda x, y: F.when(x["order"] < y["order"], -1).when(x["order"] > y["order"], 1)
+        .when(x["order"].isNull() & y["order"].isNotNull(), 1).when(x["order"].isNotNull() & y["order"].isNull(), -1)
+        .otherwise(x["label_pos"] - y["label_pos"]))
+    lab = rows.select("input_uri", F.posexplode(ranked).alias("rank", "x"))
+    lab = lab.select("input_uri", (F.col("rank") + 1).alias("rank"), "x.label_pos",
+                     F.concat(F.col("x.l.entity.description"),
+                              category_suffix(F.col("x.l.category_entities"))).alias("label"),
+                     F.try_element_at(F.col("x.l.segments"), F.lit(1))["confidence"]
                      .alias("first_confidence"),
-                     F.posexplode("l.segments").alias("segment_pos", "s"))
-    return lab.select("input_uri", "label_pos", "segment_pos", "label", "first_confidence",
+                     F.posexplode("x.l.segments").alias("segment_pos", "s"))
+    return lab.select("input_uri", "rank", "label_pos", "segment_pos", "label", "first_confidence",
                       F.col("s.confidence").alias("confidence"),
                       segment_start(F.col("s.segment")).alias("start"),
-                      segment_end(F.col("s.segment")).alias("end")) \
-        .orderBy(F.desc("first_confidence"), "input_uri", "label_pos", "segment_pos")
+                      segment_end(F.col("s.segment")).alias("end"))
 
 
 def shot_label_segments(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -368,24 +391,32 @@ def text_frames(docs: DataFrame, w: float = VIDEO_WIDTH, h: float = VIDEO_HEIGHT
                     verts.alias("vertices"))
 
 
-def text_tracks(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def text_tracks(docs: DataFrame, threshold: float = 0.5, w: float = VIDEO_WIDTH,
+                h: float = VIDEO_HEIGHT) -> DataFrame:
     """NST-14 + AGG-7 + SRT-4 + SCL-13 + FLT-3: one item per text detection.
 
     Segments over ``threshold`` are kept (a text with none drops); the span runs
     from the first kept segment's start to the last kept segment's end, in list
-    order.
+    order. The id is start, end and the scaled points of the first kept
+    segment's first frame, written one after another (no points without a
+    frame). ``rank`` is the place in its file by start time.
     """
     rows = feature_rows(docs, "text_annotations", "first")
-    kept = F.filter("x.segments", lambda s: s["confidence"] > F.lit(threshold))
-    t = rows.select("input_uri", F.posexplode("items").alias("text_pos", "x")) \
-        .withColumn("kept", kept).where(F.size("kept") > 0)
-    first = F.try_element_at(F.col("kept"), F.lit(1))
-    last = F.try_element_at(F.col("kept"), F.lit(-1))
-    start, end = segment_start(first["segment"]), segment_end(last["segment"])
-    item_id = F.concat_ws("_", start.cast("string"), end.cast("string"), F.col("x.text"))
-    return t.select("input_uri", "text_pos", F.col("x.text").alias("text"),
-                    start.alias("start"), end.alias("end"), item_id.alias("item_id")) \
-        .orderBy("start", "input_uri", "text_pos")
+
+    def item(x, i):
+        kept = F.filter(x["segments"], lambda s: s["confidence"] > F.lit(threshold))
+        first, last = F.try_element_at(kept, F.lit(1)), F.try_element_at(kept, F.lit(-1))
+        points = F.try_element_at(first["frames"], F.lit(1))["rotated_bounding_box"]["vertices"]
+        poly = F.array_join(F.transform(points, lambda v: F.concat(
+            js_number(v["x"] * w), js_number(v["y"] * h))), "")
+        start, end = segment_start(first["segment"]), segment_end(last["segment"])
+        return F.struct(start.alias("start"), i.alias("text_pos"), x["text"].alias("text"), end.alias("end"),
+                        F.concat(js_number(start), js_number(end), F.coalesce(poly, F.lit(""))).alias("item_id"),
+                        F.size(kept).alias("n"))
+
+    kept = F.array_sort(F.filter(F.transform("items", item), lambda x: x["n"] > 0))
+    t = rows.select("input_uri", F.posexplode(kept).alias("rank", "x"))
+    return t.select("input_uri", (F.col("rank") + 1).alias("rank"), "x.text_pos", "x.text", "x.start", "x.end", "x.item_id")
 
 
 def text_digest(docs: DataFrame) -> DataFrame:

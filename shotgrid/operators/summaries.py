@@ -1,19 +1,19 @@
 """Per-video summaries (AGG-1..5, AGG-8).
 
-Where a summary concerns one video and its arrays, it is computed row-locally
-from the document row (no shuffle). Grouping by name across exploded tracks
-uses ``groupBy`` with map-side partial aggregation; the interval merge uses one
-window partitioned by (video, name).
+A summary that concerns one video and its arrays is computed from the document
+row, without a shuffle. ``merge_intervals`` is the general form for rows of any
+table: time buckets inside a key, so that one hot key spreads over many tasks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotgrid.functions.scalars import likelihood_name, offset_seconds, segment_end, segment_start
-from shotgrid.operators.flatten import feature_rows, shot_label_segments
-from shotgrid.plans.ranges import bucket_width
+from shotgrid.operators.flatten import feature_rows
 
 # Buckets of the explicit-content summary, as the viewer lists them.
 LIKELIHOOD_BUCKETS = ["VERY_LIKELY", "LIKELY", "POSSIBLE", "UNLIKELY", "VERY_UNLIKELY"]
@@ -24,27 +24,42 @@ def _span_text(start, end):
     return F.concat(start.cast("string"), F.lit("-"), end.cast("string"))
 
 
-def track_segments(docs: DataFrame, threshold: float | None = 0.5) -> DataFrame:
+def _tracks(feature: str, threshold: float | None):
+    """The tracks of ``items`` in list order: struct(name, track, start, end).
+
+    Objects are tracks themselves; of a logo every track over the threshold counts.
+    """
+    def one(name, conf, seg, i):
+        return F.struct(name.alias("name"), i.alias("track"), segment_start(seg).alias("start"),
+                        segment_end(seg).alias("end"), conf.alias("confidence"))
+
+    if feature == "logo_recognition_annotations":
+        every = F.flatten(F.transform("items", lambda o, i: F.transform(
+            o["tracks"], lambda t, j: one(o["entity"]["description"], t["confidence"], t["segment"], i * 1_000_000 + j))))
+    else:
+        every = F.transform("items", lambda o, i: one(o["entity"]["description"], o["confidence"], o["segment"], i))
+    return every if threshold is None else F.filter(every, lambda x: x["confidence"] > F.lit(threshold))
+
+
+def track_segments(docs: DataFrame, threshold: float | None = 0.5,
+                   feature: str = "object_annotations") -> DataFrame:
     """AGG-1: per (video, name): track count and ``start-end`` list in track order.
 
-    Row-local: a video's object tracks are one array of its document, so the
-    tracks are grouped by name inside that array (no shuffle, no collected
-    group). Tracks are never merged (the reference's merge branch cannot run).
+    Row-local: the tracks of a document are sorted by (name, place) once and cut
+    where the name changes. Tracks are never merged (the reference's merge
+    branch cannot run).
     """
-    rows = feature_rows(docs, "object_annotations", "first")
-    tracks = F.transform("items", lambda o, i: F.struct(
-        i.alias("track"), o["entity"]["description"].alias("name"),
-        o["confidence"].alias("c"), segment_start(o["segment"]).alias("start"),
-        segment_end(o["segment"]).alias("end")))
-    if threshold is not None:
-        tracks = F.filter(tracks, lambda x: x["c"] > F.lit(threshold))
-    names = F.array_distinct(F.transform(tracks, lambda x: x["name"]))
-    groups = F.transform(names, lambda n: F.struct(
-        n.alias("name"), F.filter(tracks, lambda x: x["name"].eqNullSafe(n)).alias("ts")))
-    g = rows.select("input_uri", F.explode(groups).alias("g"))
-    return g.select("input_uri", F.col("g.name").alias("name"),
-                    F.size("g.ts").cast("bigint").alias("n_tracks"),
-                    F.array_join(F.transform("g.ts", lambda x: _span_text(x["start"], x["end"])), ";")
+    rows = feature_rows(docs, feature, "first").select("input_uri", F.array_sort(_tracks(feature, threshold)).alias("s"))
+    n = F.size("s")
+    firsts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | ~F.element_at("s", i)["name"].eqNullSafe(
+        F.element_at("s", F.greatest(i - 1, F.lit(1)))["name"]))
+    cuts = rows.where(n > 0).select("input_uri", "s", firsts.alias("f"))
+    runs = F.transform("f", lambda a, k: F.slice(
+        "s", a, F.coalesce(F.try_element_at("f", k + 2), n + 1) - a))
+    g = cuts.select("input_uri", F.explode(runs).alias("ts"))
+    return g.select("input_uri", F.element_at("ts", 1)["name"].alias("name"),
+                    F.size("ts").cast("bigint").alias("n_tracks"),
+                    F.array_join(F.transform("ts", lambda x: _span_text(x["start"], x["end"])), ";")
                     .alias("segments"))
 
 
@@ -52,42 +67,72 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
                     order: list[str] | None = None, width: float | None = None) -> DataFrame:
     """AGG-3: merge overlapping intervals per key (merge when start < running max end).
 
-    Skew-safe prefix scan: rows are windowed per (key, time bucket of start),
-    not per key, so one hot key spreads over many tasks. What a bucket needs
-    from the buckets before it (the running max end, the number of islands
-    opened) comes from a summary with one row per (key, bucket), scanned per
-    key. Islands are then aggregated with partial (map-side) min/max/count.
+    Rows are dealt once by (key, time bucket of ``width``, an hour by default): islands inside a
+    bucket, their bucket's summary and the join with what earlier buckets carry
+    all use that one partitioning. Only the summaries (one row per bucket) are
+    scanned in the order of their key.
     """
-    if width is None:
-        width = bucket_width(df, start, end)
     order_cols = [F.col(start), F.col(end)] + [F.col(c) for c in (order or [])]
-    x = df.withColumn("_b", F.floor(F.col(start) / F.lit(width)).cast("bigint"))
-    by_key = Window.partitionBy(*keys).orderBy("_b")
-    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
-
-    carry = x.groupBy(*keys, "_b").agg(F.max(end).alias("_bmax")) \
-        .select(*keys, "_b", F.max("_bmax").over(before).alias("_carry"))
-    x = x.join(carry, [*keys, "_b"])
+    x = df.withColumn("_b", F.floor(F.col(start) / F.lit(width or 3600.0)).cast("bigint"))
     local = Window.partitionBy(*keys, "_b").orderBy(*order_cols)
-    prev = F.greatest(F.max(end).over(local.rowsBetween(Window.unboundedPreceding, -1)),
-                      F.col("_carry"))
+    prev = F.max(end).over(local.rowsBetween(Window.unboundedPreceding, -1))
     x = x.withColumn("_new", F.when(prev.isNull() | (F.col(start) >= prev), 1).otherwise(0))
     x = x.withColumn("_n", F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    # _n = 0: rows continuing the island opened in an earlier bucket
     parts = x.groupBy(*keys, "_b", "_n").agg(
         F.min(start).alias("_s"), F.max(end).alias("_e"), F.count(F.lit(1)).alias("_c"))
-    offsets = parts.groupBy(*keys, "_b").agg(F.max("_n").alias("_bn")) \
-        .select(*keys, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
-    island = (F.col("_off") + F.col("_n")).alias("_island")
-    return parts.join(offsets, [*keys, "_b"]).groupBy(*keys, island).agg(
-        F.min("_s").alias("seg_start"), F.max("_e").alias("seg_end"),
-        F.sum("_c").alias("n_merged")).drop("_island")
-
-
-def track_segments_merged(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """AGG-3 applied to the shot-label segments of each (video, name)."""
-    segs = shot_label_segments(docs, threshold)
-    return merge_intervals(segs, ["input_uri", "name"], order=["label_pos", "segment_pos"])
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.groupBy(*keys, "_b").agg(F.max("_e").alias("_bmax")) \
+        .select(*keys, "_b", F.max("_bmax").over(before).alias("_carry"))
+    # an island that starts under the carried end continues the last one before its bucket
+    joined = parts.join(carry, [*keys, "_b"]).withColumn(
+        "_open", F.coalesce(F.col("_s") < F.col("_carry"), F.lit(False)))
+    by_key = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.last(F.when(~F.col("_open"), F.col("_s")), ignorenulls=True).over(by_key)
+    return joined.withColumn("_head", head).groupBy(*keys, "_head").agg(
+        F.max("_e").alias("seg_end"), F.sum("_c").alias("n_merged")) \
+        .withColumnRenamed("_head", "seg_start").select(*keys, "seg_start", "seg_end", "n_merged")
+
+
+def _merge_batches(batches):
+    """Merge the tracks of each (video, name) of an Arrow batch with one running maximum per name."""
+    for rb in batches:
+        tracks = rb.column("tracks")
+        flat = tracks.flatten()
+        size = np.diff(tracks.offsets.to_numpy())
+        video = np.repeat(np.arange(len(size)), size)
+        names = flat.field("name").dictionary_encode()
+        name = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)
+        start, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+        order = np.lexsort((end, start, name, video))
+        video, name, start, end = video[order], name[order], start[order], end[order]
+        new_key = np.ones(len(order), bool)
+        new_key[1:] = (video[1:] != video[:-1]) | (name[1:] != name[:-1])
+        run = end.copy()
+        bounds = [*np.flatnonzero(new_key).tolist(), len(order)]
+        for a, b in zip(bounds, bounds[1:]):
+            np.maximum.accumulate(run[a:b], out=run[a:b])
+        new = new_key.copy()
+        new[1:] |= start[1:] >= run[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(order)) - 1
+        uris = rb.column("input_uri")
+        yield pa.RecordBatch.from_arrays(
+            [uris.take(pa.array(video[first])), flat.field("name").take(pa.array(order[first])),
+             pa.array(start[first]), pa.array(run[last]), pa.array((last - first + 1).astype(np.int64))],
+            ["input_uri", "name", "seg_start", "seg_end", "n_merged"])
+
+
+def track_segments_merged(docs: DataFrame, threshold: float | None = 0.5,
+                          feature: str = "object_annotations") -> DataFrame:
+    """AGG-3: the object (or logo) tracks of each (video, name), overlapping ones merged.
+
+    All tracks of a video lie in its document's row, so nothing is shuffled.
+    """
+    tracks = F.transform(_tracks(feature, threshold), lambda t: F.struct(
+        t["name"].alias("name"), t["start"].alias("start"), t["end"].alias("end")))
+    rows = feature_rows(docs, feature, "first").select("input_uri", tracks.alias("tracks")) \
+        .where(F.col("tracks").isNotNull())
+    return rows.mapInArrow(_merge_batches, "input_uri string, name string, seg_start double, seg_end double, n_merged long")
 
 
 def person_segments(docs: DataFrame, threshold: float = 0.5, key: str = "person") -> DataFrame:

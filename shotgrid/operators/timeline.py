@@ -1,10 +1,11 @@
 """What is on screen at time t: interval (JN-3) and as-of (JN-4..8) lookups.
 
 Probes are a table ``(input_uri, t)`` (the player's position becomes data).
-Neighbouring frames are paired row-locally from the frame arrays (a frame and
-the next one in list order), so no ``lead`` window and no per-video shuffle is
-needed; each pair is the half-open interval ``[t_j, t_{j+1})`` and is joined to
-the probes with a bucketed range join (``plans.ranges``).
+An as-of lookup is made an interval lookup row-locally: the span of a track is
+tiled by its frames (before the first one, between neighbours, from the last one
+on), each tile carrying the two frames it needs, and one range join
+(``plans.ranges``) finds the tile of every probe. No ``lead`` window, no second
+join, no per-video shuffle of frames.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from shotgrid.functions.scalars import (LANDMARKS, likelihood_name, offset_secon
 from shotgrid.operators.chunks import shots_enumerated
 from shotgrid.operators.flatten import (VIDEO_HEIGHT, VIDEO_WIDTH, _scaled_box, feature_rows,
                                         shot_label_segments, speech_words)
-from shotgrid.plans.ranges import interval_scale, range_join
+from shotgrid.plans.ranges import range_join
 
 
 def frame_pairs(arr: Column) -> Column:
@@ -28,21 +29,31 @@ def frame_pairs(arr: Column) -> Column:
                                              F.element_at(arr, i + 2).alias("b")))
 
 
-def _lerp(a: Column, b: Column, r: Column) -> Column:
-    return a + (b - a) * r
+def span_tiles(frames: Column, start: Column, end: Column) -> Column:
+    """Tiles of the span [start, end]: struct(ta, tb, closed, j, a, b).
 
+    ``frames`` are structs with ``t``, in time order. ``a`` and ``b`` are the
+    frames before and after the tile; both are null before the first frame and
+    from the last one on (there the viewer has no box). Only the span's last
+    tile holds its end.
+    """
+    nothing = F.when(F.lit(False), F.try_element_at(frames, F.lit(1)))
+    first, last = F.try_element_at(frames, F.lit(1))["t"], F.try_element_at(frames, F.lit(-1))["t"]
 
-def gap_scale(rows: DataFrame, arr: str) -> tuple[float, int]:
-    """Range-join scale for frame pairs, from the unexploded frame arrays.
+    def tile(a, b, j, x, y):
+        return F.struct(F.greatest(a, start).alias("ta"), F.least(b, end).alias("tb"), (b > end).alias("closed"),
+                        j.cast("int").alias("j"), x.alias("a"), y.alias("b"))
 
-    Uses each array's mean gap ``(t_last - t_first) / (n - 1)``: one pass over
-    track rows instead of over every frame (a heuristic only: any width gives
-    exact results).
-    """
-    a = F.col(arr)
-    n = F.size(a)
-    gap = (F.element_at(a, -1)["t"] - F.element_at(a, 1)["t"]) / (n - 1)
-    return interval_scale(rows.where(n > 1), length=gap)
+    far = end + F.lit(1.0)
+    before = F.array(tile(start, F.coalesce(first, far), F.lit(None), nothing, nothing))
+    between = F.transform(frame_pairs(frames), lambda p: tile(p["a"]["t"], p["b"]["t"], p["j"], p["a"], p["b"]))
+    after = F.array(tile(F.coalesce(last, far), far, F.lit(None), nothing, nothing))
+    tiles = F.concat(before, F.coalesce(between, F.slice(before, 1, 0)), after)
+    return F.filter(tiles, lambda x: (x["ta"] < x["tb"]) | (x["closed"] & (x["ta"] == x["tb"])))
+
+
+def _lerp(a: Column, b: Column, r: Column) -> Column:
+    return a + (b - a) * r
 
 
 # --- interval containment (JN-3, WIN-5) ------------------------------------
@@ -78,20 +89,27 @@ def words_at_time(docs: DataFrame, probes: DataFrame) -> DataFrame:
 # --- as-of boxes (JN-4, JN-5) ----------------------------------------------
 
 def _box_tracks(docs: DataFrame, feature: str, w: float, h: float) -> DataFrame:
-    """(input_uri, track, span_start, span_end, fr: ARRAY<STRUCT<t, box>>) for a track feature."""
+    """(input_uri, track, part, confidence, span_start, span_end, fr: ARRAY<STRUCT<t, box>>).
+
+    Objects are tracks themselves; persons and faces show the first track of an
+    annotation; a logo shows each of its tracks (``part`` is its place).
+    """
     rows = feature_rows(docs, feature, "first")
     it = rows.select("input_uri", F.posexplode("items").alias("track", "o"))
     if feature == "object_annotations":
-        seg, frames, conf = F.col("o.segment"), F.col("o.frames"), F.col("o.confidence")
-    else:  # logo / person / face: first track of each annotation
-        first = F.try_element_at(F.col("o.tracks"), F.lit(1))
-        seg, frames, conf = first["segment"], first["timestamped_objects"], first["confidence"]
+        it = it.select("input_uri", "track", F.lit(0).alias("part"), F.col("o").alias("x"))
+        frames = F.col("x.frames")
+    else:
+        tracks = F.col("o.tracks") if feature == "logo_recognition_annotations" else F.slice("o.tracks", 1, 1)
+        it = it.select("input_uri", "track", F.posexplode(tracks).alias("part", "x"))
+        frames = F.col("x.timestamped_objects")
     fr = F.transform(frames, lambda f: F.struct(
         offset_seconds(f["time_offset"]).alias("t"),
         _scaled_box(f["normalized_bounding_box"], w, h).alias("box")))
-    return it.select("input_uri", "track", conf.alias("confidence"),
-                     segment_start(seg).alias("span_start"),
-                     segment_end(seg).alias("span_end"), fr.alias("fr"))
+    seg = F.col("x.segment")
+    return it.select("input_uri", "track", "part", F.col("x.confidence").alias("confidence"),
+                     segment_start(seg).alias("span_start"), segment_end(seg).alias("span_end"),
+                     F.coalesce(fr, F.slice(fr, 1, 0)).alias("fr"))
 
 
 def box_at_time(docs: DataFrame, probes: DataFrame, interpolate: bool = True,
@@ -102,28 +120,29 @@ def box_at_time(docs: DataFrame, probes: DataFrame, interpolate: bool = True,
     Real box (JN-4): the frame before the first later frame; null before the
     first frame and from the last one on. Interpolated (JN-5): linear between
     the neighbours, except in the first and last gap where the earlier box is
-    returned.
+    returned. A logo shows its earliest listed track over the threshold that
+    covers t.
     """
     tracks = _box_tracks(docs, feature, w, h)
     if threshold is not None:
         tracks = tracks.where(F.col("confidence") > F.lit(threshold))
-    spans = tracks.select("input_uri", "track", "span_start", "span_end")
-    pairs = range_join(probes, spans, ["input_uri"], "t", "span_start", "span_end") \
-        .select("input_uri", "t", "track")
-    iv = tracks.select("input_uri", "track", F.size("fr").alias("n"),
-                       F.explode(frame_pairs(F.col("fr"))).alias("p")) \
-        .select("input_uri", "track", "n", F.col("p.j").alias("j"),
-                F.col("p.a.t").alias("ta"), F.col("p.b.t").alias("tb"),
-                F.col("p.a.box").alias("a"), F.col("p.b.box").alias("b"))
-    hit = range_join(pairs, iv, ["input_uri", "track"], "t", "ta", "tb", how="left",
-                     end_inclusive=False, scale=gap_scale(tracks, "fr"))
-    r = (F.col("t") - F.col("ta")) / (F.col("tb") - F.col("ta"))
+    tiles = tracks.select("input_uri", "track", "part", F.size("fr").alias("n"),
+                          F.explode(span_tiles(F.col("fr"), F.col("span_start"), F.col("span_end"))).alias("x")) \
+        .select("input_uri", "track", "part", "n", "x.ta", "x.tb", "x.closed", "x.j",
+                F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    hit = range_join(probes, tiles, ["input_uri"], "t", "ta", "tb", closed="closed")
+    r = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
     edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
     out = []
     for c in ("x", "y", "width", "height"):
-        a, b = F.col("a")[c], F.col("b")[c]
+        a, b = F.col("a.box")[c], F.col("b.box")[c]
         out.append((F.when(edge, a).otherwise(_lerp(a, b, r)) if interpolate else a).alias(c))
-    return hit.select("input_uri", "t", "track", *out)
+    hit = hit.select("input_uri", "t", "track", "part", *out)
+    if feature == "logo_recognition_annotations":
+        names = ["x", "y", "width", "height"]
+        hit = hit.groupBy("input_uri", "t", "track").agg(
+            F.min(F.struct("part", *names)).alias("s")).select("input_uri", "t", "track", *[f"s.{c}" for c in names])
+    return hit.drop("part")
 
 
 # --- polygons (JN-6) ------------------------------------------------------
@@ -141,31 +160,25 @@ def polygon_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH,
         offset_seconds(f["time_offset"]).alias("t"),
         F.transform(f["rotated_bounding_box"]["vertices"], lambda v: F.struct(
             (v["x"] * w).alias("x"), (v["y"] * h).alias("y"))).alias("vertices")))
-    segs = sg.select("input_uri", "text_pos", "text", "segment_pos",
-                     segment_start(F.col("s.segment")).alias("seg_start"),
-                     segment_end(F.col("s.segment")).alias("seg_end"), fr.alias("fr"))
-    cover = range_join(probes, segs.drop("fr"), ["input_uri"], "t", "seg_start", "seg_end")
-    first = cover.groupBy("input_uri", "t", "text_pos", "text").agg(
-        F.min("segment_pos").alias("segment_pos"))
-    # A text segment carries few frames: join the chosen segment by key and find
-    # the frame pair covering t inside its array (no explode of every frame).
-    per_seg = segs.select("input_uri", "text_pos", "segment_pos", "fr")
-    hit = first.join(per_seg, ["input_uri", "text_pos", "segment_pos"])
-    t = F.col("t")
-    n = F.size("fr")
-    pair = F.try_element_at(F.filter(frame_pairs(F.col("fr")),
-                                     lambda p: (p["a"]["t"] <= t) & (t < p["b"]["t"])), F.lit(1))
-    hit = hit.select("input_uri", "t", "text_pos", "text", pair.alias("p"), n.alias("n"))
-    r = (t - F.col("p.a.t")) / (F.col("p.b.t") - F.col("p.a.t"))
-    edge = (F.col("p.j") == 0) | (F.col("p.j") + 1 == F.col("n") - 1)
-    lerped = F.zip_with("p.a.vertices", "p.b.vertices", lambda a, b: F.struct(
+    fr = F.coalesce(fr, F.slice(fr, 1, 0))
+    tiles = sg.select("input_uri", "text_pos", "text", "segment_pos", F.size(fr).alias("n"), F.explode(span_tiles(
+        fr, segment_start(F.col("s.segment")), segment_end(F.col("s.segment")))).alias("p")) \
+        .select("input_uri", "text_pos", "text", "segment_pos", "n", "p.ta", "p.tb", "p.closed", "p.j",
+                F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    hit = range_join(probes, tiles, ["input_uri"], "t", "ta", "tb", closed="closed")
+    r = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
+    lerped = F.zip_with("a.vertices", "b.vertices", lambda a, b: F.struct(
         _lerp(a["x"], b["x"], r).alias("x"), _lerp(a["y"], b["y"], r).alias("y")))
-    poly = F.when(edge, F.col("p.a.vertices")).otherwise(lerped)
+    poly = F.when(edge, F.col("a.vertices")).otherwise(lerped)
     cols = []
     for i in range(4):
         v = F.try_element_at(poly, F.lit(i + 1))
         cols += [v["x"].alias(f"x{i}"), v["y"].alias(f"y{i}")]
-    return hit.select("input_uri", "t", "text_pos", "text", *cols)
+    hit = hit.select("input_uri", "t", "text_pos", "text", "segment_pos", *cols)
+    names = [f"{c}{i}" for i in range(4) for c in ("x", "y")]
+    first = hit.groupBy("input_uri", "t", "text_pos", "text").agg(F.min(F.struct("segment_pos", *names)).alias("s"))
+    return first.select("input_uri", "t", "text_pos", "text", *[f"s.{c}" for c in names])
 
 
 # --- landmarks (JN-7) -----------------------------------------------------
@@ -191,20 +204,16 @@ def landmarks_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH
                        first["confidence"].alias("confidence"))
     if threshold is not None:
         tracks = tracks.where(F.col("confidence") > F.lit(threshold))
-    pairs = range_join(probes, tracks.select("input_uri", "person", "span_start", "span_end"),
-                       ["input_uri"], "t", "span_start", "span_end").select("input_uri", "t", "person")
-    iv = tracks.select("input_uri", "person", F.size("fr").alias("n"),
-                       F.explode(frame_pairs(F.col("fr"))).alias("p")) \
-        .select("input_uri", "person", "n", F.col("p.j").alias("j"),
-                F.col("p.a.t").alias("ta"), F.col("p.b.t").alias("tb"),
-                F.col("p.a.lm").alias("la"), F.col("p.b.lm").alias("lb"))
-    hit = range_join(pairs, iv, ["input_uri", "person"], "t", "ta", "tb", end_inclusive=False,
-                     scale=gap_scale(tracks, "fr"))
-    r = (F.col("t") - F.col("ta")) / (F.col("tb") - F.col("ta"))
+    tiles = tracks.select("input_uri", "person", F.size("fr").alias("n"), F.explode(F.filter(
+        span_tiles(F.col("fr"), F.col("span_start"), F.col("span_end")), lambda x: x["j"].isNotNull())).alias("x")) \
+        .select("input_uri", "person", "n", "x.ta", "x.tb", "x.closed", "x.j", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    hit = range_join(probes, tiles, ["input_uri"], "t", "ta", "tb", closed="closed")
+    r = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
     edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
+    hit = hit.select("input_uri", "t", "person", F.col("a.lm").alias("la"), F.col("b.lm").alias("lb"),
+                     edge.alias("edge"), r.alias("r"))
     names = F.array_distinct(F.transform("la", lambda l: l["name"]))
-    lm = hit.select("input_uri", "t", "person", "la", "lb", edge.alias("edge"), r.alias("r"),
-                    F.explode(names).alias("name"))
+    lm = hit.select("*", F.explode(names).alias("name"))
 
     def point(arr: str) -> Column:  # last point of that name in the frame
         return F.try_element_at(F.filter(arr, lambda l: l["name"] == F.col("name")), F.lit(-1))["point"]
@@ -220,24 +229,22 @@ def landmarks_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH
 # --- likelihood (JN-8) ----------------------------------------------------
 
 def likelihood_at_time(docs: DataFrame, probes: DataFrame) -> DataFrame:
-    """Explicit-content likelihood at t: before the first frame the first value,
-    from the last frame on an empty string."""
+    """Explicit-content likelihood at t >= 0: the frame before the first later one,
+    at least the first; an empty string from the last frame on and where a video
+    has no frames."""
     rows = feature_rows(docs, "explicit_annotation", "first")
     fr = F.transform("items.frames", lambda f: F.struct(
         offset_seconds(f["time_offset"]).alias("t"),
         likelihood_name(f["pornography_likelihood"]).alias("v")))
     per_video = rows.select("input_uri", fr.alias("fr"))
-    firsts = per_video.select("input_uri",
-                              F.try_element_at(F.col("fr"), F.lit(1))["t"].alias("t0"),
-                              F.try_element_at(F.col("fr"), F.lit(1))["v"].alias("v0"))
-    iv = per_video.select("input_uri", F.explode(frame_pairs(F.col("fr"))).alias("p")) \
-        .select("input_uri", F.col("p.a.t").alias("ta"), F.col("p.b.t").alias("tb"),
-                F.col("p.a.v").alias("v"))
-    scoped = probes.join(firsts, "input_uri")
-    hit = range_join(scoped, iv, ["input_uri"], "t", "ta", "tb", how="left", end_inclusive=False,
-                     scale=gap_scale(per_video, "fr"))
-    value = F.coalesce(F.col("v"), F.when(F.col("t") < F.col("t0"), F.col("v0")), F.lit(""))
-    return hit.select("input_uri", "t", value.alias("likelihood"))
+    first = F.try_element_at(F.col("fr"), F.lit(1))
+    pairs = F.transform(frame_pairs(F.col("fr")), lambda p: F.struct(
+        p["a"]["t"].alias("ta"), p["b"]["t"].alias("tb"), p["a"]["v"].alias("v")))
+    before = F.array(F.struct(F.least(F.lit(0.0), first["t"]).alias("ta"), first["t"].alias("tb"), first["v"].alias("v")))
+    tiles = per_video.select("input_uri", F.explode(F.concat(before, pairs)).alias("x")).select("input_uri", "x.*") \
+        .where(F.col("ta") < F.col("tb"))
+    hit = range_join(probes, tiles, ["input_uri"], "t", "ta", "tb", how="left", end_inclusive=False)
+    return hit.select("input_uri", "t", F.coalesce(F.col("v"), F.lit("")).alias("likelihood"))
 
 
 # --- timeline position (PRJ-4) --------------------------------------------

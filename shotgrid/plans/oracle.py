@@ -24,7 +24,7 @@ def lit(s: str) -> str:
     return "(" + " || chr(10) || ".join(parts) + ")"
 
 
-SPEECH_NAME = f"CAST(conv_id AS VARCHAR) || '-' || CAST(turn // {fx.TURN_BLOCK} AS VARCHAR)"
+SPEECH_NAME = "CAST(conv_id AS VARCHAR)"
 SPEECH_URI = f"'/bucket/speech/' || {SPEECH_NAME} || '.mp4'"
 SPEECH_FILE = f"'speech/' || {SPEECH_NAME} || '.json'"
 
@@ -33,40 +33,52 @@ LIK = "CASE event_type " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in fx.LIKELIHOOD_BY_EVENT.items()) + " END"
 
 EV = f"""ev AS (
-  SELECT event_id, user_id, event_id // {fx.EVENT_BLOCK} AS blk, event_type, value,
+  SELECT event_id, user_id, event_type, value,
          date_diff('microsecond', TIMESTAMP '{fx.EPOCH}', ts) AS off,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-         CAST(least(floor(value / 10) / 10, 1.0) AS FLOAT) AS conf,
-         '/bucket/' || {LANGS}[user_id % 4 + 1] || '/' || CAST(user_id AS VARCHAR) || '-'
-           || CAST(event_id // {fx.EVENT_BLOCK} AS VARCHAR) || '.mp4' AS input_uri
+         least(floor(value / 10) / 10, CAST(1.0 AS DOUBLE)) AS conf,
+         '/bucket/' || {LANGS}[user_id % 4 + 1] || '/' || CAST(user_id AS VARCHAR) || '.mp4' AS input_uri
   FROM events),
 e2 AS (
   SELECT *, off + k * 1800000000 AS off2,
-         dense_rank() OVER (PARTITION BY user_id, blk ORDER BY event_type) - 1 AS et_pos,
-         row_number() OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) - 1 AS j,
-         count(*) OVER (PARTITION BY user_id, blk, event_type) AS n,
-         first_value(conf) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) AS conf0,
-         first_value(k) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) AS k0,
-         first_value(off) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) AS first_off,
-         last_value(off) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id
+         dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS et_pos,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) - 1 AS j,
+         count(*) OVER (PARTITION BY user_id, event_type) AS n,
+         first_value(conf) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) AS conf0,
+         first_value(k) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) AS k0,
+         first_value(off) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) AS first_off,
+         last_value(off) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id
                                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_off,
-         lead(off) OVER (PARTITION BY user_id, blk, event_type ORDER BY off, event_id) AS next_off
+         lead(off) OVER (PARTITION BY user_id, event_type ORDER BY off, event_id) AS next_off
   FROM ev)"""
 
+# features some videos do not carry
+SEEN = f"user_id % 7 <> {fx.NO_EXPLICIT}"
+SHOWN = f"user_id % 7 <> {fx.NO_TRACKS}"
+
 # tracks (one per user x event_type) with span, frames j at off
 TRACKS = f"""tracks AS (
   SELECT DISTINCT user_id, input_uri, event_type, et_pos, n, conf0, k0,
          {sec('first_off')} AS span_start, {sec('last_off')} AS span_end
   FROM e2)"""
 
+# a logo's two tracks: the earlier and the later half of its frames
+LOGOS = f"""lf AS (
+  SELECT *, CASE WHEN j < n // 2 THEN 0 ELSE 1 END AS part FROM e2 WHERE {SHOWN}),
+lg AS (
+  SELECT user_id, input_uri, event_type, et_pos, part,
+         CASE WHEN n // 2 = 0 THEN 0 ELSE part END AS track, count(*) AS n, arg_min(conf, j) AS conf0,
+         {sec('min(off)')} AS span_start, {sec('max(off)')} AS span_end
+  FROM lf GROUP BY user_id, input_uri, event_type, et_pos, part, n)"""
+
 SHOTS = f"""o AS (
-  SELECT user_id, blk, input_uri, off, event_id,
-         lead(off) OVER (PARTITION BY user_id, blk ORDER BY off, event_id) AS nxt
+  SELECT user_id, input_uri, off, event_id,
+         lead(off) OVER (PARTITION BY user_id ORDER BY off, event_id) AS nxt
   FROM ev),
 shots AS (
   SELECT user_id, input_uri, CASE WHEN off < {HALF} THEN 0 ELSE 1 END AS result_pos,
          {sec('off')} AS a, {sec('nxt')} AS b,
-         row_number() OVER (PARTITION BY user_id, blk, off < {HALF} ORDER BY off, event_id) AS i
+         row_number() OVER (PARTITION BY user_id, off < {HALF} ORDER BY off, event_id) AS i
   FROM o WHERE nxt IS NOT NULL)"""
 
 PROBES = f"""probes AS (
@@ -107,11 +119,11 @@ SQL: dict[str, str] = {}
 # --- flatten ----------------------------------------------------------------
 
 SQL["explicit_flat"] = with_(EV) + f"""
-SELECT input_uri AS uri, {sec('off')} AS start, {LIK} AS explicit_content FROM ev"""
+SELECT input_uri AS uri, {sec('off')} AS start, {LIK} AS explicit_content FROM ev WHERE {SEEN}"""
 
 SQL["ocr_flat"] = with_(EV) + f"""
 SELECT input_uri AS uri, {sec('off')} AS start, {sec('off2')} AS stop, event_type AS text_segment
-FROM e2 WHERE j = 0 AND CAST(conf AS DOUBLE) > CAST(0.3 AS DOUBLE)"""
+FROM e2 WHERE j = 0 AND CAST(CAST(conf AS FLOAT) AS DOUBLE) > CAST(0.3 AS DOUBLE)"""
 
 OCR_SEG = f"""
 SELECT input_uri, et_pos AS text_pos, j AS segment_pos, event_type AS text, conf AS confidence,
@@ -119,17 +131,20 @@ SELECT input_uri, et_pos AS text_pos, j AS segment_pos, event_type AS text, conf
        k % 20 AS n_frames
 FROM e2"""
 SQL["ocr_all_segments"] = with_(EV) + OCR_SEG
-SQL["ocr_min_frames"] = with_(EV) + OCR_SEG + " WHERE k % 20 >= 15"
+SQL["ocr_min_frames"] = with_(EV) + f"""
+SELECT *, row_number() OVER (PARTITION BY input_uri ORDER BY "end", text_pos, segment_pos) AS rank
+FROM ({OCR_SEG} WHERE k % 20 >= 15) q"""
 
 SQL["labels_flat"] = with_(EV) + f"""
 SELECT input_uri AS uri, {sec('off')} AS start, {sec('off2')} AS stop, 'cat_' || event_type AS text_segment
-FROM e2 WHERE CAST(conf AS DOUBLE) > CAST(0.3 AS DOUBLE)
+FROM e2 WHERE CAST(CAST(conf AS FLOAT) AS DOUBLE) > CAST(0.3 AS DOUBLE)
 UNION ALL
 SELECT input_uri AS uri, {sec('off')} AS start, {sec('off2')} AS stop, 'all' AS text_segment
-FROM e2 WHERE CAST(conf AS DOUBLE) > CAST(0.3 AS DOUBLE)"""
+FROM e2 WHERE CAST(CAST(conf AS FLOAT) AS DOUBLE) > CAST(0.3 AS DOUBLE)"""
 
 SQL["labels_ranked"] = with_(EV) + f"""
-SELECT input_uri, et_pos AS label_pos, j AS segment_pos,
+SELECT input_uri, dense_rank() OVER (PARTITION BY input_uri ORDER BY conf0 DESC, et_pos) AS rank,
+       et_pos AS label_pos, j AS segment_pos,
        event_type || ' (cat_' || event_type || ', all)' AS label, conf0 AS first_confidence,
        conf AS confidence, {sec('off')} AS start, {sec('off2')} AS "end"
 FROM e2"""
@@ -175,7 +190,7 @@ SELECT input_uri, text_pos, text, segment_pos, frame, t, x0, y0, x1, y1, x2, y2,
 SQL["person_frames"] = with_(EV) + f"""
 SELECT input_uri, et_pos AS person, conf0 AS confidence, j AS frame, {sec('off')} AS t,
        {B['x']} AS x, {B['y']} AS y, {B['width']} AS width, {B['height']} AS height
-FROM e2 WHERE CAST(conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE)"""
+FROM e2 WHERE {SHOWN} AND conf0 > CAST(0.5 AS DOUBLE)"""
 
 _lm_cols = []
 for _name in X.LANDMARKS:
@@ -188,29 +203,29 @@ for _name in X.LANDMARKS:
         _lm_cols += [f"CAST(NULL AS DOUBLE) AS {_name}_x", f"CAST(NULL AS DOUBLE) AS {_name}_y"]
 SQL["landmarks_wide"] = with_(EV) + f"""
 SELECT input_uri, et_pos AS person, j AS frame, {sec('off')} AS t, {', '.join(_lm_cols)}
-FROM e2"""
+FROM e2 WHERE {SHOWN}"""
 
 _attr_cols = []
 for _name in X.FACE_ATTRIBUTES:
     if _name == "smiling":
-        _attr_cols.append("CAST(trunc(CAST(conf0 AS DOUBLE) * 100) AS BIGINT) AS smiling")
+        _attr_cols.append("CAST(trunc(conf0 * 100) AS BIGINT) AS smiling")
     elif _name == "glasses":
-        _attr_cols.append("CAST(trunc(CAST(CAST(k0 / 100 AS FLOAT) AS DOUBLE) * 100) AS BIGINT) AS glasses")
+        _attr_cols.append("CAST(trunc((k0 / 100) * 100) AS BIGINT) AS glasses")
     else:
         _attr_cols.append(f"CAST(NULL AS BIGINT) AS {_name}")
 SQL["face_attributes"] = with_(EV, TRACKS) + f"""
 SELECT input_uri, et_pos AS face, event_type || '-' || CAST(user_id AS VARCHAR) AS thumbnail,
        conf0 AS confidence, span_start AS start, span_end AS "end", {', '.join(_attr_cols)}
-FROM tracks WHERE CAST(conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE)"""
+FROM tracks WHERE {SHOWN} AND conf0 > CAST(0.5 AS DOUBLE)"""
 
-SQL["logo_tracks"] = with_(EV, TRACKS) + """
-SELECT input_uri, et_pos AS logo, event_type AS entity_id, event_type AS name, CAST(0 AS BIGINT) AS track,
+SQL["logo_tracks"] = with_(EV, LOGOS) + """
+SELECT input_uri, et_pos AS logo, event_type AS entity_id, event_type AS name, CAST(track AS BIGINT) AS track,
        conf0 AS confidence, span_start AS start, span_end AS "end"
-FROM tracks WHERE CAST(conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE)"""
+FROM lg WHERE conf0 > CAST(0.5 AS DOUBLE)"""
 
 WORDS = f"""cw AS (
   SELECT conv_id, turn, text,
-         row_number() OVER (PARTITION BY conv_id, turn // {fx.TURN_BLOCK} ORDER BY turn) - 1 AS transcription,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS transcription,
          list_filter(string_split_regex(coalesce(text, ''), '{fx.WORD_SPLIT}'), lambda x: x <> '') AS words
   FROM conversations),
 words AS (
@@ -231,14 +246,23 @@ SELECT input_uri, transcription, max(n_words) AS n_words, arg_min(start, word_po
        arg_max("end", word_pos) AS "end"
 FROM wt GROUP BY input_uri, transcription"""
 
+def js_number(c: str) -> str:
+    return f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')"
+
+
+# the id: start, end and the points of the first kept segment's first frame, as the viewer writes numbers
+_points = " || ".join(f"CASE WHEN nf > 0 THEN {js_number(c)} ELSE '' END" for c in (
+    "(v / 1000) * 800", "CAST(0 AS DOUBLE) * 500", "((v / 1000) + 0.1) * 800", "CAST(0 AS DOUBLE) * 500",
+    "((v / 1000) + 0.1) * 800", "(CAST(0 AS DOUBLE) + 0.1) * 500", "(v / 1000) * 800", "(CAST(0 AS DOUBLE) + 0.1) * 500"))
 SQL["text_tracks"] = with_(EV) + f"""
 , tt AS (
   SELECT input_uri, et_pos AS text_pos, event_type AS text,
-         arg_min({sec('off')}, j) AS start, arg_max({sec('off2')}, j) AS "end"
-  FROM e2 WHERE CAST(conf AS DOUBLE) > CAST(0.5 AS DOUBLE)
+         arg_min({sec('off')}, j) AS start, arg_max({sec('off2')}, j) AS "end",
+         arg_min(value, j) AS v, arg_min(k % 20, j) AS nf
+  FROM e2 WHERE conf > CAST(0.5 AS DOUBLE)
   GROUP BY input_uri, et_pos, event_type)
-SELECT input_uri, text_pos, text, start, "end",
-       CAST(start AS VARCHAR) || '_' || CAST("end" AS VARCHAR) || '_' || text AS item_id
+SELECT input_uri, row_number() OVER (PARTITION BY input_uri ORDER BY start, text_pos) AS rank, text_pos, text, start, "end",
+       {js_number('start')} || {js_number('"end"')} || {_points} AS item_id
 FROM tt"""
 
 SQL["text_digest"] = with_(EV) + """
@@ -252,6 +276,7 @@ SQL["json_overlay"] = """
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'x' ELSE json_extract_string(props, '$.k') END AS k,
        event_type
 FROM events"""
+SQL["json_overlay_inner"] = SQL["json_overlay"]  # the outer record's own k is never seen
 
 # --- scan / route -----------------------------------------------------------
 
@@ -281,7 +306,7 @@ WHERE timeCreated >= TIMESTAMP '{Q.RETENTION_NOW}' - INTERVAL 86400 SECOND"""
 DOCS = f"""users AS (
   SELECT input_uri, count(*) AS n_ev,
          count(*) FILTER (WHERE off < {HALF}) AS n0, count(*) FILTER (WHERE off >= {HALF}) AS n1,
-         max(off) AS last_off
+         max(off) AS last_off, any_value(user_id) AS user_id
   FROM ev GROUP BY input_uri),
 sh AS (
   SELECT input_uri, count(*) FILTER (WHERE result_pos = 0) AS s0,
@@ -289,20 +314,19 @@ sh AS (
   FROM shots GROUP BY input_uri)"""
 
 SQL["annotations_scan"] = with_(EV, SHOTS, DOCS) + f"""
-SELECT {file_of('input_uri')} AS file, CAST(2 AS BIGINT) AS n_results, n_ev - 1 AS n_shots
-FROM users
-UNION ALL
-SELECT DISTINCT {SPEECH_FILE}, CAST(1 AS BIGINT), CAST(0 AS BIGINT)
-FROM conversations"""
-
-_ff = [("explicit_annotation", 0), ("segment_label_annotations", 0), ("text_annotations", 0),
-       ("shot_label_annotations", 1), ("object_annotations", 1),
-       ("logo_recognition_annotations", 1), ("person_detection_annotations", 1),
-       ("face_detection_annotations", 1)]
+SELECT CASE WHEN user_id % 11 IN ({fx.BROKEN}, {fx.HALF_BROKEN}) THEN 'quarantine' ELSE 'good' END AS state, input_uri,
+       CASE WHEN user_id % 11 NOT IN ({fx.BROKEN}, {fx.HALF_BROKEN}) THEN CAST(2 AS BIGINT) END AS n_results,
+       CASE WHEN user_id % 11 NOT IN ({fx.BROKEN}, {fx.HALF_BROKEN}) THEN n_ev - 1 END AS n_shots
+FROM users"""
+
+_ff = [("explicit_annotation", 0, SEEN), ("segment_label_annotations", 0, "true"), ("text_annotations", 0, "true"),
+       ("shot_label_annotations", 1, "true"), ("object_annotations", 1, "true"),
+       ("logo_recognition_annotations", 1, SHOWN), ("person_detection_annotations", 1, SHOWN),
+       ("face_detection_annotations", 1, SHOWN)]
 _ff_rows = " UNION ALL ".join(
-    f"SELECT file, '{f}' AS feature, CAST({p} AS BIGINT) AS result_pos FROM d" for f, p in _ff)
+    f"SELECT file, '{f}' AS feature, CAST({p} AS BIGINT) AS result_pos FROM d WHERE {w}" for f, p, w in _ff)
 SQL["first_feature_result"] = with_(EV, SHOTS, DOCS) + f"""
-, d AS (SELECT {file_of('u.input_uri')} AS file,
+, d AS (SELECT {file_of('u.input_uri')} AS file, u.user_id,
                coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1
         FROM users u LEFT JOIN sh USING (input_uri))
 {_ff_rows}
@@ -313,9 +337,9 @@ SELECT DISTINCT {SPEECH_FILE}, 'speech_transcriptions', CAST(0 AS BIGINT)
 FROM conversations"""
 
 _df_rows = " UNION ALL ".join(
-    f"SELECT file, '{f}' AS feature, CAST(1 AS BIGINT) AS n_results FROM d" for f, _ in _ff)
+    f"SELECT file, '{f}' AS feature, CAST(1 AS BIGINT) AS n_results FROM d WHERE {w}" for f, _, w in _ff)
 SQL["detected_features"] = with_(EV, SHOTS, DOCS) + f"""
-, d AS (SELECT {file_of('u.input_uri')} AS file,
+, d AS (SELECT {file_of('u.input_uri')} AS file, u.user_id,
                coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1
         FROM users u LEFT JOIN sh USING (input_uri))
 {_df_rows}
@@ -386,7 +410,7 @@ FROM wp p JOIN wt w ON p.input_uri = w.input_uri AND p.t >= w.start AND p.t <= w
 FRAMEIV = f"""fiv AS (
   SELECT input_uri, et_pos AS track, n, j, {sec('off')} AS ta, {sec('next_off')} AS tb,
          value, k, lead(value) OVER w AS value_b, lead(k) OVER w AS k_b
-  FROM e2 WINDOW w AS (PARTITION BY user_id, blk, event_type ORDER BY off, event_id)),
+  FROM e2 WINDOW w AS (PARTITION BY user_id, event_type ORDER BY off, event_id)),
 pairs AS (
   SELECT p.input_uri, p.t, tr.et_pos AS track
   FROM probes p JOIN tracks tr ON p.input_uri = tr.input_uri
@@ -394,7 +418,7 @@ pairs AS (
     AND CAST(tr.conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE))"""
 
 
-def _box_sql(interp: bool) -> str:
+def _box_sql(interp: bool, where: str = "true") -> str:
     a = box_cols("f.")
     bb = {"x": "((f.value_b / 1000) * 800)", "y": "((f.k_b / 1000) * 500)",
           "width": "((((f.value_b / 1000) + 0.1) - (f.value_b / 1000)) * 800)",
@@ -411,9 +435,37 @@ def _box_sql(interp: bool) -> str:
 SELECT pr.input_uri, pr.t, pr.track, {', '.join(cols)}
 FROM pairs pr LEFT JOIN fiv f
   ON pr.input_uri = f.input_uri AND pr.track = f.track AND f.tb IS NOT NULL
-     AND pr.t >= f.ta AND pr.t < f.tb"""
+     AND pr.t >= f.ta AND pr.t < f.tb
+WHERE pr.input_uri IN (SELECT input_uri FROM ev WHERE {where})"""
 
 
+def _logo_sql(interp: bool) -> str:
+    """The earliest listed track over the threshold that covers t, then its frames alone."""
+    a = box_cols("f.")
+    b = box_cols("g.")
+    r = "((c.t - f.ta) / (g.ta - f.ta))"
+    edge = "f.i = 0 OR f.i + 1 = c.n - 1"
+    cols = [f"CASE WHEN {edge} THEN {a[c]} ELSE {a[c]} + ({b[c]} - {a[c]}) * {r} END AS {c}" if interp else
+            f"CASE WHEN g.i IS NOT NULL THEN {a[c]} END AS {c}" for c in ("x", "y", "width", "height")]
+    return with_(EV, LOGOS, PROBES) + f"""
+, fr AS (SELECT input_uri, et_pos, part, value, k, {sec('off')} AS ta,
+                row_number() OVER (PARTITION BY input_uri, et_pos, part ORDER BY off, event_id) - 1 AS i FROM lf),
+cover AS (SELECT p.input_uri, p.t, l.et_pos, arg_min(l.part, l.part) AS part, arg_min(l.n, l.part) AS n
+          FROM probes p JOIN lg l ON p.input_uri = l.input_uri AND p.t >= l.span_start AND p.t <= l.span_end
+          WHERE l.conf0 > CAST(0.5 AS DOUBLE) GROUP BY p.input_uri, p.t, l.et_pos),
+hit AS (SELECT c.input_uri, c.t, c.et_pos, c.part, c.n, max(f.i) AS i
+        FROM cover c LEFT JOIN fr f ON f.input_uri = c.input_uri AND f.et_pos = c.et_pos AND f.part = c.part AND f.ta <= c.t
+        GROUP BY c.input_uri, c.t, c.et_pos, c.part, c.n)
+SELECT c.input_uri, c.t, c.et_pos AS track, {', '.join(cols)}
+FROM hit c
+LEFT JOIN fr f ON f.input_uri = c.input_uri AND f.et_pos = c.et_pos AND f.part = c.part AND f.i = c.i AND c.i + 1 < c.n
+LEFT JOIN fr g ON g.input_uri = c.input_uri AND g.et_pos = c.et_pos AND g.part = c.part AND g.i = c.i + 1"""
+
+
+SQL["logo_box_at_time"] = _logo_sql(True)
+SQL["logo_box_at_time_real"] = _logo_sql(False)
+SQL["person_box_at_time"] = _box_sql(True, SHOWN)
+SQL["face_box_at_time"] = _box_sql(True, SHOWN)
 SQL["box_at_time"] = _box_sql(False)
 SQL["box_at_time_interp"] = _box_sql(True)
 
@@ -441,13 +493,14 @@ FROM firstseg fs LEFT JOIN fv f
   ON fs.input_uri = f.input_uri AND fs.text_pos = f.text_pos AND fs.segment_pos = f.segment_pos
      AND f.tb IS NOT NULL AND fs.t >= f.t AND fs.t < f.tb"""
 
-SQL["landmarks_at_time"] = with_(EV, TRACKS, PROBES, FRAMEIV) + """
+SQL["landmarks_at_time"] = with_(EV, TRACKS, PROBES, FRAMEIV) + f"""
 , hit AS (
   SELECT pr.input_uri, pr.t, pr.track AS person, f.*,
          (f.j = 0 OR f.j + 1 = f.n - 1) AS edge, ((pr.t - f.ta) / (f.tb - f.ta)) AS r
   FROM pairs pr JOIN fiv f
     ON pr.input_uri = f.input_uri AND pr.track = f.track AND f.tb IS NOT NULL
-       AND pr.t >= f.ta AND pr.t < f.tb)
+       AND pr.t >= f.ta AND pr.t < f.tb
+  WHERE pr.input_uri IN (SELECT input_uri FROM ev WHERE {SHOWN}))
 SELECT input_uri, t, person, 'nose' AS landmark,
        CASE WHEN edge THEN ((value / 1000) + 0.05) * 800
             ELSE ((value / 1000) + 0.05) * 800 + (((value_b / 1000) + 0.05) * 800 - ((value / 1000) + 0.05) * 800) * r END AS x,
@@ -467,11 +520,11 @@ SQL["likelihood_at_time"] = with_(EV, PROBES) + f"""
   SELECT input_uri, {sec('off')} AS ta, {LIK} AS v,
          lead({sec('off')}) OVER (PARTITION BY input_uri ORDER BY off, event_id) AS tb,
          row_number() OVER (PARTITION BY input_uri ORDER BY off, event_id) AS rn
-  FROM ev),
+  FROM ev WHERE {SEEN}),
 firsts AS (SELECT input_uri, ta AS t0, v AS v0 FROM fr WHERE rn = 1)
 SELECT p.input_uri, p.t,
        coalesce(f.v, CASE WHEN p.t < fi.t0 THEN fi.v0 END, '') AS likelihood
-FROM probes p JOIN firsts fi ON p.input_uri = fi.input_uri
+FROM probes p LEFT JOIN firsts fi ON p.input_uri = fi.input_uri
 LEFT JOIN fr f ON p.input_uri = f.input_uri AND f.tb IS NOT NULL AND p.t >= f.ta AND p.t < f.tb"""
 
 SQL["timeline_pct"] = with_(EV, LENGTHS) + f"""
@@ -483,36 +536,50 @@ WHERE CAST(e.conf AS DOUBLE) > 0.0"""
 
 # --- summaries --------------------------------------------------------------
 
-SQL["track_segments"] = with_(EV, TRACKS) + """
+def _segments_sql(source: str, ctes: tuple, order: str) -> str:
+    return with_(*ctes) + f"""
 SELECT input_uri, event_type AS name, count(*) AS n_tracks,
-       string_agg(CAST(span_start AS VARCHAR) || '-' || CAST(span_end AS VARCHAR), ';' ORDER BY et_pos) AS segments
-FROM tracks WHERE CAST(conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE)
+       string_agg(CAST(span_start AS VARCHAR) || '-' || CAST(span_end AS VARCHAR), ';' ORDER BY {order}) AS segments
+FROM {source} WHERE conf0 > CAST(0.5 AS DOUBLE)
 GROUP BY input_uri, event_type"""
 
-SQL["track_segments_merged"] = with_(EV) + f"""
-, s AS (SELECT input_uri, 'cat_' || event_type || ' ' || event_type AS name, et_pos, j,
-               {sec('off')} AS st, {sec('off2')} AS en
-        FROM e2 WHERE CAST(conf AS DOUBLE) > 0.0),
-f AS (SELECT *, max(en) OVER (PARTITION BY input_uri, name ORDER BY st, en, et_pos, j
+
+def _merged_sql(source: str, ctes: tuple) -> str:
+    return with_(*ctes) + f"""
+, s AS (SELECT input_uri, event_type AS name, span_start AS st, span_end AS en
+        FROM {source} WHERE conf0 > CAST(0.5 AS DOUBLE)),
+f AS (SELECT *, max(en) OVER (PARTITION BY input_uri, name ORDER BY st, en
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM s),
 g AS (SELECT *, sum(CASE WHEN pm IS NULL OR st >= pm THEN 1 ELSE 0 END)
-                 OVER (PARTITION BY input_uri, name ORDER BY st, en, et_pos, j
+                 OVER (PARTITION BY input_uri, name ORDER BY st, en
                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f)
 SELECT input_uri, name, min(st) AS seg_start, max(en) AS seg_end, count(*) AS n_merged
 FROM g GROUP BY input_uri, name, island"""
 
-SQL["person_segments"] = with_(EV, TRACKS) + """
+
+SQL["track_segments"] = _segments_sql("tracks", (EV, TRACKS), "et_pos")
+SQL["logo_segments"] = _segments_sql("lg", (EV, LOGOS), "et_pos, part")
+SQL["track_segments_merged"] = _merged_sql("tracks", (EV, TRACKS))
+SQL["logo_segments_merged"] = _merged_sql("lg", (EV, LOGOS))
+
+
+def _one_key_sql(key: str) -> str:
+    return with_(EV, TRACKS) + f"""
 , v AS (SELECT DISTINCT input_uri FROM ev)
-SELECT v.input_uri, 'person' AS key, count(t.et_pos) AS n_tracks,
+SELECT v.input_uri, '{key}' AS key, count(t.et_pos) AS n_tracks,
        coalesce(string_agg(CAST(t.span_start AS VARCHAR) || '-' || CAST(t.span_end AS VARCHAR), ';'
                            ORDER BY t.et_pos), '') AS segments
-FROM v LEFT JOIN tracks t ON v.input_uri = t.input_uri AND CAST(t.conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE)
+FROM v LEFT JOIN tracks t ON v.input_uri = t.input_uri AND t.conf0 > CAST(0.5 AS DOUBLE) AND {SHOWN}
 GROUP BY v.input_uri"""
 
+
+SQL["person_segments"] = _one_key_sql("person")
+SQL["face_segments"] = _one_key_sql("face")
+
 _buckets = ", ".join(f"('{b}')" for b in __import__(
     "shotgrid.operators.summaries", fromlist=["LIKELIHOOD_BUCKETS"]).LIKELIHOOD_BUCKETS)
 SQL["likelihood_buckets"] = with_(EV) + f"""
-, v AS (SELECT DISTINCT input_uri FROM ev),
+, v AS (SELECT DISTINCT input_uri FROM ev WHERE {SEEN}),
 b(likelihood) AS (VALUES {_buckets}),
 fr AS (SELECT input_uri, {LIK} AS v, {sec('off')} AS t, off, event_id FROM ev)
 SELECT v.input_uri, b.likelihood, count(fr.t) AS n_frames,
@@ -520,9 +587,9 @@ SELECT v.input_uri, b.likelihood, count(fr.t) AS n_frames,
 FROM v CROSS JOIN b LEFT JOIN fr ON fr.input_uri = v.input_uri AND fr.v = b.likelihood
 GROUP BY v.input_uri, b.likelihood"""
 
-SQL["frames_by_likelihood"] = with_(EV) + """
+SQL["frames_by_likelihood"] = with_(EV) + f"""
 SELECT input_uri, CAST(0 AS BIGINT) AS result_pos, count(*) FILTER (WHERE event_type = 'purchase') AS n_frames
-FROM ev GROUP BY input_uri"""
+FROM ev WHERE {SEEN} GROUP BY input_uri"""
 
 # --- catalogue --------------------------------------------------------------
 
@@ -556,25 +623,40 @@ SELECT doc_id, source FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 100
 SQL["pending_only"] = with_(RES) + """
 SELECT uri, description FROM res
 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"""
-SQL["prompt_template"] = with_(RES) + f"""
-SELECT uri, {lit(X.PROMPT_HEAD)} || description || {lit(X.PROMPT_TAIL)} AS prompt FROM res"""
+SQL["prompt_template"] = f"""
+SELECT 'gs://out/CSA/' || source || '/chunks - ' || CAST(doc_id AS VARCHAR) || '.mp4' AS uri,
+       {lit(X.PROMPT_HEAD)} || text || {lit(X.PROMPT_TAIL)} AS prompt FROM documents"""
+SQL["scored"] = """
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS VARCHAR) || ' words' AS result,
+       CAST(NULL AS VARCHAR) AS error, CAST(1 + length(text) % 2 AS BIGINT) AS attempts,
+       CASE WHEN length(text) % 2 = 1 THEN 'backup' ELSE 'primary' END AS endpoint
+FROM documents"""
 
 _feats = "[" + ", ".join(f"'{f}'" for f in X.FEATURES) + "]"
-SQL["request_manifest"] = with_(EV) + f"""
-, v AS (SELECT DISTINCT 'gs:/' || input_uri AS input_uri, {LANGS}[user_id % 4 + 1] AS language_code,
-               CAST(user_id AS VARCHAR) || '-' || CAST(blk AS VARCHAR) AS file_system FROM ev)
-SELECT input_uri, unnest({_feats}) AS feature, language_code, file_system FROM v"""
-SQL["request_manifest"] = f"""
+_VIDEOS = f"""v AS (SELECT DISTINCT 'gs:/' || input_uri AS input_uri, {LANGS}[user_id % 4 + 1] AS language_code,
+               CAST(user_id AS VARCHAR) AS file_system FROM ev)"""
+
+
+def _manifest_sql(features: str) -> str:
+    return with_(EV, _VIDEOS) + f"""
 SELECT input_uri, feature, language_code, file_system,
        'gs://{Q.WORKING_BUCKET}/' || language_code || '/' || feature || '/' || file_system
          || ' - {Q.REQUEST_STAMP}.json' AS output_uri
-FROM ({SQL['request_manifest']}) q"""
+FROM (SELECT *, unnest({features}) AS feature FROM v) q"""
+
+
+SQL["request_manifest"] = _manifest_sql("['SHOT_CHANGE_DETECTION']")  # the pipeline's one active feature
+SQL["request_manifest_features"] = _manifest_sql(_feats)
+SQL["request_manifest_unsplit"] = with_(EV, _VIDEOS) + f"""
+SELECT input_uri, {_feats} AS features, language_code, file_system,
+       'gs://{Q.WORKING_BUCKET}/' || language_code || '/' || file_system || ' - {Q.REQUEST_STAMP}.json' AS output_uri
+FROM v"""
 
 # --- scalars ----------------------------------------------------------------
 
 URIS = """uris AS (
   SELECT 'gs://out/CSA/' || source || '/chunks - ' || CAST(doc_id AS VARCHAR) || '.mp4' AS u
-  FROM documents WHERE doc_id % 10 <> 0
+  FROM documents
   UNION ALL SELECT url FROM pages)"""
 _gs = "'^gs://([^/]+)/(.+)$'"
 SQL["uri_parts"] = with_(URIS) + f"""

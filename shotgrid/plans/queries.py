@@ -86,13 +86,18 @@ def arrivals_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("annotations_scan")
 def q_annotations_scan(spark, sf):
-    docs = fx.as_annotations(spark, sf)
-    texts = docs.select("file", F.to_json(F.struct("annotation_results")).alias("value"))
-    scan = A.parse_annotations(texts, features=["shot_annotations"])
+    """JSON files, some broken, read with the schema of one feature: good and quarantined documents."""
+    scan = A.read_annotations(spark, fx.annotation_json(spark, sf), features=["shot_annotations"], multi_line=False)
     res = F.col("annotation_results")
     n_shots = F.aggregate(res, F.lit(0), lambda acc, r: acc + F.coalesce(
-        F.size(r["shot_annotations"]), F.lit(0)))
-    return scan.good.select("file", F.size(res).alias("n_results"), n_shots.alias("n_shots"))
+        F.greatest(F.size(r["shot_annotations"]), F.lit(0)), F.lit(0)))
+    uri = F.try_element_at(F.filter(F.col("annotation_results.input_uri"), lambda u: u.isNotNull()), F.lit(1))
+    good = scan.good.select(F.lit("good").alias("state"), uri.alias("input_uri"), F.size(res).alias("n_results"),
+                            n_shots.alias("n_shots"))
+    bad = scan.quarantine.select(
+        F.lit("quarantine").alias("state"), F.regexp_extract("record", r'"input_uri":"([^"]*)"', 1).alias("input_uri"),
+        F.lit(None).cast("int").alias("n_results"), F.lit(None).cast("int").alias("n_shots"))
+    return good.unionByName(bad)
 
 
 @query("arrivals")
@@ -234,6 +239,19 @@ def q_json_overlay(spark, sf):
                     F.col("props")["event_type"].alias("event_type"))
 
 
+@query("json_overlay_inner")
+def q_json_overlay_inner(spark, sf):
+    """The record under one key of an answer, overlaid by the object's tags."""
+    ev = fx.read_table(spark, sf, "events")
+    answer = F.concat(F.lit('{"rules": '), F.col("props"), F.lit(', "k": "outer"}'))
+    tags = F.when(F.col("event_type") == "error",
+                  F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("k"), F.lit("x"))) \
+        .otherwise(F.create_map(F.lit("event_type"), F.col("event_type")))
+    o = enrich.json_overlay(ev.withColumn("answer", answer).withColumn("tags", tags), "answer", "tags",
+                            keep=["event_id"], inner_key="rules")
+    return o.select("event_id", F.col("props")["k"].alias("k"), F.col("props")["event_type"].alias("event_type"))
+
+
 # --- chunks ---------------------------------------------------------------
 
 @query("chunks_min_duration")
@@ -280,6 +298,18 @@ def q_box_at_time_interp(spark, sf):
     return timeline.box_at_time(_ev_docs(spark, sf), _probes(spark, sf), interpolate=True)
 
 
+def _feature_box(name: str, feature: str, interpolate: bool):
+    @query(name)
+    def q(spark, sf):
+        return timeline.box_at_time(_ev_docs(spark, sf), _probes(spark, sf), interpolate, feature)
+
+
+_feature_box("person_box_at_time", "person_detection_annotations", True)
+_feature_box("face_box_at_time", "face_detection_annotations", True)
+_feature_box("logo_box_at_time", "logo_recognition_annotations", True)
+_feature_box("logo_box_at_time_real", "logo_recognition_annotations", False)
+
+
 @query("polygon_at_time")
 def q_polygon_at_time(spark, sf):
     return timeline.polygon_at_time(_ev_docs(spark, sf), _probes(spark, sf))
@@ -309,7 +339,22 @@ def q_track_segments(spark, sf):
 
 @query("track_segments_merged")
 def q_track_segments_merged(spark, sf):
-    return summaries.track_segments_merged(_ev_docs(spark, sf), 0.0)
+    return summaries.track_segments_merged(_ev_docs(spark, sf), 0.5)
+
+
+@query("logo_segments")
+def q_logo_segments(spark, sf):
+    return summaries.track_segments(_ev_docs(spark, sf), 0.5, "logo_recognition_annotations")
+
+
+@query("logo_segments_merged")
+def q_logo_segments_merged(spark, sf):
+    return summaries.track_segments_merged(_ev_docs(spark, sf), 0.5, "logo_recognition_annotations")
+
+
+@query("face_segments")
+def q_face_segments(spark, sf):
+    return summaries.person_segments(_ev_docs(spark, sf), 0.5, "face")
 
 
 @query("person_segments")
@@ -398,10 +443,24 @@ def q_request_manifest(spark, sf):
     return catalog.request_manifest(vids, WORKING_BUCKET, REQUEST_STAMP)
 
 
+@query("request_manifest_features")
+def q_request_manifest_features(spark, sf):
+    vids = fx.flat_events(spark, sf).select(
+        F.concat(F.lit("gs:/"), F.col("input_uri")).alias("input_uri")).distinct()
+    return catalog.request_manifest(vids, WORKING_BUCKET, REQUEST_STAMP, X.FEATURES)
+
+
+@query("request_manifest_unsplit")
+def q_request_manifest_unsplit(spark, sf):
+    vids = fx.flat_events(spark, sf).select(
+        F.concat(F.lit("gs:/"), F.col("input_uri")).alias("input_uri")).distinct()
+    return catalog.request_manifest(vids, WORKING_BUCKET, REQUEST_STAMP, X.FEATURES, split=False)
+
+
 # --- scalars --------------------------------------------------------------
 
 def _uris(spark, sf):
-    tags = fx.chunk_tags(spark, sf).select(F.col("uri").alias("u"))
+    tags = fx.read_table(spark, sf, "documents").select(fx.chunk_uri(F.col("doc_id"), F.col("source")).alias("u"))
     pages = fx.read_table(spark, sf, "pages").select(F.col("url").alias("u"))
     return tags.unionByName(pages)
 
@@ -458,7 +517,9 @@ def q_feature_name(spark, sf):
 
 @query("prompt_template")
 def q_prompt_template(spark, sf):
-    return catalog.prompts(_results(spark, sf))
+    d = fx.read_table(spark, sf, "documents")
+    return catalog.prompts(d.select(fx.chunk_uri(F.col("doc_id"), F.col("source")).alias("uri"),
+                                    F.col("text").alias("description")))
 
 
 # --- enrich ---------------------------------------------------------------
@@ -486,9 +547,9 @@ def word_count_model(text, endpoint):
 
 @query("scored")
 def q_scored(spark, sf):
-    res = _results(spark, sf).select("uri", "description")
-    return enrich.score(res, word_count_model, "description", endpoints=["primary", "backup"],
-                        max_passes=2)
+    d = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    return enrich.score(d, word_count_model, "text", endpoints=["primary", "backup"],
+                        max_passes=2).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,114 +1,61 @@
-"""Bucketed range joins: ``probe.t`` inside ``[start, end]`` per key.
+"""Range joins: ``probe.t`` inside ``[start, end]`` per key, linear in both inputs.
 
 An equi-join on the video alone followed by a range filter would pair every
-probe of a video with every interval of that video; one long video then becomes
-a per-key cross product inside one task. Instead both sides get a time bucket:
-intervals are exploded over the buckets they touch and the join key is
-``(keys..., level, bucket)``, so a hot video spreads over many join keys and
-each probe meets only the intervals of its own bucket. Buckets come in levels
-(``width * 2**level``); an interval uses the smallest level that holds its
-length, so even a very long interval is exploded into about two buckets, and a
-probe is bucketed once per level. The range test sits in the join condition.
+probe of a video with every interval of that video. Instead both sides get a
+time bucket whose width is a power of two of seconds: an interval uses the
+smallest width that holds its length, so it lies in at most two buckets however
+long it is, and a probe is bucketed once for each width that occurs among the
+intervals of its own key. The join key is ``(keys..., level, bucket)``, so a hot
+video spreads over many join keys. No statistics are needed: nothing runs while
+the plan is built, and one very long interval adds one level to its own key and
+changes nothing else.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET = "_bucket"
-
+BUCKET, LEVEL, LEVELS = "_bucket", "_level", "_levels"
+LOWEST, HIGHEST = -20, 62  # widths from about a microsecond to longer than any video
 
-def bucket_width(intervals: DataFrame, start: str | None = None, end: str | None = None,
-                 quantile: float = 0.9, minimum: float = 1e-3,
-                 length: Column | None = None) -> float:
-    """Width so that most intervals touch one or two buckets.
 
-    One partial-aggregated pass (``percentile_approx``) over the interval
-    lengths (or over a ``length`` expression, e.g. the mean frame gap of each
-    unexploded track); the result is a single number.
-    """
-    ln = length if length is not None else F.col(end) - F.col(start)
-    row = intervals.select(F.percentile_approx(ln, quantile, 1000).alias("w")).first()
-    w = row["w"] if row is not None else None
-    if w is None or not math.isfinite(w):
-        return 1.0
-    return max(float(w), minimum)
+def level_of(length: Column) -> Column:
+    """The smallest n with length <= 2**n (bounded, so that a key has few levels)."""
+    n = F.ceil(F.log2(F.greatest(length, F.lit(2.0 ** LOWEST)))).cast("int")
+    return F.least(F.greatest(n, F.lit(LOWEST)), F.lit(HIGHEST))
 
 
-def interval_scale(intervals: DataFrame, start: str | None = None, end: str | None = None,
-                   quantile: float = 0.9, minimum: float = 1e-3,
-                   length: Column | None = None) -> tuple[float, int]:
-    """(width, top level) for ``range_join`` from one partial-aggregated pass.
-
-    ``width`` is the ``quantile`` of interval lengths; the top level is the
-    smallest L with ``max length <= width * 2**L``.
-    """
-    ln = length if length is not None else F.col(end) - F.col(start)
-    row = intervals.select(F.percentile_approx(ln, quantile, 1000).alias("w"),
-                           F.max(ln).alias("m")).first()
-    w = row["w"] if row is not None else None
-    width = 1.0 if w is None or not math.isfinite(w) else max(float(w), minimum)
-    m = row["m"] if row is not None else None
-    top = 0
-    if m is not None and math.isfinite(m) and m > width:
-        top = int(math.ceil(math.log2(m / width)))
-    return width, min(top, 62)
+def bucket_of(t: Column, level: Column) -> Column:
+    return F.floor(t / F.pow(F.lit(2.0), level)).cast("bigint")
 
 
-def _level_width(level: Column, width: float) -> Column:
-    return F.lit(width) * F.pow(F.lit(2.0), level)
+def bucketed(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """Intervals with their level and the buckets they touch (two, or three by rounding)."""
+    rows = intervals.where(F.col(start) <= F.col(end)) \
+        .withColumn(LEVEL, level_of(F.col(end) - F.col(start)))
+    return rows.withColumn(BUCKET, F.explode(F.sequence(bucket_of(F.col(start), F.col(LEVEL)),
+                                                        bucket_of(F.col(end), F.col(LEVEL)))))
 
 
 def range_join(probes: DataFrame, intervals: DataFrame, keys: list[str], t: str,
-               start: str, end: str, width: float | None = None, how: str = "inner",
-               end_inclusive: bool = True, top_level: int | None = None,
-               scale: tuple[float, int] | None = None) -> DataFrame:
+               start: str, end: str, how: str = "inner", end_inclusive: bool = True,
+               closed: str | None = None) -> DataFrame:
     """Join ``probes`` (keys..., t, ...) to ``intervals`` (keys..., start, end, ...).
 
-    Multi-level buckets keep the join exact and bounded: an interval lives at
-    the smallest level L whose bucket width ``width * 2**L`` holds its length,
-    so it touches about two buckets of that level however long it is; each
-    probe is bucketed once per level (``top_level + 1`` copies). The equi-key is
-    ``(keys..., level, bucket)`` and the range test sits in the join condition.
-    Left joins use a single level, so unmatched probes appear exactly once. Interval columns other
-    than the keys must not clash with probe columns. Empty intervals
-    (``end < start``, or ``end == start`` with an exclusive end) never match.
+    ``end_inclusive`` says whether an interval holds its end; ``closed`` names a
+    boolean interval column that says so row by row. With ``how="left"`` a probe
+    without a hit keeps its row with nulls. Interval columns other than the keys
+    must not clash with probe columns. Empty intervals never match.
     """
-    if scale is not None:
-        width, top_level = scale
-    elif width is None or top_level is None:
-        w, top = interval_scale(intervals, start, end)
-        width = w if width is None else width
-        top_level = top if top_level is None else top_level
-        if width != w:  # explicit width: recompute the top level for it
-            m_top = top + int(math.ceil(math.log2(max(w / width, 1.0))))
-            top_level = max(top_level, m_top)
-    if how != "inner":
-        # Left joins bucket each probe once (one level), so unmatched probes stay
-        # single without a second pass. Their intervals explode by
-        # length / width; the library's left joins run over consecutive frame
-        # pairs, whose total explosion is bounded by track duration / width.
-        top_level = 0
-    length = F.col(end) - F.col(start)
-    level = F.least(F.lit(top_level), F.greatest(
-        F.lit(0), F.ceil(F.log2(length / F.lit(width))))).cast("int")
-    lw = _level_width(F.col("_il"), width)
-    ib = intervals.where(F.col(start) <= F.col(end)).withColumn("_il", level) \
-        .withColumn("_ib", F.explode(F.sequence(F.floor(F.col(start) / lw).cast("bigint"),
-                                                F.floor(F.col(end) / lw).cast("bigint"))))
-    renamed = {k: f"_k_{k}" for k in keys}
-    for k, v in renamed.items():
-        ib = ib.withColumnRenamed(k, v)
-    levels = F.array(*[F.lit(i) for i in range(top_level + 1)])
-    pb = probes.withColumn("_pl", F.explode(levels)) if top_level > 0 else \
-        probes.withColumn("_pl", F.lit(0))
-    pb = pb.withColumn(BUCKET, F.floor(F.col(t) / _level_width(F.col("_pl"), width)).cast("bigint"))
-    cond = [pb[k] == ib[renamed[k]] for k in keys] + [pb["_pl"] == ib["_il"],
-                                                       pb[BUCKET] == ib["_ib"],
-                                                       pb[t] >= ib[start]]
-    cond.append(pb[t] <= ib[end] if end_inclusive else pb[t] < ib[end])
-    out = pb.join(ib, on=cond, how=how)
-    return out.drop(BUCKET, "_pl", "_ib", "_il", *renamed.values())
+    levels = intervals.where(F.col(start) <= F.col(end)).groupBy(*keys).agg(
+        F.collect_set(level_of(F.col(end) - F.col(start))).alias(LEVELS))  # HIGHEST - LOWEST + 1 at most
+    wanted = probes if how == "inner" else probes.select(*keys, t).distinct()
+    pb = wanted.join(levels, keys).withColumn(LEVEL, F.explode(LEVELS)).drop(LEVELS)
+    pb = pb.withColumn(BUCKET, bucket_of(F.col(t), F.col(LEVEL)))
+    after = F.col(t) <= F.col(end) if end_inclusive else F.col(t) < F.col(end)
+    if closed is not None:
+        after = (F.col(t) < F.col(end)) | (F.col(closed) & (F.col(t) == F.col(end)))
+    hits = pb.join(bucketed(intervals, start, end), [*keys, LEVEL, BUCKET]) \
+        .where((F.col(t) >= F.col(start)) & after).drop(LEVEL, BUCKET)
+    return hits if how == "inner" else probes.join(hits, [*keys, t], "left")

@@ -12,20 +12,20 @@ BOX = "STRUCT<left: DOUBLE, top: DOUBLE, right: DOUBLE, bottom: DOUBLE>"
 SHOT = SEGMENT
 EXPLICIT = f"STRUCT<frames: ARRAY<STRUCT<time_offset: {OFFSET}, pornography_likelihood: STRING>>>"
 LABEL = (f"STRUCT<entity: {ENTITY}, category_entities: ARRAY<{ENTITY}>, "
-         f"segments: ARRAY<STRUCT<segment: {SEGMENT}, confidence: FLOAT>>>")
-TEXT = (f"STRUCT<text: STRING, segments: ARRAY<STRUCT<segment: {SEGMENT}, confidence: FLOAT, "
+         f"segments: ARRAY<STRUCT<segment: {SEGMENT}, confidence: DOUBLE>>>")
+TEXT = (f"STRUCT<text: STRING, segments: ARRAY<STRUCT<segment: {SEGMENT}, confidence: DOUBLE, "
         f"frames: ARRAY<STRUCT<time_offset: {OFFSET}, "
         f"rotated_bounding_box: STRUCT<vertices: ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>>>>>")
-OBJECT = (f"STRUCT<entity: {ENTITY}, confidence: FLOAT, segment: {SEGMENT}, "
+OBJECT = (f"STRUCT<entity: {ENTITY}, confidence: DOUBLE, segment: {SEGMENT}, "
           f"frames: ARRAY<STRUCT<time_offset: {OFFSET}, normalized_bounding_box: {BOX}>>>")
 TIMED_BOX = f"STRUCT<time_offset: {OFFSET}, normalized_bounding_box: {BOX}>"
-LOGO = (f"STRUCT<entity: {ENTITY}, tracks: ARRAY<STRUCT<segment: {SEGMENT}, confidence: FLOAT, "
+LOGO = (f"STRUCT<entity: {ENTITY}, tracks: ARRAY<STRUCT<segment: {SEGMENT}, confidence: DOUBLE, "
         f"timestamped_objects: ARRAY<{TIMED_BOX}>>>>")
-PERSON = (f"STRUCT<confidence: FLOAT, tracks: ARRAY<STRUCT<segment: {SEGMENT}, confidence: FLOAT, "
+PERSON = (f"STRUCT<confidence: DOUBLE, tracks: ARRAY<STRUCT<segment: {SEGMENT}, confidence: DOUBLE, "
           f"timestamped_objects: ARRAY<STRUCT<time_offset: {OFFSET}, normalized_bounding_box: {BOX}, "
           f"landmarks: ARRAY<STRUCT<name: STRING, point: STRUCT<x: DOUBLE, y: DOUBLE>>>>>>>>")
-FACE = (f"STRUCT<thumbnail: STRING, tracks: ARRAY<STRUCT<segment: {SEGMENT}, confidence: FLOAT, "
-        f"attributes: ARRAY<STRUCT<name: STRING, confidence: FLOAT>>, "
+FACE = (f"STRUCT<thumbnail: STRING, tracks: ARRAY<STRUCT<segment: {SEGMENT}, confidence: DOUBLE, "
+        f"attributes: ARRAY<STRUCT<name: STRING, confidence: DOUBLE>>, "
         f"timestamped_objects: ARRAY<{TIMED_BOX}>>>>")
 SPEECH = (f"STRUCT<alternatives: ARRAY<STRUCT<transcript: STRING, words: ARRAY<STRUCT<"
           f"word: STRING, start_time: {OFFSET}, end_time: {OFFSET}>>>>>")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,15 +37,20 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh directory under the cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` names storage every executor can reach; it is
-    read from the session. Only when it is unset (local runs, tests) is a
-    scratch folder chosen and registered.
+    read from the session. Only a local session may go without: there a scratch
+    folder is chosen, registered, and removed at exit. Elsewhere executors would
+    write to their own disks, so an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not base and sc is not None:
         base = sc.getCheckpointDir()
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="shotgrid-ckpt-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
         if sc is not None:
             sc.setCheckpointDir(base)
@@ -51,6 +58,20 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return path
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system remove ``path`` when the application ends."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+
+
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: changes when the table does."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(jpath) if fs.exists(jpath) else []
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _context(spark: SparkSession):
     """The SparkContext of a classic session; None under Spark Connect."""
     try:

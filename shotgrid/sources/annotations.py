@@ -24,15 +24,14 @@ class Scan:
 
 
 def split_corrupt(raw: DataFrame) -> Scan:
-    """FLT-10 + quarantine: a document is valid only with ``annotation_results``.
+    """FLT-10 + quarantine: a document is valid only if it parses whole and has ``annotation_results``.
 
-    Cached first: Spark refuses a query that touches only the corrupt column
-    of an unparsed JSON source.
+    Both sides read ``annotation_results`` beside the corrupt column (Spark
+    refuses a query on the latter alone), so nothing needs to be cached.
     """
-    raw = raw.cache()
-    bad = F.col(CORRUPT).isNotNull() | F.col("annotation_results").isNull()
-    good = raw.where(~bad).drop(CORRUPT)
-    quarantine = raw.where(bad).select("file", F.col(CORRUPT).alias("record"))
+    has = F.col("annotation_results").isNotNull()
+    good = raw.where(F.col(CORRUPT).isNull() & has).drop(CORRUPT)
+    quarantine = raw.where(F.col(CORRUPT).isNotNull() | ~has).select("file", F.col(CORRUPT).alias("record"))
     return Scan(good, quarantine)
 
 
@@ -60,15 +59,15 @@ def parse_annotations(texts: DataFrame, text_col: str = "value", file_col: str =
 
     ``features`` narrows the parse schema like ``read_annotations`` does.
     """
-    schema = S.reduced_schema(features, None) if features else S.annotation_schema(None)
-    parsed = F.from_json(F.col(text_col), schema.simpleString(), {"mode": "PERMISSIVE"})
+    schema = S.reduced_schema(features) if features else S.annotation_schema(CORRUPT)
+    parsed = F.from_json(F.col(text_col), schema.simpleString(),
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     raw = texts.select(F.col(file_col).alias("file"), parsed.alias("j"), F.col(text_col).alias("t"))
+    whole = F.col(f"j.{CORRUPT}").isNull() & F.col("j.annotation_results").isNotNull()
     raw = raw.select("file", F.col("j.annotation_results").alias("annotation_results"),
-                     F.when(F.col("j").isNull() | F.col("j.annotation_results").isNull(),
-                            F.col("t")).alias(CORRUPT))
-    bad = F.col(CORRUPT).isNotNull()
-    return Scan(raw.where(~bad).drop(CORRUPT),
-                raw.where(bad).select("file", F.col(CORRUPT).alias("record")))
+                     F.when(~F.coalesce(whole, F.lit(False)), F.col("t")).alias(CORRUPT))
+    return Scan(raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT),
+                raw.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("record")))
 
 
 def read_arrivals(spark: SparkSession, path: str) -> DataFrame:

@@ -7,20 +7,21 @@ and the oracle recomputes the same answers from the flat rows.
 
 Mapping (events -> one document per user = video):
 
-* a document holds one user's events within a block of ``EVENT_BLOCK``
-  consecutive event ids (video = (user, block)), so its size is bounded
-  however skewed the users are;
+* a document holds all events of one user (video = user), at every scale, as
+  the annotation service writes one file per video;
 * ``off`` = microseconds since 2024-01-01 00:00:00, ``seconds = off div 1e6``,
   ``nanos = (off % 1e6) * 1000``; events ordered by ``(off, event_id)``.
-* ``conf = CAST(least(floor(value / 10) / 10, 1.0) AS FLOAT)``;
+* ``conf = least(floor(value / 10) / 10, 1.0)``;
   ``off2 = off + k * 1800 s`` where ``k`` is ``props.k``.
 * result 0: shots starting before day 15, explicit frames (all events),
   segment labels, text; result 1: shots from day 15 on, shot labels,
   object, logo, person and face tracks. Shots are ``[off_i, off_{i+1})``.
-* one parent per (user, event_type) for labels/text/tracks.
+* one parent per (user, event_type) for labels/text/tracks; a logo's events are
+  two tracks, the earlier and the later half.
+* videos of users with ``user_id % 7 = 3`` carry no explicit frames, those with
+  ``user_id % 7 = 5`` no logos, persons or faces.
 
-Conversations -> one document per (conversation, block of TURN_BLOCK turns)
-holding speech transcriptions
+Conversations -> one document per conversation holding speech transcriptions
 (one per turn; word i starts at ``turn * 1000 + i * 0.5`` s and lasts 0.5 s).
 Documents -> chunk tags and model outputs for the catalogue.
 
@@ -41,10 +42,7 @@ HALF_MICROS = 15 * 86400 * 1_000_000
 LANG_BY_USER_MOD4 = ["fr-FR", "es-ES", "de-DE", "en-US"]
 LIKELIHOOD_BY_EVENT = {"view": "VERY_UNLIKELY", "signup": "UNLIKELY", "click": "POSSIBLE",
                        "purchase": "LIKELY", "error": "VERY_LIKELY"}
-# A folded document never holds more than EVENT_BLOCK events (one user's events
-# within a block of consecutive event ids) or TURN_BLOCK turns, whatever the skew.
-EVENT_BLOCK = 10_000
-TURN_BLOCK = 1_000
+NO_EXPLICIT, NO_TRACKS = 3, 5  # user_id % 7 of videos without these features
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,28 +60,21 @@ def segment(a: Column, b: Column) -> Column:
     return F.struct(offset(a).alias("start_time_offset"), offset(b).alias("end_time_offset"))
 
 
-def user_uri(user_id: Column, block: Column | None = None) -> Column:
+def user_uri(user_id: Column) -> Column:
     lang = F.element_at(F.array(*[F.lit(x) for x in LANG_BY_USER_MOD4]),
                         (user_id % 4 + 1).cast("int"))
-    name = user_id.cast("string") if block is None else F.concat(
-        user_id.cast("string"), F.lit("-"), block.cast("string"))
-    return F.concat(F.lit("/bucket/"), lang, F.lit("/"), name, F.lit(".mp4"))
-
-
-def _block(c: Column, size: int) -> Column:
-    return ((c - c % F.lit(size)) / F.lit(size)).cast("bigint")
+    return F.concat(F.lit("/bucket/"), lang, F.lit("/"), user_id.cast("string"), F.lit(".mp4"))
 
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     off = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{EPOCH}', ts)")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    block = _block(F.col("event_id"), EVENT_BLOCK)
     return (ev.select(
-        "event_id", "user_id", block.alias("block"), "event_type", "value",
+        "event_id", "user_id", "event_type", "value",
         off.alias("off"), k.alias("k"),
-        F.least(F.floor(F.col("value") / 10) / 10, F.lit(1.0)).cast("float").alias("conf"),
-        user_uri(F.col("user_id"), block).alias("input_uri"))
+        F.least(F.floor(F.col("value") / 10) / 10, F.lit(1.0)).alias("conf"),
+        user_uri(F.col("user_id")).alias("input_uri"))
         .withColumn("off2", F.col("off") + F.col("k") * F.lit(1_800_000_000)))
 
 
@@ -125,7 +116,7 @@ def _landmarks(e: Column) -> Column:
 
 def _parents(ev: DataFrame) -> DataFrame:
     """One parent record per (user, event_type) for every feature."""
-    g = ev.groupBy("user_id", "block", "event_type").agg(F.sort_array(F.collect_list(
+    g = ev.groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(
         F.struct("off", "event_id", "off2", "conf", "k", "value"))).alias("evs"))
     evs = F.col("evs")
     first, last = F.element_at(evs, 1), F.element_at(evs, -1)
@@ -147,9 +138,19 @@ def _parents(ev: DataFrame) -> DataFrame:
         _landmarks(e).alias("landmarks")))
     attributes = F.array(
         F.struct(F.lit("smiling").alias("name"), first["conf"].alias("confidence")),
-        F.struct(F.lit("glasses").alias("name"), (first["k"] / 100).cast("float").alias("confidence")))
+        F.struct(F.lit("glasses").alias("name"), (first["k"] / 100).alias("confidence")))
+    half = F.floor(F.size(evs) / 2).cast("int")
+
+    def logo_track(part):
+        return F.struct(segment(F.element_at(part, 1)["off"], F.element_at(part, -1)["off"]).alias("segment"),
+                        F.element_at(part, 1)["conf"].alias("confidence"),
+                        F.transform(part, lambda e: F.struct(
+                            offset(e["off"]).alias("time_offset"), _box(e).alias("normalized_bounding_box")))
+                        .alias("timestamped_objects"))
+
+    halves = F.filter(F.array(F.slice(evs, F.lit(1), half), F.slice(evs, half + 1, F.size(evs))), lambda x: F.size(x) > 0)
     return g.select(
-        "user_id", "block",
+        "user_id",
         F.struct(
             et.alias("event_type"),
             F.struct(et.alias("text"), text_segments.alias("segments")).alias("text"),
@@ -157,9 +158,7 @@ def _parents(ev: DataFrame) -> DataFrame:
                      label_segments.alias("segments")).alias("label"),
             F.struct(entity.alias("entity"), first["conf"].alias("confidence"),
                      span.alias("segment"), frames.alias("frames")).alias("object"),
-            F.struct(entity.alias("entity"), F.array(F.struct(
-                span.alias("segment"), first["conf"].alias("confidence"),
-                frames.alias("timestamped_objects"))).alias("tracks")).alias("logo"),
+            F.struct(entity.alias("entity"), F.transform(halves, logo_track).alias("tracks")).alias("logo"),
             F.struct(last["conf"].alias("confidence"), F.array(F.struct(
                 span.alias("segment"), first["conf"].alias("confidence"),
                 person_frames.alias("timestamped_objects"))).alias("tracks")).alias("person"),
@@ -186,7 +185,7 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events -> one annotation document per user with two results."""
     ev = flat_events(spark, sf_dir)
     lik = F.create_map(*[x for k, v in LIKELIHOOD_BY_EVENT.items() for x in (F.lit(k), F.lit(v))])
-    per_user = ev.groupBy("user_id", "block", "input_uri").agg(
+    per_user = ev.groupBy("user_id", "input_uri").agg(
         F.sort_array(F.collect_list(F.struct("off", "event_id", "event_type"))).alias("evs"),
         F.max("off").alias("last_off"))
     evs = F.col("evs")
@@ -195,14 +194,14 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               F.element_at(evs, i + 2)["off"].alias("b")))
     to_shot = lambda s: segment(s["a"], s["b"])
     per_user = per_user.select(
-        "user_id", "block", "input_uri",
+        "user_id", "input_uri",
         segment(F.lit(0), F.col("last_off")).alias("video_segment"),
         _nonempty(F.transform(F.filter(pairs, lambda s: s["a"] < HALF_MICROS), to_shot)).alias("shots0"),
         _nonempty(F.transform(F.filter(pairs, lambda s: s["a"] >= HALF_MICROS), to_shot)).alias("shots1"),
         F.transform(evs, lambda e: F.struct(
             offset(e["off"]).alias("time_offset"),
             lik[e["event_type"]].alias("pornography_likelihood"))).alias("explicit_frames"))
-    parents = _parents(ev).groupBy("user_id", "block").agg(
+    parents = _parents(ev).groupBy("user_id").agg(
         F.sort_array(F.collect_list("p")).alias("ps"))
     ps = F.col("ps")
     def field(name):
@@ -210,17 +209,18 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     feats = {f: field(f) for f in ("text", "label", "object", "logo", "person", "face")}
     uri, seg = F.col("input_uri"), F.col("video_segment")
+    kind = F.col("user_id") % 7
+    tracked = {f: F.when(kind != NO_TRACKS, feats[f]) for f in ("logo", "person", "face")}
     r0 = _result(input_uri=uri, segment=seg, shot_annotations=F.col("shots0"),
-                 explicit_annotation=F.struct(F.col("explicit_frames").alias("frames")),
+                 explicit_annotation=F.when(kind != NO_EXPLICIT, F.struct(F.col("explicit_frames").alias("frames"))),
                  segment_label_annotations=feats["label"], text_annotations=feats["text"])
     r1 = _result(input_uri=uri, segment=seg, shot_annotations=F.col("shots1"),
                  shot_label_annotations=feats["label"], object_annotations=feats["object"],
-                 logo_recognition_annotations=feats["logo"],
-                 person_detection_annotations=feats["person"],
-                 face_detection_annotations=feats["face"])
-    return (per_user.join(parents, ["user_id", "block"])
-            .select(F.concat(F.lit("annotations/"), F.col("user_id").cast("string"), F.lit("-"),
-                             F.col("block").cast("string"), F.lit(".json")).alias("file"),
+                 logo_recognition_annotations=tracked["logo"],
+                 person_detection_annotations=tracked["person"],
+                 face_detection_annotations=tracked["face"])
+    return (per_user.join(parents, "user_id")
+            .select(F.concat(F.lit("annotations/"), F.col("user_id").cast("string"), F.lit(".json")).alias("file"),
                     F.array(r0, r1).alias("annotation_results")))
 
 
@@ -241,9 +241,9 @@ def speech_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         offset(base + i * 500_000 + 500_000).alias("end_time")))
     transcription = F.struct(F.array(F.struct(
         F.col("text").alias("transcript"), words.alias("words"))).alias("alternatives"))
-    per_conv = cv.groupBy("conv_id", _block(F.col("turn"), TURN_BLOCK).alias("tb")).agg(
+    per_conv = cv.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", transcription.alias("t")))).alias("turns"))
-    cid = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("tb").cast("string"))
+    cid = F.col("conv_id").cast("string")
     r = _result(input_uri=F.concat(F.lit("/bucket/speech/"), cid, F.lit(".mp4")),
                 speech_transcriptions=F.transform("turns", lambda x: x["t"]))
     return per_conv.select(F.concat(F.lit("speech/"), cid, F.lit(".json")).alias("file"),
@@ -261,25 +261,53 @@ _STORED: dict[tuple, str] = {}
 def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events") -> DataFrame:
     """The folded documents as a stored annotation table (nested Parquet).
 
-    Folded once per session and input directory, written under the shared
-    checkpoint folder, then read back: operators then scan a stored table with
-    nested-column pruning, as they would over annotations kept in a lake.
+    Folded once per session and state of the input (its files, with their sizes
+    and times), written under the shared checkpoint folder and read back:
+    operators then scan a stored table with nested-column pruning, as they would
+    over annotations kept in a lake. The table goes when the application ends.
     """
-    from shotgrid.session import session_id, shared_dir
-    key = (session_id(spark), sf_dir, kind)
+    from shotgrid.session import file_state, remove_at_exit, session_id, shared_dir
+    table = "events" if kind == "events" else "conversations"
+    key = (session_id(spark), sf_dir, kind, file_state(spark, f"{sf_dir}/{table}.parquet"))
     path = _STORED.get(key)
     if path is None:
         build = event_documents if kind == "events" else speech_documents
         path = shared_dir(spark, "annotations", kind)
         build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        remove_at_exit(spark, path)
         _STORED[key] = path
     return spark.read.parquet(path)
 
 
+BROKEN, HALF_BROKEN = 4, 6  # user_id % 11 of videos whose JSON is cut off, or holds a wrong type
+
+
+def annotation_json(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of annotation JSON lines (shots only), some of them broken or half broken.
+
+    A broken document is cut off; a half-broken one has text where a number belongs.
+    """
+    from shotgrid.session import remove_at_exit, shared_dir
+    docs = stored_documents(spark, sf_dir, "events")
+    slim = F.transform("annotation_results", lambda r: F.struct(r["input_uri"].alias("input_uri"),
+                                                                r["shot_annotations"].alias("shot_annotations")))
+    text = F.to_json(F.struct(slim.alias("annotation_results")))
+    kind = F.regexp_extract("file", r"(\d+)\.json$", 1).cast("bigint") % 11
+    value = (F.when(kind == BROKEN, text.substr(F.lit(1), F.length(text) - 2))
+             .when(kind == HALF_BROKEN, F.concat(
+                 F.lit('{"annotation_results":[{"shot_annotations":[{"start_time_offset":{"seconds":"x5"}}]},'),
+                 F.regexp_replace(text, r"^\{\"annotation_results\":\[", "")))
+             .otherwise(text))
+    path = shared_dir(spark, "annotation_json")
+    docs.select(value.alias("value")).write.text(path)
+    remove_at_exit(spark, path)
+    return path
+
+
 def video_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Player-side video length per uri: whole seconds of the last event + user_id % 5."""
     ev = flat_events(spark, sf_dir)
-    return ev.groupBy("user_id", "block", "input_uri").agg(F.max("off").alias("last_off")).select(
+    return ev.groupBy("user_id", "input_uri").agg(F.max("off").alias("last_off")).select(
         "input_uri",
         (F.floor(F.col("last_off") / 1_000_000) + F.col("user_id") % 5).cast("double").alias("length"))
 
@@ -292,10 +320,8 @@ def probes(spark: SparkSession, sf_dir: str, step: float = 43200.0, n: int = 60)
 
 
 def speech_probes(spark: SparkSession, sf_dir: str, step: float = 250.0, n: int = 32) -> DataFrame:
-    cv = read_table(spark, sf_dir, "conversations").select(
-        "conv_id", _block(F.col("turn"), TURN_BLOCK).alias("tb")).distinct()
-    uri = F.concat(F.lit("/bucket/speech/"), F.col("conv_id").cast("string"), F.lit("-"),
-                   F.col("tb").cast("string"), F.lit(".mp4"))
+    cv = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    uri = F.concat(F.lit("/bucket/speech/"), F.col("conv_id").cast("string"), F.lit(".mp4"))
     return cv.select(uri.alias("input_uri"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")) \
         .select("input_uri", (F.col("i") * F.lit(step)).alias("t"))
 

@@ -40,3 +40,21 @@ def test_scan_reads_one_feature(spark, name):
 def test_flatteners_do_not_shuffle_or_leave_jvm(spark, name):
     p = plan(entry.queries()[name](spark, SF))
     assert "Exchange" not in p and "Python" not in p and "ArrowEvalPython" not in p
+
+
+@pytest.mark.parametrize("name", ["ocr_min_frames", "labels_ranked", "text_tracks", "track_segments",
+                                  "track_segments_merged", "logo_segments_merged"])
+def test_orders_and_merges_inside_a_document_do_not_shuffle(spark, name):
+    p = plan(entry.queries()[name](spark, SF))
+    assert "Exchange" not in p and "rangepartitioning" not in p
+
+
+def test_merge_intervals_deals_rows_once(spark):
+    from shotgrid.operators import summaries
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(10).selectExpr("'k' AS k", "id * 1.0D AS start", "id * 1.5D AS end")
+        p = plan(summaries.merge_intervals(df, ["k"]))
+        assert p.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -80,10 +80,50 @@ def test_score_failover_and_errors(spark):
     got = {r.t: r for r in enrich.score(df, model, "t", endpoints=["r1", "r2"], max_passes=2).collect()}
     assert got["ok"].result == "OK" and got["ok"].endpoint == "r1" and got["ok"].attempts == 1
     assert got["quota"].result == "QUOTA" and got["quota"].endpoint == "r2"
-    assert got["bad"].result.startswith("ERROR: ValueError") and got["bad"].attempts == 2
+    assert got["bad"].result == "ERROR: broken input" and got["bad"].attempts == 2
     assert got["err"].error is not None and got["err"].attempts == 4
 
 
+def test_score_rules_of_the_reference(spark):
+    calls = {}
+
+    def model(text, endpoint):
+        n = calls[text] = calls.get(text, 0) + 1
+        if text == "fenced":                      # a fenced ERROR is an ERROR
+            return "```json ERROR```".replace(" ", "")
+        if text == "reset":                       # a later ERROR answer keeps the loop going
+            if n < 3:
+                if endpoint == "r1":
+                    raise ValueError("hard")
+                return "ERROR"
+            return "fine"
+        return iter(["it's ", "```json", " joined"])
+
+    run = lambda t: enrich._call_with_failover(
+        model, t, ["r1", "r2"], 3, lambda e: isinstance(e, enrich.Retryable), 0.0, {})
+    assert run("fenced") == ("ERROR: ", "", 6, None)
+    assert run("reset") == ("fine", None, 3, "r1")
+    assert run("parts") == ('it"s  joined', None, 1, "r1")
+    enrich.register_model("shout", lambda v, ep, mark: v.upper() + mark, mark="!")
+    df = spark.createDataFrame([("a",)], "t string")
+    assert enrich.score_by_name(df, "shout", "t").first().result == "A!"
+    assert enrich.score_by_name(df, "shout", "t", mark="?").first().result == "A?"
+
+
+def test_half_broken_json_is_quarantined_by_both_readers(spark, tmp_path):
+    good = json.dumps({"annotation_results": [{"input_uri": "/b/v.mp4", "shot_annotations": [seg(0, 9)]}]})
+    half = good.replace('"seconds": 9', '"seconds": "x5"')
+    assert half != good
+    texts = [good, half, good[:-3], '{"other": 1}']
+    (tmp_path / "d.json").write_text("\n".join(texts))
+    read = A.read_annotations(spark, str(tmp_path), multi_line=False)
+    parsed = A.parse_annotations(spark.createDataFrame([("f", t) for t in texts], "file string, value string"))
+    for scan in (read, parsed):
+        assert scan.good.count() == 1 and scan.quarantine.count() == 3
+    assert {r.record for r in parsed.quarantine.collect()} == set(texts[1:])
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_json_overlay_tags_win(spark):
     df = spark.createDataFrame([('{"a": "1", "b": "2"}',)], "j string") \
         .withColumn("tags", F.create_map(F.lit("b"), F.lit("tag")))
@@ -134,25 +174,65 @@ def test_request_job_stream(spark, tmp_path):  # STR-1
 
 
 def test_classify_job_stream(spark, tmp_path):  # STR-3
-    manifest_dir = tmp_path / "manifest"
+    manifest_dir, calls = tmp_path / "manifest", tmp_path / "calls"
+    calls.mkdir()
     rows = [("gs://o/CSA/v/chunks - 1.mp4",), ("gs://o/CSA/v/chunks - 2.mp4",),
             ("gs://o/CSA/v/chunks - 1.json",)]
     spark.createDataFrame(rows, "object_name string").write.parquet(str(manifest_dir))
-    tags = spark.createDataFrame([("gs://o/CSA/v/chunks - 1.mp4", "v", "1")],
-                                 "uri string, video_blobname string, index string")
+    tags = spark.createDataFrame([("gs://o/CSA/v/chunks - 1.mp4", "v", "1", "0.5", "2.5")],
+                                 "uri string, video_blobname string, index string, time_start string, time_stop string")
+    folder = str(calls)
 
     def model(name, endpoint):
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
         if name.endswith("2.mp4"):
             raise ValueError("cannot read")
         return "a description"
 
+    def embed(context, endpoint):
+        return [(0.0, 1.0, [float(len(context)), 2.0])]
+
     out, ckpt = str(tmp_path / "cls"), str(tmp_path / "cls-ckpt")
     jobs.start_classify_job(spark, str(manifest_dir), tags, out, ckpt, model, ["r1"],
-                            "object_name string").awaitTermination()
+                            "object_name string", embed=embed, run_ts="2024-01-01 00:00:00").awaitTermination()
+    assert len(os.listdir(folder)) == 2  # once for each chunk, whatever is written
     res = spark.read.parquet(f"{out}/results").collect()
-    assert [(r.uri, r.description) for r in res] == [("gs://o/CSA/v/chunks - 1.mp4", "a description")]
+    assert [(r.uri, r.description, r.update_time) for r in res] == [
+        ("gs://o/CSA/v/chunks - 1.mp4", "a description", "2024-01-01 00:00:00")]
     fails = spark.read.parquet(f"{out}/failures").collect()
-    assert [r.uri for r in fails] == ["gs://o/CSA/v/chunks - 2.mp4"]  # kept, not dropped; json ignored
+    assert [(r.uri, r.description) for r in fails] == [("gs://o/CSA/v/chunks - 2.mp4", "ERROR: cannot read")]
+    texts = sorted((r.name, r.text) for r in spark.read.parquet(f"{out}/texts").collect())
+    assert texts == [("gs://o/CSA/v/chunks - 1.json", "a description"), ("gs://o/CSA/v/chunks - 2.json", "ERROR: cannot read")]
+    emb = spark.read.parquet(f"{out}/embeddings").collect()
+    assert [(r.description, r["index"], r.start, r.stop, r.embeddings) for r in emb] == [
+        ("a description", 1, 0.0, 1.0, [13.0, 2.0])]  # only the tagged chunk
+    jobs.start_classify_job(spark, str(manifest_dir), tags, out, str(tmp_path / "second"), model, ["r1"],
+                            "object_name string").awaitTermination()
+    assert spark.read.parquet(f"{out}/results").count() == 2  # a fresh checkpoint keeps the old output
+
+
+def test_old_files_are_read_and_outputs_guarded(spark, tmp_path):  # STR-2, STR-4
+    inp = tmp_path / "in"
+    inp.mkdir()
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    write_doc(inp, "v1", [(0, 2), (2, 9)])
+    jobs.start_annotation_job(spark, str(inp), out, ckpt, 5.0).awaitTermination()
+    write_doc(inp, "late", [(0, 6), (6, 20)])
+    two_days = os.path.getmtime(inp / "v1.json") - 2 * 86400
+    os.utime(inp / "late.json", (two_days, two_days))
+
+    def outputs(good, min_seconds):
+        def fail():
+            raise RuntimeError("the cutter broke")
+        return jobs.annotation_outputs(good, min_seconds) | {"chunks": fail}
+
+    jobs.start_annotation_job(spark, str(inp), out, ckpt, 5.0, outputs=outputs).awaitTermination()
+    assert spark.read.parquet(f"{out}/chunks").count() == 1
+    errors = spark.read.parquet(f"{out}/errors").collect()
+    assert [(e.output, e.error) for e in errors] == [("chunks", "the cutter broke")]
+    for table in ("explicit", "ocr", "labels"):
+        assert len(os.listdir(next((tmp_path / "out" / table).glob("run=*")))) == 2
+    assert spark.read.parquet(f"{out}/_parsed").count() == 2  # the late file was read
 
 
 def test_reduced_read_schema(spark, tmp_path):  # SRC-1 with a narrowed JSON schema

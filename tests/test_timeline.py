@@ -105,3 +105,52 @@ def test_polygon_first_covering_segment(spark, docs_from):
     scan = docs_from(doc)
     r = timeline.polygon_at_time(scan.good, probe_df(spark, [1.5]), w=1, h=1).first()
     assert (r.x0, r.x1, r.y2) == (15.0, 16.0, 1.0)
+
+
+def test_likelihood_without_frames_is_empty(spark, docs_from):  # JN-8
+    scan = docs_from({"annotation_results": [{"input_uri": "/b/v.mp4"}]})
+    got = [(r.t, r.likelihood) for r in timeline.likelihood_at_time(scan.good, probe_df(spark, [0, 5])).collect()]
+    assert sorted(got) == [(0.0, ""), (5.0, "")]
+
+
+def logo_doc(*tracks):
+    def fr(t, x):
+        return {"time_offset": off(t), "normalized_bounding_box": {"left": x, "top": 0.0, "right": x + 1, "bottom": 1.0}}
+    return {"annotation_results": [{"input_uri": "/b/v.mp4", "logo_recognition_annotations": [
+        {"entity": {"entity_id": "e", "description": "brand"}, "tracks": [
+            {"segment": seg(a, b), "confidence": c, "timestamped_objects": [fr(t, x) for t, x in frames]}
+            for a, b, c, frames in tracks]}]}]}
+
+
+def test_logo_uses_the_earliest_kept_track_covering_t(spark, docs_from):  # JN-4 / JN-5 on logos
+    doc = logo_doc((0, 4, 0.2, [(0, 50.0), (4, 50.0)]), (0, 4, 0.9, [(0, 1.0), (1, 2.0), (4, 3.0)]),
+                   (2, 9, 0.9, [(2, 10.0), (5, 11.0), (9, 12.0)]))
+    scan = docs_from(doc)
+    probes = probe_df(spark, [0.5, 3, 6, 9, 20])
+    got = {r.t: r.x for r in timeline.box_at_time(scan.good, probes, False, "logo_recognition_annotations", 1, 1).collect()}
+    assert got == {0.5: 1.0, 3.0: 2.0, 6.0: 11.0, 9.0: None}  # 3 lies in two tracks; at 9 the track has no later frame
+
+
+def test_logo_and_object_segments(spark, docs_from):  # AGG-1, AGG-3
+    from shotgrid.operators import summaries
+    scan = docs_from(logo_doc((0, 4, 0.9, []), (2, 6, 0.9, []), (6, 8, 0.9, []), (7, 9, 0.3, [])))
+    feature = "logo_recognition_annotations"
+    r = summaries.track_segments(scan.good, 0.5, feature).first()
+    assert (r.name, r.n_tracks, r.segments) == ("brand", 3, "0.0-4.0;2.0-6.0;6.0-8.0")
+    rows = summaries.track_segments_merged(scan.good, 0.5, feature).collect()
+    assert sorted((r.seg_start, r.seg_end, r.n_merged) for r in rows) == [(0.0, 6.0, 2), (6.0, 8.0, 1)]
+
+
+def test_viewer_numbers_are_64_bit(spark, docs_from):  # FLT-3, NST-11, SCL-13
+    from shotgrid.operators import flatten
+    frame = {"time_offset": off(1), "rotated_bounding_box": {"vertices": [{"x": 0.1, "y": 0.2}, {"x": 0.5, "y": 0.25}]}}
+    doc = {"annotation_results": [{"input_uri": "/b/v.mp4", "face_detection_annotations": [{"tracks": [
+        {"segment": seg(0, 1), "confidence": 0.7, "attributes": [{"name": "smiling", "confidence": 0.7},
+                                                                 {"name": "glasses", "confidence": 0.29}]}]}],
+        "text_annotations": [{"text": "T", "segments": [
+            {"segment": seg(0, 9), "confidence": 0.1, "frames": []},
+            {"segment": seg(1, 2), "confidence": 0.9, "frames": [frame]}]}]}]}
+    scan = docs_from(doc)
+    face = flatten.face_attributes(scan.good, 0.7 - 1e-12).first()
+    assert (face.smiling, face.glasses) == (70, 28) and flatten.face_attributes(scan.good, 0.7).count() == 0
+    assert flatten.text_tracks(scan.good).first().item_id == "12" + "80100" + "400125"
