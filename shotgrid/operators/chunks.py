@@ -3,17 +3,19 @@ one piece per shot (WIN-4).
 
 Shots of one annotation result arrive together in one document row, so the
 sequential merge needs no shuffle: document rows are scanned where they were
-read, with ``mapInArrow`` (Arrow batches in, Arrow batches out). Only the
-shot times cross into Python; the per-row loop holds O(1) state.
+read, with ``mapInArrow`` (Arrow batches of bounded bytes in and out). Only the
+shot times cross into Python, as flat buffers; the loop runs over chunks.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotgrid.functions.scalars import chunk_object_name, segment_end, segment_start, split_gs_uri
+from shotgrid.session import bounded_batches
 
 CHUNK_SCHEMA = ("file string, result_pos int, input_uri string, chunk int, file_chunk int, "
                 "t1 double, t2 double")
@@ -22,19 +24,34 @@ DEFAULT_MIN_SECONDS = 5.0
 
 
 def merge_min_duration(starts, ends, min_seconds):
-    """The sequential rule, on plain lists. Yields (t1, t2) per closed chunk.
+    """The sequential rule. Yields (t1, t2) per closed chunk.
 
     A chunk opens at the first shot after a close and closes at the first
     shot whose end minus the chunk start is strictly above ``min_seconds``;
-    gaps between shots are included and an unclosed tail is dropped.
+    gaps between shots are included and an unclosed tail is dropped. Where ends
+    never fall (shots in time order) the closing shot is found by bisection, so
+    the work follows the chunks, not the shots.
     """
-    open_start = None
-    for a, b in zip(starts, ends):
-        if open_start is None:
-            open_start = a
-        if b - open_start > min_seconds:
-            yield open_start, b
-            open_start = None
+    starts, ends = np.asarray(starts, float), np.asarray(ends, float)
+    rising = bool((ends[1:] >= ends[:-1]).all())
+    i, n = 0, len(ends)
+    while i < n:
+        a = starts[i]
+        k = max(i, int(np.searchsorted(ends, a + min_seconds, "left")) - 1) if rising else i
+        while k > i and ends[k - 1] - a > min_seconds:  # the sum above may round
+            k -= 1
+        while k < n and not ends[k] - a > min_seconds:
+            k += 1
+        if k == n:
+            return
+        yield float(a), float(ends[k])
+        i = k + 1
+
+
+def _inner(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of a list of lists of doubles, and the numbers, as flat buffers."""
+    inner = lists.values
+    return lists.offsets.to_numpy(), inner.offsets.to_numpy(), inner.values.to_numpy(zero_copy_only=False)
 
 
 def _chunk_batches(min_seconds: float):
@@ -45,23 +62,25 @@ def _chunk_batches(min_seconds: float):
 
     def run(batches):
         for rb in batches:
-            files = rb.column("file").to_pylist()
-            uris = rb.column("uris").to_pylist()
-            starts = rb.column("starts").to_pylist()
-            ends = rb.column("ends").to_pylist()
-            cols = ([], [], [], [], [], [], [])
-            for f, us, ss, es in zip(files, uris, starts, ends):
+            results, bounds, starts = _inner(rb.column("starts"))
+            _, _, ends = _inner(rb.column("ends"))
+            uris = rb.column("uris")
+            rows, uri_at, cols = [], [], ([], [], [], [], [])
+            for row in range(rb.num_rows):
                 n_file = 0
-                for pos, (u, s, e) in enumerate(zip(us or [], ss or [], es or [])):
-                    n_res = 0
-                    for t1, t2 in merge_min_duration(s or [], e or [], min_seconds):
-                        n_res += 1
+                for pos in range(results[row + 1] - results[row]):
+                    a, b = bounds[results[row] + pos], bounds[results[row] + pos + 1]
+                    for n_res, (t1, t2) in enumerate(merge_min_duration(starts[a:b], ends[a:b], min_seconds), 1):
                         n_file += 1
-                        for col, v in zip(cols, (f, pos, u, n_res, n_file, t1, t2)):
+                        rows.append(row)
+                        uri_at.append(int(uris.offsets[row].as_py()) + pos)
+                        for col, v in zip(cols, (pos, n_res, n_file, t1, t2)):
                             col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type)
-                                              for c, t in zip(cols, out_schema)],
-                                             schema=out_schema)
+            pos, n_res, n_file, t1, t2 = cols
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("file").take(pa.array(rows, pa.int64())), pa.array(pos, pa.int32()),
+                 uris.values.take(pa.array(uri_at, pa.int64())), pa.array(n_res, pa.int32()),
+                 pa.array(n_file, pa.int32()), pa.array(t1, pa.float64()), pa.array(t2, pa.float64())], schema=out_schema)
 
     return run
 
@@ -78,7 +97,9 @@ def min_duration_chunks(docs: DataFrame, min_seconds: float = DEFAULT_MIN_SECOND
         "file",
         F.col("annotation_results.input_uri").alias("uris"),
         F.transform(shots, lambda s: F.coalesce(F.transform(s, segment_start), empty)).alias("starts"),
-        F.transform(shots, lambda s: F.coalesce(F.transform(s, segment_end), empty)).alias("ends"))
+        F.transform(shots, lambda s: F.coalesce(F.transform(s, segment_end), empty)).alias("ends")) \
+        .where(F.col("starts").isNotNull())
+    bounded_batches(docs.sparkSession)
     return prepared.mapInArrow(_chunk_batches(float(min_seconds)), CHUNK_SCHEMA)
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from shotgrid.functions.scalars import clean_json, context_text
 
 ERROR_PREFIX = "ERROR: "
+# What an embedding call answers: its segments with their vectors.
+EMBEDDING_RESPONSE = "array<struct<start_offset_sec:double,end_offset_sec:double,embedding:array<double>>>"
 
 
 class Retryable(Exception):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shotgrid.functions.scalars import likelihood_name, offset_seconds, segment_end, segment_start
 from shotgrid.operators.flatten import feature_rows
+from shotgrid.session import bounded_batches
 
 # Buckets of the explicit-content summary, as the viewer lists them.
 LIKELIHOOD_BUCKETS = ["VERY_LIKELY", "LIKELY", "POSSIBLE", "UNLIKELY", "VERY_UNLIKELY"]
@@ -132,6 +133,7 @@ def track_segments_merged(docs: DataFrame, threshold: float | None = 0.5,
         t["name"].alias("name"), t["start"].alias("start"), t["end"].alias("end")))
     rows = feature_rows(docs, feature, "first").select("input_uri", tracks.alias("tracks")) \
         .where(F.col("tracks").isNotNull())
+    bounded_batches(docs.sparkSession)
     return rows.mapInArrow(_merge_batches, "input_uri string, name string, seg_start double, seg_end double, n_merged long")
 
 

@@ -699,6 +699,13 @@ SELECT r.video_source, r.description, CAST(e.embedding AS DOUBLE[]) AS embedding
 FROM res r JOIN embeddings e ON e.vec_id = r.doc_id"""
 
 
+_ctx = f"CASE WHEN length(description) > {X.CONTEXT_LIMIT} THEN substring(description, 1, {X.CONTEXT_CUT}) ELSE description END"
+SQL["embeddings_from_model"] = with_(RES) + f"""
+SELECT video_source, description, [CAST(n AS DOUBLE), CAST(b AS DOUBLE)] AS embeddings, CAST(index AS BIGINT) AS index,
+       CAST(0 AS DOUBLE) AS start, CAST(n AS DOUBLE) AS stop
+FROM (SELECT *, length({_ctx}) AS n, length({_ctx}) - length(replace({_ctx}, ' ', '')) AS b FROM res) q"""
+
+
 def oracle_sql() -> dict[str, str]:
     keys = Q.queries().keys()
     return {k: v for k, v in SQL.items() if k in keys}

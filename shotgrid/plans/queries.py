@@ -536,6 +536,19 @@ def q_embeddings_typed(spark, sf):
     return enrich.embedding_rows(responses)
 
 
+def context_model(context, endpoint):
+    """Deterministic stand-in embedding: one segment with the context's length and its blanks."""
+    return [(0.0, float(len(context)), [float(len(context)), float(context.count(" "))])]
+
+
+@query("embeddings_from_model")
+def q_embeddings_from_model(spark, sf):
+    """NST-16 on answers of a scoring call: context of each tagged chunk in, typed rows out."""
+    work = enrich.embedding_requests(_results(spark, sf))
+    answers = enrich.score(work, context_model, "context", result_type=enrich.EMBEDDING_RESPONSE)
+    return sinks.typed(enrich.embedding_rows(answers.withColumnRenamed("result", "video_embeddings")), S.EMBEDDINGS_TYPED)
+
+
 def word_count_model(text, endpoint):
     """Deterministic stand-in model: fails over from the first endpoint on odd lengths."""
     if text is None:

@@ -72,6 +72,16 @@ def file_state(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
+ARROW_BATCH_BYTES = 16 << 20  # of one Arrow batch handed to a Python worker
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, however large single rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) != f"{ARROW_BATCH_BYTES}b":
+        spark.conf.set(key, f"{ARROW_BATCH_BYTES}b")
+
+
 def _context(spark: SparkSession):
     """The SparkContext of a classic session; None under Spark Connect."""
     try:

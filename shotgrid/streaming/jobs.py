@@ -40,7 +40,6 @@ CORRUPT = A.CORRUPT
 
 
 MAX_FILES = 1_000  # of a micro-batch
-EMBEDDING_RESPONSE = "array<struct<start_offset_sec:double,end_offset_sec:double,embedding:array<double>>>"
 
 
 def _file_stream(spark: SparkSession, fmt: str, schema, path: str, max_file_age: str | None,
@@ -181,7 +180,7 @@ def start_classify_job(spark: SparkSession, manifest_dir: str, tags: DataFrame,
         def embeddings():
             work = enrich.embedding_requests(results())
             answers = enrich.score(work, lambda context, ep: [tuple(x) for x in embed(context, ep)], "context",
-                                   endpoints=endpoints, max_passes=max_passes, result_type=EMBEDDING_RESPONSE)
+                                   endpoints=endpoints, max_passes=max_passes, result_type=enrich.EMBEDDING_RESPONSE)
             rows = answers.where("error is null").withColumnRenamed("result", "video_embeddings")
             return sinks.typed(enrich.embedding_rows(rows), S.EMBEDDINGS_TYPED)
 
