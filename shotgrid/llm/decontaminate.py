@@ -178,7 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, contaminated, items, n_equal), one row per distinct doc_id.
+    """(doc_id, contaminated, kept, items, n_equal), one row per distinct doc_id.
 
     ``items`` are the ids of the benchmark items found, in order; ``n_equal`` is
     the best overlap's number of equal words.
@@ -187,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
              .agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("n_equal").alias("n_equal")))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return (ids.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-            .select("doc_id", F.col("items").isNotNull().alias("contaminated"),
+            .select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.col("items").isNull().alias("kept"),
                     F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
                     F.coalesce("n_equal", F.lit(0)).alias("n_equal")))
 
