@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shotgrid.llm import (
-    decontaminate, host_rules, html_extract, near_dedup, packing, secret_scan, sharding, tokens, toxicity, url_filter,
+    decontaminate, host_rules, html_extract, near_dedup, oracle, packing, secret_scan, sharding, tokens, toxicity, url_filter,
 )
 
 
@@ -46,7 +46,7 @@ def op6_html_extraction(spark, sf_dir):
 def op7_host_rules(spark, sf_dir):
     return (host_rules.judge(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    "base_failed", F.col("failed").alias("rules_failed"), "host_rate", "kept"))
+                    "base_failed", F.col("failed").alias("rules_failed"), "kept"))
 
 
 def op8_secret_scan(spark, sf_dir):
@@ -59,7 +59,7 @@ def op9_rendezvous_sharding(spark, sf_dir):
 
 
 def op10_url_filter(spark, sf_dir):
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
 
 
 def pipeline(spark, sf_dir):
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
