@@ -19,7 +19,10 @@ def brute(docs, items):
                 continue
             for shift in range(-len(w) + need, len(h) - need + 1):
                 a, b = max(0, shift), min(len(h), shift + len(w))
-                same = (h[a:b] == w[a - shift:b - shift]).tolist()
+                same = h[a:b] == w[a - shift:b - shift]
+                if same.sum() < 0.8 * need:
+                    continue
+                same = same.tolist()
                 if any(sum(same[k:k + need]) >= 0.8 * need for k in range(len(same) - need + 1)):
                     out.add((d, i))
     return out
