@@ -12,7 +12,9 @@ are the random strings; all other runs are the ordinary identifiers and words.
 Character trigrams of both are counted over every whole text and added up
 before the shuffle; at most ``SYMBOLS**3`` counts of each kind exist whatever
 the corpus holds, which bounds what the driver gets and sends. The limit is
-calibrated on the ``SAMPLE`` secrets and ordinary long runs of smallest hash.
+calibrated on all distinct secrets and ordinary long runs: Spark scores each
+once and counts them in ``BINS`` equal bins over the range of the ratios, so the
+quantiles are right to a bin and depend on the rows alone.
 
 Defined cases: null or empty texts have no spans (the digest is that of the
 empty string); a corpus without any secret gives an untrained model that adds
@@ -29,7 +31,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 SYMBOLS = len(ALPHABET) + 1          # 0 stands for anything else: the edge of a run
 MIN_RANDOM = 16
-SAMPLE = 20_000                      # runs of each kind the limit is calibrated on
+BINS = 1 << 16                       # of the calibration histogram of each kind
 REDACTED = "[secret]"
 _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -122,13 +123,8 @@ def redact(text: str, found) -> str:
     return "".join(out) + text[at:]
 
 
-def _sample(runs: set[str]) -> list[str]:
-    """A batch's share of the calibration sample: the runs of smallest hash."""
-    return sorted(runs, key=lambda r: xxhash.xxh3_64_intdigest(r))[:512]
-
-
 def _count(batches):
-    """Rows (kind, code, n) of trigram counts and (kind, run) of calibration runs."""
+    """Rows (kind, code, n) of trigram counts and (kind, run) of a batch's distinct runs."""
     for batch in batches:
         secrets, rest, ordinary = [], [], set()
         for text in batch.column(0).to_pylist():
@@ -143,10 +139,10 @@ def _count(batches):
                             if not any(a < m.end() and m.start() < b for a, b, *_ in base))
         rows = []
         for kind, parts, runs in (("secret", secrets, set(secrets)), ("plain", rest, ordinary)):
-            n = count_trigrams(b" ".join(t.encode() for t in parts if t))
+            n = count_trigrams(b"  ".join(t.encode() for t in parts if t))   # two edges: no part is another's context
             codes = np.flatnonzero(n)
             rows += [(kind, int(c), int(k), None) for c, k in zip(codes, n[codes])]
-            rows += [(kind, None, 0, r) for r in _sample(runs)]
+            rows += [(kind, None, 0, r) for r in runs]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()),
              pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())],
@@ -163,8 +159,24 @@ def _log_probabilities(counts: np.ndarray) -> np.ndarray:
     return np.log(p).reshape(-1)
 
 
+def _bins(model: Model, low: float, width: float):
+    """Rows (kind, bin) of the mean ratio of each run."""
+    def run(batches):
+        for batch in batches:
+            means = np.array([model.mean(r) for r in batch.column(1).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.clip((means - low) // width, 0, BINS - 1).astype(np.int32), pa.int32())],
+                ["kind", "bin"])
+    return run
+
+
+def quantile(counts: np.ndarray, q: float) -> int:
+    """The bin that holds the value of rank ``q`` (from 0 to 1) of a histogram."""
+    return int(np.searchsorted(np.cumsum(counts), q * (counts.sum() - 1), side="right"))
+
+
 def fit(docs: DataFrame) -> Model:
-    """Train on all texts of ``docs``; the two results are bounded by the alphabet and SAMPLE."""
+    """Train on all texts of ``docs``; the two results are bounded by the alphabet and BINS."""
     counted = stash(map_arrow(docs.select(F.coalesce("text", F.lit("")).alias("text")), _count,
                               "kind string, code int, n long, run string")
                     .groupBy("kind", "code", "run").agg(F.sum("n").alias("n")), "secrets")
@@ -174,12 +186,15 @@ def fit(docs: DataFrame) -> Model:
     if not counts["secret"].any():
         return Model()
     model = Model((_log_probabilities(counts["secret"]) - _log_probabilities(counts["plain"])).astype(np.float32))
-    runs = {kind: [r.run for r in counted.where((F.col("kind") == kind) & F.col("run").isNotNull())
-                   .orderBy(F.xxhash64("run"), "run").limit(SAMPLE).select("run").collect()]
-            for kind in counts}
-    secret = np.array([model.mean(r) for r in runs["secret"] if r])
-    plain = np.array([model.mean(r) for r in runs["plain"] if not r.isdigit()] or [-1.0])
-    low, high = np.quantile(secret, 0.02), np.quantile(plain, 0.999)
+    bottom = float(model.ratio.min())                   # no mean lies outside the ratios
+    width = max((float(model.ratio.max()) - bottom) / BINS, 1e-9)
+    runs = counted.where("run is not null and (kind = 'secret' or not run rlike '^[0-9]+$')").select("kind", "run")
+    binned = map_arrow(runs, _bins(model, bottom, width), "kind string, bin int").groupBy("kind", "bin").agg(F.count("*").alias("n"))
+    seen = {kind: np.zeros(BINS, np.int64) for kind in counts}
+    for r in binned.toLocalIterator():
+        seen[r.kind][r.bin] = r.n
+    low = bottom + width * quantile(seen["secret"], 0.02)
+    high = bottom + width * (quantile(seen["plain"], 0.999) + 1) if seen["plain"].any() else -1.0
     model.limit = float(max(0.0, (low + high) / 2 if high < low else low))
     return model
 

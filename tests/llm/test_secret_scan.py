@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,21 @@ def test_markov_ratio_tells_random_from_ordinary(model):
     assert not any(map(hit, plain)) and not hit("4041894974608795") and not hit("averylongordinarywordwithoutdigits")
 
 
+def test_limit_is_calibrated_on_all_runs(documents):
+    rng = random.Random(3)
+    secrets = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(22)) for _ in range(3000)]
+    plain = sorted({"-".join(rng.choice(("here", "there", "reading", "words", "of", "text", "and")) for _ in range(5)) + f"-{rng.randint(1, 99)}"
+                    for _ in range(4000)})
+    plain += ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(22)) for _ in range(60)]   # the limit is above 0
+    docs = documents(*[(i, f"token={s}") for i, s in enumerate(secrets)], *[(9000 + i, f"see {p} here") for i, p in enumerate(plain)])
+    one, many = S.fit(docs.coalesce(1)), S.fit(docs.repartition(16))
+    assert one.limit == many.limit
+    runs = [p for p in plain if len(p) >= 16]
+    assert len(runs) > 2000
+    low, high = (np.quantile([one.mean(r) for r in rs], q, method="lower") for rs, q in ((secrets, 0.02), (runs, 0.999)))
+    assert one.limit > 0 and abs(one.limit - ((low + high) / 2 if high < low else low)) < 0.01
+
+
 def test_trigram_counts_do_not_depend_on_slices():
     data = " ".join(f"ab{i}Z-é" for i in range(500)).encode()
     assert (S.count_trigrams(data) == S.count_trigrams(data, 7)).all()
