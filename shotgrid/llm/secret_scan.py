@@ -3,8 +3,8 @@
 Base spans (code points, end exclusive) are leftmost and non-overlapping per
 kind: ``assign`` (a named value of 6+ characters), ``access`` (AKIA..., 20+) and
 ``hex`` (24+ digits). The method adds spans of kind ``random``: runs of 16 or
-more characters of secrets (letters, digits, ``+/_=-``) with a letter and a
-digit, outside base spans, whose log-likelihood ratio per character between a
+more characters of secrets (letters, digits, ``+/_=-``) with a letter (numbers
+and ruled lines are none), outside base spans, whose log-likelihood ratio per character between a
 model of random strings and one of ordinary text reaches a calibrated limit.
 
 Training: the labelled samples are the corpus itself. The values in base spans
@@ -97,7 +97,7 @@ def random_spans(text: str, base: list, model: Model) -> list[tuple[int, int, st
     for word in _LONG.finditer(text):
         for m in _RUN.finditer(text, word.start(), word.end()):
             run = m[0]
-            if (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+            if (any(c.isalpha() for c in run)
                     and not any(a < m.end() and m.start() < b for a, b, *_ in base)
                     and model.mean(run) >= model.limit):
                 out.append((m.start(), m.end(), "random", m.start()))
@@ -188,7 +188,7 @@ def fit(docs: DataFrame) -> Model:
     model = Model((_log_probabilities(counts["secret"]) - _log_probabilities(counts["plain"])).astype(np.float32))
     bottom = float(model.ratio.min())                   # no mean lies outside the ratios
     width = max((float(model.ratio.max()) - bottom) / BINS, 1e-9)
-    runs = counted.where("run is not null and (kind = 'secret' or not run rlike '^[0-9]+$')").select("kind", "run")
+    runs = counted.where("run is not null and (kind = 'secret' or run rlike '[A-Za-z]')").select("kind", "run")
     binned = map_arrow(runs, _bins(model, bottom, width), "kind string, bin int").groupBy("kind", "bin").agg(F.count("*").alias("n"))
     seen = {kind: np.zeros(BINS, np.int64) for kind in counts}
     for r in binned.toLocalIterator():

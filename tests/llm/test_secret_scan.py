@@ -58,6 +58,14 @@ def test_markov_ratio_tells_random_from_ordinary(model):
     assert not any(map(hit, plain)) and not hit("4041894974608795") and not hit("averylongordinarywordwithoutdigits")
 
 
+def test_letters_alone_can_be_random(model):
+    rng = random.Random(5)
+    hit = lambda run: bool(S.random_spans(f"see {run} there", [], model))
+    for letters, share in (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.95), ("abcdefghijklmnopqrstuvwxyz", 0.8), ("abcdefghijklmnop", 0.8)):
+        assert sum(hit("".join(rng.choice(letters) for _ in range(20))) for _ in range(200)) >= share * 200
+    assert not any(map(hit, ("=" * 40, "-" * 40, "1234567890123456", "internationalization", "Donaudampfschifffahrtsgesellschaft")))
+
+
 def test_limit_is_calibrated_on_all_runs(documents):
     rng = random.Random(3)
     secrets = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(22)) for _ in range(3000)]
