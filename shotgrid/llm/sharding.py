@@ -6,7 +6,7 @@ a key's shard depends on nothing but the key and the shards, and a further
 shard takes records only into itself.
 
 Slots number the rows of a shard from 0 without gaps: rows are dealt by ranges
-of (shard, key), counted by shard and range, and numbered inside each range
+of (shard, key, place in the input), counted by shard and range, and numbered inside each range
 from the sum of the counts before it; no task sees a whole shard, and only the
 small columns move, never the texts.
 
@@ -57,11 +57,13 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, new_weigh
                     F.when(F.col("extra") < F.col("best.cost"), extra).otherwise(F.col("best.shard")).alias("grown_shard")))
     rows = stash(rows, "shards")
     order = ["doc_id", "text_crc32", "size"]
-    dealt = stash(rows.repartitionByRange("shard", *order).withColumn("range", F.spark_partition_id()), "shards")
+    # equal rows too are dealt over many ranges
+    salted = rows.withColumn("salt", F.monotonically_increasing_id())
+    dealt = stash(salted.repartitionByRange("shard", *order, "salt").withColumn("range", F.spark_partition_id()), "shards")
     counts = dealt.groupBy("shard", "range").agg(F.count("*").alias("n"))  # shards x ranges rows at most
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("shard", "range").orderBy(*order)
+    inside = Window.partitionBy("shard", "range").orderBy(*order, "salt")
     return (dealt.withColumn("place", F.row_number().over(inside)).join(offsets, ["shard", "range"])
             .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
                     (F.col("before") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard"))

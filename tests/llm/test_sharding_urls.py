@@ -130,3 +130,22 @@ def test_url_defined_cases(spark):
     assert by[4].verdict == "allow" and by[5].verdict == "block" and {r.verdict for r in got} <= {"allow", "block"}
     assert U.judge(pages.where("false")).count() == 0
     assert {r.verdict for r in U.judge(pages.where("page_id in (1, 4, 6)")).collect()} == {"allow"}
+
+
+def test_equal_rows_are_dealt_over_many_ranges(spark, documents, monkeypatch):
+    written = []
+    monkeypatch.setattr(sharding, "stash", lambda df, name, put=sharding.stash: written.append(put(df, name)) or written[-1])
+    rows = documents(*[(7, "hot")] * 4000, *[(100 + i, "cold") for i in range(4000)]).repartition(4)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"     # so few rows would be one range again
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = sharding.shard(rows).collect()
+    finally:
+        spark.conf.set(coalesce, before)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 8000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    dealt = [r["count"] for r in written[-1].where("doc_id = 7").groupBy("range").count().collect()]
+    assert sum(dealt) == 4000 and max(dealt) <= 2000
