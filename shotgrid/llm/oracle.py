@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from shotgrid.llm import decontaminate as D
 from shotgrid.llm import host_rules as H
+from shotgrid.llm import merkle as M
+from shotgrid.llm import topk_search as K
 from shotgrid.llm import url_filter as U
 
 UPPER, LOWER = U.UPPER, U.LOWER
@@ -163,5 +165,66 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN s >= lim THEN 'all
 FROM urls JOIN score USING (page_id), cut"""
 
 
+SQL["op11_topk_search"] = f"""
+WITH whole AS (
+  SELECT row_number() OVER () AS row_id, vec_id,
+         list_transform(embedding, lambda x: floor({K.FACTOR} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.row_id AS query_row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON c.row_id <> q.row_id WHERE q.vec_id % {K.EVERY} = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K.K}"""
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+# the checksum of decimal text, bit by bit: 8 steps (-1) after each character
+_CRC = ("xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length({0}) + 1), "
+        "lambda i: list_concat([CAST(ascii(substr({0}, i, 1)) AS BIGINT)], list_transform(range(8), lambda k: CAST(-1 AS BIGINT)))))), "
+        "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)")
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE
+leaves AS (
+  SELECT doc_id, lang, leaf, tampered, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         row_number() OVER () AS row_id, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, {_LEAF.replace("{n}", "n_chars")} AS leaf,
+               CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % {M.TAMPERED} = 0
+                    THEN {_LEAF.replace("{n}", "(n_chars + 1)")} END AS tampered FROM documents)),
+nodes AS (
+  SELECT lang, 0 AS level, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, (n + 1) // 2, sha256(digest || coalesce(next, ''))
+  FROM (SELECT *, lead(digest) OVER (PARTITION BY lang ORDER BY idx) AS next FROM nodes WHERE n > 1) WHERE idx % 2 = 0),
+subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, idx, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(digest || coalesce(next, ''))
+  FROM (SELECT *, lead(digest) OVER (ORDER BY idx) AS next FROM upper WHERE n > 1) WHERE idx % 2 = 0),
+climb AS (
+  SELECT row_id, lang, 0 AS level, idx, n, coalesce(tampered, leaf) AS digest, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.row_id, c.lang, c.level + 1, c.idx // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.idx % 2 = 1 THEN s.digest || c.digest ELSE c.digest || coalesce(s.digest, '') END),
+         c.proof || coalesce(s.digest, '')
+  FROM climb c LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.idx = xor(c.idx, 1)
+  WHERE c.n > 1),
+further AS (
+  SELECT c.row_id, 0 AS level, s.idx, s.n, c.digest, c.proof FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang
+  WHERE c.n = 1
+  UNION ALL
+  SELECT c.row_id, c.level + 1, c.idx // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.idx % 2 = 1 THEN s.digest || c.digest ELSE c.digest || coalesce(s.digest, '') END),
+         c.proof || coalesce(s.digest, '')
+  FROM further c LEFT JOIN upper s ON s.level = c.level AND s.idx = xor(c.idx, 1) WHERE c.n > 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root,
+       f.digest = r.digest AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN further f ON f.row_id = l.row_id AND f.n = 1
+JOIN upper r ON r.n = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shotgrid.llm import (
-    decontaminate, host_rules, html_extract, near_dedup, oracle, packing, secret_scan, sharding, tokens, toxicity, url_filter,
+    decontaminate, host_rules, html_extract, merkle, near_dedup, oracle, packing, secret_scan, sharding, token_align, tokens,
+    topk_search, toxicity, url_filter,
 )
 
 
@@ -62,6 +63,18 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op11_topk_search(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % topk_search.EVERY == 0)
+
+
+def op12_token_alignment(spark, sf_dir):
+    return token_align.align_corpus(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.verified(merkle.prove(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -69,7 +82,7 @@ def pipeline(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_packing, op3_minhash_dedup, op4_decontamination, op5_token_counts, op6_html_extraction,
-        op7_host_rules, op8_secret_scan, op9_rendezvous_sharding, op10_url_filter, pipeline)}
+        op7_host_rules, op8_secret_scan, op9_rendezvous_sharding, op10_url_filter, op11_topk_search, op12_token_alignment, op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
