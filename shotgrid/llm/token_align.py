@@ -1,8 +1,12 @@
 """Alignment of two tokenizers' tokens over a corpus, with corpus-wide pair counts.
 
-Both tokenizers encode a whole text. The byte offsets where a token of each ends
-cut the text into groups; a link is a pair of tokens whose byte ranges overlap, so
-the links are the stretches between neighbouring token ends of either side.
+The byte offsets where a token of each ends cut a text into groups; a link is a
+pair of tokens whose byte ranges overlap, so the links are the stretches between
+neighbouring token ends of either side. Where both files allow it (``splits``),
+texts are taken apart before runs of spaces and line ends, where neither tokenizer
+joins and so a group ends; a batch's distinct units are encoded and aligned once,
+and a text's numbers are its units' sums. A text with other white space before
+such a run is one unit.
 
 Identity-map fast path: ``Vocabularies.same`` gives for every A id the B id with
 the same bytes. A group of one A and one B token with ``B = same[A]`` is regular:
@@ -26,7 +30,9 @@ rows; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -41,7 +47,8 @@ from shotgrid.llm.common import doc_texts, map_arrow, stash, utf8
 BYTE_FILE = "byte_bpe_50k.json"          # A: encodes space + text
 PIECE_FILE = "piece_bpe_32k.model"       # B: adds the space itself
 HEAVY = 1 << 16
-SLICE = 1 << 20                          # bytes of texts aligned at once; a longer text is aligned whole
+UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
+JOINED = re.compile(r"[^\S \n][ \n]")
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -84,6 +91,20 @@ class Vocabularies:
         text = lambda n, end: np.array([f"{i}{end}".encode() for i in range(n)], object)
         n, m = len(self.a_bytes), len(self.b_bytes)
         self.a_inner, self.a_last, self.b_inner, self.b_last = text(n, ","), text(n, "|"), text(m, ","), text(m, ";")
+        self.splits = self._splits()
+
+    def _splits(self) -> bool:
+        """Do both files prove that no token reaches over the start of a run of spaces or line ends?
+
+        A: byte level by its usual pattern, where white space never follows another
+        character in a word. B: no piece has a space or a line end behind another character.
+        """
+        config = json.loads(self.a.to_str())
+        words = config["pre_tokenizer"] or {}
+        usual = words.get("type") == "ByteLevel" and words.get("use_regex") and not words.get("add_prefix_space")
+        pieces = [self.b_bytes[i] for i in range(len(self.b_bytes)) if not self.b.is_byte(i)]
+        apart = not any(re.search(rb"[^ ] |\n", x) for x in pieces)
+        return bool(usual and config["normalizer"] is None and apart and self.b.encode("\n")[0] == self.b.piece_to_id("▁"))
 
     def code(self, a, b):
         """A pair as one number."""
@@ -106,62 +127,111 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def _numbered(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets of n documents, distinct values of each, how often)."""
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])])) \
-        if len(doc) else np.empty(0, np.int64)
-    numbers = np.diff(np.concatenate([new, [len(doc)]]))
-    return np.searchsorted(doc[new], np.arange(n + 1)), value[new], numbers
-
-
-def align(v: Vocabularies, texts: list[bytes], with_groups: bool = False) -> dict[str, list | pa.Array]:
+def units_of(text: str, splits: bool) -> list[str]:
+    """A space and the text, taken apart; none for an empty text."""
+    if not text:
+        return []
+    whole = " " + text
+    # other white space before a run joins with it in A
+    return UNIT.findall(whole) if splits and not JOINED.search(whole) else [whole]
+
+
+class Aligned:
+    """Groups and links of some distinct units."""
+
+    def __init__(self, v: Vocabularies, units: list[str]):
+        n = len(units)
+        data = [u.encode() for u in units]
+        a, a_n = flat([e.ids for e in v.a.encode_batch_fast(units, add_special_tokens=False)])
+        # B puts a space in front: the unit's own, or one to be dropped
+        b, b_n = flat([x if u[0] == " " else x[1:] for u, x in zip(
+            units, v.b.encode([u[u[0] == " ":] for u in units], num_threads=1))])
+        wanted = np.array([len(x) for x in data], np.int64)
+        good = (_sums(v.a_size[a], a_n) == wanted) & (_sums(v.b_size[b], b_n) == wanted)
+        a, b = a[np.repeat(good, a_n)], b[np.repeat(good, b_n)]
+        a_n, b_n, wanted = np.where(good, a_n, 0), np.where(good, b_n, 0), np.where(good, wanted, 0)
+        a_spelt, b_spelt = (b"".join(map(t.__getitem__, x.tolist())) for t, x in ((v.a_bytes, a), (v.b_bytes, b)))
+        whole = b"".join(x for x, ok in zip(data, good.tolist()) if ok)
+        spelt = good.copy()
+        if a_spelt != whole or b_spelt != whole:                              # some unit is not spelt by its tokens
+            at = (np.cumsum(wanted) - wanted).tolist()
+            for k in np.flatnonzero(good).tolist():
+                spelt[k] = a_spelt[at[k]:at[k] + len(data[k])] == data[k] == b_spelt[at[k]:at[k] + len(data[k])]
+        self.good = spelt
+        # ends on one axis through all units: a unit's end is an end of both sides
+        a_end, b_end, ends = np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b]), np.cumsum(wanted)
+        both = a_end[np.isin(a_end, b_end, assume_unique=True, kind="sort")]
+        stops = np.sort(np.concatenate([a_end, np.setdiff1d(b_end, both, assume_unique=True)]))
+        i, j = np.searchsorted(a_end, stops), np.searchsorted(b_end, stops)
+        one = (a_end[i] == b_end[j]) & (v.a_size[a[i]] == v.b_size[b[j]])     # one A and one B token
+        regular = one & (v.same[a[i]] == b[j])
+        unit = np.searchsorted(ends, stops)
+        self.sizes = np.stack([a_n, b_n, np.bincount(np.searchsorted(ends, both), minlength=n),
+                               np.bincount(unit, minlength=n)], axis=1)
+        self.same = _ordered(unit[regular], a[i[regular]], n)
+        self.pair = _ordered(unit[~regular], v.code(a[i[~regular]], b[j[~regular]]), n)
+        # groups as text: per group the A ids, then the B ids
+        a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
+        a_text = np.where(both[a_group] == a_end, v.a_last[a], v.a_inner[a])
+        b_text = np.where(both[b_group] == b_end, v.b_last[b], v.b_inner[b])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        pieces = np.concatenate([a_text, b_text])[order].tolist()
+        last = np.cumsum(a_n + b_n).tolist()
+        self.texts = [b"".join(pieces[x:y])[:-1] for x, y in zip([0, *last], last)]
+
+
+def _ordered(unit: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of n units, and their values (``unit`` rises)."""
+    return np.searchsorted(unit, np.arange(n + 1)), value
+
+
+def _added(rows: np.ndarray, units: np.ndarray, times: np.ndarray, lists, n: int):
+    """Per row (offsets, distinct values, how often) of its units' values."""
+    offsets, values = lists
+    size = offsets[units + 1] - offsets[units]
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(offsets[units], size)
+    row, value, times = np.repeat(rows, size), values[place], np.repeat(times, size)
+    order = np.lexsort((value, row))
+    row, value, times = row[order], value[order], times[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(times, first) if len(first) else times
+    return np.searchsorted(row[first], np.arange(n + 1)), value[first], total
+
+
+class _Numbers(dict):
+    """New keys get the next number."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def align(v: Vocabularies, texts: list[bytes], with_groups: bool = False) -> dict[str, pa.Array]:
     """The columns of ``ALIGNED`` from ``n_a`` on, for some whole texts."""
-    n = len(texts)
-    words = [t.decode() for t in texts]
-    a, a_n = flat([e.ids if t else [] for e, t in zip(
-        v.a.encode_batch([" " + t for t in words], add_special_tokens=False), words)])
-    b, b_n = flat(v.b.encode(words, num_threads=1))
-    # texts whose tokens do not spell them have none
-    wanted = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
-    good = (_sums(v.a_size[a], a_n) == wanted) & (_sums(v.b_size[b], b_n) == wanted)
-    a_at, b_at = np.cumsum(a_n) - a_n, np.cumsum(b_n) - b_n
-    al, bl = a.tolist(), b.tolist()
-    for k in np.flatnonzero(good & (wanted > 0)).tolist():
-        whole = b" " + texts[k]
-        good[k] = (b"".join(map(v.a_bytes.__getitem__, al[a_at[k]:a_at[k] + a_n[k]])) == whole and
-                   b"".join(map(v.b_bytes.__getitem__, bl[b_at[k]:b_at[k] + b_n[k]])) == whole)
-    a, b = a[np.repeat(good, a_n)], b[np.repeat(good, b_n)]
-    a_n, b_n, wanted = np.where(good, a_n, 0), np.where(good, b_n, 0), np.where(good, wanted, 0)
-    # ends on one axis through all texts: a text's end is an end of both sides
-    a_end, b_end, ends = np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b]), np.cumsum(wanted)
-    both = np.intersect1d(a_end, b_end, assume_unique=True)
-    stops = np.union1d(a_end, b_end)
-    i, j = np.searchsorted(a_end, stops), np.searchsorted(b_end, stops)
-    one = (a_end[i] == b_end[j]) & (v.a_size[a[i]] == v.b_size[b[j]])        # one A and one B token
-    regular = one & (v.same[a[i]] == b[j])
-    doc = np.searchsorted(ends, stops)
-    filled = np.flatnonzero(wanted)
-    count = lambda at: np.bincount(np.searchsorted(ends, at), minlength=n)
-    # groups as text: per group the A ids, then the B ids
-    a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
-    a_text = np.where(both[a_group] == a_end, v.a_last[a], v.a_inner[a])
-    b_text = np.where(both[b_group] == b_end, v.b_last[b], v.b_inner[b])
-    order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
-    pieces = np.concatenate([a_text, b_text])[order].tolist()
-    ends_in_pieces = np.cumsum(a_n + b_n)
-    groups = [b""] * n
-    for k in filled.tolist():
-        groups[k] = b"".join(pieces[ends_in_pieces[k] - a_n[k] - b_n[k]:ends_in_pieces[k]])[:-1]
-    same = _numbered(doc[regular], a[i[regular]], n)
-    pair = _numbered(doc[~regular], v.code(a[i[~regular]], b[j[~regular]]), n)
+    n, numbers = len(texts), _Numbers()
+    found, sizes = flat([list(map(numbers.__getitem__, units_of(t.decode(), v.splits))) for t in texts])
+    aligned = Aligned(v, list(numbers))
+    bad = _sums((~aligned.good[found]).astype(np.int64), sizes) > 0           # not spelt by its tokens
+    at = np.cumsum(sizes) - sizes
+    found_list = found.tolist()
+    groups = [b"" if no or not size else b";".join([aligned.texts[u] for u in found_list[x:x + size]])
+              for no, x, size in zip(bad.tolist(), at.tolist(), sizes.tolist())]
+    row = np.repeat(np.arange(n), np.where(bad, 0, sizes))
+    found = found[np.repeat(~bad, sizes)]
+    counts = np.stack([np.bincount(row, aligned.sizes[found, c], n) for c in range(4)], axis=1).astype(np.int64)
+    key, times = np.unique(row * np.int64(max(len(numbers), 1)) + found, return_counts=True)
+    rows, units = np.divmod(key, np.int64(max(len(numbers), 1)))
+    same = _added(rows, units, times, aligned.same, n)
+    pair = _added(rows, units, times, aligned.pair, n)
 
     def lists(offsets, values, kind):
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
-    return {"n_a": pa.array(a_n), "n_b": pa.array(b_n), "n_groups": pa.array(count(both).astype(np.int64)),
-            "n_links": pa.array(count(stops).astype(np.int64)),
+    return {"n_a": pa.array(counts[:, 0]), "n_b": pa.array(counts[:, 1]), "n_groups": pa.array(counts[:, 2]),
+            "n_links": pa.array(counts[:, 3]),
             "groups": pa.array([g.decode() for g in groups] if with_groups else [None] * n, pa.string()),
             "groups_sha256": pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string()),
             "same_a": lists(same[0], same[1], pa.int32()), "same_n": lists(same[0], same[2], pa.int32()),
@@ -174,15 +244,9 @@ def _align(byte_file: str, piece_file: str, with_groups: bool):
     def run(batches):
         v = vocabularies(byte_file, piece_file)
         for batch in batches:
-            texts = utf8(batch.column(2))
-            first = size = 0
-            for k, text in enumerate(texts):
-                size += len(text)
-                if size >= SLICE or k + 1 == len(texts):
-                    out = align(v, texts[first:k + 1], with_groups)
-                    out |= {"row": batch.column(0)[first:k + 1], "doc_id": batch.column(1)[first:k + 1]}
-                    yield pa.RecordBatch.from_arrays([out[c] for c in names], names)
-                    first, size = k + 1, 0
+            out = align(v, utf8(batch.column(2)), with_groups)
+            out |= {"row": batch.column(0), "doc_id": batch.column(1)}
+            yield pa.RecordBatch.from_arrays([out[c] for c in names], names)
     return run
 
 

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
+from functools import lru_cache
 
 import public_tokenizers
 import pytest
@@ -13,9 +15,11 @@ from shotgrid.llm import token_align as A
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "▁ x"), (4, "<s> <|endoftext|> </s><unk> <0x41>"), (5, "日本語テキスト\n\n  ab\t é \r\n"),
-       (None, "the the the"), (7, "\x00a▁"), (8, "a" * 5000), (9, " lead"), (9, " lead"), (10, "aaaa aaa aa a" * 40)]
+       (None, "the the the"), (7, "\x00a▁"), (8, "a" * 5000), (9, " lead"), (9, " lead"), (10, "aaaa aaa aa a" * 40),
+       (11, "a;\r\n b\t c\u00a0 d \n\n\n"), (12, "\n\nfoo\nbar  baz;\r x"), (13, "it's  we'll\n 's"), (14, " \n ")]
 
 
+@lru_cache
 def token_bytes():
     a = Tokenizer.from_file(public_tokenizers.path(A.BYTE_FILE))
     a.encode_special_tokens = True
@@ -102,6 +106,20 @@ def test_groups_as_text(spark):
     assert hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 and r.groups.count(";") + 1 == r.n_groups
 
 
+def test_units_give_the_whole_texts_tokens():
+    v = A.vocabularies(A.BYTE_FILE, A.PIECE_FILE)
+    assert v.splits
+    rng = random.Random(4)
+    letters = ["a", "B", "é", "日", "1", "'", "s", ";", " ", " ", "  ", "\n", "\r", "\t", "\u00a0", "\u3000", "▁", "the", "ing"]
+    for _ in range(400):
+        text = "".join(rng.choices(letters, k=rng.randint(1, 40)))
+        units = A.units_of(text, True)
+        assert "".join(units) == " " + text
+        whole = A.align(v, [text.encode()], True)
+        want = brute([(0, text)])[0][0]
+        assert (whole["n_a"][0].as_py(), whole["n_b"][0].as_py(), whole["groups_sha256"][0].as_py()) == (want[1], want[2], want[7])
+
+
 def test_identity_map_has_same_bytes():
     v = A.vocabularies(A.BYTE_FILE, A.PIECE_FILE)
     found = [(i, b) for i, b in enumerate(v.same.tolist()) if b >= 0]
