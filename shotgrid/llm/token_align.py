@@ -143,8 +143,9 @@ class Aligned:
         n = len(units)
         data = [u.encode() for u in units]
         a, a_n = flat([e.ids for e in v.a.encode_batch_fast(units, add_special_tokens=False)])
-        # B puts a space in front: the unit's own, or one to be dropped
-        b, b_n = flat([x if u[0] == " " else x[1:] for u, x in zip(
+        # B puts a space in front, but of nothing: the unit's own, or one to be dropped
+        space = [v.b.piece_to_id("▁")]
+        b, b_n = flat([space if u == " " else x if u[0] == " " else x[1:] for u, x in zip(
             units, v.b.encode([u[u[0] == " ":] for u in units], num_threads=1))])
         wanted = np.array([len(x) for x in data], np.int64)
         good = (_sums(v.a_size[a], a_n) == wanted) & (_sums(v.b_size[b], b_n) == wanted)
