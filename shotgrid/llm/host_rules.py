@@ -5,8 +5,12 @@ document; a document fails when a base rule or one of ``RULES`` is broken.
 Failures are added up by host (``source``); a host's rate is shrunk towards all
 hosts by a beta prior whose two parameters come from the hosts' own rates by
 the method of moments, so a host with few documents is judged mostly by what is
-usual, one with many by its own. A host whose shrunk rate is above
-``REJECT_RATE`` is rejected and the verdict is joined back to its documents.
+usual, one with many by its own. A host is rejected if its shrunk rate lies more
+than ``SPREADS`` of the prior's own standard deviations above the prior's mean,
+where a host like the others hardly ever lies, or above ``MAJORITY``; the verdict
+is joined back to its documents. So the limit follows from the hosts: where they
+differ by chance alone, the prior is narrow but draws every host to its mean; where
+they differ widely, only a host most of whose documents fail is rejected.
 
 Base rule: fewer than 50 words, or more than half of the words in 3-word
 windows that occur twice or more.
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from shotgrid.llm.common import map_arrow, stash
 
 MIN_WORDS = 50
-REJECT_RATE = 0.5
+SPREADS = 3.0
+MAJORITY = 0.5
 MAX_PRIOR = 1_000.0
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -100,13 +105,19 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return m * weight, (1 - m) * weight
 
 
+def limit(a: float, b: float) -> float:
+    """The rate above which a host is unlike the hosts of the prior."""
+    mean = a / (a + b)
+    return min(mean + SPREADS * (mean * (1 - mean) / (a + b + 1)) ** 0.5, MAJORITY)
+
+
 def host_verdicts(rows: DataFrame) -> DataFrame:
     """(source, n, failures, rate, rejected): the shrunk failure rate of each host."""
     hosts = stash(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failures")),
                   "hosts")
     a, b = beta_prior(hosts)
     rate = (F.col("failures") + a) / (F.col("n") + a + b)
-    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > REJECT_RATE)
+    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > limit(a, b))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ prior AS (
   FROM p)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        base_failed OR rule AS rules_failed,
-       NOT base_failed AND (failures + mean * weight) / (n + weight) <= {H.REJECT_RATE} AS kept
+       NOT base_failed AND (failures + mean * weight) / (n + weight)
+         <= least(mean + {H.SPREADS} * sqrt(mean * (1 - mean) / (weight + 1)), {H.MAJORITY}) AS kept
 FROM f JOIN h ON h.source IS NOT DISTINCT FROM f.source, prior"""
 
 

@@ -27,7 +27,9 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -89,16 +91,28 @@ def count_trigrams(data: bytes, slice_bytes: int = 1 << 20) -> np.ndarray:
     return n
 
 
+class Covered:
+    """Asks whether a stretch meets one of some spans, in logarithmic time."""
+
+    def __init__(self, base: list):
+        spans = sorted((a, b) for a, b, *_ in base)
+        self.starts, self.ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        n = bisect_left(self.starts, end)
+        return n > 0 and self.ends[n - 1] > start
+
+
 def random_spans(text: str, base: list, model: Model) -> list[tuple[int, int, str, int]]:
     """Runs outside the base spans that look random."""
     if model.ratio is None:
         return []
-    out = []
+    out, covered = [], Covered(base)
     for word in _LONG.finditer(text):
         for m in _RUN.finditer(text, word.start(), word.end()):
             run = m[0]
             if (any(c.isalpha() for c in run)
-                    and not any(a < m.end() and m.start() < b for a, b, *_ in base)
+                    and not covered.meets(m.start(), m.end())
                     and model.mean(run) >= model.limit):
                 out.append((m.start(), m.end(), "random", m.start()))
     return out
@@ -129,6 +143,7 @@ def _count(batches):
         secrets, rest, ordinary = [], [], set()
         for text in batch.column(0).to_pylist():
             base = base_spans(text)
+            covered = Covered(base)
             at = 0
             for start, end, kind, value in base:
                 secrets.append(text[value:end])
@@ -136,7 +151,7 @@ def _count(batches):
                 at = max(at, end)
             rest.append(text[at:])
             ordinary.update(m[0] for word in _LONG.finditer(text) for m in _RUN.finditer(text, word.start(), word.end())
-                            if not any(a < m.end() and m.start() < b for a, b, *_ in base))
+                            if not covered.meets(m.start(), m.end()))
         rows = []
         for kind, parts, runs in (("secret", secrets, set(secrets)), ("plain", rest, ordinary)):
             n = count_trigrams(b"  ".join(t.encode() for t in parts if t))   # two edges: no part is another's context

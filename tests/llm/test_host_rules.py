@@ -66,3 +66,15 @@ def test_defined_cases(documents):
     got = sorted(((r.doc_id or 0), r.kept, r.base_failed) for r in R.judge(documents(*rows)).collect())
     assert got == [(0, True, False), (1, False, True), (2, False, True), (3, True, False), (3, True, False), (4, False, True)]
     assert R.judge(documents(*rows).where("false")).count() == 0
+
+
+def test_limit_follows_from_the_prior(documents):
+    bad = lambda i: good(i).replace("w", "%w")
+    rows = [(h * 100 + i, bad(i) if (i * 7 + h) % 10 == 0 else good(i), f"h{h}") for h in range(30) for i in range(60)]
+    rows += [(90_000 + i, bad(i) if i % 2 else good(i), "half") for i in range(200)]       # far above the others
+    rows += [(95_000 + i, bad(i) if i < 2 else good(i), "small") for i in range(4)]        # as high, but four rows
+    got = {r.source: r for r in R.host_verdicts(R.measures(documents(*rows))).collect()}
+    assert {s for s, r in got.items() if r.rejected} == {"half"}
+    assert got["half"].rate < 0.55 and got["small"].failures * 2 == got["small"].n
+    kept = {r.doc_id: r.kept for r in R.judge(documents(*rows)).collect()}
+    assert not any(kept[90_000 + i] for i in range(200)) and all(kept[95_000 + i] for i in range(4))

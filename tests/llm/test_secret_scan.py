@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -100,3 +101,20 @@ def test_redaction_and_defined_cases(documents, model, spark):
     assert S.scan(empty, model).count() == 0
     untrained = S.fit(empty)
     assert untrained.ratio is None and S.scan(docs, untrained).where("n_random > 0").count() == 0
+
+
+def test_many_base_spans_take_linear_time(spark):
+    text = " ".join(f"token={i:08d}abc word{i} AKIA{'A' * 16}{i}" for i in range(15_000))
+    assert len(text) > 600_000
+    base = S.base_spans(text)
+    assert len(base) >= 30_000
+    covered = S.Covered(base)
+    rng = random.Random(2)
+    for _ in range(300):
+        a = rng.randrange(len(text) - 30)
+        b = a + rng.randint(1, 30)
+        assert covered.meets(a, b) == any(x < b and a < y for x, y, *_ in base)
+    began = time.process_time()
+    model = S.Model(np.zeros(S.SYMBOLS ** 3), 1.0)
+    assert [s for s in S.spans(text, model) if s[2] != "random"] == sorted(base, key=lambda s: (s[0], S.KINDS.index(s[2]), s[1]))
+    assert time.process_time() - began < 20
