@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import deque
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,16 +83,16 @@ def plan(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH, res
 def boundaries(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray,
                step: int = HARD_STEP) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, from 0 and at most ``step`` apart, with their penalties."""
-    soft = np.flatnonzero(sentence[ids]) + 1
-    at = np.union1d(np.concatenate([[0], ends]), soft)
-    gaps = np.flatnonzero(np.diff(at) > step)
-    hard = [np.arange(at[g] + step, at[g + 1], step) for g in gaps]
-    every = np.union1d(at, np.concatenate(hard)) if hard else at
-    pen = np.full(len(every), HARD_CUT)
-    pen[np.searchsorted(every, soft)] = SENTENCE_CUT
-    pen[np.searchsorted(every, ends)] = 0.0
-    pen[0] = 0.0
-    return every.astype(np.int64), pen
+    cost = np.full(len(ids) + 1, np.inf)            # of every position; inf: no boundary
+    cost[np.flatnonzero(sentence[ids]) + 1] = SENTENCE_CUT
+    cost[ends] = cost[0] = 0.0
+    at = np.flatnonzero(cost < np.inf)
+    more = (np.diff(at) - 1) // step                # cuts needed between neighbours
+    gap = np.repeat(np.arange(len(more)), more)
+    place = np.arange(len(gap)) - np.repeat(np.cumsum(more) - more, more) + 1
+    cost[at[gap] + place * step] = HARD_CUT
+    every = np.flatnonzero(cost < np.inf)
+    return every, cost[every]
 
 
 def tail(n: int, length: int = LENGTH) -> list[int]:
@@ -105,6 +106,7 @@ def _cost(sizes: list[int], length: int) -> float:
     return len(sizes) * SEQUENCE + max(len(sizes) - 1, 0) * HARD_CUT + pads
 
 
+@lru_cache(maxsize=2)
 def sentence_ends(vocabulary: str) -> np.ndarray:
     """Which ids end a sentence: words of stops, maybe with closing marks."""
     library = tokens.codec(vocabulary).library
@@ -182,9 +184,8 @@ def _pack(vocabulary: str, length: int):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                ids = np.frombuffer(tokens.ids_bytes(vocabulary, text), "<u4")
-                packer.add(doc_id, np.append(ids, np.uint32(END)))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.ids_bytes_of(vocabulary, utf8(batch.column(1)))):
+                packer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(END)))
             yield taken()
         packer.finish()
         yield taken()

@@ -3,25 +3,28 @@
 Texts up to ``HUGE`` bytes are encoded whole. Longer ones by overlap
 resynchronisation: overlapping chunks are encoded with offsets and spliced at a
 common boundary that is proven stable - a white space between two characters
-that are not, away from both chunk edges by ``GUARD``, where no tokenizer used
-here joins across, at which both chunks start a token and up to which they
-agree on the tokens of the overlap. Where there is none, the overlap is widened
-until it is found or the chunk holds the whole rest.
+that are not, or the end of a run of letters where the pre-tokenizer ends a word,
+away from both chunk edges by ``GUARD``, at which both chunks start a token and up
+to which they agree on the tokens of the overlap. Where there is none, the overlap
+is widened over the next candidates; a chunk without any is doubled, so that the
+work stays in proportion to the text.
 
 The vocabulary of words (``tokenizers`` files whose pre-tokenizer drops white
 space) can be encoded word by word, as no token and no normalisation reaches
-across ASCII white space. ``WordIds`` remembers words; each new one goes
+across ASCII white space. ``WordIds`` remembers words; a batch's new ones go
 through the library (its model, or all of it for rarer characters).
 
 Defined cases: null counts as empty: no tokens; strings of special tokens in a
-text are handled as the library does by default; no truncation or padding.
+text are handled as the library does by default; no truncation or padding;
+repeated rows count each; no rows: no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import unicodedata
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +55,8 @@ class JsonCodec:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        words = self.library.to_str()
+        self.boundaries = RUNS if r"\\p{L}]+" in words or '"use_regex":true' in words else SPACED
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and first and last offsets in characters."""
@@ -69,6 +74,7 @@ class PieceCodec:
     def __init__(self, path: str):
         import sentencepiece
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.boundaries = SPACED
 
     def encode(self, text: str):
         pieces = self.library.encode(text, return_type="proto").pieces  # offsets in bytes
@@ -81,41 +87,53 @@ class PieceCodec:
         return np.array(self.library.encode(text), np.uint32)
 
 
-class WordIds(dict):
-    """word (UTF-8) -> its ids as little-endian bytes; misses go through the library."""
+class WordIds:
+    """Remembers words (UTF-8) and their ids as little-endian bytes; a batch's new ones are learnt together.
+
+    Two generations bound the memory: when the younger one is full it becomes the
+    older one, and words still in use move on from there.
+    """
 
     def __init__(self, codec: JsonCodec):
-        super().__init__()
         config = json.loads(codec.library.to_str())
-        self.codec, self.model, self.pieces = codec, codec.library.model, {}
+        self.codec, self.model, self.young, self.old, self.pieces = codec, codec.library.model, {}, {}, {}
         self.split = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = tuple(t["content"] for t in config["added_tokens"])
+        self.marks = {t[0] for t in self.special}
         self.letters = str.maketrans(_byte_letters())
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        text = word.decode()
-        # below U+0300 text is in normal form and its lower case goes letter by letter, but for one of two letters
-        if max(text) < "\u0300" and "\u0130" not in text and not any(s in text for s in self.special):
-            out = b"".join(map(self.piece, [text.lower()] if text.isalpha() else self.split.findall(text.lower())))
-        else:
-            out = self.codec.ids(text).astype("<u4").tobytes()
-        self[word] = out
-        return out
-
-    def piece(self, piece: str) -> bytes:
-        out = self.pieces.get(piece)
-        if out is None:
-            if len(self.pieces) >= MEMO // 2:
-                self.pieces.clear()
+    def learn(self, words: set[bytes]) -> None:
+        """Common words go piece by piece through the library's model, rarer ones through all of it."""
+        parts, rare = {}, []
+        for word in words:
+            text = word.decode()
+            # below U+0300 text is in normal form and its lower case goes letter by letter, but for one of two letters
+            plain = text.isascii() or max(text) < "\u0300" and "\u0130" not in text
+            if plain and (self.marks.isdisjoint(text) or not any(s in text for s in self.special)):
+                text = text.lower()
+                parts[word] = (text,) if text.isalpha() else self.split.findall(text)
+            else:
+                rare.append(word)
+        if len(self.pieces) > MEMO // 2:
+            self.pieces = {}
+        for piece in set().union(*parts.values()).difference(self.pieces):
             mapped = piece.encode().decode("latin-1").translate(self.letters)
-            out = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            self.pieces[piece] = out
-        return out
-
-    def ids_bytes(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+            self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        known = self.pieces.__getitem__
+        self.young.update((word, b"".join(map(known, p))) for word, p in parts.items())
+        found = self.codec.library.encode_batch_fast([w.decode() for w in rare], add_special_tokens=False)
+        self.young.update((w, array("I", e.ids).tobytes()) for w, e in zip(rare, found))
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        new = set().union(*words).difference(self.young)
+        if len(self.young) + len(new) > MEMO // 2:
+            self.young, self.old = {}, self.young
+            new = set().union(*words)
+        known = new & self.old.keys()
+        self.young.update(zip(known, map(self.old.__getitem__, known)))
+        self.learn(new - known)
+        return [b"".join(map(self.young.__getitem__, w)) for w in words]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -151,20 +169,18 @@ def word_ids(vocabulary: str) -> WordIds | None:
     return WordIds(c) if drops_space and plain else None
 
 
-def stable(text: str, p: int) -> bool:
-    """Is there a boundary before the white space at ``p`` whatever stands further left or right?"""
-    return (text[p] in " \n\t" and not text[p - 1].isspace() and not text[p + 1].isspace()
-            and unicodedata.category(text[p + 1])[0] in "LN" and unicodedata.category(text[p - 1])[0] in "LNP")
+# Boundaries that hold whatever stands further left or right: a white space between two characters that
+# are not, and, where a pre-tokenizer takes runs of letters as words of their own, the end of such a run
+SPACED = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])[ \n\t](?=[\p{L}\p{N}])")
+RUNS = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])[ \n\t](?=[\p{L}\p{N}])|(?<=\p{L})(?=[\p{N}\p{P}])")
 
 
-def splice_point(text: str, left, right, lo: int, hi: int) -> tuple[int, int] | None:
-    """(tokens of left before, tokens of right before) a stable boundary in text[lo:hi], if any.
+def splice_point(left, right, lo: int, hi: int, places: list[int]) -> tuple[int, int] | None:
+    """(tokens of left before, tokens of right before) a stable boundary between lo and hi, if any.
 
-    ``left`` and ``right`` are (ids, starts, ends) with offsets in the whole text.
+    ``left`` and ``right`` are (ids, starts, ends) with offsets in the whole text; ``places`` are candidates.
     """
-    for p in range(hi - 1, lo, -1):
-        if not stable(text, p):
-            continue
+    for p in reversed([q for q in places if lo < q < hi]):
         i, j = int(np.searchsorted(left[1], p)), int(np.searchsorted(right[1], p))
         clean = (i == 0 or left[2][i - 1] <= p) and (j == 0 or right[2][j - 1] <= p)
         first = int(np.searchsorted(right[1], lo))      # tokens of the overlap up to p, in both
@@ -176,16 +192,19 @@ def splice_point(text: str, left, right, lo: int, hi: int) -> tuple[int, int] |
 
 
 def spliced(c, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
-    """ids of a huge text from overlapping chunks."""
+    """ids of a huge text from overlapping chunks; no overlap is encoded that holds no candidate."""
     out, begin, end, skip = [], 0, min(chunk, len(text)), 0
     left = c.encode(text[:end])                     # of text[begin:end]; ``skip`` of its tokens are done
     while end < len(text):
         cut, wide = None, overlap
-        while cut is None and end - wide > begin:
-            start, stop = end - wide, min(len(text), end - wide + chunk + wide)
-            ids, a, b = c.encode(text[start:stop])
-            right = ids, a + start, b + start
-            cut = splice_point(text, left, right, start + GUARD, end - GUARD)
+        places = [m.start() for m in c.boundaries.finditer(text, begin + GUARD, end - GUARD)]
+        while cut is None and places and end - wide > begin:
+            start = end - wide
+            if places[-1] > start + GUARD:          # else nothing to try yet
+                stop = min(len(text), end + chunk)
+                ids, a, b = c.encode(text[start:stop])
+                right = ids, a + start, b + start
+                cut = splice_point(left, right, start + GUARD, end - GUARD, places)
             wide *= 2
         if cut is None:                             # no boundary in the whole chunk: double it
             stop = min(len(text), end + max(chunk, end - begin))
@@ -197,99 +216,18 @@ def spliced(c, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndar
     return np.concatenate([*out, left[0][skip:]])
 
 
-def ids_bytes(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte-level pre-tokenizer's letter of each byte: printable ones stand for themselves."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    other = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
-
-
-@lru_cache(maxsize=4)
-def codec(vocabulary: str):
-    """The library object of a vocabulary file, once per worker."""
-    path = public_tokenizers.path(vocabulary)
-    return JsonCodec(path) if path.endswith(".json") else PieceCodec(path)
-
-
-@lru_cache(maxsize=2)
-def word_ids(vocabulary: str) -> WordIds | None:
-    """The word memory, if the file's parts prove that words can be encoded alone."""
-    c = codec(vocabulary)
-    if not isinstance(c, JsonCodec):
-        return None
-    config = json.loads(c.library.to_str())
-    steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    normal = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
-    drops_space = (steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
-                   and "[^\\s" in steps[0]["pattern"].get("Regex", "") and "\\s" not in
-                   steps[0]["pattern"]["Regex"].replace("[^\\s", ""))
-    plain = (len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
-             and not steps[1]["use_regex"] and normal == ["NFC", "Replace", "Lowercase"]
-             and config["post_processor"] is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or
-                                                              len(t["content"].split()) != 1 for t in config["added_tokens"]))
-    return WordIds(c) if drops_space and plain else None
-
-
-def stable(text: str, p: int) -> bool:
-    """Is there a boundary before the white space at ``p`` whatever stands further left or right?"""
-    return (text[p] in " \n\t" and not text[p - 1].isspace() and not text[p + 1].isspace()
-            and unicodedata.category(text[p + 1])[0] in "LN" and unicodedata.category(text[p - 1])[0] in "LNP")
-
-
-def splice_point(text: str, left, right, lo: int, hi: int) -> tuple[int, int] | None:
-    """(tokens of left before, tokens of right before) a stable boundary in text[lo:hi], if any.
-
-    ``left`` and ``right`` are (ids, starts, ends) with offsets in the whole text.
-    """
-    for p in range(hi - 1, lo, -1):
-        if not stable(text, p):
-            continue
-        i, j = int(np.searchsorted(left[1], p)), int(np.searchsorted(right[1], p))
-        clean = (i == 0 or left[2][i - 1] <= p) and (j == 0 or right[2][j - 1] <= p)
-        first = int(np.searchsorted(right[1], lo))      # tokens of the overlap up to p, in both
-        n = j - first
-        if clean and 0 < n <= i and np.array_equal(left[0][i - n:i], right[0][first:j]) and \
-                np.array_equal(left[2][i - n:i], right[2][first:j]):
-            return i, j
-    return None
-
-
-def spliced(c, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
-    """ids of a huge text from overlapping chunks."""
-    out, begin = [], 0
-    left, skip, end = c.encode(text[:chunk]), 0, min(chunk, len(text))
-    while end < len(text):
-        wide = overlap
-        while True:
-            start = max(begin, end - wide)
-            stop = min(len(text), end + chunk)
-            ids, a, b = c.encode(text[start:stop])
-            right = ids, a + start, b + start
-            cut = splice_point(text, left, right, start + GUARD, end - GUARD) if start > begin else None
-            if cut or start == begin:
-                break
-            wide *= 2
-        if cut:
-            out.append(left[0][skip:cut[0]])
-            skip = cut[1]
-        else:  # no boundary anywhere in the chunk: it is encoded anew together with the next one
-            right = c.encode(text[begin:stop])
-            right = right[0], right[1] + begin, right[2] + begin
-            start = begin
-        left, begin, end = right, start, stop
-    return np.concatenate([*out, left[0][skip:]])
+def ids_bytes_of(vocabulary: str, texts: list[bytes]) -> Iterator[bytes]:
+    """The ids of whole texts as little-endian unsigned 32-bit numbers, in order."""
+    c, words = codec(vocabulary), word_ids(vocabulary)
+    short = [t for t in texts if len(t) <= HUGE]
+    found = iter(words.ids_of(short) if words is not None else (c.ids(t.decode()).astype("<u4").tobytes() for t in short))
+    for text in texts:
+        yield next(found) if len(text) <= HUGE else spliced(c, text.decode()).astype("<u4").tobytes()
 
 
 def ids_bytes(vocabulary: str, text: bytes) -> bytes:
-    """The ids of a whole text as little-endian unsigned 32-bit numbers."""
-    if len(text) > HUGE:
-        return spliced(codec(vocabulary), text.decode()).astype("<u4").tobytes()
-    words = word_ids(vocabulary)
-    return words.ids_bytes(text) if words is not None else codec(vocabulary).ids(text.decode()).astype("<u4").tobytes()
+    """The ids of one whole text."""
+    return next(ids_bytes_of(vocabulary, [text]))
 
 
 def _counts(vocabulary: str):
@@ -298,7 +236,7 @@ def _counts(vocabulary: str):
             texts = utf8(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([len(ids_bytes(vocabulary, t)) // 4 for t in texts], pa.int64())],
+                 pa.array([len(x) // 4 for x in ids_bytes_of(vocabulary, texts)], pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"])
     return run
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -56,6 +57,26 @@ def test_huge_texts_go_through_splicing(documents):
     assert tokens.token_counts(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["日本語の長い文章、句読点" * 60_000, "x" * 2_000_000, "ab1" * 300_000])
+def test_two_megabytes_without_a_space(text):
+    began = time.process_time()
+    want = library(text)
+    alone = time.process_time() - began
+    got = np.frombuffer(tokens.ids_bytes("word_bpe_49k.json", text.encode()), "<u4").tolist()
+    assert got == want
+    assert time.process_time() - began < 8 * alone + 10
+
+
+def test_word_memory_is_bounded_and_stays_right(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 40)
+    words = tokens.WordIds(tokens.codec("word_bpe_49k.json"))
+    for k in range(30):
+        texts = [f"the word{k} and {i % 7} w{i}, again".encode() for i in range(k % 5 + 1)]
+        for t, ids in zip(texts, words.ids_of(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == library(t.decode())
+    assert len(words.young) + len(words.old) < 120
+
+
 def brute_cost(at, pen, length):
     f = [0.0] + [float("inf")] * (len(at) - 1)
     for j in range(1, len(at)):
