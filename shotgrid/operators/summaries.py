@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from shotgrid.functions.scalars import likelihood_name, offset_seconds, segment_end, segment_start
 from shotgrid.operators.flatten import feature_rows
-from shotgrid.session import bounded_batches
+from shotgrid.plans.numbering import max_before, same
+from shotgrid.session import bounded_batches, store
 
 # Buckets of the explicit-content summary, as the viewer lists them.
 LIKELIHOOD_BUCKETS = ["VERY_LIKELY", "LIKELY", "POSSIBLE", "UNLIKELY", "VERY_UNLIKELY"]
@@ -26,19 +27,19 @@ def _span_text(start, end):
 
 
 def _tracks(feature: str, threshold: float | None):
-    """The tracks of ``items`` in list order: struct(name, track, start, end).
+    """The tracks of ``items`` in list order: struct(name, item, track, start, end).
 
     Objects are tracks themselves; of a logo every track over the threshold counts.
     """
-    def one(name, conf, seg, i):
-        return F.struct(name.alias("name"), i.alias("track"), segment_start(seg).alias("start"),
+    def one(name, conf, seg, i, j):
+        return F.struct(name.alias("name"), i.alias("item"), j.alias("track"), segment_start(seg).alias("start"),
                         segment_end(seg).alias("end"), conf.alias("confidence"))
 
     if feature == "logo_recognition_annotations":
         every = F.flatten(F.transform("items", lambda o, i: F.transform(
-            o["tracks"], lambda t, j: one(o["entity"]["description"], t["confidence"], t["segment"], i * 1_000_000 + j))))
+            o["tracks"], lambda t, j: one(o["entity"]["description"], t["confidence"], t["segment"], i, j))))
     else:
-        every = F.transform("items", lambda o, i: one(o["entity"]["description"], o["confidence"], o["segment"], i))
+        every = F.transform("items", lambda o, i: one(o["entity"]["description"], o["confidence"], o["segment"], i, F.lit(0)))
     return every if threshold is None else F.filter(every, lambda x: x["confidence"] > F.lit(threshold))
 
 
@@ -68,30 +69,39 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
                     order: list[str] | None = None, width: float | None = None) -> DataFrame:
     """AGG-3: merge overlapping intervals per key (merge when start < running max end).
 
-    Rows are dealt once by (key, time bucket of ``width``, an hour by default): islands inside a
-    bucket, their bucket's summary and the join with what earlier buckets carry
-    all use that one partitioning. Only the summaries (one row per bucket) are
-    scanned in the order of their key.
+    Rows are dealt by (key, time bucket of ``width``, an hour by default) and merged to
+    islands there, which are stored. What earlier buckets carry, their latest end and then their last
+    island's start, are running maxima over a tree of buckets (``plans.numbering``), so one
+    hot key spreads over its buckets and no window holds more than 4096 rows of it.
+    Intervals without a start or an end take no part.
     """
     order_cols = [F.col(start), F.col(end)] + [F.col(c) for c in (order or [])]
-    x = df.withColumn("_b", F.floor(F.col(start) / F.lit(width or 3600.0)).cast("bigint"))
+    x = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()) \
+        .withColumn("_b", F.floor(F.col(start) / F.lit(width or 3600.0)).cast("bigint"))
     local = Window.partitionBy(*keys, "_b").orderBy(*order_cols)
     prev = F.max(end).over(local.rowsBetween(Window.unboundedPreceding, -1))
     x = x.withColumn("_new", F.when(prev.isNull() | (F.col(start) >= prev), 1).otherwise(0))
     x = x.withColumn("_n", F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = x.groupBy(*keys, "_b", "_n").agg(
-        F.min(start).alias("_s"), F.max(end).alias("_e"), F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = parts.groupBy(*keys, "_b").agg(F.max("_e").alias("_bmax")) \
-        .select(*keys, "_b", F.max("_bmax").over(before).alias("_carry"))
+    islands = store(x.groupBy(*keys, "_b", "_n").agg(
+        F.min(start).alias("_s"), F.max(end).alias("_e"), F.count(F.lit(1)).alias("_c")), "islands")
+
+    def with_carry(rows, value, name):
+        """``rows`` with the maximum of a column over all earlier buckets of the key."""
+        per_bucket = rows.groupBy(*keys, "_b").agg(F.max(value).alias("_v"))
+        carried = max_before(per_bucket, keys, "_b", "_v", name).withColumnsRenamed(
+            {k: f"_j{i}" for i, k in enumerate([*keys, "_b"])})
+        names = {k: f"_j{i}" for i, k in enumerate([*keys, "_b"])}
+        return rows.join(carried, same(rows, carried, names)).drop(*names.values())
+
     # an island that starts under the carried end continues the last one before its bucket
-    joined = parts.join(carry, [*keys, "_b"]).withColumn(
+    joined = with_carry(islands, F.col("_e"), "_carry").withColumn(
         "_open", F.coalesce(F.col("_s") < F.col("_carry"), F.lit(False)))
-    by_key = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.last(F.when(~F.col("_open"), F.col("_s")), ignorenulls=True).over(by_key)
-    return joined.withColumn("_head", head).groupBy(*keys, "_head").agg(
+    # the islands of a bucket that continue come first in it, so their head lies in an earlier bucket
+    own = F.struct("_s", "_n")  # empty intervals may share a start
+    headed = with_carry(joined, F.when(~F.col("_open"), own), "_before")
+    return headed.withColumn("_head", F.when(F.col("_open"), F.col("_before")).otherwise(own)).groupBy(*keys, "_head").agg(
         F.max("_e").alias("seg_end"), F.sum("_c").alias("n_merged")) \
-        .withColumnRenamed("_head", "seg_start").select(*keys, "seg_start", "seg_end", "n_merged")
+        .select(*keys, F.col("_head._s").alias("seg_start"), "seg_end", "n_merged")
 
 
 def _merge_batches(batches):
@@ -137,6 +147,13 @@ def track_segments_merged(docs: DataFrame, threshold: float | None = 0.5,
     return rows.mapInArrow(_merge_batches, "input_uri string, name string, seg_start double, seg_end double, n_merged long")
 
 
+def merged_tracks(docs: DataFrame, threshold: float | None = 0.5,
+                  feature: str = "logo_recognition_annotations") -> DataFrame:
+    """AGG-3 by ``merge_intervals``: tracks as rows, so that a video's tracks spread over its time buckets."""
+    tracks = feature_rows(docs, feature, "first").select("input_uri", F.explode(_tracks(feature, threshold)).alias("t"))
+    return merge_intervals(tracks.select("input_uri", "t.name", "t.start", "t.end"), ["input_uri", "name"])
+
+
 def person_segments(docs: DataFrame, threshold: float = 0.5, key: str = "person") -> DataFrame:
     """AGG-2: one fixed key per video with its track count and spans; count 0 when empty.
 

@@ -156,29 +156,28 @@ def polygon_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH,
     sg = tx.select("input_uri", "text_pos", F.col("x.text").alias("text"),
                    F.posexplode("x.segments").alias("segment_pos", "s")) \
         .where(F.col("s.confidence") > F.lit(threshold))
-    fr = F.transform("s.frames", lambda f: F.struct(
-        offset_seconds(f["time_offset"]).alias("t"),
-        F.transform(f["rotated_bounding_box"]["vertices"], lambda v: F.struct(
-            (v["x"] * w).alias("x"), (v["y"] * h).alias("y"))).alias("vertices")))
-    fr = F.coalesce(fr, F.slice(fr, 1, 0))
-    tiles = sg.select("input_uri", "text_pos", "text", "segment_pos", F.size(fr).alias("n"), F.explode(span_tiles(
-        fr, segment_start(F.col("s.segment")), segment_end(F.col("s.segment")))).alias("p")) \
-        .select("input_uri", "text_pos", "text", "segment_pos", "n", "p.ta", "p.tb", "p.closed", "p.j",
-                F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    # the range join carries places and times; polygons are fetched for the hits
+    keys = ["input_uri", "text_pos", "segment_pos"]
+    times = F.transform("s.frames", lambda f: F.struct(offset_seconds(f["time_offset"]).alias("t")))
+    times = F.coalesce(times, F.slice(times, 1, 0))
+    tiles = sg.select(*keys, F.size(times).alias("n"), F.explode(span_tiles(
+        times, segment_start(F.col("s.segment")), segment_end(F.col("s.segment")))).alias("p")) \
+        .select(*keys, "n", "p.ta", "p.tb", "p.closed", "p.j", F.col("p.a.t").alias("t_a"), F.col("p.b.t").alias("t_b"))
     hit = range_join(probes, tiles, ["input_uri"], "t", "ta", "tb", closed="closed")
-    r = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    first = hit.groupBy("input_uri", "t", "text_pos").agg(
+        F.min(F.struct("segment_pos", "j", "n", "t_a", "t_b")).alias("x")).select("input_uri", "t", "text_pos", "x.*")
+    frames = sg.select(*keys, "text", F.col("s.frames.rotated_bounding_box.vertices").alias("polygons"))
+    found = first.join(frames, keys).select(
+        "input_uri", "t", "text_pos", "text", "j", "n", "t_a", "t_b",
+        F.try_element_at("polygons", F.col("j") + 1).alias("a"), F.try_element_at("polygons", F.col("j") + 2).alias("b"))
+    r = (F.col("t") - F.col("t_a")) / (F.col("t_b") - F.col("t_a"))
     edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
-    lerped = F.zip_with("a.vertices", "b.vertices", lambda a, b: F.struct(
-        _lerp(a["x"], b["x"], r).alias("x"), _lerp(a["y"], b["y"], r).alias("y")))
-    poly = F.when(edge, F.col("a.vertices")).otherwise(lerped)
     cols = []
     for i in range(4):
-        v = F.try_element_at(poly, F.lit(i + 1))
-        cols += [v["x"].alias(f"x{i}"), v["y"].alias(f"y{i}")]
-    hit = hit.select("input_uri", "t", "text_pos", "text", "segment_pos", *cols)
-    names = [f"{c}{i}" for i in range(4) for c in ("x", "y")]
-    first = hit.groupBy("input_uri", "t", "text_pos", "text").agg(F.min(F.struct("segment_pos", *names)).alias("s"))
-    return first.select("input_uri", "t", "text_pos", "text", *[f"s.{c}" for c in names])
+        a, b = F.try_element_at("a", F.lit(i + 1)), F.try_element_at("b", F.lit(i + 1))
+        for c, size in (("x", w), ("y", h)):
+            cols.append(F.when(edge, a[c] * size).otherwise(_lerp(a[c] * size, b[c] * size, r)).alias(f"{c}{i}"))
+    return found.select("input_uri", "t", "text_pos", "text", *cols)
 
 
 # --- landmarks (JN-7) -----------------------------------------------------

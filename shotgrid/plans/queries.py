@@ -60,6 +60,10 @@ def _ev_docs(spark, sf):
     return fx.stored_documents(spark, sf, "events")
 
 
+def _shot_parts(spark, sf):
+    return fx.stored_documents(spark, sf, "shots")
+
+
 def _speech_docs(spark, sf):
     return fx.stored_documents(spark, sf, "speech")
 
@@ -169,7 +173,7 @@ def q_shot_labels(spark, sf):
 
 @query("shots_enumerated")
 def q_shots_enumerated(spark, sf):
-    return chunks.shots_enumerated(_ev_docs(spark, sf))
+    return chunks.shots_of_parts(_shot_parts(spark, sf))
 
 
 @query("tracks_over_threshold")
@@ -256,17 +260,17 @@ def q_json_overlay_inner(spark, sf):
 
 @query("chunks_min_duration")
 def q_chunks_min_duration(spark, sf):
-    return chunks.min_duration_chunks(_ev_docs(spark, sf), CHUNK_MIN_SECONDS)
+    return chunks.min_duration_chunks_of_parts(_shot_parts(spark, sf), CHUNK_MIN_SECONDS)
 
 
 @query("chunk_manifest")
 def q_chunk_manifest(spark, sf):
-    return chunks.chunk_manifest(chunks.min_duration_chunks(_ev_docs(spark, sf), CHUNK_MIN_SECONDS))
+    return chunks.chunk_manifest(chunks.min_duration_chunks_of_parts(_shot_parts(spark, sf), CHUNK_MIN_SECONDS))
 
 
 @query("chunk_manifest_file_numbering")
 def q_chunk_manifest_file(spark, sf):
-    c = chunks.min_duration_chunks(_ev_docs(spark, sf), CHUNK_MIN_SECONDS)
+    c = chunks.min_duration_chunks_of_parts(_shot_parts(spark, sf), CHUNK_MIN_SECONDS)
     return chunks.chunk_manifest(c, numbering="file")
 
 
@@ -349,7 +353,7 @@ def q_logo_segments(spark, sf):
 
 @query("logo_segments_merged")
 def q_logo_segments_merged(spark, sf):
-    return summaries.track_segments_merged(_ev_docs(spark, sf), 0.5, "logo_recognition_annotations")
+    return summaries.merged_tracks(_ev_docs(spark, sf), 0.5, "logo_recognition_annotations")
 
 
 @query("face_segments")

@@ -58,6 +58,15 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return path
 
 
+def store(df, name: str):
+    """Write a DataFrame once to the shared folder and read it back (cuts lineage); it goes when the application ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Have the file system remove ``path`` when the application ends."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,6 +25,8 @@ Conversations -> one document per conversation holding speech transcriptions
 (one per turn; word i starts at ``turn * 1000 + i * 0.5`` s and lasts 0.5 s).
 Documents -> chunk tags and model outputs for the catalogue.
 
+``event_shot_parts`` cuts the same shots into parts by time.
+
 A real deployment reads annotation JSON instead (``sources.annotations``),
 one file per video as the annotation service writes it.
 """
@@ -35,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotgrid import schema as S
+from shotgrid.sources import parts as P
 
 # Fixed values of the fixture folding.
 EPOCH = "2024-01-01 00:00:00"
@@ -224,6 +227,30 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array(r0, r1).alias("annotation_results")))
 
 
+def event_shot_parts(spark: SparkSession, sf_dir: str, size: int | None = P.PART) -> DataFrame:
+    """The shots of ``event_documents`` as parts, without a row or an aggregate that holds a whole user.
+
+    Shot i starts at event i, so a part of events gives its shots and the next part's first event
+    ends the last one. A user's shots before day 15 are result 0, the others result 1.
+    """
+    ev = flat_events(spark, sf_dir).select("user_id", "input_uri", "off", "event_id")
+    cut = P.cut_points(ev, ["user_id", "input_uri"], ["off", "event_id"], "off", size)
+    pairs = F.transform("values", lambda a, i: F.struct(
+        a.alias("a"), F.coalesce(F.try_element_at("values", i + 2), F.col("next")).alias("b")))
+    parts = cut.select("user_id", "input_uri", "part", F.filter(pairs, lambda s: s["b"].isNotNull()).alias("pairs"))
+    early, late = F.filter("pairs", lambda s: s["a"] < HALF_MICROS), F.filter("pairs", lambda s: s["a"] >= HALF_MICROS)
+    parts = parts.select("user_id", "input_uri", "part", early.alias("r0"), late.alias("r1"))
+    users = parts.groupBy("user_id").agg(F.sum(F.size("r0")).alias("n0"), F.sum(F.size("r1")).alias("n1"),
+                                         F.count("*").alias("n_parts"))          # one small row a user
+    base = F.col("part") * F.lit(size or 0)
+    shots = [F.struct(F.col("input_uri"), b.cast("bigint").alias("base"), F.when(F.col(f"n{k}") > 0, F.transform(
+        f"r{k}", lambda s: segment(s["a"], s["b"]))).alias("shot_annotations"))
+        for k, b in ((0, base), (1, F.greatest(base - F.col("n0"), F.lit(0))))]
+    return parts.join(users, "user_id").select(
+        F.concat(F.lit("annotations/"), F.col("user_id").cast("string"), F.lit(".json")).alias("file"), "part", "n_parts",
+        F.array(*shots).cast(f"ARRAY<{P.SHOT_RESULT}>").alias("annotation_results"))
+
+
 WORD_SPLIT = r"[ \t\n\r]+"
 
 
@@ -259,7 +286,7 @@ _STORED: dict[tuple, str] = {}
 
 
 def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events") -> DataFrame:
-    """The folded documents as a stored annotation table (nested Parquet).
+    """The folded documents (or, with ``shots``, their shots in parts) as a stored annotation table (nested Parquet).
 
     Folded once per session and state of the input (its files, with their sizes
     and times), written under the shared checkpoint folder and read back:
@@ -267,11 +294,11 @@ def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events") ->
     over annotations kept in a lake. The table goes when the application ends.
     """
     from shotgrid.session import file_state, remove_at_exit, session_id, shared_dir
-    table = "events" if kind == "events" else "conversations"
+    table = "conversations" if kind == "speech" else "events"
     key = (session_id(spark), sf_dir, kind, file_state(spark, f"{sf_dir}/{table}.parquet"))
     path = _STORED.get(key)
     if path is None:
-        build = event_documents if kind == "events" else speech_documents
+        build = {"events": event_documents, "speech": speech_documents, "shots": event_shot_parts}[kind]
         path = shared_dir(spark, "annotations", kind)
         build(spark, sf_dir).write.mode("overwrite").parquet(path)
         remove_at_exit(spark, path)
