@@ -4,7 +4,7 @@ The byte offsets where a token of each ends cut a text into groups; a link is a
 pair of tokens whose byte ranges overlap, so the links are the stretches between
 neighbouring token ends of either side. Where both files allow it (``splits``),
 texts are taken apart before runs of spaces and line ends, where neither tokenizer
-joins and so a group ends; a batch's distinct units are encoded and aligned once,
+joins and so a group ends; a slice's distinct units are encoded and aligned once,
 and a text's numbers are its units' sums. A text with other white space before
 such a run is one unit.
 
@@ -47,6 +47,7 @@ from shotgrid.llm.common import doc_texts, map_arrow, stash, utf8
 BYTE_FILE = "byte_bpe_50k.json"          # A: encodes space + text
 PIECE_FILE = "piece_bpe_32k.model"       # B: adds the space itself
 HEAVY = 1 << 16
+SLICE = 3 << 20                          # bytes of texts aligned together; a longer text is aligned alone
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 JOINED = re.compile(r"[^\S \n][ \n]")
 
@@ -245,9 +246,15 @@ def _align(byte_file: str, piece_file: str, with_groups: bool):
     def run(batches):
         v = vocabularies(byte_file, piece_file)
         for batch in batches:
-            out = align(v, utf8(batch.column(2)), with_groups)
-            out |= {"row": batch.column(0), "doc_id": batch.column(1)}
-            yield pa.RecordBatch.from_arrays([out[c] for c in names], names)
+            texts = utf8(batch.column(2))
+            first = size = 0
+            for k, text in enumerate(texts):
+                size += len(text)
+                if size >= SLICE or k + 1 == len(texts):
+                    out = align(v, texts[first:k + 1], with_groups)
+                    out |= {"row": batch.column(0)[first:k + 1], "doc_id": batch.column(1)[first:k + 1]}
+                    yield pa.RecordBatch.from_arrays([out[c] for c in names], names)
+                    first, size = k + 1, 0
     return run
 
 
