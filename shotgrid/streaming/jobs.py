@@ -10,9 +10,12 @@
   (``enrich.score``), run once per chunk and stored; results, failures, the text
   beside the source and the embeddings of tagged chunks are all read from that.
   Only mp4 objects are scored; outputs never re-enter the input.
+  Tags are those of the time of a batch; results whose object has none yet wait in
+  ``_untagged`` for the next batch.
 * STR-4 retention: ``cleanSource`` removes or archives read files (the bucket
   lifecycle rule removes *stored* objects; an unread file is never skipped
-  unless a caller sets ``max_file_age``).
+  unless a caller sets ``max_file_age``); ``expire_intermediates`` removes the
+  stored intermediates of older batches.
 * STR-5 delivery: every output lies under ``run=<id>/batch_id=<n>`` and is
   written with overwrite. The run id is kept beside the checkpoint, so a replayed
   batch replaces itself and a fresh checkpoint never touches older output.
@@ -40,6 +43,8 @@ CORRUPT = A.CORRUPT
 
 
 MAX_FILES = 1_000  # of a micro-batch
+INTERMEDIATES = ("_parsed", "_scored", "_tags", "_untagged")
+RETENTION_SECONDS = 86_400
 
 
 def _file_stream(spark: SparkSession, fmt: str, schema, path: str, max_file_age: str | None,
@@ -150,7 +155,7 @@ def start_request_job(spark: SparkSession, arrivals_dir: str, out_dir: str, chec
                   .option("checkpointLocation", checkpoint), available_now)
 
 
-def start_classify_job(spark: SparkSession, manifest_dir: str, tags: DataFrame, out_dir: str,
+def start_classify_job(spark: SparkSession, manifest_dir: str, tags: DataFrame | str | Callable, out_dir: str,
                        checkpoint: str, model: Callable, endpoints: list[str],
                        manifest_schema: str, max_passes: int = 3, available_now: bool = True,
                        embed: Callable | None = None, run_ts: str | None = None,
@@ -160,7 +165,8 @@ def start_classify_job(spark: SparkSession, manifest_dir: str, tags: DataFrame,
 
     ``embed(context, endpoint)`` gives an embedding response: a list of
     (start_offset_sec, end_offset_sec, vector). ``run_ts`` stamps the results
-    (now, if not given).
+    (now, if not given). ``tags`` as a path, or a function of the session, are read anew
+    in every batch; a DataFrame is a fixed set.
     """
     m = _file_stream(spark, "parquet", manifest_schema, manifest_dir, max_file_age, clean_source, max_files)
     mp4 = m.where(F.col("object_name").endswith(".mp4"))
@@ -174,8 +180,16 @@ def start_classify_job(spark: SparkSession, manifest_dir: str, tags: DataFrame,
         stored = session.read.parquet(_write_batch(scored, out_dir, "_scored", run, batch_id))
         described = stored.select("uri", F.col("result").alias("description"), "error")
 
+        waiting = described.select("uri", "description")
+        earlier = f"{out_dir}/_untagged/run={run}/batch_id={batch_id - 1}"
+        if _exists(session, earlier):
+            waiting = waiting.unionByName(session.read.parquet(earlier))
+        # one state of the tags for all outputs of the batch
+        wanted = typed_tags(current_tags(tags, session)).join(waiting.select("uri").distinct(), "uri", "left_semi")
+        known = session.read.parquet(_write_batch(wanted, out_dir, "_tags", run, batch_id))
+
         def results():
-            return catalog.results_with_tags(described.select("uri", "description"), typed_tags(tags), stamp)
+            return catalog.results_with_tags(waiting, known, stamp)
 
         def embeddings():
             work = enrich.embedding_requests(results())
@@ -186,6 +200,7 @@ def start_classify_job(spark: SparkSession, manifest_dir: str, tags: DataFrame,
 
         outputs = {
             "results": results,
+            "_untagged": lambda: waiting.join(known, "uri", "left_anti"),
             "failures": lambda: described.where(F.col("error").isNotNull()),
             "texts": lambda: sinks.text_beside_source(described, "uri").select(
                 F.col("target_name").alias("name"), F.col("description").alias("text")),
@@ -195,6 +210,46 @@ def start_classify_job(spark: SparkSession, manifest_dir: str, tags: DataFrame,
     return _start(mp4.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint), available_now)
 
 
+def current_tags(tags: DataFrame | str | Callable, spark: SparkSession) -> DataFrame:
+    """The tags as they are now."""
+    if isinstance(tags, str):
+        return A.read_tags(spark, tags)
+    return tags(spark) if callable(tags) else tags
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def expire_intermediates(spark: SparkSession, out_dir: str, now_ts: str | None = None,
+                         max_age_seconds: int = RETENTION_SECONDS, tables: tuple = INTERMEDIATES) -> list[str]:
+    """STR-4: remove the stored intermediates of batches older than the retention age.
+
+    The inventory (SRC-5) gives every batch folder its newest file. A run's last batch stays
+    whatever its age: it may be written again, and the next batch reads what it left untagged.
+    One row per batch folder reaches the driver. Returns the folders removed.
+    """
+    now = F.lit(now_ts).cast("timestamp") if now_ts else F.current_timestamp()
+    gone = []
+    for table in tables:
+        if not _exists(spark, f"{out_dir}/{table}"):
+            continue
+        part = F.regexp_extract("path", r"^(.*/run=[^/]+)/batch_id=\d+/", 1)
+        batch = F.regexp_extract("path", r"/batch_id=(\d+)/", 1).cast("bigint")
+        folders = A.object_inventory(spark, f"{out_dir}/{table}").select(
+            part.alias("run"), batch.alias("batch"), "modificationTime").groupBy("run", "batch").agg(
+            F.max("modificationTime").alias("written"))
+        last = folders.groupBy("run").agg(F.max("batch").alias("last"))
+        old = folders.join(last, "run").where(
+            (F.col("batch") < F.col("last")) & (F.col("written") < now - F.make_dt_interval(secs=F.lit(max_age_seconds))))
+        for r in old.collect():
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{r.run}/batch_id={r.batch}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            gone.append(path.toString())
+    return gone
+
+
 def typed_tags(tags: DataFrame) -> DataFrame:
     """Tags with every column of F3; missing ones are null."""
     return sinks.typed(tags, S.TAGS)

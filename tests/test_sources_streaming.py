@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from conftest import seg
+from shotgrid import schema as S
 from shotgrid.operators import chunks, enrich
 from shotgrid.sources import annotations as A
 from shotgrid.sources import sinks
@@ -211,6 +212,48 @@ def test_classify_job_stream(spark, tmp_path):  # STR-3
     assert spark.read.parquet(f"{out}/results").count() == 2  # a fresh checkpoint keeps the old output
 
 
+def test_tags_added_after_the_start_are_used(spark, tmp_path):  # STR-3, JN-1
+    manifest, tags = tmp_path / "manifest", tmp_path / "tags"
+    out, ckpt = str(tmp_path / "cls"), str(tmp_path / "ckpt")
+
+    def chunk(n):
+        spark.createDataFrame([(f"gs://o/v/chunks - {n}.mp4",)], "object_name string").coalesce(1).write.mode("append") \
+            .parquet(str(manifest))
+
+    def tag(n):
+        spark.createDataFrame([(f"gs://o/v/chunks - {n}.mp4", "s", "v", str(n), "0.0", "2.0")], S.TAGS).coalesce(1) \
+            .write.mode("append").parquet(str(tags))
+
+    def run():
+        jobs.start_classify_job(spark, str(manifest), str(tags), out, ckpt, lambda v, ep: "text of " + v[-5], ["r"],
+                                "object_name string", run_ts="2024-01-01 00:00:00").awaitTermination()
+        return sorted((r.uri[-5], r.description) for r in spark.read.parquet(f"{out}/results").collect())
+
+    chunk(1), chunk(2), tag(1)
+    assert run() == [("1", "text of 1")]
+    tag(2), tag(3)          # after the job's start, the first of them for a chunk of the batch before
+    chunk(3)
+    assert run() == [(n, f"text of {n}") for n in ("1", "2", "3")]
+    chunk(4)
+    assert run() == [(n, f"text of {n}") for n in ("1", "2", "3")]       # nothing twice, and 4 waits
+    left = max((tmp_path / "cls" / "_untagged").glob("run=*/batch_id=*"), key=lambda p: int(p.name.split("=")[1]))
+    assert [r.uri[-5] for r in spark.read.parquet(str(left)).collect()] == ["4"]
+
+
+def test_intermediates_expire(spark, tmp_path):  # STR-4
+    old, live, last = (tmp_path / "_scored" / "run=a" / f"batch_id={n}" for n in (2, 10, 11))
+    alone = tmp_path / "_parsed" / "run=b" / "batch_id=0"
+    for p in (old, live, last, alone, tmp_path / "results" / "run=a" / "batch_id=2"):
+        spark.range(3).write.parquet(str(p))
+    now = os.path.getmtime(live)
+    for p in (old, alone, tmp_path / "results" / "run=a" / "batch_id=2", last):
+        for f in p.iterdir():
+            os.utime(f, (now - 2 * 86400, now - 2 * 86400))
+    gone = jobs.expire_intermediates(spark, str(tmp_path))
+    assert [g.split("/")[-3:] for g in gone] == [["_scored", "run=a", "batch_id=2"]] and not old.exists()
+    assert live.exists() and last.exists() and alone.exists() and (tmp_path / "results" / "run=a" / "batch_id=2").exists()
+
+
 def test_old_files_are_read_and_outputs_guarded(spark, tmp_path):  # STR-2, STR-4
     inp = tmp_path / "in"
     inp.mkdir()
