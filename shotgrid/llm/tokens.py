@@ -42,7 +42,8 @@ HUGE = 1 << 16        # bytes beyond which a text is cut into chunks
 CHUNK = 1 << 15       # characters of a chunk
 OVERLAP = 1 << 10     # characters two chunks share at first
 GUARD = 32            # characters near a chunk's edge that are not trusted
-MEMO = 1 << 20        # words a worker remembers
+MEMO = 1 << 19        # words a worker remembers
+SLICE = 2 << 20       # bytes of texts taken apart at once
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -219,10 +220,18 @@ def spliced(c, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndar
 def ids_bytes_of(vocabulary: str, texts: list[bytes]) -> Iterator[bytes]:
     """The ids of whole texts as little-endian unsigned 32-bit numbers, in order."""
     c, words = codec(vocabulary), word_ids(vocabulary)
-    short = [t for t in texts if len(t) <= HUGE]
-    found = iter(words.ids_of(short) if words is not None else (c.ids(t.decode()).astype("<u4").tobytes() for t in short))
-    for text in texts:
-        yield next(found) if len(text) <= HUGE else spliced(c, text.decode()).astype("<u4").tobytes()
+    some, size = [], 0
+    for k, text in enumerate(texts):
+        some.append(text)
+        size += len(text)
+        if size < SLICE and k + 1 < len(texts):
+            continue
+        short = [t for t in some if len(t) <= HUGE]
+        found = iter(words.ids_of(short) if words is not None else
+                     (c.ids(t.decode()).astype("<u4").tobytes() for t in short))
+        for t in some:
+            yield next(found) if len(t) <= HUGE else spliced(c, t.decode()).astype("<u4").tobytes()
+        some, size = [], 0
 
 
 def ids_bytes(vocabulary: str, text: bytes) -> bytes:
