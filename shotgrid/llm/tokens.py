@@ -11,8 +11,9 @@ work stays in proportion to the text.
 
 The vocabulary of words (``tokenizers`` files whose pre-tokenizer drops white
 space) can be encoded word by word, as no token and no normalisation reaches
-across ASCII white space. ``WordIds`` remembers words; a batch's new ones go
-through the library (its model, or all of it for rarer characters).
+across ASCII white space. ``WordIds`` takes each distinct word of some texts once
+and remembers pieces; new ones go through the library (its model, or all of it
+for words with rarer characters).
 
 Defined cases: null counts as empty: no tokens; strings of special tokens in a
 text are handled as the library does by default; no truncation or padding;
@@ -23,12 +24,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -42,8 +45,8 @@ HUGE = 1 << 16        # bytes beyond which a text is cut into chunks
 CHUNK = 1 << 15       # characters of a chunk
 OVERLAP = 1 << 10     # characters two chunks share at first
 GUARD = 32            # characters near a chunk's edge that are not trusted
-MEMO = 1 << 19        # words a worker remembers
-SLICE = 2 << 20       # bytes of texts taken apart at once
+MEMO = 1 << 19        # pieces a worker remembers
+SLICE = 4 << 20       # bytes of texts taken apart at once
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -89,52 +92,77 @@ class PieceCodec:
 
 
 class WordIds:
-    """Remembers words (UTF-8) and their ids as little-endian bytes; a batch's new ones are learnt together.
+    """Ids of texts from their distinct words, apart from the library's per-text work.
 
-    Two generations bound the memory: when the younger one is full it becomes the
-    older one, and words still in use move on from there.
+    The words of some texts are split and numbered by Arrow; each distinct one is
+    lowered and cut into pieces once, and a text's ids are gathered by number.
+    Pieces (text) and rarer words (UTF-8) are remembered with their ids as
+    little-endian bytes, in two generations: when the younger one is full it
+    becomes the older one, and what is still in use moves on from there.
     """
 
     def __init__(self, codec: JsonCodec):
         config = json.loads(codec.library.to_str())
-        self.codec, self.model, self.young, self.old, self.pieces = codec, codec.library.model, {}, {}, {}
-        self.split = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special = tuple(t["content"] for t in config["added_tokens"])
-        self.marks = {t[0] for t in self.special}
-        self.letters = str.maketrans(_byte_letters())
-
-    def learn(self, words: set[bytes]) -> None:
-        """Common words go piece by piece through the library's model, rarer ones through all of it."""
-        parts, rare = {}, []
-        for word in words:
-            text = word.decode()
-            # below U+0300 text is in normal form and its lower case goes letter by letter, but for one of two letters
-            plain = text.isascii() or max(text) < "\u0300" and "\u0130" not in text
-            if plain and (self.marks.isdisjoint(text) or not any(s in text for s in self.special)):
-                text = text.lower()
-                parts[word] = (text,) if text.isalpha() else self.split.findall(text)
-            else:
-                rare.append(word)
-        if len(self.pieces) > MEMO // 2:
-            self.pieces = {}
-        for piece in set().union(*parts.values()).difference(self.pieces):
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        known = self.pieces.__getitem__
-        self.young.update((word, b"".join(map(known, p))) for word, p in parts.items())
+        self.codec, self.model, self.young, self.old = codec, codec.library.model, {}, {}
+        self.parts = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
+        self.special = tuple(t["content"].encode() for t in config["added_tokens"])
+        self.letters = str.maketrans({b: letter for b, letter in _byte_letters().items() if b != 10})
+
+    def learn(self, keys: set) -> None:
+        """Pieces go through the library's model, rarer words through all of it."""
+        self.young["\n"] = STOP
+        pieces = [k for k in keys if isinstance(k, str) and k != "\n"]
+        mapped = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split("\n")
+        for piece, letters in zip(pieces, mapped):
+            self.young[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        rare = [k for k in keys if isinstance(k, bytes)]
         found = self.codec.library.encode_batch_fast([w.decode() for w in rare], add_special_tokens=False)
         self.young.update((w, array("I", e.ids).tobytes()) for w, e in zip(rare, found))
 
+    def recall(self, keys: list) -> np.ndarray:
+        """ids of pieces and rarer words one after the other."""
+        found = list(map(self.young.get, keys))
+        if None in found:
+            new = {key for key, ids in zip(keys, found) if ids is None}
+            if len(self.young) + len(new) > MEMO // 2:
+                self.young, self.old = {}, self.young
+                new = set(keys)
+            known = new & self.old.keys()
+            self.young.update(zip(known, map(self.old.__getitem__, known)))
+            self.learn(new - known)
+            found = map(self.young.__getitem__, keys)
+        return np.frombuffer(b"".join(found), "<u4")
+
+    def of_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of words one after the other, how many each has, and the place of each word among them."""
+        words = column.cast(pa.large_binary()).to_pylist()
+        rare = np.zeros(len(words), bool)
+        for i in np.flatnonzero(~pc.string_is_ascii(column).to_numpy(zero_copy_only=False)).tolist():
+            rare[i] = RARE.search(words[i]) is not None
+        every = b"\n".join(words)
+        if any(s in every for s in self.special):
+            rare |= np.array([any(s in w for s in self.special) for w in words])
+        common, rarer = np.flatnonzero(~rare), np.flatnonzero(rare)
+        keys = self.parts.findall(b"\n".join([*map(words.__getitem__, common.tolist()), b""]).decode().lower())
+        for i in rarer.tolist():
+            keys += words[i], "\n"
+        ids = self.recall(keys)
+        stops = np.flatnonzero(ids == STOP_ID)   # one after each word
+        place = np.empty(len(words), np.int32)
+        place[np.concatenate([common, rarer])] = np.arange(len(words))
+        return ids[ids != STOP_ID], np.diff(stops, prepend=-1).astype(np.int32) - 1, place
+
     def ids_of(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = set().union(*words).difference(self.young)
-        if len(self.young) + len(new) > MEMO // 2:
-            self.young, self.old = {}, self.young
-            new = set().union(*words)
-        known = new & self.old.keys()
-        self.young.update(zip(known, map(self.old.__getitem__, known)))
-        self.learn(new - known)
-        return [b"".join(map(self.young.__getitem__, w)) for w in words]
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = words.flatten().dictionary_encode()
+        ids, sizes, place = self.of_words(numbered.dictionary)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        at = place[numbered.indices.to_numpy(zero_copy_only=False)]
+        counts = sizes[at]
+        ends = np.cumsum(counts, dtype=np.int32)    # less than the texts' bytes
+        found = ids[np.repeat(starts[at] - (ends - counts), counts) + np.arange(counts.sum(), dtype=np.int32)]
+        bounds = np.concatenate([[0], ends])[words.offsets.to_numpy(zero_copy_only=False)].tolist()
+        return [found[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -170,6 +198,12 @@ def word_ids(vocabulary: str) -> WordIds | None:
     return WordIds(c) if drops_space and plain else None
 
 
+STOP_ID = 0xFFFFFFFF  # stands after each word's ids while they are put together
+STOP = STOP_ID.to_bytes(4, "little")
+
+# Words that may change in normal form or lower as a whole: any character from U+0300, and U+0130
+RARE = re.compile(rb"[\xcc-\xff]|\xc4\xb0")
+
 # Boundaries that hold whatever stands further left or right: a white space between two characters that
 # are not, and, where a pre-tokenizer takes runs of letters as words of their own, the end of such a run
 SPACED = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])[ \n\t](?=[\p{L}\p{N}])")
