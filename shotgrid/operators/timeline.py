@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from shotgrid.functions.scalars import (LANDMARKS, likelihood_name, offset_seconds,
                                         segment_end, segment_start)
 from shotgrid.operators.chunks import shots_enumerated
-from shotgrid.operators.flatten import (VIDEO_HEIGHT, VIDEO_WIDTH, _scaled_box, feature_rows,
-                                        shot_label_segments, speech_words)
+from shotgrid.operators.flatten import (VIDEO_HEIGHT, VIDEO_WIDTH, _scaled_box, explicit_frames, feature_rows,
+                                        object_tracks, person_tracks, shot_label_segments, speech_words)
 from shotgrid.plans.ranges import range_join
 
 
@@ -257,6 +257,34 @@ def timeline_pct(docs: DataFrame, lengths: DataFrame, threshold: float = 0.0) ->
                     ((F.col("end") - F.col("start")) / F.col("length") * 100).alias("width_pct"))
 
 
+def spans_pct(spans: DataFrame, lengths: DataFrame, *ids: str) -> DataFrame:
+    """PRJ-4 of any spans (input_uri, start, end): the ``ids`` columns, left and width in percent.
+
+    Only ids and two times go through the join. Without a length the video has
+    no row; a length of 0 or null gives null positions.
+    """
+    j = spans.select("input_uri", *ids, "start", "end").join(lengths.select("input_uri", "length"), "input_uri")
+    part = lambda c: F.try_divide(c, F.col("length")) * 100
+    return j.select("input_uri", *ids, part(F.col("start")).alias("left_pct"),
+                    part(F.col("end") - F.col("start")).alias("width_pct"))
+
+
+def object_timeline_pct(docs: DataFrame, lengths: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """PRJ-4 of object tracks over threshold: (input_uri, track, name, left_pct, width_pct)."""
+    return spans_pct(object_tracks(docs, threshold), lengths, "track", "name")
+
+
+def person_timeline_pct(docs: DataFrame, lengths: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """PRJ-4 of the first track of each person, over threshold: (input_uri, person, left_pct, width_pct)."""
+    return spans_pct(person_tracks(docs, threshold), lengths, "person")
+
+
+def explicit_timeline_pct(docs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """PRJ-4 of explicit frames, as points (their drawn width is fixed): (input_uri, frame_pos, explicit_content, left_pct)."""
+    frames = explicit_frames(docs, "first").withColumn("end", F.col("start"))
+    return spans_pct(frames, lengths, "frame_pos", "explicit_content").drop("width_pct")
+
+
 def misaligned(docs: DataFrame, lengths: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """FLT-11: video length vs whole end seconds of the first result; missing -> False."""
     d = docs.select("file",
@@ -271,4 +299,5 @@ def misaligned(docs: DataFrame, lengths: DataFrame, tolerance: float = 2.0) -> D
 
 __all__ = ["labels_at_time", "shot_at_time", "words_at_time", "box_at_time",
            "polygon_at_time", "landmarks_at_time", "likelihood_at_time", "timeline_pct",
+           "spans_pct", "object_timeline_pct", "person_timeline_pct", "explicit_timeline_pct",
            "misaligned", "frame_pairs", "shots_enumerated"]

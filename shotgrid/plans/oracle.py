@@ -534,6 +534,20 @@ SELECT e.input_uri, e.et_pos AS label_pos, e.j AS segment_pos,
 FROM e2 e JOIN lengths l ON e.input_uri = l.input_uri
 WHERE CAST(e.conf AS DOUBLE) > 0.0"""
 
+_PCT = """t.span_start / l.length * 100 AS left_pct,
+       (t.span_end - t.span_start) / l.length * 100 AS width_pct
+FROM tracks t JOIN lengths l ON t.input_uri = l.input_uri
+WHERE CAST(t.conf0 AS DOUBLE) > CAST(0.5 AS DOUBLE)"""
+SQL["timeline_pct_objects"] = with_(EV, TRACKS, LENGTHS) + f"""
+SELECT t.input_uri, t.et_pos AS track, t.event_type AS name, {_PCT}"""
+SQL["timeline_pct_persons"] = with_(EV, TRACKS, LENGTHS) + f"""
+SELECT t.input_uri, t.et_pos AS person, {_PCT} AND t.{SHOWN}"""
+SQL["timeline_pct_explicit"] = with_(EV, LENGTHS) + f"""
+SELECT f.input_uri, f.frame_pos, f.explicit_content, f.start / l.length * 100 AS left_pct
+FROM (SELECT input_uri, {sec('off')} AS start, {LIK} AS explicit_content,
+             row_number() OVER (PARTITION BY input_uri ORDER BY off, event_id) - 1 AS frame_pos
+      FROM ev WHERE {SEEN}) f JOIN lengths l ON f.input_uri = l.input_uri"""
+
 # --- summaries --------------------------------------------------------------
 
 def _segments_sql(source: str, ctes: tuple, order: str) -> str:

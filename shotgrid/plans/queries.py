@@ -334,6 +334,21 @@ def q_timeline_pct(spark, sf):
     return timeline.timeline_pct(_ev_docs(spark, sf), fx.video_lengths(spark, sf))
 
 
+@query("timeline_pct_objects")
+def q_timeline_pct_objects(spark, sf):
+    return timeline.object_timeline_pct(_ev_docs(spark, sf), fx.video_lengths(spark, sf))
+
+
+@query("timeline_pct_persons")
+def q_timeline_pct_persons(spark, sf):
+    return timeline.person_timeline_pct(_ev_docs(spark, sf), fx.video_lengths(spark, sf))
+
+
+@query("timeline_pct_explicit")
+def q_timeline_pct_explicit(spark, sf):
+    return timeline.explicit_timeline_pct(_ev_docs(spark, sf), fx.video_lengths(spark, sf))
+
+
 # --- summaries ------------------------------------------------------------
 
 @query("track_segments")

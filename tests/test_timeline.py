@@ -67,6 +67,30 @@ def test_likelihood_clamp_f5_j(spark, docs_from):  # F5 j
     assert got == {0.0: "A", 1.0: "A", 2.5: "B", 3.0: ""}
 
 
+def test_timeline_positions_of_objects_persons_and_explicit_frames(spark, docs_from):  # PRJ-4
+    def track(conf):
+        return {"confidence": conf, "segment": seg(2, 5)}
+
+    scan = docs_from({"annotation_results": [{
+        "input_uri": "/b/v.mp4",
+        "object_annotations": [{"entity": {"description": "cat"}, **track(0.9)},
+                               {"entity": {"description": "dog"}, **track(0.5)}],
+        "person_detection_annotations": [{"tracks": [track(0.8), track(0.9)]}, {"tracks": []}],
+        "explicit_annotation": {"frames": [{"time_offset": off(4), "pornography_likelihood": "A"}]}}]})
+
+    def rows(build, length):
+        lengths = spark.createDataFrame([("/b/v.mp4", length, 1)], "input_uri string, length double, start long")
+        return [tuple(r)[1:] for r in build(scan.good, lengths).collect()]
+
+    assert rows(timeline.object_timeline_pct, 8.0) == [(0, "cat", 25.0, 37.5)]     # over, not at, the threshold
+    assert rows(timeline.person_timeline_pct, 8.0) == [(0, 25.0, 37.5)]            # a person's first track
+    assert rows(timeline.explicit_timeline_pct, 8.0) == [(0, "A", 50.0)]
+    for length in (0.0, None):
+        assert rows(timeline.object_timeline_pct, length) == [(0, "cat", None, None)]
+    none = spark.createDataFrame([], "input_uri string, length double")
+    assert timeline.person_timeline_pct(scan.good, none).count() == 0
+
+
 def test_shot_at_time_inclusive(spark, docs_from):
     doc = {"annotation_results": [{"input_uri": "/b/v.mp4",
                                    "shot_annotations": [seg(0, 2), seg(2, 5)]}]}
