@@ -67,6 +67,13 @@ def test_two_megabytes_without_a_space(text):
     assert time.process_time() - began < 8 * alone + 10
 
 
+def test_words_of_every_kind_in_one_slice_equal_the_library():
+    texts = ["", "   ", " lead  trail ", "a\x1cb a\x1fb", "x\u0085y x\u00a0y", "\u0130stanbul I\u0307", "<|endoftext|> a<|endoftext|>b <|",
+             "'s 'S it's IT'S", "\u00c0\u00c9\u00df \u1e9e", "\x0b\x0ca", "1a2 &&& \u0661\u0662", "\ufb01 e\u0301", "a\u200bb \U0001f600", "a\nb\r\nc"]
+    found = list(tokens.ids_bytes_of("word_bpe_49k.json", [t.encode() for t in texts * 2]))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library(t) for t in texts * 2]
+
+
 def test_word_memory_is_bounded_and_stays_right(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 40)
     words = tokens.WordIds(tokens.codec("word_bpe_49k.json"))
