@@ -9,22 +9,34 @@ and records the outcome per row instead of dropping failures.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
+import re
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shotgrid.functions.scalars import clean_json, context_text
+from shotgrid.session import bounded_batches
 
 ERROR_PREFIX = "ERROR: "
 # What an embedding call answers: its segments with their vectors.
 EMBEDDING_RESPONSE = "array<struct<start_offset_sec:double,end_offset_sec:double,embedding:array<double>>>"
 
 
+LEDGER_GROUP = 64   # outcomes of ``score_once`` in one file of its ledger
+
+
 class Retryable(Exception):
     """Raised by a scoring function for errors worth another pass (quota, ...)."""
 
@@ -104,9 +116,85 @@ def score(df: DataFrame, fn: Callable, input_col: str, endpoints: Sequence[str]
             yield out
 
     src = df.repartition(partitions) if partitions else df
+    bounded_batches(df.sparkSession)
     return src.mapInPandas(run, schema)
 
 
+def _ledger_writer(call: Callable, result: pa.DataType, folder: str, turn: str, group: int):
+    """A map over (key, value) rows that calls the model and files every ``group`` outcomes before it goes on.
+
+    A group's file is named after the turn and its keys, so that a task run anew finds what it has filed and
+    calls nothing twice; a file appears whole (written aside, then moved).
+    """
+    def run(batches):
+        schema = pa.schema([("key", pa.string()), ("result", result), ("error", pa.string()),
+                            ("attempts", pa.int32()), ("endpoint", pa.string())])
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root)
+        rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        while part := list(itertools.islice(rows, group)):
+            name = f"{turn}-" + hashlib.sha256("".join(k for k, _ in part).encode()).hexdigest()
+            target = f"{root}/{name}.parquet"
+            if fs.get_file_info(target).type == pafs.FileType.NotFound:
+                got = [call(v) for _, v in part]
+                results = [r[0] if r[1] is None or result == pa.string() else None for r in got]
+                columns = [[k for k, _ in part], results, *([r[i] for r in got] for i in (1, 2, 3))]
+                table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                aside = f"{root}/.{name}-{uuid.uuid4().hex}"
+                pq.write_table(table, aside, filesystem=fs)
+                fs.move(aside, target)
+            yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int32())], ["n"])
+
+    return run
+
+
+def score_once(df: DataFrame, fn: Callable, input_col: str, ledger: str, endpoints: Sequence[str] = ("default",),
+               max_passes: int = 3, is_retryable: Callable[[Exception], bool] | None = None,
+               pause_seconds: float = 0.0, result_type: str = "string", partitions: int | None = None,
+               group: int = LEDGER_GROUP, **options) -> DataFrame:
+    """``score`` with a ledger of finished calls under the folder ``ledger``, which driver and executors share.
+
+    Outcomes are filed by ``group`` as they come, under the SHA-256 of their inputs. Whoever runs the same input again (a task whose executor was
+    lost, a job that was stopped, a replayed batch) calls the model only for what is not filed: at most one
+    unfinished group a task is called twice. Equal inputs are called once. Inputs with a filed success are left
+    out by an anti join; failures of an earlier run are tried again, and their success then counts. Inputs are
+    text; a null one is not called and fails with ``no input``. Adds the columns of ``score``; ``df`` is read twice.
+    """
+    spark = df.sparkSession
+    retry, eps = is_retryable or (lambda e: isinstance(e, Retryable)), list(endpoints)
+    filed_schema = f"key string, result {result_type}, error string, attempts int, endpoint string"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(ledger).getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = re.sub(r"^file:/+", "file:///", fs.makeQualified(path(ledger)).toString()).replace("s3a://", "s3://")
+
+    def call(value):
+        return _call_with_failover(fn, value, eps, max_passes, retry, pause_seconds, options)
+
+    def filed() -> DataFrame:
+        if not fs.exists(path(ledger)) or not len(fs.globStatus(path(ledger, "*.parquet"))):
+            return spark.createDataFrame([], filed_schema)
+        return spark.read.schema(filed_schema).parquet(ledger)
+
+    done = filed().where("error is null").select("key").distinct()
+    todo = df.select(F.sha2(input_col, 256).alias("key"), F.col(input_col).alias("value")).where("key is not null") \
+        .join(done, "key", "left_anti").dropDuplicates(["key"])
+    # a task run anew sees its inputs in the same order, so in the same groups
+    dealt = (todo.repartition(partitions, "key") if partitions else todo).sortWithinPartitions("key")
+    bounded_batches(spark)
+    writer = _ledger_writer(call, to_arrow_type(T.DataType.fromDDL(result_type)), folder, uuid.uuid4().hex, group)
+    dealt.mapInArrow(writer, "n int").write.format("noop").mode("overwrite").save()
+
+    outcome = F.struct("result", "error", "attempts", "endpoint")
+    best = filed().groupBy(F.col("key").alias("_ledger_key")).agg(
+        F.min_by(outcome, F.struct(F.col("error").isNotNull(), "attempts")).alias("_ledger"))
+    none = F.lit(ERROR_PREFIX + "no input") if result_type.lower() == "string" else F.lit(None)
+    called = F.col("_ledger_key").isNotNull()
+    return df.join(best, F.sha2(input_col, 256) == F.col("_ledger_key"), "left").select(
+        *df.columns, F.when(called, F.col("_ledger.result")).otherwise(none).alias("result"),
+        F.when(called, F.col("_ledger.error")).otherwise("no input").alias("error"),
+        F.coalesce("_ledger.attempts", F.lit(0)).alias("attempts"), F.col("_ledger.endpoint").alias("endpoint"))
+
+
 def clean_answer(df: DataFrame, col: str = "result", ddl: str | None = None) -> DataFrame:
     """UDF-3 tail: clean the model text (SCL-8) and optionally parse it."""
     cleaned = clean_json(F.col(col))
@@ -171,11 +259,13 @@ def register_model(name: str, fn: Callable, **options) -> None:
     MODELS[name] = (fn, options)
 
 
-def score_by_name(df: DataFrame, model: str, input_col: str, **kwargs) -> DataFrame:
-    """UDF-2: ``score`` with the model and options registered under ``model``."""
+def score_by_name(df: DataFrame, model: str, input_col: str, ledger: str | None = None, **kwargs) -> DataFrame:
+    """UDF-2: ``score`` (``score_once``, if a ledger is given) with the model and options registered under ``model``."""
     if model not in MODELS:
         raise ValueError(f"no model named {model!r}; registered: {sorted(MODELS)}")
     fn, options = MODELS[model]
+    if ledger:
+        return score_once(df, fn, input_col, ledger, **(options | kwargs))
     return score(df, fn, input_col, **(options | kwargs))
 
 

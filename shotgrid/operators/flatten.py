@@ -190,14 +190,17 @@ def labels_ranked(docs: DataFrame) -> DataFrame:
                       segment_end(F.col("s.segment")).alias("end"))
 
 
+def _label_name() -> Column:
+    """A label's first category, if any, and its own description."""
+    first_cat = F.try_element_at(F.col("l.category_entities"), F.lit(1))["description"]
+    return F.concat(F.coalesce(F.concat(first_cat, F.lit(" ")), F.lit("")), F.col("l.entity.description"))
+
+
 def shot_label_segments(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
     """NST-5 rows: (input_uri, label_pos, name, segment_pos, confidence, start, end)."""
     rows = feature_rows(docs, "shot_label_annotations", "first")
     lab = rows.select("input_uri", F.posexplode("items").alias("label_pos", "l"))
-    first_cat = F.try_element_at(F.col("l.category_entities"), F.lit(1))["description"]
-    name = F.concat(F.coalesce(F.concat(first_cat, F.lit(" ")), F.lit("")),
-                    F.col("l.entity.description"))
-    s = lab.select("input_uri", "label_pos", name.alias("name"),
+    s = lab.select("input_uri", "label_pos", _label_name().alias("name"),
                    F.posexplode("l.segments").alias("segment_pos", "s")) \
         .where(F.col("s.confidence") > F.lit(threshold))
     return s.select("input_uri", "label_pos", "name", "segment_pos",
@@ -206,15 +209,40 @@ def shot_label_segments(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
                     segment_end(F.col("s.segment")).alias("end"))
 
 
+def shot_label_islands(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(input_uri, label_pos, name, seg_start, seg_end): each label's segments, those that meet merged into one.
+
+    Row-local: a label's segments are sorted by start and folded where any two neighbours
+    meet; where none do, they stay as they are. Segments without a start or an end, or that
+    end before they start, cover nothing.
+    """
+    rows = feature_rows(docs, "shot_label_annotations", "first")
+    lab = rows.select("input_uri", F.posexplode("items").alias("label_pos", "l"))
+    spans = F.transform(F.filter("l.segments", lambda s: s["confidence"] > F.lit(threshold)), lambda s: F.struct(
+        segment_start(s["segment"]).alias("seg_start"), segment_end(s["segment"]).alias("seg_end")))
+    spans = F.array_sort(F.filter(spans, lambda s: s["seg_start"] <= s["seg_end"]))
+    lab = lab.select("input_uri", "label_pos", _label_name().alias("name"), spans.alias("spans"))
+
+    def fold(done, s):
+        last = F.element_at(done, -1)
+        joined = F.struct(last["seg_start"].alias("seg_start"), F.greatest(last["seg_end"], s["seg_end"]).alias("seg_end"))
+        return F.when(s["seg_start"] <= last["seg_end"],
+                      F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(s)))
+
+    n = F.size("spans")
+    rest = F.slice("spans", 2, F.greatest(n - 1, F.lit(0)))
+    meets = F.exists(F.zip_with(F.slice("spans", 1, F.greatest(n - 1, F.lit(0))), rest,
+                                lambda x, y: y["seg_start"] <= x["seg_end"]), lambda m: m)
+    islands = F.when(meets, F.aggregate(rest, F.slice("spans", 1, 1), fold)).otherwise(F.col("spans"))
+    return lab.select("input_uri", "label_pos", "name", F.inline(islands))
+
+
 def shot_labels(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
     """NST-5 + FLT-3/4 + AGG-5 on the label arrays themselves (no shuffle)."""
     rows = feature_rows(docs, "shot_label_annotations", "first")
     lab = rows.select("input_uri", F.posexplode("items").alias("label_pos", "l"))
-    first_cat = F.try_element_at(F.col("l.category_entities"), F.lit(1))["description"]
-    name = F.concat(F.coalesce(F.concat(first_cat, F.lit(" ")), F.lit("")),
-                    F.col("l.entity.description"))
     kept = F.filter("l.segments", lambda s: s["confidence"] > F.lit(threshold))
-    out = lab.select("input_uri", "label_pos", name.alias("name"), kept.alias("kept"))
+    out = lab.select("input_uri", "label_pos", _label_name().alias("name"), kept.alias("kept"))
     return out.where(F.size("kept") > 0).select(
         "input_uri", "label_pos", "name",
         F.size("kept").cast("bigint").alias("n_segments"),

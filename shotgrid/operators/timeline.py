@@ -3,9 +3,9 @@
 Probes are a table ``(input_uri, t)`` (the player's position becomes data).
 An as-of lookup is made an interval lookup row-locally: the span of a track is
 tiled by its frames (before the first one, between neighbours, from the last one
-on), each tile carrying the two frames it needs, and one range join
-(``plans.ranges``) finds the tile of every probe. No ``lead`` window, no second
-join, no per-video shuffle of frames.
+on), and one range join (``plans.ranges``) finds the tile of every probe. Tiles of
+boxes, polygons and landmarks carry only places and times; what the two frames
+hold is fetched from the track's row for the hits. No ``lead`` window.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from shotgrid.functions.scalars import (LANDMARKS, likelihood_name, offset_secon
                                         segment_end, segment_start)
 from shotgrid.operators.chunks import shots_enumerated
 from shotgrid.operators.flatten import (VIDEO_HEIGHT, VIDEO_WIDTH, _scaled_box, explicit_frames, feature_rows,
-                                        object_tracks, person_tracks, shot_label_segments, speech_words)
+                                        object_tracks, person_tracks, shot_label_islands, shot_label_segments,
+                                        speech_words)
 from shotgrid.plans.ranges import range_join
 
 
@@ -56,15 +57,42 @@ def _lerp(a: Column, b: Column, r: Column) -> Column:
     return a + (b - a) * r
 
 
+def _tile_times(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """The tiles of every track: ``keys``, frame count ``n``, [ta, tb], closed, place ``j`` and times of both frames.
+
+    ``tracks`` has ``keys``, ``fr`` (structs with ``t``), ``span_start`` and ``span_end``.
+    What frames hold besides their times stays behind.
+    """
+    times = F.transform("fr", lambda f: F.struct(f["t"].alias("t")))
+    tiles = tracks.select(*keys, F.size("fr").alias("n"),
+                          F.explode(span_tiles(times, F.col("span_start"), F.col("span_end"))).alias("p"))
+    return tiles.select(*keys, "n", "p.ta", "p.tb", "p.closed", "p.j", F.col("p.a.t").alias("t_a"), F.col("p.b.t").alias("t_b"))
+
+
+def _neighbours(frames: str, a: str = "a", b: str = "b") -> tuple[Column, Column]:
+    """What the frames before and after the tile at ``j`` hold; null outside the frames."""
+    return (F.try_element_at(frames, F.col("j") + 1).alias(a), F.try_element_at(frames, F.col("j") + 2).alias(b))
+
+
+def _in_edge_gap() -> Column:
+    """In the first or last gap between frames nothing is interpolated."""
+    return (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
+
+
+def _way_between() -> Column:
+    return (F.col("t") - F.col("t_a")) / (F.col("t_b") - F.col("t_a"))
+
+
 # --- interval containment (JN-3, WIN-5) ------------------------------------
 
 def labels_at_time(docs: DataFrame, probes: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Shot labels with a segment covering t (both ends inclusive)."""
-    segs = shot_label_segments(docs, threshold).select(
-        "input_uri", "label_pos", "name", F.col("start").alias("seg_start"),
-        F.col("end").alias("seg_end"))
-    hits = range_join(probes, segs, ["input_uri"], "t", "seg_start", "seg_end")
-    return hits.select("input_uri", "t", "label_pos", "name").distinct()
+    """Shot labels with a segment covering t (both ends inclusive), one row per probe and label.
+
+    A label's segments that meet are merged in its row first, so that a probe hits at most one
+    of them and nothing has to be made distinct after the join.
+    """
+    found = range_join(probes, shot_label_islands(docs, threshold), ["input_uri"], "t", "seg_start", "seg_end")
+    return found.select("input_uri", "t", "label_pos", "name")
 
 
 def shot_at_time(docs: DataFrame, probes: DataFrame) -> DataFrame:
@@ -126,23 +154,21 @@ def box_at_time(docs: DataFrame, probes: DataFrame, interpolate: bool = True,
     tracks = _box_tracks(docs, feature, w, h)
     if threshold is not None:
         tracks = tracks.where(F.col("confidence") > F.lit(threshold))
-    tiles = tracks.select("input_uri", "track", "part", F.size("fr").alias("n"),
-                          F.explode(span_tiles(F.col("fr"), F.col("span_start"), F.col("span_end"))).alias("x")) \
-        .select("input_uri", "track", "part", "n", "x.ta", "x.tb", "x.closed", "x.j",
-                F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    hit = range_join(probes, tiles, ["input_uri"], "t", "ta", "tb", closed="closed")
-    r = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
-    edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
+    # the range join carries places and times; boxes are fetched for the hits
+    keys = ["input_uri", "track", "part"]
+    hit = range_join(probes, _tile_times(tracks, keys), ["input_uri"], "t", "ta", "tb", closed="closed")
+    if feature == "logo_recognition_annotations":
+        at = ["part", "j", "n", "t_a", "t_b"]
+        hit = hit.groupBy("input_uri", "t", "track").agg(F.min(F.struct(*at)).alias("s")) \
+            .select("input_uri", "t", "track", *[f"s.{c}" for c in at])
+    found = hit.join(tracks.select(*keys, F.col("fr.box").alias("boxes")), keys).select(
+        *keys, "t", "j", "n", "t_a", "t_b", *_neighbours("boxes"))
+    edge, r = _in_edge_gap(), _way_between()
     out = []
     for c in ("x", "y", "width", "height"):
-        a, b = F.col("a.box")[c], F.col("b.box")[c]
+        a, b = F.col("a")[c], F.col("b")[c]
         out.append((F.when(edge, a).otherwise(_lerp(a, b, r)) if interpolate else a).alias(c))
-    hit = hit.select("input_uri", "t", "track", "part", *out)
-    if feature == "logo_recognition_annotations":
-        names = ["x", "y", "width", "height"]
-        hit = hit.groupBy("input_uri", "t", "track").agg(
-            F.min(F.struct("part", *names)).alias("s")).select("input_uri", "t", "track", *[f"s.{c}" for c in names])
-    return hit.drop("part")
+    return found.select("input_uri", "t", "track", *out)
 
 
 # --- polygons (JN-6) ------------------------------------------------------
@@ -159,19 +185,15 @@ def polygon_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH,
     # the range join carries places and times; polygons are fetched for the hits
     keys = ["input_uri", "text_pos", "segment_pos"]
     times = F.transform("s.frames", lambda f: F.struct(offset_seconds(f["time_offset"]).alias("t")))
-    times = F.coalesce(times, F.slice(times, 1, 0))
-    tiles = sg.select(*keys, F.size(times).alias("n"), F.explode(span_tiles(
-        times, segment_start(F.col("s.segment")), segment_end(F.col("s.segment")))).alias("p")) \
-        .select(*keys, "n", "p.ta", "p.tb", "p.closed", "p.j", F.col("p.a.t").alias("t_a"), F.col("p.b.t").alias("t_b"))
-    hit = range_join(probes, tiles, ["input_uri"], "t", "ta", "tb", closed="closed")
+    spans = sg.select(*keys, F.coalesce(times, F.slice(times, 1, 0)).alias("fr"),
+                      segment_start(F.col("s.segment")).alias("span_start"), segment_end(F.col("s.segment")).alias("span_end"))
+    hit = range_join(probes, _tile_times(spans, keys), ["input_uri"], "t", "ta", "tb", closed="closed")
     first = hit.groupBy("input_uri", "t", "text_pos").agg(
         F.min(F.struct("segment_pos", "j", "n", "t_a", "t_b")).alias("x")).select("input_uri", "t", "text_pos", "x.*")
     frames = sg.select(*keys, "text", F.col("s.frames.rotated_bounding_box.vertices").alias("polygons"))
     found = first.join(frames, keys).select(
-        "input_uri", "t", "text_pos", "text", "j", "n", "t_a", "t_b",
-        F.try_element_at("polygons", F.col("j") + 1).alias("a"), F.try_element_at("polygons", F.col("j") + 2).alias("b"))
-    r = (F.col("t") - F.col("t_a")) / (F.col("t_b") - F.col("t_a"))
-    edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
+        "input_uri", "t", "text_pos", "text", "j", "n", "t_a", "t_b", *_neighbours("polygons"))
+    edge, r = _in_edge_gap(), _way_between()
     cols = []
     for i in range(4):
         a, b = F.try_element_at("a", F.lit(i + 1)), F.try_element_at("b", F.lit(i + 1))
@@ -203,14 +225,13 @@ def landmarks_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH
                        first["confidence"].alias("confidence"))
     if threshold is not None:
         tracks = tracks.where(F.col("confidence") > F.lit(threshold))
-    tiles = tracks.select("input_uri", "person", F.size("fr").alias("n"), F.explode(F.filter(
-        span_tiles(F.col("fr"), F.col("span_start"), F.col("span_end")), lambda x: x["j"].isNotNull())).alias("x")) \
-        .select("input_uri", "person", "n", "x.ta", "x.tb", "x.closed", "x.j", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    hit = range_join(probes, tiles, ["input_uri"], "t", "ta", "tb", closed="closed")
-    r = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
-    edge = (F.col("j") == 0) | (F.col("j") + 1 == F.col("n") - 1)
-    hit = hit.select("input_uri", "t", "person", F.col("a.lm").alias("la"), F.col("b.lm").alias("lb"),
-                     edge.alias("edge"), r.alias("r"))
+    # the range join carries places and times; landmarks are fetched for the hits
+    keys = ["input_uri", "person"]
+    tiles = _tile_times(tracks, keys).where(F.col("j").isNotNull())
+    hit = range_join(probes, tiles, ["input_uri"], "t", "ta", "tb", closed="closed") \
+        .join(tracks.select(*keys, F.col("fr.lm").alias("marks")), keys)
+    hit = hit.select("input_uri", "t", "person", *_neighbours("marks", "la", "lb"),
+                     _in_edge_gap().alias("edge"), _way_between().alias("r"))
     names = F.array_distinct(F.transform("la", lambda l: l["name"]))
     lm = hit.select("*", F.explode(names).alias("name"))
 

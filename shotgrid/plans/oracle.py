@@ -646,6 +646,14 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS VAR
        CASE WHEN length(text) % 2 = 1 THEN 'backup' ELSE 'primary' END AS endpoint
 FROM documents"""
 
+SQL["scored_by_name"] = """
+SELECT doc_id,
+       CASE WHEN text IS NULL THEN 'ERROR: no input' ELSE '{"words": ' || CAST(n AS VARCHAR) || '}' END AS result,
+       CAST(n AS BIGINT) AS words, CASE WHEN text IS NULL THEN 'no input' END AS error,
+       CAST(coalesce(1 + length(text) % 2, 0) AS BIGINT) AS attempts,
+       CASE WHEN length(text) % 2 = 1 THEN 'backup' WHEN text IS NOT NULL THEN 'primary' END AS endpoint
+FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS n FROM documents)"""
+
 _feats = "[" + ", ".join(f"'{f}'" for f in X.FEATURES) + "]"
 _VIDEOS = f"""v AS (SELECT DISTINCT 'gs:/' || input_uri AS input_uri, {LANGS}[user_id % 4 + 1] AS language_code,
                CAST(user_id AS VARCHAR) AS file_system FROM ev)"""

@@ -584,5 +584,24 @@ def q_scored(spark, sf):
                         max_passes=2).drop("text")
 
 
+def word_count_parts(text, endpoint, unit):
+    """Deterministic stand-in model that answers in parts of a fenced record; odd lengths get an ERROR from the first endpoint."""
+    if endpoint == "primary" and len(text) % 2 == 1:
+        return "ERROR"
+    return iter(["```json", "{'", unit, "': ", str(len(text.split())), "}", "```"])
+
+
+enrich.register_model("word_count_parts", word_count_parts, unit="words", endpoints=["primary", "backup"], max_passes=2)
+
+
+@query("scored_by_name")
+def q_scored_by_name(spark, sf):
+    """UDF-1..4: a model by name over all texts, each different text called once and filed in a ledger, its record read."""
+    d = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    scored = enrich.score_by_name(d, "word_count_parts", "text", ledger=shared_dir(spark, "ledger"))
+    return enrich.clean_answer(scored.drop("text"), ddl="words bigint").select(
+        "doc_id", "result", F.col("parsed.words").alias("words"), "error", "attempts", "endpoint")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)

@@ -7,7 +7,9 @@
   the ``errors`` table and stops none of the others. Broken files go to a
   quarantine table.
 * STR-3 ``start_classify_job``: chunk manifest files -> caller-supplied model
-  (``enrich.score``), run once per chunk and stored; results, failures, the text
+  (``enrich.score_once``), run once per chunk and stored: a batch has a ledger of its
+  finished calls, so that a lost executor or a replayed batch pays for none of them again,
+  and an object written anew in a later batch is called anew; results, failures, the text
   beside the source and the embeddings of tagged chunks are all read from that.
   Only mp4 objects are scored; outputs never re-enter the input.
   Tags are those of the time of a batch; results whose object has none yet wait in
@@ -43,7 +45,7 @@ CORRUPT = A.CORRUPT
 
 
 MAX_FILES = 1_000  # of a micro-batch
-INTERMEDIATES = ("_parsed", "_scored", "_tags", "_untagged")
+INTERMEDIATES = ("_parsed", "_scored", "_tags", "_untagged", "_called", "_embedded")
 RETENTION_SECONDS = 86_400
 
 
@@ -175,8 +177,9 @@ def start_classify_job(spark: SparkSession, manifest_dir: str, tags: DataFrame |
 
     def body(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        scored = enrich.score(batch.select(F.col("object_name").alias("uri")), model, "uri",
-                              endpoints=endpoints, max_passes=max_passes)
+        finished = f"{out_dir}/{{}}/run={run}/batch_id={batch_id}".format
+        scored = enrich.score_once(batch.select(F.col("object_name").alias("uri")), model, "uri", finished("_called"),
+                                   endpoints=endpoints, max_passes=max_passes)
         stored = session.read.parquet(_write_batch(scored, out_dir, "_scored", run, batch_id))
         described = stored.select("uri", F.col("result").alias("description"), "error")
 
@@ -193,8 +196,9 @@ def start_classify_job(spark: SparkSession, manifest_dir: str, tags: DataFrame |
 
         def embeddings():
             work = enrich.embedding_requests(results())
-            answers = enrich.score(work, lambda context, ep: [tuple(x) for x in embed(context, ep)], "context",
-                                   endpoints=endpoints, max_passes=max_passes, result_type=enrich.EMBEDDING_RESPONSE)
+            answers = enrich.score_once(work, lambda context, ep: [tuple(x) for x in embed(context, ep)], "context",
+                                        finished("_embedded"), endpoints=endpoints, max_passes=max_passes,
+                                        result_type=enrich.EMBEDDING_RESPONSE)
             rows = answers.where("error is null").withColumnRenamed("result", "video_embeddings")
             return sinks.typed(enrich.embedding_rows(rows), S.EMBEDDINGS_TYPED)
 

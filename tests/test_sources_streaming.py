@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import seg
@@ -341,3 +343,63 @@ def test_replayed_batch_is_idempotent(spark, tmp_path):  # STR-5
     run(batch, 7)  # the same micro-batch delivered again
     again = sorted(tuple(r) for r in spark.read.parquet(f"{out}/chunks").collect())
     assert first == again and len(first) == 2
+
+
+def _counted(folder, stop_at=None):
+    """A model that notes every call; its worker dies once at ``stop_at``."""
+    def model(value, endpoint):
+        marker = os.path.join(folder, "stopped")
+        if value == stop_at and not os.path.exists(marker):
+            open(marker, "w").close()
+            os._exit(1)
+        with open(os.path.join(folder, f"{value}-{uuid.uuid4().hex}"), "w"):
+            pass
+        if value.startswith("bad") and not os.path.exists(os.path.join(folder, "mended")):
+            raise ValueError("broken")
+        return value.upper()
+    return model
+
+
+def _calls(folder):
+    return [n.rsplit("-", 1)[0] for n in os.listdir(folder) if "-" in n]
+
+
+def test_a_stopped_run_pays_for_one_group_again(spark, tmp_path):  # UDF-1
+    folder, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    folder.mkdir()
+    names = [f"v{n:02}" for n in range(20)]
+    order = sorted(names, key=lambda n: hashlib.sha256(n.encode()).hexdigest())
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, place int")
+    run = lambda: enrich.score_once(df, _counted(str(folder), "v13"), "name", ledger, partitions=1, group=4)
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark makes of the dead worker
+        run().collect()
+    first = _calls(folder)
+    assert sorted(first) == sorted(order[:order.index("v13")])        # whole groups, and some calls of the next
+    assert sorted((r.name, r.place, r.result) for r in run().collect()) == [(n, i, n.upper()) for i, n in enumerate(names)]
+    again = order[len(first) // 4 * 4:len(first)]
+    assert sorted(_calls(folder)) == sorted(names + again) and len(again) < 4   # only the unfinished group's calls
+    run().collect()
+    assert len(_calls(folder)) == len(names + again)                  # all is filed
+
+
+def test_ledger_of_failures_repeats_and_nulls(spark, tmp_path):  # UDF-1
+    folder, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    folder.mkdir()
+    df = spark.createDataFrame([("a",), ("a",), ("bad",), (None,)], "name string")
+    run = lambda: sorted((str(r.name), r.result, r.error, r.attempts, r.endpoint) for r in enrich.score_once(
+        df, _counted(str(folder)), "name", ledger).collect())
+    good, none = ("a", "A", None, 1, "default"), ("None", "ERROR: no input", "no input", 0, None)
+    assert run() == [none, good, good, ("bad", "ERROR: broken", "broken", 1, None)]
+    assert sorted(_calls(folder)) == ["a", "bad"]
+    (folder / "mended").touch()
+    assert run() == [none, good, good, ("bad", "BAD", None, 1, "default")]   # a failure is tried again
+    assert sorted(_calls(folder)) == ["a", "bad", "bad"]
+    empty = enrich.score_once(df.limit(0), _counted(str(folder)), "name", str(tmp_path / "other"))
+    assert empty.columns == ["name", "result", "error", "attempts", "endpoint"] and empty.count() == 0
+
+
+def test_ledger_of_embeddings(spark, tmp_path):
+    df = spark.createDataFrame([("x",)], "name string")
+    got = enrich.score_once(df, lambda v, ep: [(0.0, 1.0, [0.5, 2.0])], "name", str(tmp_path / "ledger"),
+                            result_type=enrich.EMBEDDING_RESPONSE).first()
+    assert [tuple(s) for s in got.result] == [(0.0, 1.0, [0.5, 2.0])]

@@ -178,3 +178,26 @@ def test_viewer_numbers_are_64_bit(spark, docs_from):  # FLT-3, NST-11, SCL-13
     face = flatten.face_attributes(scan.good, 0.7 - 1e-12).first()
     assert (face.smiling, face.glasses) == (70, 28) and flatten.face_attributes(scan.good, 0.7).count() == 0
     assert flatten.text_tracks(scan.good).first().item_id == "12" + "80100" + "400125"
+
+
+def test_labels_at_time_gives_one_row_where_segments_meet(spark, docs_from):  # JN-3
+    def label(name, *spans):
+        return {"entity": {"description": name}, "segments": [
+            {"confidence": c, "segment": seg(a, b)} for a, b, c in spans]}
+
+    rnd = random.Random(3)
+    many = [(float(a), float(a + rnd.randint(0, 4)), 0.9) for a in (rnd.randint(0, 40) for _ in range(25))]
+    labels = [label("meet", (0, 2, 0.9), (2, 5, 0.8), (1, 3, 0.7)), label("apart", (6, 7, 0.9), (0, 1, 0.9)),
+              label("low", (0, 9, 0.0)), label("none"), label("back", (5, 4, 0.9)), label("many", *many)]
+    scan = docs_from({"annotation_results": [{"input_uri": "/b/v.mp4", "shot_label_annotations": labels}]})
+    ts = [0.0, 1.0, 2.0, 2.5, 5.0, 5.5, 6.5, 8.0, *(x / 2 for x in range(20, 92))]
+    got = sorted((r.t, r.name) for r in timeline.labels_at_time(scan.good, probe_df(spark, ts)).collect())
+    spans = {"meet": [(0, 5)], "apart": [(0, 1), (6, 7)], "many": [(a, b) for a, b, _ in many]}
+    assert got == sorted((t, n) for t in ts for n, s in spans.items() if any(a <= t <= b for a, b in s))
+
+
+def test_payload_stays_out_of_the_range_join(spark, docs_from):  # JN-4, 5, 7
+    scan = docs_from(object_doc([0, 1, 2], [0.0, 1.0, 2.0]))
+    tracks = timeline._box_tracks(scan.good, "object_annotations", 1, 1)
+    tiles = timeline._tile_times(tracks, ["input_uri", "track", "part"])
+    assert {f.dataType.simpleString() for f in tiles.schema.fields} <= {"string", "int", "double", "boolean"}
