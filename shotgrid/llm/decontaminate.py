@@ -18,7 +18,9 @@ hit meet in the task that read the document.
 
 Defined cases: null or empty texts are clean; items without words, or with
 fewer than ``MIN_ITEM`` of them, cannot be told from chance and match nothing;
-repeated items and rows are treated alike; a null doc_id is matched like any
+repeated items and rows are treated alike; an item without an id contaminates
+like any other, in one row of ``leaks`` with a null item_id, and is not listed
+among ``items``; empty ``documents`` give no rows, other columns are not read; a null doc_id is matched like any
 other, its row carries its own verdict; no items: every document is clean.
 """
 
@@ -75,7 +77,7 @@ def seed_hashes(h: np.ndarray, n: int) -> list[np.ndarray]:
 class Block:
     """Seeds of some benchmark items, sorted by hash, with a bitmap to skip most lookups."""
 
-    ids: np.ndarray        # item id of each item
+    ids: list              # item id of each item, None where it has none
     words: np.ndarray      # word hashes of all items, one after another
     starts: np.ndarray     # where each item starts, and the end
     windows: list[int]     # lengths of the windows: MIN_OVERLAP and those of shorter items
@@ -103,11 +105,11 @@ def build_block(items: list[tuple[int, np.ndarray]]) -> Block:
     bits = np.zeros(1 << width, bool)
     bits[(seeds >> shift).astype(np.int64)] = True
     words = [h for _, h in items]
-    return Block(np.array([i for i, _ in items], np.int64), cat(words, np.uint64),
+    return Block([i for i, _ in items], cat(words, np.uint64),
                  np.cumsum([0, *map(len, words)]), windows, seeds[order], item[order], at[order], bits, shift)
 
 
-def overlaps(block: Block, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+def overlaps(block: Block, h: np.ndarray) -> list[tuple[int | None, int, int, int]]:
     """(item id, first word, words, equal words) of the best window of each verified alignment."""
     found = set()
     for s in (s for n in block.windows for s in seed_hashes(h, n)):
@@ -129,7 +131,7 @@ def overlaps(block: Block, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         window = equal[need:] - equal[:-need]
         best = int(window.argmax())
         if window[best] >= needed(need):
-            out.append((int(block.ids[k]), first + best, need, int(window[best])))
+            out.append((block.ids[k], first + best, need, int(window[best])))
     return out
 
 
@@ -137,7 +139,7 @@ def blocks(benchmark: DataFrame):
     """The benchmark's items in blocks of at most BLOCK_WORDS words (and one item more)."""
     held, size = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        held.append((-1 if r.item_id is None else r.item_id, word_hashes(r.text)))
+        held.append((r.item_id, word_hashes(r.text)))
         size += len(held[-1][1])
         if size >= BLOCK_WORDS:
             yield build_block(held)

@@ -12,12 +12,16 @@ reduced to one by their smallest shingle hash, otherwise a text copied often
 would put its rare words into the lexicon. Weights are smoothed log odds of
 document counts; word beginnings that a shorter entry explains as well are left
 out. Length-normalised weight and total weight go through a logistic curve
-fitted on the same rows. The model is at most ``MAX_TERMS`` entries.
+fitted on the same rows. The model is at most ``MAX_TERMS`` entries, out of four
+times as many candidates, and as many exception phrases: beyond these bounds the
+candidates and entries of the least weight times documents and the phrases of the
+fewest documents are left out.
 
 Scoring reads every whole text. Defined cases: null, empty or wordless texts
 have no hits and get the score of none; texts of any length are scanned whole;
 without labelled rows of both kinds the lexicon is empty and all scores are 0;
-repeated rows are scored alike; a null doc_id is never held out.
+repeated rows are scored alike; empty ``documents`` give no rows, other columns are
+not read; a null doc_id is never held out.
 """
 
 from __future__ import annotations
@@ -201,18 +205,20 @@ def lexicon(terms: dict[str, tuple[float, int]], limit: int = MAX_TERMS) -> dict
 
     A beginning is lengthened while one longer candidate holds nearly all of its
     documents (idi -> idiot), and left out if a chosen shorter one explains it.
+    Of more than ``limit`` entries those of the most evidence stay: weight times documents.
     """
     longer: dict[str, list[str]] = {}
     for t in terms:
         longer.setdefault(t[:-1], []).append(t)
     out: dict[str, float] = {}
     for t in sorted(terms, key=lambda t: (len(t), t)):
-        if len(out) >= limit or any(t[:k] in out for k in range(PREFIX[0], len(t))):
+        if any(t[:k] in out for k in range(PREFIX[0], len(t))):
             continue
         if any(terms.get(x, (0, 0))[1] >= 0.9 * terms[t][1] for x in longer.get(t, ())):
             continue  # its one continuation stands for it
         out[t] = float(terms[t][0])
-    return out
+    strongest = sorted(out, key=lambda t: (-out[t] * terms[t][1], t))[:limit]
+    return {t: out[t] for t in strongest}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
@@ -239,13 +245,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     terms = (map_arrow(rows, _count_beginnings, "term string, pos long, neg long")
              .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
              .where(F.col("pos") >= max(MIN_DOCS, MIN_SHARE * p)).withColumn("w", odds).where(F.col("w") >= MIN_WEIGHT)
-             .orderBy(F.desc("w"), "term").limit(4 * MAX_TERMS).collect())
+             .orderBy(F.desc(F.col("w") * F.col("pos")), "term").limit(4 * MAX_TERMS).collect())
     model = Model(weights=lexicon({r.term: (r.w, r.pos) for r in terms}))
     if not model.weights:
         return Model()
     phrases = (map_arrow(rows, _phrases(model), "phrase string, docs long, toxic long")
                .groupBy("phrase").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-               .where("docs >= 5 and toxic <= 0.1 * docs").orderBy("phrase").limit(MAX_TERMS).collect())
+               .where("docs >= 5 and toxic <= 0.1 * docs").orderBy(F.desc("docs"), "phrase").limit(MAX_TERMS).collect())
     model.exceptions = [r.phrase for r in phrases]
     got = map_arrow(rows, _totals(model), "total double, n_chars long, toxic long").collect()  # at most ``limit`` rows
     x = np.array([features(r.total, r.n_chars) for r in got])

@@ -74,3 +74,15 @@ def test_defined_cases_and_blocks(spark, documents, monkeypatch):
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4]
     assert D.contamination(docs, bench.where("false")).where("contaminated").count() == 0
     assert D.contamination(docs.where("false"), bench).count() == 0
+
+
+def test_items_without_an_id_are_kept_apart(spark):
+    text = " ".join(f"alpha{i}" for i in range(20))
+    other = " ".join(f"beta{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text), (2, other), (3, "clean words only here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (-1, other), (None, text)], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect())
+    assert found == [(1, None), (2, -1)]
+    got = {r.doc_id: (r.contaminated, list(r["items"])) for r in D.contamination(docs, bench).collect()}
+    assert got == {1: (True, []), 2: (True, [-1]), 3: (False, [])}
+    assert D.contamination(docs.where("false"), bench).count() == 0

@@ -70,3 +70,9 @@ def test_defined_cases(documents, model, spark):
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     empty = T.fit(docs, nothing)
     assert not empty.weights and {r.score for r in T.toxicity(docs, empty).collect()} == {0.0}
+
+
+def test_a_small_lexicon_keeps_the_strongest_entries():
+    terms = {"aaa": (3.0, 5), "bbb": (3.1, 5), "zzzz": (6.0, 90), "yyyyyy": (5.0, 80)}
+    assert T.lexicon(terms, 2) == {"zzzz": 6.0, "yyyyyy": 5.0}
+    assert T.lexicon(terms) == {t: w for t, (w, _) in terms.items()}
