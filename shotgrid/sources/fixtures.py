@@ -117,13 +117,10 @@ def _landmarks(e: Column) -> Column:
     return F.when(e["k"] % 2 == 0, F.array(nose, eye)).otherwise(F.array(nose))
 
 
-def _parents(ev: DataFrame) -> DataFrame:
-    """One parent record per (user, event_type) for every feature."""
-    g = ev.groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(
-        F.struct("off", "event_id", "off2", "conf", "k", "value"))).alias("evs"))
-    evs = F.col("evs")
+def _parent(p: Column) -> Column:
+    """One parent record per (user, event_type) for every feature, from the type's events in order."""
+    evs, et = p["evs"], p["event_type"]
     first, last = F.element_at(evs, 1), F.element_at(evs, -1)
-    et = F.col("event_type")
     entity = F.struct(et.alias("entity_id"), et.alias("description"))
     cat = F.concat(F.lit("cat_"), et)
     categories = F.array(F.struct(cat.alias("entity_id"), cat.alias("description")),
@@ -152,24 +149,20 @@ def _parents(ev: DataFrame) -> DataFrame:
                         .alias("timestamped_objects"))
 
     halves = F.filter(F.array(F.slice(evs, F.lit(1), half), F.slice(evs, half + 1, F.size(evs))), lambda x: F.size(x) > 0)
-    return g.select(
-        "user_id",
-        F.struct(
-            et.alias("event_type"),
-            F.struct(et.alias("text"), text_segments.alias("segments")).alias("text"),
-            F.struct(entity.alias("entity"), categories.alias("category_entities"),
-                     label_segments.alias("segments")).alias("label"),
-            F.struct(entity.alias("entity"), first["conf"].alias("confidence"),
-                     span.alias("segment"), frames.alias("frames")).alias("object"),
-            F.struct(entity.alias("entity"), F.transform(halves, logo_track).alias("tracks")).alias("logo"),
-            F.struct(last["conf"].alias("confidence"), F.array(F.struct(
-                span.alias("segment"), first["conf"].alias("confidence"),
-                person_frames.alias("timestamped_objects"))).alias("tracks")).alias("person"),
-            F.struct(F.concat(et, F.lit("-"), F.col("user_id").cast("string")).alias("thumbnail"),
-                     F.array(F.struct(span.alias("segment"), first["conf"].alias("confidence"),
-                                      attributes.alias("attributes"),
-                                      frames.alias("timestamped_objects"))).alias("tracks")).alias("face"),
-        ).alias("p"))
+    return F.struct(
+        F.struct(et.alias("text"), text_segments.alias("segments")).alias("text"),
+        F.struct(entity.alias("entity"), categories.alias("category_entities"),
+                 label_segments.alias("segments")).alias("label"),
+        F.struct(entity.alias("entity"), first["conf"].alias("confidence"),
+                 span.alias("segment"), frames.alias("frames")).alias("object"),
+        F.struct(entity.alias("entity"), F.transform(halves, logo_track).alias("tracks")).alias("logo"),
+        F.struct(last["conf"].alias("confidence"), F.array(F.struct(
+            span.alias("segment"), first["conf"].alias("confidence"),
+            person_frames.alias("timestamped_objects"))).alias("tracks")).alias("person"),
+        F.struct(F.concat(et, F.lit("-"), p["user"].cast("string")).alias("thumbnail"),
+                 F.array(F.struct(span.alias("segment"), first["conf"].alias("confidence"),
+                                  attributes.alias("attributes"),
+                                  frames.alias("timestamped_objects"))).alias("tracks")).alias("face"))
 
 
 def _nonempty(arr: Column) -> Column:
@@ -185,28 +178,34 @@ def _result(**fields: Column) -> Column:
 
 
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events -> one annotation document per user with two results."""
-    ev = flat_events(spark, sf_dir)
+    """Events -> one annotation document per user with two results.
+
+    Flat events are shuffled once, by user; what is nested is made row by row from a user's
+    ordered events, so that no record of a feature is shuffled, sorted or spilled.
+    """
+    ev = flat_events(spark, sf_dir).where(F.col("user_id").isNotNull()).repartition("user_id")
     lik = F.create_map(*[x for k, v in LIKELIHOOD_BY_EVENT.items() for x in (F.lit(k), F.lit(v))])
-    per_user = ev.groupBy("user_id", "input_uri").agg(
-        F.sort_array(F.collect_list(F.struct("off", "event_id", "event_type"))).alias("evs"),
-        F.max("off").alias("last_off"))
+    by_type = ev.groupBy("user_id", "input_uri", "event_type").agg(F.sort_array(F.collect_list(
+        F.struct("off", "event_id", "event_type", "off2", "conf", "k", "value"))).alias("evs"))
+    per_user = by_type.groupBy("user_id", "input_uri").agg(F.sort_array(F.collect_list(
+        F.struct("event_type", F.col("user_id").alias("user"), "evs"))).alias("types"))
+    per_user = per_user.select("user_id", "input_uri", "types", F.sort_array(F.flatten("types.evs")).alias("evs")) \
+        .withColumn("last_off", F.array_max("evs.off"))
     evs = F.col("evs")
     pairs = F.transform(F.slice(evs, 1, F.size(evs) - 1),
                         lambda e, i: F.struct(e["off"].alias("a"),
                                               F.element_at(evs, i + 2)["off"].alias("b")))
     to_shot = lambda s: segment(s["a"], s["b"])
     per_user = per_user.select(
-        "user_id", "input_uri",
+        "user_id", "input_uri", F.transform("types", _parent).alias("ps"),
         segment(F.lit(0), F.col("last_off")).alias("video_segment"),
         _nonempty(F.transform(F.filter(pairs, lambda s: s["a"] < HALF_MICROS), to_shot)).alias("shots0"),
         _nonempty(F.transform(F.filter(pairs, lambda s: s["a"] >= HALF_MICROS), to_shot)).alias("shots1"),
         F.transform(evs, lambda e: F.struct(
             offset(e["off"]).alias("time_offset"),
             lik[e["event_type"]].alias("pornography_likelihood"))).alias("explicit_frames"))
-    parents = _parents(ev).groupBy("user_id").agg(
-        F.sort_array(F.collect_list("p")).alias("ps"))
     ps = F.col("ps")
+
     def field(name):
         return F.transform(ps, lambda p: p[name])
 
@@ -222,9 +221,8 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                  logo_recognition_annotations=tracked["logo"],
                  person_detection_annotations=tracked["person"],
                  face_detection_annotations=tracked["face"])
-    return (per_user.join(parents, "user_id")
-            .select(F.concat(F.lit("annotations/"), F.col("user_id").cast("string"), F.lit(".json")).alias("file"),
-                    F.array(r0, r1).alias("annotation_results")))
+    return per_user.select(F.concat(F.lit("annotations/"), F.col("user_id").cast("string"), F.lit(".json")).alias("file"),
+                           F.array(r0, r1).alias("annotation_results"))
 
 
 def event_shot_parts(spark: SparkSession, sf_dir: str, size: int | None = P.PART) -> DataFrame:
