@@ -307,15 +307,12 @@ def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events") ->
 BROKEN, HALF_BROKEN = 4, 6  # user_id % 11 of videos whose JSON is cut off, or holds a wrong type
 
 
-def annotation_json(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of annotation JSON lines (shots only), some of them broken or half broken.
-
-    A broken document is cut off; a half-broken one has text where a number belongs.
-    """
-    from shotgrid.session import remove_at_exit, shared_dir
-    docs = stored_documents(spark, sf_dir, "events")
-    slim = F.transform("annotation_results", lambda r: F.struct(r["input_uri"].alias("input_uri"),
-                                                                r["shot_annotations"].alias("shot_annotations")))
+def annotation_lines(docs: DataFrame) -> DataFrame:
+    """One JSON text per document (shots only); of broken ones it is cut off, of half-broken ones text stands for a number."""
+    # fields taken from the whole array, so that only they are read from storage
+    shots = F.col("annotation_results.shot_annotations")
+    slim = F.transform("annotation_results.input_uri", lambda uri, i: F.struct(
+        uri.alias("input_uri"), F.element_at(shots, i + 1).alias("shot_annotations")))
     text = F.to_json(F.struct(slim.alias("annotation_results")))
     kind = F.regexp_extract("file", r"(\d+)\.json$", 1).cast("bigint") % 11
     value = (F.when(kind == BROKEN, text.substr(F.lit(1), F.length(text) - 2))
@@ -323,8 +320,14 @@ def annotation_json(spark: SparkSession, sf_dir: str) -> str:
                  F.lit('{"annotation_results":[{"shot_annotations":[{"start_time_offset":{"seconds":"x5"}}]},'),
                  F.regexp_replace(text, r"^\{\"annotation_results\":\[", "")))
              .otherwise(text))
+    return docs.select(value.alias("value"))
+
+
+def annotation_json(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of annotation JSON lines, some of them broken or half broken."""
+    from shotgrid.session import remove_at_exit, shared_dir
     path = shared_dir(spark, "annotation_json")
-    docs.select(value.alias("value")).write.text(path)
+    annotation_lines(stored_documents(spark, sf_dir, "events")).write.text(path)
     remove_at_exit(spark, path)
     return path
 

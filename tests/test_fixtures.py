@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from shotgrid.sources import fixtures as fx
 
 
@@ -44,3 +46,18 @@ def test_documents_of_repeated_and_null_events(spark, tmp_path):
     assert [x["thumbnail"] for x in faces] == [None, "click-1", "view-1"]
     assert [len(t["timestamped_objects"]) for x in second["logo_recognition_annotations"][1:2] for t in x["tracks"]] == [1, 2]
 
+
+def test_json_source_reads_only_shots(spark, tmp_path):
+    fx.event_documents(spark, events(spark, tmp_path, ROWS)).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")  # the whole schema
+    try:
+        lines = fx.annotation_lines(spark.read.parquet(f"{tmp_path}/docs"))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "shot_annotations" in plan
+    assert "text_annotations:" not in plan and "face_detection" not in plan
+    ends = F.from_json("value", "annotation_results array<struct<shot_annotations array<struct<end_time_offset struct<seconds long>>>>>")
+    got = [r[0] for r in lines.select(ends["annotation_results"]["shot_annotations"][0]["end_time_offset"]["seconds"].alias("s"))
+           .where(F.size("s") > 0).collect()]
+    assert got == [[20, 20, 30, 40]]
