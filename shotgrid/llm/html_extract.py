@@ -45,9 +45,10 @@ from __future__ import annotations
 import html as htmllib
 import json
 import re
-from bisect import bisect_left
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -61,7 +62,8 @@ DOMINANT = 0.8     # share of the text an article or main element, or a kept mar
 SHORT = 0.1        # share of the content slot's text that a template slot with varying words may hold on average
 CHUNK = 256        # pages aligned with one copy of the pivot
 DEPTH = 256        # nesting beyond this is read as if it were at this depth (as browsers do)
-CELLS = 1 << 16    # pairs of children weighed against each other; longer lists are matched in order
+CELLS = 1 << 16    # pairs of children whose matches are kept in memory; of longer lists the same are found row by row
+COMMON = 64        # children of a long list with one text before it counts as common (speed, not results)
 
 # HTML's void elements, elements without text, blocks and containers.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,19 +266,64 @@ def content_key(root: Node) -> int:
     return xxhash.xxh64_intdigest("\0".join(p for p in parts if p)) >> 1 if any(parts) else 0
 
 
-def in_order(x: list, y: list) -> list[tuple]:
-    """Each child of ``x`` with the next child of ``y`` of its label: linear in long lists."""
+def texts_of(node: list) -> set[int]:
+    """The text hashes in an outline, that of no text left out."""
+    out, todo = set(), [node]
+    while todo:
+        x = todo.pop()
+        out.add(x[1])
+        todo += x[3]
+    return out - {0}
+
+
+def aligned(x: list, y: list) -> tuple[float, list[tuple[int, int]]]:
+    """What ``match`` finds for two long lists of children: (weight, places of matched children).
+
+    The same table, filled a row at a time, of which only the steps back stay, compressed.
+    Children that differ in texts alone which the pair does not share weigh the same, so each
+    pair of such kinds is matched once; pairs with a text that is not common are matched themselves.
+    """
     places = defaultdict(list)
     for j, q in enumerate(y):
-        places[q[0]].append(j)
-    out, at = [], 0
+        for h in texts_of(q):
+            places[h].append(j)
+    often = {h for h, at in places.items() if len(at) > COMMON}
+
+    def kind(node, own):
+        """Its outline with ``own`` for every text that is not common."""
+        return [node[0], node[1] if not node[1] or node[1] in often else own, 0, [kind(k, own) for k in node[3]]]
+
+    numbers: dict[str, int] = {}
+    numbers_of = np.array([numbers.setdefault(json.dumps(kind(q, -2)), len(numbers)) for q in y])
+    kinds = [json.loads(k) for k in numbers]
+    known: dict[str, np.ndarray] = {}
+    above, steps = np.zeros(len(y) + 1), []
     for p in x:
-        free = places[p[0]]
-        k = bisect_left(free, at)
-        if k < len(free):
-            out.append((p, y[free[k]]))
-            at = free[k] + 1
-    return out
+        mine = kind(p, -1)
+        key = json.dumps(mine)
+        if key not in known:
+            if len(known) >= COMMON:
+                known.clear()
+            known[key] = np.array([match(mine, k)[0] if k[0] == p[0] else 0.0 for k in kinds])
+        weigh = known[key][numbers_of]      # 0: other label
+        for j in {j for h in texts_of(p) - often if h in places for j in places[h]}:
+            if weigh[j]:
+                weigh[j] = match(p, y[j])[0]
+        row, both = np.zeros(len(y) + 1), np.where(weigh > 0, above[:-1] + weigh, -1.0)
+        row[1:] = np.maximum.accumulate(np.maximum(above[1:], both))
+        steps.append(zlib.compress(np.where(row[1:] == both, 2, row[1:] == above[1:]).astype(np.uint8).tobytes(), 1))
+        above = row
+    found, j = [], len(y)
+    for i in range(len(x) - 1, -1, -1):
+        back = zlib.decompress(steps[i])
+        while j and not back[j - 1]:
+            j -= 1
+        if not j:
+            break
+        if back[j - 1] == 2:
+            j -= 1
+            found.append((i, j))
+    return float(above[-1]), found
 
 
 def match(a: list, b: list) -> tuple[float, list]:
@@ -289,11 +336,8 @@ def match(a: list, b: list) -> tuple[float, list]:
     if not x or not y:
         return weight, [(a, b)]
     if len(x) * len(y) > CELLS:
-        total, pairs = weight, [(a, b)]
-        for p, q in in_order(x, y):
-            w, found = match(p, q)
-            total, pairs = total + w, pairs + found
-        return total, pairs
+        total, places = aligned(x, y)
+        return weight + total, [(a, b), *(pair for i, j in places for pair in match(x[i], y[j])[1])]
     best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
     sub = {}
     for i, p in enumerate(x):

@@ -65,6 +65,33 @@ def page(i, extra=""):
             f"<form><p>Sign up</p></form><footer>f{i}</footer><script>x = '<p>no</p>'</script></body></html>")
 
 
+def kept_alive(pairs):
+    return sorted((id(p), id(q)) for p, q in pairs)
+
+
+@pytest.mark.parametrize("common", [0, 1, 64])
+def test_long_lists_are_matched_like_short_ones(monkeypatch, common):
+    rng = random.Random(7)
+    monkeypatch.setattr(H, "COMMON", common)
+    for _ in range(60):
+        a, b = (["r", 0, 1, [tree(rng, 2) for _ in range(rng.randint(0, 12))]] for _ in "ab")
+        monkeypatch.setattr(H, "CELLS", 1 << 16)
+        short = H.match(a, b)
+        monkeypatch.setattr(H, "CELLS", 0)      # every list counts as long
+        long = H.match(a, b)
+        assert long[0] == short[0] and kept_alive(long[1]) == kept_alive(short[1])
+
+
+def test_a_long_list_keeps_its_equal_rows():
+    """One label ahead of its turn does not throw the rest of a long list out of step."""
+    row = lambda k: ["tr", k, 1, [["td", 10_000 + k, 1, []], ["td", 5, 1, []]]]
+    a = ["table", 1, 1, [row(k) for k in range(1, 601)]]
+    b = ["table", 2, 1, [row(k) for k in range(301, 601)] + [["tfoot", 9, 1, []]]]
+    weight, pairs = H.match(a, b)
+    assert weight == 1 + 300 * 4.5
+    assert sum(p[0] == "tr" and p[1] == q[1] for p, q in pairs) == 300
+
+
 def test_template_nodes_and_marks_go(spark):
     rows = [(i, f"http://a.example/{i}", page(i, f"<p>tail {i}</p>")) for i in range(12)]
     rows += [(100 + i, f"http://a.example/c{i}", rows[0][2]) for i in range(30)]   # copies are no evidence
