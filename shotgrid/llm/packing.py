@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 from functools import lru_cache
 
@@ -56,23 +57,26 @@ def plan(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH, res
     neighbours are further apart than ``length``. With ``rest``, fewer than
     ``length`` tokens at the end may stay uncovered at the cost ``rest(tokens)``.
     """
-    p, pen = positions.tolist(), penalties.tolist()
-    f, back = [0.0] * len(p), [0] * len(p)
-    queue = deque([(0, 0.0, 0)])              # (position, f + position, index): both rising
-    for j in range(1, len(p)):
-        low = p[j] - length
-        while queue[0][0] < low:
-            queue.popleft()
-        f[j] = cost = pen[j] + SEQUENCE + length - p[j] + queue[0][1]
-        back[j] = queue[0][2]
-        key = cost + p[j]
-        while queue and queue[-1][1] >= key:
+    reach = np.searchsorted(positions, positions - length).tolist()    # first boundary of a window that ends here
+    steps = (penalties + SEQUENCE + length).tolist()
+    least, back = [0.0], [0]                    # f + position, and where the window begins
+    queue, costs, head = [0], [0.0], 0          # indexes and their f + position: both rising from head on
+    for j in range(1, len(steps)):
+        low = reach[j]
+        while queue[head] < low:
+            head += 1
+        back.append(queue[head])
+        cost = costs[head] + steps[j]
+        least.append(cost)
+        while costs[-1] >= cost:                # ends at head at the latest: a step costs more than nothing
             queue.pop()
-        queue.append((p[j], key, j))
-    j = len(p) - 1
+            costs.pop()
+        queue.append(j)
+        costs.append(cost)
+    j = len(steps) - 1
     if rest is not None:
-        near = range(int(np.searchsorted(positions, p[j] - length, "right")), j + 1)
-        j = min(near, key=lambda i: f[i] + rest(p[-1] - p[i]))
+        p = positions.tolist()
+        j = min(range(bisect_right(p, p[-1] - length), j + 1), key=lambda i: least[i] - p[i] + rest(p[-1] - p[i]))
     out = []
     while j:
         out.append(j)
