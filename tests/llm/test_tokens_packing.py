@@ -86,6 +86,12 @@ def test_pieces_equal_the_library_s_for_every_kind_of_character():
         assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
 
 
+def test_fresh_word_memory_takes_texts_without_words():
+    words = tokens.WordIds(tokens.codec("word_bpe_49k.json"))
+    assert words.ids_of([]) == [] and words.ids_of([b"", b" \n"]) == [b"", b""]
+    assert np.frombuffer(words.ids_of([b"", b"a b"])[1], "<u4").tolist() == library("a b")
+
+
 def test_work_per_word_stays_small():
     rng = random.Random(7)
     known = ["".join(rng.choices("aeinorst", k=rng.randint(4, 12))) for _ in range(60_000)]
