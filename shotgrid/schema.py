@@ -73,6 +73,36 @@ def reduced_schema(features: list[str], corrupt_column: str | None = "_corrupt")
     return schema
 
 
+def presence_schema(features: list[str]) -> T.StructType:
+    """Read schema of stored documents that tells which features a result holds, by one leaf of each.
+
+    Any leaf of a Parquet column tells null from empty and from filled, so the one under the
+    fewest lists is read; vertices, words and boxes stay in storage.
+    """
+    result = T.StructType([f for f in T.StructType.fromDDL(f"r {RESULT}")["r"].dataType if f.name in features])
+    kept = T.StructType([T.StructField(f.name, _one_leaf(f.dataType)) for f in result])
+    return T.StructType([T.StructField("file", T.StringType()), T.StructField("annotation_results", T.ArrayType(kept))])
+
+
+def _one_leaf(t: T.DataType) -> T.DataType:
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_one_leaf(t.elementType))
+    if isinstance(t, T.StructType):
+        f = min(t, key=lambda f: _leaf_cost(f.dataType))
+        return T.StructType([T.StructField(f.name, _one_leaf(f.dataType))])
+    return t
+
+
+def _leaf_cost(t: T.DataType) -> tuple[int, bool]:
+    """Lists above the cheapest leaf, and whether it is a text."""
+    if isinstance(t, T.ArrayType):
+        lists, text = _leaf_cost(t.elementType)
+        return lists + 1, text
+    if isinstance(t, T.StructType):
+        return min(_leaf_cost(f.dataType) for f in t)
+    return 0, isinstance(t, T.StringType)
+
+
 ARRIVAL = (
     "id STRING, type STRING, bucket STRING, name STRING, metageneration STRING, "
     "timeCreated TIMESTAMP, updated TIMESTAMP, contentType STRING")

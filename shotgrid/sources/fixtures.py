@@ -35,6 +35,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shotgrid import schema as S
 from shotgrid.sources import parts as P
@@ -275,21 +276,32 @@ def speech_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.array(r).alias("annotation_results"))
 
 
-def as_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_documents(spark, sf_dir, "events").unionByName(
-        stored_documents(spark, sf_dir, "speech"))
+def as_annotations(spark: SparkSession, sf_dir: str, schema: T.StructType | None = None) -> DataFrame:
+    return stored_documents(spark, sf_dir, "events", schema).unionByName(
+        stored_documents(spark, sf_dir, "speech", schema))
 
 
 _STORED: dict[tuple, str] = {}
 
 
-def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events") -> DataFrame:
+# A reader unpacks up to 4,096 rows of a row group at once, whole documents here: small row groups bound its memory.
+GROUP_ROWS, GROUP_BYTES = 256, 16 << 20
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Write documents as Parquet in row groups of at most ``GROUP_ROWS`` documents and about ``GROUP_BYTES``."""
+    docs.write.mode("overwrite").option("parquet.block.row.count.limit", GROUP_ROWS) \
+        .option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).parquet(path)
+
+
+def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events", schema: T.StructType | None = None) -> DataFrame:
     """The folded documents (or, with ``shots``, their shots in parts) as a stored annotation table (nested Parquet).
 
     Folded once per session and state of the input (its files, with their sizes
     and times), written under the shared checkpoint folder and read back:
     operators then scan a stored table with nested-column pruning, as they would
-    over annotations kept in a lake. The table goes when the application ends.
+    over annotations kept in a lake. ``schema`` narrows what is read of every document
+    (``schema.presence_schema``). The table goes when the application ends.
     """
     from shotgrid.session import file_state, remove_at_exit, session_id, shared_dir
     table = "conversations" if kind == "speech" else "events"
@@ -298,10 +310,10 @@ def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events") ->
     if path is None:
         build = {"events": event_documents, "speech": speech_documents, "shots": event_shot_parts}[kind]
         path = shared_dir(spark, "annotations", kind)
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        write_documents(build(spark, sf_dir), path)
         remove_at_exit(spark, path)
         _STORED[key] = path
-    return spark.read.parquet(path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 BROKEN, HALF_BROKEN = 4, 6  # user_id % 11 of videos whose JSON is cut off, or holds a wrong type

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from shotgrid.sources import fixtures as fx
@@ -61,3 +62,26 @@ def test_json_source_reads_only_shots(spark, tmp_path):
     got = [r[0] for r in lines.select(ends["annotation_results"]["shot_annotations"][0]["end_time_offset"]["seconds"].alias("s"))
            .where(F.size("s") > 0).collect()]
     assert got == [[20, 20, 30, 40]]
+
+
+def test_stored_documents_lie_in_small_row_groups(spark, tmp_path):
+    """A reader unpacks thousands of rows of a row group at once; here a row is a whole document."""
+    rows = [(i, i, i % 600, "click", 900.0, '{"k": 19}') for i in range(1200)] + \
+        [(i, i, 600 + i % 30, "view", 900.0, '{"k": 19}') for i in range(1200, 13200)]
+    docs = fx.stored_documents(spark, events(spark, tmp_path, rows), "events")
+    groups = []
+    for f in docs.inputFiles():
+        m = pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata
+        groups += [m.row_group(i).num_rows for i in range(m.num_row_groups)]
+    assert sum(groups) == docs.count() == 630
+    assert max(groups) <= fx.GROUP_ROWS < 630
+
+
+def test_large_documents_lie_in_row_groups_of_bounded_bytes(spark, tmp_path):
+    docs = spark.range(200, numPartitions=1).selectExpr(
+        "concat('f', id) AS file", "transform(sequence(1, 60000), i -> xxhash64(id, i)) AS annotation_results")   # 0.5 MB each
+    fx.write_documents(docs, f"{tmp_path}/docs")
+    (f,) = spark.read.parquet(f"{tmp_path}/docs").inputFiles()
+    m = pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata
+    sizes = [m.row_group(i).total_byte_size for i in range(m.num_row_groups)]
+    assert m.num_rows == 200 and max(sizes) < 1.5 * fx.GROUP_BYTES

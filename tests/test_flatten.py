@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from conftest import off, seg
+from shotgrid import schema as S
 from shotgrid.functions.scalars import offset_seconds
 from shotgrid.operators import flatten
 
@@ -133,3 +134,21 @@ def test_first_feature_result_and_detected(docs_from):
     det = {r.feature: r.n_results for r in
            flatten.detected_features(scan.good, ["shot_annotations", "explicit_annotation"]).collect()}
     assert det == {"shot_annotations": 1, "explicit_annotation": 2}
+
+
+def test_presence_schema_tells_null_empty_and_filled_apart(spark, tmp_path):
+    """One leaf of each feature gives what the whole document gives, also for nulls at every level."""
+    filled = {"shot_annotations": [seg(0, 1), None, {"start_time_offset": None}],
+              "explicit_annotation": {"frames": [None, {"time_offset": None}]},
+              "text_annotations": [{"segments": []}], "face_detection_annotations": [{"thumbnail": None}],
+              "speech_transcriptions": [{"alternatives": [{"words": [{"word": "x"}]}]}, {"alternatives": None}]}
+    empty = {f: {} if f == "explicit_annotation" else [] for f in S.FEATURE_FIELDS}
+    nulls = {f: {"frames": None} if f == "explicit_annotation" else [None] for f in S.FEATURE_FIELDS}
+    rows = [("a", [filled, empty]), ("b", [{}, filled, nulls]), ("c", []), ("d", None), ("e", [None, empty, None, nulls]), (None, [{}])]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, f"file STRING, {S.ANNOTATION_DDL}").coalesce(1).write.parquet(path)
+    whole = spark.read.parquet(path)
+    narrow = spark.read.schema(S.presence_schema(S.FEATURE_FIELDS)).parquet(path)
+    for op in (flatten.detected_features, flatten.first_feature_result):
+        got, exp = (sorted(map(tuple, op(d, S.FEATURE_FIELDS).collect()), key=repr) for d in (narrow, whole))
+        assert got == exp and len(got) == 3 * len(S.FEATURE_FIELDS)

@@ -39,6 +39,20 @@ def test_scan_reads_one_feature(spark, name):
         assert other not in text, (name, other)
 
 
+@pytest.mark.parametrize("name", ["detected_features"])
+def test_feature_presence_reads_one_leaf_of_each(spark, name):
+    """Texts, boxes, vertices and words of whole documents once filled an executor's memory."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "20000")
+    try:
+        p = plan(entry.queries()[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    read = " ".join(line for line in p.splitlines() if "ReadSchema" in line or "Scan parquet" in line)
+    assert all(f in read for f in FEATURES)
+    for deep in ("vertices", "normalized_bounding_box", "landmarks", "words", "nanos", "segments", "attributes"):
+        assert deep not in read, deep
+
+
 @pytest.mark.parametrize("name", ["explicit_flat", "labels_flat", "ocr_all_segments", "boxes_scaled",
                                   "landmarks_wide", "speech_words"])
 def test_flatteners_do_not_shuffle_or_leave_jvm(spark, name):
