@@ -121,7 +121,7 @@ def q_route_arrivals(spark, sf):
 
 @query("first_feature_result")
 def q_first_feature_result(spark, sf):
-    return flatten.first_feature_result(fx.as_annotations(spark, sf), S.FEATURE_FIELDS)
+    return flatten.first_feature_result(_presence(spark, sf), S.FEATURE_FIELDS)
 
 
 @query("detected_features")

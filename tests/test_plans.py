@@ -39,7 +39,7 @@ def test_scan_reads_one_feature(spark, name):
         assert other not in text, (name, other)
 
 
-@pytest.mark.parametrize("name", ["detected_features"])
+@pytest.mark.parametrize("name", ["detected_features", "first_feature_result"])
 def test_feature_presence_reads_one_leaf_of_each(spark, name):
     """Texts, boxes, vertices and words of whole documents once filled an executor's memory."""
     spark.conf.set("spark.sql.maxMetadataStringLength", "20000")
