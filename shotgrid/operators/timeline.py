@@ -5,7 +5,8 @@ An as-of lookup is made an interval lookup row-locally: the span of a track is
 tiled by its frames (before the first one, between neighbours, from the last one
 on), and one range join (``plans.ranges``) finds the tile of every probe. Tiles of
 boxes, polygons and landmarks carry only places and times; what the two frames
-hold is fetched from the track's row for the hits. No ``lead`` window.
+hold is fetched from the track's row for the hits. A text's tiles, by far the most,
+are joined in blocks of neighbours. No ``lead`` window.
 """
 
 from __future__ import annotations
@@ -69,6 +70,40 @@ def _tile_times(tracks: DataFrame, keys: list[str]) -> DataFrame:
     return tiles.select(*keys, "n", "p.ta", "p.tb", "p.closed", "p.j", F.col("p.a.t").alias("t_a"), F.col("p.b.t").alias("t_b"))
 
 
+BLOCK = 64  # tiles that go through a range join in one row
+
+
+def _tile_blocks(tracks: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """The tiles of every track, ``size`` neighbours a row: ``keys``, frame count ``n``, [ta, tb], place ``base``, times ``x``.
+
+    ``tracks`` as for ``_tile_times``. The times that bound the tiles are the span's start, the
+    frames' and one past its end; [ta, tb] holds the part of the span that the row's tiles cover.
+    """
+    start, end = F.col("span_start"), F.col("span_end")
+    times = F.concat(F.array(start), F.coalesce("fr.t", F.array().cast("array<double>")), F.array(end + F.lit(1.0)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_x") - 2) / size).cast("int")), lambda k: F.struct(
+        (k * size).alias("base"), F.slice("_x", k * size + 1, size + 1).alias("x")))
+    rows = tracks.select(*keys, F.size("fr").alias("n"), "span_start", "span_end", times.alias("_x")) \
+        .select(*keys, "n", "span_start", "span_end", F.explode(blocks).alias("b"))
+    return rows.select(*keys, "n", F.greatest(start, F.array_min("b.x")).alias("ta"),
+                       F.least(end, F.array_max("b.x")).alias("tb"), "b.base", "b.x")
+
+
+def _tiles_at(probes: DataFrame, tracks: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
+    """The tile of every probe in the tracks it lies in: ``keys``, t, n, j, t_a, t_b.
+
+    The hits of a range join with ``_tile_times``, frames in any order; only blocks of tiles move.
+    """
+    hit = range_join(probes.select("input_uri", "t"), _tile_blocks(tracks, keys, size), ["input_uri"], "t", "ta", "tb",
+                     spread=True)
+    x, t, at = F.col("x"), F.col("t"), F.col("base") + F.col("i")
+    here = F.filter(F.sequence(F.lit(0), F.size("x") - 2), lambda i: (x[i] <= t) & (t < x[i + 1]))
+    found = hit.select(*keys, "t", "n", "base", "x", F.explode(here).alias("i"))
+    between = (at >= 1) & (at < F.col("n"))       # neither before the first frame nor from the last one on
+    return found.select(*keys, "t", "n", F.when(between, at - 1).alias("j"), F.when(between, x[F.col("i")]).alias("t_a"),
+                        F.when(between, x[F.col("i") + 1]).alias("t_b"))
+
+
 def _neighbours(frames: str, a: str = "a", b: str = "b") -> tuple[Column, Column]:
     """What the frames before and after the tile at ``j`` hold; null outside the frames."""
     return (F.try_element_at(frames, F.col("j") + 1).alias(a), F.try_element_at(frames, F.col("j") + 2).alias(b))
@@ -174,23 +209,27 @@ def box_at_time(docs: DataFrame, probes: DataFrame, interpolate: bool = True,
 # --- polygons (JN-6) ------------------------------------------------------
 
 def polygon_at_time(docs: DataFrame, probes: DataFrame, w: float = VIDEO_WIDTH,
-                    h: float = VIDEO_HEIGHT, threshold: float = 0.5) -> DataFrame:
+                    h: float = VIDEO_HEIGHT, threshold: float = 0.5, docs_times: DataFrame | None = None) -> DataFrame:
     """Interpolated 4-point polygon per text; a text uses its first segment
-    (among those over ``threshold``) covering t."""
-    rows = feature_rows(docs, "text_annotations", "first")
-    tx = rows.select("input_uri", F.posexplode("items").alias("text_pos", "x"))
-    sg = tx.select("input_uri", "text_pos", F.col("x.text").alias("text"),
-                   F.posexplode("x.segments").alias("segment_pos", "s")) \
-        .where(F.col("s.confidence") > F.lit(threshold))
+    (among those over ``threshold``) covering t.
+
+    ``docs_times`` may be the same documents read without text and vertices
+    (``schema.TEXT_TIMES_DDL``); the lookup needs no more, the hits' polygons come from ``docs``.
+    """
+    def segments(d, *of_text):
+        tx = feature_rows(d, "text_annotations", "first").select("input_uri", F.posexplode("items").alias("text_pos", "x"))
+        return tx.select("input_uri", "text_pos", *[F.col(f"x.{c}").alias(c) for c in of_text],
+                         F.posexplode("x.segments").alias("segment_pos", "s")).where(F.col("s.confidence") > F.lit(threshold))
+
     # the range join carries places and times; polygons are fetched for the hits
     keys = ["input_uri", "text_pos", "segment_pos"]
     times = F.transform("s.frames", lambda f: F.struct(offset_seconds(f["time_offset"]).alias("t")))
-    spans = sg.select(*keys, F.coalesce(times, F.slice(times, 1, 0)).alias("fr"),
-                      segment_start(F.col("s.segment")).alias("span_start"), segment_end(F.col("s.segment")).alias("span_end"))
-    hit = range_join(probes, _tile_times(spans, keys), ["input_uri"], "t", "ta", "tb", closed="closed")
-    first = hit.groupBy("input_uri", "t", "text_pos").agg(
+    spans = segments(docs_times if docs_times is not None else docs).select(
+        *keys, times.alias("fr"), segment_start(F.col("s.segment")).alias("span_start"),
+        segment_end(F.col("s.segment")).alias("span_end"))
+    first = _tiles_at(probes, spans, keys).groupBy("input_uri", "t", "text_pos").agg(
         F.min(F.struct("segment_pos", "j", "n", "t_a", "t_b")).alias("x")).select("input_uri", "t", "text_pos", "x.*")
-    frames = sg.select(*keys, "text", F.col("s.frames.rotated_bounding_box.vertices").alias("polygons"))
+    frames = segments(docs, "text").select(*keys, "text", F.col("s.frames.rotated_bounding_box.vertices").alias("polygons"))
     found = first.join(frames, keys).select(
         "input_uri", "t", "text_pos", "text", "j", "n", "t_a", "t_b", *_neighbours("polygons"))
     edge, r = _in_edge_gap(), _way_between()

@@ -321,7 +321,8 @@ _feature_box("logo_box_at_time_real", "logo_recognition_annotations", False)
 
 @query("polygon_at_time")
 def q_polygon_at_time(spark, sf):
-    return timeline.polygon_at_time(_ev_docs(spark, sf), _probes(spark, sf))
+    times = fx.stored_documents(spark, sf, "events", S.TEXT_TIMES_DDL)
+    return timeline.polygon_at_time(_ev_docs(spark, sf), _probes(spark, sf), docs_times=times)
 
 
 @query("landmarks_at_time")

@@ -40,18 +40,21 @@ def bucketed(intervals: DataFrame, start: str, end: str) -> DataFrame:
 
 def range_join(probes: DataFrame, intervals: DataFrame, keys: list[str], t: str,
                start: str, end: str, how: str = "inner", end_inclusive: bool = True,
-               closed: str | None = None) -> DataFrame:
+               closed: str | None = None, spread: bool = False) -> DataFrame:
     """Join ``probes`` (keys..., t, ...) to ``intervals`` (keys..., start, end, ...).
 
     ``end_inclusive`` says whether an interval holds its end; ``closed`` names a
     boolean interval column that says so row by row. With ``how="left"`` a probe
     without a hit keeps its row with nulls. Interval columns other than the keys
-    must not clash with probe columns. Empty intervals never match.
+    must not clash with probe columns. Empty intervals never match. ``spread`` deals the
+    probes anew before each is copied for the widths: of a few bytes, they would else be
+    copied in a few tasks, by the million.
     """
     levels = intervals.where(F.col(start) <= F.col(end)).groupBy(*keys).agg(
         F.collect_set(level_of(F.col(end) - F.col(start))).alias(LEVELS))  # HIGHEST - LOWEST + 1 at most
     wanted = probes if how == "inner" else probes.select(*keys, t).distinct()
-    pb = wanted.join(levels, keys).withColumn(LEVEL, F.explode(LEVELS)).drop(LEVELS)
+    pb = wanted.join(levels, keys)
+    pb = (pb.repartition(*keys, t) if spread else pb).withColumn(LEVEL, F.explode(LEVELS)).drop(LEVELS)
     pb = pb.withColumn(BUCKET, bucket_of(F.col(t), F.col(LEVEL)))
     after = F.col(t) <= F.col(end) if end_inclusive else F.col(t) < F.col(end)
     if closed is not None:

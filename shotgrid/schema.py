@@ -51,6 +51,11 @@ ANNOTATION_DDL = f"annotation_results ARRAY<{RESULT}>"
 # Features a result may carry, in the order the viewer lists them.
 FEATURE_FIELDS = [n for n, _ in RESULT_FIELDS[2:]]
 
+# Stored documents without what texts and frames hold besides their times.
+TEXT_TIMES = (f"STRUCT<segments: ARRAY<STRUCT<segment: {SEGMENT}, confidence: DOUBLE, "
+              f"frames: ARRAY<STRUCT<time_offset: {OFFSET}>>>>>")
+TEXT_TIMES_DDL = f"file STRING, annotation_results ARRAY<STRUCT<input_uri: STRING, text_annotations: ARRAY<{TEXT_TIMES}>>>"
+
 
 def annotation_schema(corrupt_column: str | None = "_corrupt") -> T.StructType:
     schema = T.StructType.fromDDL(ANNOTATION_DDL)

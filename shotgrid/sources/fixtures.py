@@ -294,14 +294,15 @@ def write_documents(docs: DataFrame, path: str) -> None:
         .option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).parquet(path)
 
 
-def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events", schema: T.StructType | None = None) -> DataFrame:
+def stored_documents(spark: SparkSession, sf_dir: str, kind: str = "events",
+                     schema: T.StructType | str | None = None) -> DataFrame:
     """The folded documents (or, with ``shots``, their shots in parts) as a stored annotation table (nested Parquet).
 
     Folded once per session and state of the input (its files, with their sizes
     and times), written under the shared checkpoint folder and read back:
     operators then scan a stored table with nested-column pruning, as they would
     over annotations kept in a lake. ``schema`` narrows what is read of every document
-    (``schema.presence_schema``). The table goes when the application ends.
+    (``schema.presence_schema``, ``schema.TEXT_TIMES_DDL``). The table goes when the application ends.
     """
     from shotgrid.session import file_state, remove_at_exit, session_id, shared_dir
     table = "conversations" if kind == "speech" else "events"

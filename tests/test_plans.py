@@ -53,6 +53,16 @@ def test_feature_presence_reads_one_leaf_of_each(spark, name):
         assert deep not in read, deep
 
 
+def test_polygon_lookup_reads_vertices_once(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "20000")
+    try:
+        p = plan(entry.queries()["polygon_at_time"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in p.split("== Initial Plan ==")[-1].splitlines() if "ReadSchema" in line and "text_annotations" in line]
+    assert len(scans) == 3 and sum("vertices" in line for line in scans) == 1   # times for widths and tiles, polygons for hits
+
+
 @pytest.mark.parametrize("name", ["explicit_flat", "labels_flat", "ocr_all_segments", "boxes_scaled",
                                   "landmarks_wide", "speech_words"])
 def test_flatteners_do_not_shuffle_or_leave_jvm(spark, name):

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from conftest import off, seg
+from shotgrid import schema as S
 from shotgrid.operators import timeline
+from shotgrid.plans.ranges import range_join
 
 
 def object_doc(times, xs, span=None):
@@ -201,3 +205,57 @@ def test_payload_stays_out_of_the_range_join(spark, docs_from):  # JN-4, 5, 7
     tracks = timeline._box_tracks(scan.good, "object_annotations", 1, 1)
     tiles = timeline._tile_times(tracks, ["input_uri", "track", "part"])
     assert {f.dataType.simpleString() for f in tiles.schema.fields} <= {"string", "int", "double", "boolean"}
+
+
+TRACK = "input_uri string, text_pos int, segment_pos int, span_start double, span_end double, fr array<struct<t double>>"
+
+
+@pytest.mark.parametrize("size", [1, 3, timeline.BLOCK])
+def test_blocks_of_tiles_give_the_hits_of_single_tiles(spark, size):  # JN-6
+    """Also with frames out of order, twice, outside the span or missing, and for repeated keys and probes."""
+    rnd = random.Random(7)
+    rows = [("v", 0, 0, 0.0, 9.0, []), ("v", 0, 1, 0.0, 9.0, None), ("v", 0, 2, 5.0, 4.0, [(4.5,)]), ("v", 0, 3, 4.0, 4.0, [(4.0,)]),
+            ("v", 0, 3, 2.0, 6.0, [(3.0,), (5.0,)]), (None, 0, 4, 0.0, 9.0, [(1.0,)])]
+    for i in range(60):
+        start, frames = rnd.randint(0, 10), [float(rnd.randint(0, 24)) for _ in range(rnd.choice([1, 2, 5, 9, 150]))]
+        rows.append((rnd.choice("vw"), 1, i, float(start), float(start + rnd.choice([0, 3, 12])),
+                     [(x,) for x in (frames if i % 3 == 0 else sorted(frames))]))
+    tracks = spark.createDataFrame(rows, TRACK)
+    ts = [x / 2 for x in range(-2, 50)] + [4.0, 4.0]
+    probes = spark.createDataFrame([(v, t, 1) for v in ("v", "w", "u", None) for t in ts], "input_uri string, t double, x int")
+    keys = ["input_uri", "text_pos", "segment_pos"]
+    tiles = range_join(probes, timeline._tile_times(tracks, keys), ["input_uri"], "t", "ta", "tb", closed="closed")
+    out = [*keys, "t", "j", "t_a", "t_b"]
+    got, exp = (sorted(map(tuple, d.select(*out).collect()), key=repr)
+                for d in (timeline._tiles_at(probes, tracks, keys, size), tiles))
+    assert got == exp and len(got) > 500
+
+
+def test_tiles_of_a_long_text_are_joined_in_blocks(spark):  # JN-6
+    tracks = spark.createDataFrame([("v", 0, s, 0.0, 999.0, [(float(i),) for i in range(1000)]) for s in range(3)], TRACK)
+    blocks = timeline._tile_blocks(tracks, ["input_uri", "text_pos", "segment_pos"], timeline.BLOCK).collect()
+    assert len(blocks) == 3 * 16                                    # of 1,001 tiles each
+    assert all(len(b.x) <= timeline.BLOCK + 1 for b in blocks)
+
+
+def test_polygon_lookup_sends_no_row_for_every_tile(spark, docs_from):  # JN-6
+    scan = docs_from({"annotation_results": [{"input_uri": "/b/v.mp4", "text_annotations": [{"text": "T", "segments": [
+        {"segment": seg(0, 9), "confidence": 0.9, "frames": []}]}]}]})
+    plan = timeline.polygon_at_time(scan.good, probe_df(spark, [1.0]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "closed" not in plan and "rotated_bounding_box" in plan
+
+
+def test_polygons_with_times_read_apart(spark, tmp_path):  # JN-6
+    def frame(t):
+        return {"time_offset": off(t), "rotated_bounding_box": {"vertices": [{"x": t / 100, "y": i / 10} for i in range(4)]}}
+
+    texts = [{"text": "T", "segments": [{"segment": seg(0, 9), "confidence": c, "frames": [frame(t) for t in ts]}
+                                        for c, ts in ((0.9, (1, 2, 4, 8)), (0.2, (1, 2)), (0.8, ()))]}, {"text": None}, None]
+    rows = [("a", [{"input_uri": "v", "text_annotations": texts}]), ("b", [{"input_uri": "w"}, {"text_annotations": texts}]),
+            ("c", [{"input_uri": "w", "text_annotations": []}, {"input_uri": "w", "text_annotations": texts}]), ("d", None)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, f"file STRING, {S.ANNOTATION_DDL}").write.parquet(path)
+    docs, times = spark.read.parquet(path), spark.read.schema(S.TEXT_TIMES_DDL).parquet(path)
+    probes = probe_df(spark, [0, 1, 3, 5, 8, 9, 9.5], "v").union(probe_df(spark, [3], "w"))
+    got, exp = (sorted(map(tuple, timeline.polygon_at_time(docs, probes, docs_times=d).collect()), key=repr) for d in (times, None))
+    assert got == exp and [r[1] for r in got] == [0.0, 1.0, 3.0, 5.0, 8.0, 9.0]
